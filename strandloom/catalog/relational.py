@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.catalog import tables as t
 from strandloom.constants import BUCKET, OFFSET, POSE
 from strandloom.operators import cascade, chains, identity, lineage, pool, select
+from strandloom.staging import row_bound, with_bound
 
 QUERIES, SQL = {}, {}
 
@@ -66,12 +67,12 @@ def pool_bucket_starts(spark, sf_dir):
 )
 def pool_selection_in_request_order(spark, sf_dir):
     orders = t.orders(spark, sf_dir)
-    rows = orders.count()
+    rows = row_bound(orders)
     requests = t.read(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_pos"),
         ((F.col("event_id") * 7919 + F.col("user_id")) % rows).alias("pose_id"),
     )
-    return pool.select_poses(orders, requests, pool_rows=rows).select("request_pos", "pose_id", *POSE)
+    return pool.select_poses(orders, requests).select("request_pos", "pose_id", *POSE)
 
 
 @query(
@@ -89,6 +90,13 @@ def score_mask(spark, sf_dir):
     return select.mask(t.orders(spark, sf_dir), -100.0)
 
 
+def _below_zero(orders):
+    """Orders with a negative score; the score column belongs to the same pool."""
+    rows = row_bound(orders)
+    scores = with_bound(orders.select("pose_id", "score"), rows)
+    return select.filter_by_score(with_bound(orders.drop("score"), rows), scores, 0.0)
+
+
 _KEPT = (
     "kept AS (SELECT CAST(row_number() OVER (ORDER BY pose_id) - 1 AS BIGINT) AS pose_id, "
     f"pose_id AS parent_id, {POSES} FROM order_pool WHERE score < 0.0)"
@@ -101,10 +109,7 @@ _KEPT = (
 )
 def score_filter_with_provenance(spark, sf_dir):
     orders = t.orders(spark, sf_dir)
-    rows = orders.count()
-    kept = select.filter_by_score(
-        orders.drop("score"), orders.select("pose_id", "score"), 0.0, pool_rows=rows, score_rows=rows
-    )
+    kept = _below_zero(orders)
     return kept.select("pose_id", "parent_id", *POSE)
 
 
@@ -117,7 +122,7 @@ def score_filter_with_provenance(spark, sf_dir):
 def index_filter_keeps_copies(spark, sf_dir):
     orders = t.orders(spark, sf_dir)
     index = t.read(spark, sf_dir, "events").select(
-        ((F.col("event_id") * 7919 + F.col("user_id")) % orders.count()).alias("pose_id")
+        ((F.col("event_id") * 7919 + F.col("user_id")) % row_bound(orders)).alias("pose_id")
     )
     return select.filter_by_index(orders, index).select("pose_id", "parent_id", *POSE)
 
@@ -237,7 +242,8 @@ def pose_occurrences(spark, sf_dir):
 def _parents(children, parents, key):
     """Parent ids through the key the child rows carry."""
     keys = parents.select(F.col("pose_id").alias("parent_id"), F.col("source_id").alias(key))
-    return children.join(keys, key).select("pose_id", "parent_id")
+    # The keys are unique, so there is at most one parent per child.
+    return with_bound(children.join(keys, key).select("pose_id", "parent_id"), row_bound(children))
 
 
 @query(
@@ -248,7 +254,7 @@ def _parents(children, parents, key):
 )
 def lineage_lines_to_customers(spark, sf_dir):
     customers, orders, lines = (f(spark, sf_dir) for f in (t.customers, t.orders, t.lines))
-    kept = select.filter_by_score(orders.drop("score"), orders.select("pose_id", "score"), 0.0)
+    kept = _below_zero(orders)
     # Lines grow from the filtered orders; the filter keeps the id of each order.
     kept_orders = kept.join(
         orders.select(F.col("pose_id").alias("parent_id"), "source_id"), "parent_id"
@@ -280,7 +286,7 @@ def lineage_propagated_through_copies(spark, sf_dir):
 )
 def link_edges_between_representatives(spark, sf_dir):
     orders, lines = t.orders(spark, sf_dir), t.lines(spark, sf_dir)
-    kept = select.filter_by_score(orders.drop("score"), orders.select("pose_id", "score"), 0.0)
+    kept = _below_zero(orders)
     return lineage.link_edges(
         [lineage.relation(kept)], [_parents(lines, orders, "source_id")]
     )

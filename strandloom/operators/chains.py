@@ -8,13 +8,13 @@ join routes that no single lineage had; that is intended.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.constants import DEFAULT_MAX_CHAINS, HARD_MAX_CHAINS, POSE
-from strandloom.staging import dense_ids, skew_join, stage
+from strandloom.staging import dense_ids, row_bound, skew_join, stage, with_bound
 
 
 class TooManyChains(ValueError):
@@ -23,12 +23,15 @@ class TooManyChains(ValueError):
 
 @dataclass
 class Layers:
-    """Collapsed layers: ``nodes[j](node, pose_id, pose...)``, distinct edges."""
+    """Collapsed layers.
+
+    ``nodes[j]`` holds ``(node, pose...)`` where ``node`` is the least pose id of
+    the physical pose; ``edges[j]`` holds distinct ``(low, high)`` nodes.
+    """
 
     names: list[str]
     nodes: list[DataFrame]
     edges: list[DataFrame]
-    kept: list[DataFrame] = field(default_factory=list)
 
 
 def _keys(df: DataFrame, column: str) -> DataFrame:
@@ -49,6 +52,8 @@ def prune_edges(edges: list[DataFrame]) -> list[DataFrame]:
     however many layers there are.
     """
     edges = [stage(e.select("low", "high"), "edges") for e in edges]
+    if len(edges) == 1:
+        return edges
     for j in range(1, len(edges)):
         edges[j] = stage(_keep(edges[j], "low", _keys(edges[j - 1], "high")), "edges-forward")
     for j in range(len(edges) - 2, -1, -1):
@@ -67,38 +72,54 @@ def connect(names: list[str], pools: list[DataFrame], edges: list[DataFrame]) ->
     """Prune, then collapse identical poses and remap their edges."""
     if len(pools) != len(names) or len(edges) != len(pools) - 1:
         raise ValueError("k pools need k names and k-1 edge sets")
-    if not edges:
-        kept = [pools[0].select("pose_id")]
-        pruned = []
-    else:
-        pruned = prune_edges(edges)
-        kept = kept_ids(pruned)
+    pruned = prune_edges(edges) if edges else []
+    kept = kept_ids(pruned) if edges else [pools[0].select("pose_id")]
     nodes, node_of = [], []
-    for name, pool, ids in zip(names, pools, kept):
+    for j, (name, pool, ids) in enumerate(zip(names, pools, kept)):
         alive = stage(pool.select("pose_id", *POSE).join(ids, "pose_id", "left_semi"), f"alive-{name}")
-        # Collapsed by a map-side combine; numbered in identity order.
-        layer = dense_ids(
-            alive.groupBy(*POSE).agg(F.min("pose_id").alias("pose_id")), POSE, "node", f"nodes-{name}"
-        )
-        nodes.append(layer)
-        node_of.append(
-            stage(
-                skew_join(alive, layer.select("node", *POSE), POSE).select("pose_id", "node"),
-                f"node-of-{name}",
-            )
+        rows = row_bound(alive)
+        # The map-side combine collapses copies before they are shuffled.
+        layer = alive.groupBy(*POSE).agg(F.min("pose_id").alias("node"))
+        mapping = with_bound(
+            skew_join(alive, layer, POSE, left_rows=rows, right_rows=rows).select("pose_id", "node"), rows
         )
+        inner = 0 < j < len(pools) - 1  # such a layer has edges on both sides
+        nodes.append(with_bound(layer, rows))
+        node_of.append(stage(mapping, f"node-of-{name}") if inner else mapping)
     collapsed = []
     for j, edge in enumerate(pruned):
-        low = skew_join(edge, node_of[j].select(F.col("pose_id").alias("low"), F.col("node").alias("l")), ["low"])
-        both = skew_join(
-            low.select("l", "high"),
-            node_of[j + 1].select(F.col("pose_id").alias("high"), F.col("node").alias("h")),
-            ["high"],
-        )
-        collapsed.append(
-            stage(both.select(F.col("l").alias("low"), F.col("h").alias("high")).distinct(), f"links-{j}")
-        )
-    return Layers(list(names), nodes, collapsed, kept)
+        rows = row_bound(edge)
+        for side, mapping in (("low", node_of[j]), ("high", node_of[j + 1])):
+            # Each edge end has exactly one node, so the row bound carries over.
+            edge = with_bound(
+                skew_join(edge, mapping.withColumnRenamed("pose_id", side), [side],
+                          left_rows=rows, right_rows=row_bound(mapping))
+                .drop(side)
+                .withColumnRenamed("node", side),
+                rows,
+            )
+        collapsed.append(stage(edge.select("low", "high").distinct(), f"links-{j}"))
+    return Layers(list(names), nodes, collapsed)
+
+
+def number_nodes(layers: Layers) -> Layers:
+    """The same layers with nodes numbered 0..n-1 in pose order."""
+    nodes = [
+        dense_ids(nodes.withColumnRenamed("node", "_first"), POSE, "node", f"nodes-{name}")
+        for name, nodes in zip(layers.names, layers.nodes)
+    ]
+    edges = []
+    for j, edge in enumerate(layers.edges):
+        rows = row_bound(edge)
+        for side, layer in (("low", nodes[j]), ("high", nodes[j + 1])):
+            number = layer.select(F.col("_first").alias(side), "node")
+            edge = (
+                skew_join(edge, number, [side], left_rows=rows, right_rows=row_bound(layer))
+                .drop(side)
+                .withColumnRenamed("node", side)
+            )
+        edges.append(stage(edge.select("low", "high"), f"numbered-links-{j}"))
+    return Layers(layers.names, nodes, edges)
 
 
 def count_paths(layers: Layers, max_count: int | None = None) -> int:
@@ -125,7 +146,7 @@ def count_paths(layers: Layers, max_count: int | None = None) -> int:
     for edge in layers.edges[1:]:
         ways = stage(ways, "ways")
         ways = (
-            skew_join(edge, ways.withColumnRenamed("node", "low"), ["low"])
+            skew_join(edge, ways.withColumnRenamed("node", "low"), ["low"], right_rows=row_bound(ways))
             .groupBy(F.col("high").alias("node"))
             .agg(capped(F.sum("ways")).alias("ways"))
         )
@@ -135,7 +156,6 @@ def count_paths(layers: Layers, max_count: int | None = None) -> int:
 
 def chain_counts(layers: Layers) -> DataFrame:
     """Per layer ``kept`` and ``unique`` (both after collapse) and the path total."""
-    spark = layers.nodes[0].sparkSession
     total = count_paths(layers)
     rows = None
     for position, (name, nodes) in enumerate(zip(layers.names, layers.nodes), start=1):
@@ -147,7 +167,7 @@ def chain_counts(layers: Layers) -> DataFrame:
             F.lit(total).cast("bigint").alias("chains"),
         )
         rows = row if rows is None else rows.unionByName(row)
-    return rows if rows is not None else spark.createDataFrame([], "layer int")
+    return rows
 
 
 def enumerate_chains(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> DataFrame:
@@ -161,19 +181,22 @@ def enumerate_chains(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> Da
     if total > max_chains:
         raise TooManyChains(f"more than {max_chains} chains; raise the cap or filter the pools")
     names = layers.names
+    layers = number_nodes(layers)
     if not layers.edges:
         return layers.nodes[0].select((F.col("node") + 1).alias(names[0]))
     table = layers.edges[0].select(F.col("low").alias(names[0]), F.col("high").alias(names[1]))
     for j, edge in enumerate(layers.edges[1:], start=1):
         step = edge.select(F.col("low").alias(names[j]), F.col("high").alias(names[j + 1]))
-        table = skew_join(table, step, [names[j]], left_rows=total)
+        # Every partial path is part of a complete one, so the total bounds them all.
+        table = skew_join(table, step, [names[j]], left_rows=total, right_rows=row_bound(edge))
+    table = with_bound(table, total)
     return table.select(*[(F.col(n) + 1).alias(n) for n in names])
 
 
 def number_chains(table: DataFrame, names: list[str]) -> DataFrame:
     """Add the 1-based row number of each chain in lexicographic order."""
     numbered = dense_ids(table, names, "chain", "chains")
-    return numbered.withColumn("chain", F.col("chain") + 1)
+    return with_bound(numbered.withColumn("chain", F.col("chain") + 1), row_bound(numbered))
 
 
 def chain_range(numbered: DataFrame, first: int, last: int, total: int) -> DataFrame:
@@ -196,8 +219,9 @@ def focus(numbered: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame
     if unknown or len(set(columns)) != len(columns):
         raise ValueError(f"unknown or repeated pools: {sorted(unknown) or columns}")
     first_seen = numbered.groupBy(*order).agg(F.min("chain").alias("_first"))
-    table = dense_ids(first_seen, ["_first"], "focused", "focus").withColumn(
-        "focused", F.col("focused") + 1
-    )
-    provenance = skew_join(numbered, table.drop("_first"), order).select("chain", "focused")
+    table = dense_ids(first_seen, ["_first"], "focused", "focus")
+    table = with_bound(table.withColumn("focused", F.col("focused") + 1), row_bound(table))
+    provenance = skew_join(
+        numbered, table.drop("_first"), order, right_rows=row_bound(table)
+    ).select("chain", "focused")
     return table.drop("_first"), provenance

@@ -7,30 +7,32 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import BUCKET, POSE
 from strandloom.operators.pool import organize
-from strandloom.staging import skew_join
+from strandloom.staging import row_bound, skew_join, with_bound
 
 
-def _map(pool: DataFrame, output: DataFrame, pool_rows: int | None) -> DataFrame:
+def _map(pool: DataFrame, output: DataFrame) -> DataFrame:
     """``(parent_id, pose_id)``: one row per input row that survived."""
     source = pool.select(F.col("pose_id").alias("parent_id"), *POSE)
     target = output.select("pose_id", *POSE)
-    return skew_join(source, target, POSE, left_rows=pool_rows).select("parent_id", "pose_id")
+    rows = row_bound(pool)
+    joined = skew_join(source, target, POSE, left_rows=rows, right_rows=row_bound(output))
+    return with_bound(joined.select("parent_id", "pose_id"), rows)
 
 
 def intersect_pools(
-    one: DataFrame, two: DataFrame, *, rows_one: int | None = None, rows_two: int | None = None
+    one: DataFrame, two: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """INTERSECT DISTINCT of two pools, and the map from each of them."""
     # Each side is deduplicated map-side before it is shuffled.
     shared = one.select(*POSE).intersect(two.select(*POSE))
     output = organize(shared, [], spill=True, label="identity")
-    return output, _map(one, output, rows_one), _map(two, output, rows_two)
+    return output, _map(one, output), _map(two, output)
 
 
-def deduplicate(pool: DataFrame, *, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def deduplicate(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct poses of one pool, and one map row per input row."""
     output = organize(pool.select(*POSE).distinct(), [], spill=True, label="distinct")
-    return output, _map(pool, output, rows)
+    return output, _map(pool, output)
 
 
 def manifest(one: DataFrame, two: DataFrame, output: DataFrame) -> DataFrame:

@@ -9,20 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.staging import require_empty, skew_join, stage
+from strandloom.staging import require_empty, row_bound, skew_join, stage, with_bound
 
 
 def relation(pool: DataFrame) -> DataFrame:
-    return pool.select("pose_id", "parent_id")
+    return with_bound(pool.select("pose_id", "parent_id"), getattr(pool, "_row_bound", None))
 
 
-def compose(child: DataFrame, parent: DataFrame, **rows: int) -> DataFrame:
+def compose(child: DataFrame, parent: DataFrame) -> DataFrame:
     """Lineage of ``child`` through ``parent``: child.parent_id = parent.pose_id."""
     return skew_join(
         child.select("pose_id", F.col("parent_id").alias("_via")),
         parent.select(F.col("pose_id").alias("_via"), "parent_id"),
         ["_via"],
-        **rows,
+        left_rows=row_bound(child),
+        right_rows=row_bound(parent),
     ).select("pose_id", "parent_id")
 
 

@@ -14,7 +14,7 @@ from strandloom.constants import (
     OFFSET,
     POSE,
 )
-from strandloom.staging import dense_ids, skew_join, stage
+from strandloom.staging import dense_ids, row_bound, skew_join, stage
 
 
 def checked(column: Column, low: int, high: int, name: str) -> Column:
@@ -113,15 +113,16 @@ def select_poses(
     requests: DataFrame,
     *,
     base: int = 0,
-    pool_rows: int | None = None,
 ) -> DataFrame:
-    """Poses asked for in ``requests(request_pos, pose_id)``; repeats are kept.
+    """Poses of an organized pool asked for in ``requests(request_pos, pose_id)``.
+
+    Repeated requests are kept.
 
     The result carries ``request_pos``: the order array of the selection.
     """
     if base not in (0, 1):
         raise ValueError("base must be 0 or 1")
-    total = pool.count() if pool_rows is None else pool_rows
+    total = row_bound(pool)
     wanted = requests.withColumn("pose_id", F.col("pose_id") - F.lit(base))
     wanted = wanted.withColumn(
         "pose_id",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import POSE
 from strandloom.operators.pool import fingerprint, organize
-from strandloom.staging import skew_join
+from strandloom.staging import dense_ids, row_bound, skew_join
 
 
 def require_aligned(pool_rows: int, measure_rows: int) -> None:
@@ -32,17 +32,9 @@ def mask_encoding(rows: int, selected: int) -> str:
     return "index" if selected * width < rows else "boolean"
 
 
-def filter_by_score(
-    pool: DataFrame,
-    scores: DataFrame,
-    threshold: float,
-    *,
-    pool_rows: int | None = None,
-    score_rows: int | None = None,
-) -> DataFrame:
+def filter_by_score(pool: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
     """Passing poses, re-numbered, with the id they had as ``parent_id``."""
-    pool_rows = pool.count() if pool_rows is None else pool_rows
-    require_aligned(pool_rows, scores.count() if score_rows is None else score_rows)
+    require_aligned(row_bound(pool), row_bound(scores))
     return renumber(pool.join(mask(scores, threshold), "pose_id"))
 
 
@@ -53,7 +45,10 @@ def filter_by_mask(pool: DataFrame, selector: DataFrame) -> DataFrame:
 
 def filter_by_index(pool: DataFrame, index: DataFrame) -> DataFrame:
     """Poses named by an id list; an id listed twice gives two rows."""
-    return renumber(skew_join(index.select("pose_id"), pool, ["pose_id"]), tie=["parent_id", "_copy"])
+    return renumber(
+        skew_join(index.select("pose_id"), pool, ["pose_id"], right_rows=row_bound(pool)),
+        tie=["parent_id", "_copy"],
+    )
 
 
 def renumber(selected: DataFrame, tie: list[str] | None = None) -> DataFrame:
@@ -78,8 +73,6 @@ def select_by_rmsd(rmsds: DataFrame, threshold: float, *, preserve_order: bool =
 
     Returns ``(request_pos, pose_id, rmsd)``; equal RMSDs keep pool order.
     """
-    from strandloom.staging import dense_ids
-
     order = ["pose_id"] if preserve_order else ["rmsd", "pose_id"]
     return dense_ids(
         rmsds.where((F.col("rmsd") < threshold) & ~F.isnan("rmsd")), order, "request_pos", "by-rmsd"

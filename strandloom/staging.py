@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A key with fewer rows than this is handled by one task without trouble.
@@ -37,11 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
+    """Write ``df`` to the shared folder and return a scan of what was written.
+
+    The rows are counted while they are written; see ``row_bound``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return with_bound(spark.read.schema(df.schema).parquet(path), seen.get["rows"])
+
+
+def with_bound(df: DataFrame, rows: int | None) -> DataFrame:
+    """Note that ``df`` has at most ``rows`` rows."""
+    if rows is not None:
+        df._row_bound = rows
+    return df
+
+
+def row_bound(df: DataFrame) -> int:
+    """Known upper bound on the rows of ``df``; counts them if none was noted."""
+    known = getattr(df, "_row_bound", None)
+    return df.count() if known is None else known
 
 
 def dense_ids(df: DataFrame, order: list[str], id_col: str, label: str) -> DataFrame:
@@ -75,11 +92,12 @@ def dense_ids(df: DataFrame, order: list[str], id_col: str, label: str) -> DataF
             ).alias("_start"),
         )
     )
-    return (
+    numbered = (
         staged.join(F.broadcast(starts), "_part")
         .withColumn(id_col, F.col("_start") + F.col("_row"))
         .drop("_part", "_row", "_start")
     )
+    return with_bound(numbered, row_bound(staged))
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -109,23 +127,24 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join whose hot keys are split over a grid of salts on both sides.
 
-    Below ``hot_rows`` rows a side cannot hold a hot key, and the join is left
-    to the optimizer.  Otherwise keys with too many rows are counted; a key with
-    ``a`` blocks on the left and ``b`` on the right becomes ``a*b`` groups, each
-    left row meeting each right row in exactly one of them.
+    ``left_rows`` and ``right_rows`` are upper bounds.  A side below ``hot_rows``
+    cannot hold a hot key; when neither can, the join is left to the optimizer.
+    Otherwise keys with too many rows are counted; a key with ``a`` blocks on the
+    left and ``b`` on the right becomes ``a*b`` groups, each left row meeting each
+    right row in exactly one of them.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(f"skew_join supports inner and left_semi, not {how}")
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    left_rows = row_bound(left) if left_rows is None else left_rows
     if how == "left_semi":
         right = right.select(*on).distinct()
-    left_rows = left.count() if left_rows is None else left_rows
-    if how == "left_semi":
         right_rows = 0  # distinct keys: never hot
     elif right_rows is None:
-        right_rows = right.count()
+        right_rows = row_bound(right)
     if max(left_rows, right_rows) < hot_rows:
-        return left.join(right, on, how)
+        joined = left.join(right, on, how)
+        return with_bound(joined, left_rows) if how == "left_semi" else joined
 
     fans = None
     for df, rows, name in ((left, left_rows, "_fl"), (right, right_rows, "_fr")):
@@ -156,7 +175,8 @@ def skew_join(
 
     salted_left = salted(left, "_fl", "_fr", "_sl", "_sr")
     salted_right = salted(right, "_fr", "_fl", "_sr", "_sl")
-    return salted_left.join(salted_right, on + ["_sl", "_sr"], how).drop("_sl", "_sr")
+    joined = salted_left.join(salted_right, on + ["_sl", "_sr"], how).drop("_sl", "_sr")
+    return with_bound(joined, left_rows) if how == "left_semi" else joined
 
 
 def require_empty(df: DataFrame, message: str) -> None:
