@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("relational",)
+_MODULES = ("relational", "geometry")
 
 
 def _merged(attribute: str) -> dict:

@@ -64,15 +64,21 @@ def rotvec_matrix(rx, ry, rz) -> Column:
     )
 
 
+def axis_sum(coords: Column, k: int) -> Column:
+    """Sum of one coordinate over an array of [x, y, z] arrays."""
+    return F.aggregate(coords, F.lit(0.0), lambda total, x: total + F.get(x, F.lit(k)))
+
+
+def flat_axis_mean(flat: Column, k: int) -> Column:
+    """Mean of one coordinate of a flat array x0, y0, z0, x1, ..."""
+    chosen = F.filter(flat, lambda _, n: n % 3 == k)
+    return F.aggregate(chosen, F.lit(0.0), lambda total, x: total + x) / (F.size(flat) / 3)
+
+
 def centroid(coords: Column) -> Column:
     """Mean of an array of [x, y, z] arrays."""
     size = F.size(coords).cast("double")
-    return F.array(
-        *[
-            F.aggregate(coords, F.lit(0.0), lambda acc, x, k=k: acc + F.get(x, F.lit(k))) / size
-            for k in range(3)
-        ]
-    )
+    return F.array(*[axis_sum(coords, k) / size for k in range(3)])
 
 
 def centred(coords: Column, mean: Column) -> Column:
@@ -96,19 +102,12 @@ def square_sum(coords: Column) -> Column:
 
 def cross_moment(a: Column, b: Column) -> Column:
     """Nine sums over atoms of a[i] * b[j], row-major."""
-    pairs = F.arrays_zip(a.alias("p"), b.alias("q"))
-    return F.array(
-        *[
-            F.aggregate(
-                pairs,
-                F.lit(0.0),
-                lambda acc, x, i=i, j=j: acc
-                + F.get(x["p"], F.lit(i)) * F.get(x["q"], F.lit(j)),
-            )
-            for i in range(3)
-            for j in range(3)
-        ]
-    )
+
+    def entry(i: int, j: int) -> Column:
+        products = F.zip_with(a, b, lambda p, q: F.get(p, F.lit(i)) * F.get(q, F.lit(j)))
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    return F.array(*[entry(i, j) for i in range(3) for j in range(3)])
 
 
 def ball_axis(centre: Column, reach2: Column) -> Column:

@@ -180,8 +180,12 @@ def enumerate_chains(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> Da
     total = count_paths(layers, max_chains)
     if total > max_chains:
         raise TooManyChains(f"more than {max_chains} chains; raise the cap or filter the pools")
+    return path_table(number_nodes(layers), total)
+
+
+def path_table(layers: Layers, total: int) -> DataFrame:
+    """Join the numbered layers into one row per path; ``total`` paths are known."""
     names = layers.names
-    layers = number_nodes(layers)
     if not layers.edges:
         return layers.nodes[0].select((F.col("node") + 1).alias(names[0]))
     table = layers.edges[0].select(F.col("low").alias(names[0]), F.col("high").alias(names[1]))
