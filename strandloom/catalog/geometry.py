@@ -387,7 +387,7 @@ def best_fit_pairs(spark, sf_dir):
 @query(
     "thresholds_strictly_above",
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(floor(l_extendedprice::DECIMAL(28,8) * 100) + 1 AS DECIMAL(18,0))::DOUBLE "
-    "/ 100 AS above, floor((l_extendedprice / 7.0::DOUBLE)::DECIMAL(28,12) * 1000)::DOUBLE / 1000 AS below FROM lineitem",
+    "/ 100 AS above, floor((l_extendedprice / 7.0::DOUBLE + 0.00003::DOUBLE)::DECIMAL(28,9) * 1000)::DOUBLE / 1000 AS below FROM lineitem",
 )
 def thresholds_strictly_above(spark, sf_dir):
     price = F.col("l_extendedprice")
@@ -398,7 +398,7 @@ def thresholds_strictly_above(spark, sf_dir):
         "l_suppkey",
         "l_extendedprice",
         decimals.above_cent_column(price).cast("double").alias("above"),
-        decimals.floor_decimal_column(price / 7.0, 3).cast("double").alias("below"),
+        decimals.floor_decimal_column(price / 7.0 + 0.00003, 3).cast("double").alias("below"),
     )
 
 

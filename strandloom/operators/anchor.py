@@ -18,6 +18,7 @@ from strandloom.functions import gaussian
 from strandloom.functions import vectors as v
 from strandloom.functions.superpose import ring_rotation, superposing_rotation
 from strandloom.operators.pool import pose_columns
+from strandloom.staging import stage
 
 PHASES = 64  # bins per axis of the place of a pose cell within a lattice cell
 
@@ -87,24 +88,28 @@ def candidate_cells(
     keys = keys or ["conformer", "rotamer"]
     w = [F.lit(float(x)) for x in frame]
     m = F.col("m")
-    cache = v.multiply(
-        v.multiply(v.transpose(F.col("to_reference")), m), v.transpose(w)
-    )
+    relative = v.multiply(v.multiply(v.transpose(F.col("to_reference")), m), v.transpose(w))
     ring = v.rotate(F.col("ring_centre"), m)
-    # The cell table has 98,304 rows whatever the library.  The exchange also keeps the
-    # matrix product from being expanded into every use of an entry.
-    rows = (
-        rotamers.join(shapes, "conformer")
-        .select(
+    turned = rotamers.join(shapes, "conformer").select(
+        *keys,
+        *[c.alias(f"q{n}") for n, c in enumerate(relative)],
+        *[(F.lit(float(centre[k])) - ring[k]).alias(f"o{k}") for k in range(3)],
+    )
+    # Written once: the optimizer would otherwise push conditions on the cell below
+    # the matrix product and expand it into every use of an entry.
+    located = stage(
+        turned.select(
             *keys,
-            F.array(*cache).alias("_q"),
-            *[(F.lit(float(centre[k])) - ring[k]).alias(f"o{k}") for k in range(3)],
-        )
-        .repartition(*keys)
-        .withColumn("cell", gaussian.hopf_cell(F.col("_q")))
-        .join(F.broadcast(gaussian.cell_tilts(rotamers.sparkSession)), "cell")
-        .drop("_q", "cell")
+            gaussian.hopf_cell([F.col(f"q{n}") for n in range(9)]).alias("cell"),
+            "o0",
+            "o1",
+            "o2",
+        ),
+        "ring-cells",
     )
+    # The tilt table has 98,304 rows whatever the library.
+    tilts = F.broadcast(gaussian.cell_tilts(rotamers.sparkSession))
+    rows = located.join(tilts, "cell").drop("cell").repartition(*keys)
     accepted = gaussian.accepted_points(rows, filter_name)
     moved = v.rotate([F.col(a) * gaussian.LATTICE_STEP for a in "ijk"], w)
     grid = [
