@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("relational", "geometry")
+_MODULES = ("relational", "geometry", "structures")
 
 
 def _merged(attribute: str) -> dict:

@@ -649,8 +649,8 @@ def _chain_values(spark, sf_dir, layers):
         layer = nodes.select(
             F.lit(position).alias("layer"),
             "node",
-            ((F.col("gx") % 100) * 0.01 + F.col("rotamer") * 0.5 + position).alias("first"),
-            ((F.col("gx") % 77) * 0.02 + F.col("conformer") * 0.25).alias("second"),
+            ((F.col("gx") % 100) * 0.010713 + F.col("rotamer") * 0.5031 + position).alias("first"),
+            ((F.col("gx") % 77) * 0.020371 + F.col("conformer") * 0.2519).alias("second"),
         )
         values = layer if values is None else values.unionByName(layer)
     return with_bound(values, sum(row_bound(n) for n in layers.nodes))
@@ -658,15 +658,15 @@ def _chain_values(spark, sf_dir, layers):
 
 def _numbered(spark, sf_dir):
     layers = chains.number_nodes(_layers(spark, sf_dir))
-    table = chains.path_table(layers, chains.count_paths(layers))
+    table = chains.path_table(layers, chains.chain_total(layers))
     return layers, chains.number_chains(table, layers.names)
 
 
 _VALUE_SQL = (
     f"{_CHAINS}, {_NUMBERED}, "
     "vals AS (" + " UNION ALL ".join(
-        f"SELECT DISTINCT {n} AS layer, n{n + 1}.node, (p.gx % 100) * 0.01::DOUBLE + p.rotamer * 0.5::DOUBLE + {n} AS first, "
-        f"(p.gx % 77) * 0.02::DOUBLE + p.conformer * 0.25::DOUBLE AS second FROM n{n + 1} JOIN {pool} p USING (pose_id)"
+        f"SELECT DISTINCT {n} AS layer, n{n + 1}.node, (p.gx % 100) * 0.010713::DOUBLE + p.rotamer * 0.5031::DOUBLE + {n} AS first, "
+        f"(p.gx % 77) * 0.020371::DOUBLE + p.conformer * 0.2519::DOUBLE AS second FROM n{n + 1} JOIN {pool} p USING (pose_id)"
         for n, pool in enumerate(("customers", "order_pool", "lines"))
     ) + ")"
 )

@@ -170,16 +170,19 @@ def chain_counts(layers: Layers) -> DataFrame:
     return rows
 
 
-def enumerate_chains(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> DataFrame:
-    """All paths: one 1-based node id per layer, lexicographic by ``chain``.
-
-    A result above the cap is refused before anything is joined, never cut.
-    """
+def chain_total(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> int:
+    """Number of chains, refused above the cap before anything is enumerated."""
     if not 0 < max_chains <= HARD_MAX_CHAINS:
         raise ValueError(f"max_chains must be in 1..{HARD_MAX_CHAINS}")
     total = count_paths(layers, max_chains)
     if total > max_chains:
         raise TooManyChains(f"more than {max_chains} chains; raise the cap or filter the pools")
+    return total
+
+
+def enumerate_chains(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> DataFrame:
+    """All paths, one 1-based node number per layer; never a part of them."""
+    total = chain_total(layers, max_chains)
     return path_table(number_nodes(layers), total)
 
 

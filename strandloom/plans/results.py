@@ -1,0 +1,134 @@
+"""Named steps whose written results are reused while nothing they depend on changed.
+
+A step is a function from its input DataFrames to a DataFrame.  Its key hashes its
+parameters and the keys of its inputs, so equal work has equal keys.  Spark plans and
+runs each step; this only decides which table holds its result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
+
+from pyspark.sql import DataFrame, SparkSession
+
+POSE, SCORE, MASK = "pose", "score", "mask"
+
+# Kind of result and kinds of inputs of every action.
+ACTIONS = {
+    "anchor": (POSE, {}),
+    "anchor-test": (POSE, {}),
+    "anchor-refe": (POSE, {}),
+    "grow": (POSE, {"input": POSE, "restrict_input": POSE}),
+    "grow-test": (POSE, {"input": POSE, "restrict_input": POSE}),
+    "score": (SCORE, {"input": POSE}),
+    "score_add": (SCORE, {"score_input1": SCORE, "score_input2": SCORE}),
+    "filter": (POSE, {"input": POSE, "score_input": SCORE, "mask_input": MASK}),
+    "energy-filter": (POSE, {"input": POSE}),
+    "rmsd": (SCORE, {"input": POSE}),
+    "mask": (MASK, {"input": POSE, "score_input": SCORE}),
+    "identity": (POSE, {"input1": POSE, "input2": POSE}),
+    "mask-common-conformer": (MASK, {"input1": POSE, "input2": POSE}),
+    "apply-mask": (POSE, {"input": POSE, "mask_input": MASK}),
+}
+# Inputs that may be left out.
+OPTIONAL = {"restrict_input", "score_input", "mask_input", "input2"}
+
+
+@dataclass(frozen=True)
+class Step:
+    name: str
+    action: str
+    run: Callable[..., DataFrame]
+    inputs: dict[str, str] = field(default_factory=dict)
+    params: dict = field(default_factory=dict)
+
+
+def _check(steps: dict[str, Step]) -> list[str]:
+    """Validate kinds and references; names with inputs before users."""
+    for step in steps.values():
+        if step.action not in ACTIONS:
+            raise ValueError(f"{step.name}: unknown action {step.action!r}")
+        _, kinds = ACTIONS[step.action]
+        required = set(kinds) - OPTIONAL
+        if step.action in ("mask-common-conformer",):
+            required |= {"input2"}
+        if step.action in ("mask",):
+            required |= {"score_input"}
+        if step.action in ("apply-mask",):
+            required |= {"mask_input"}
+        unknown, missing = set(step.inputs) - set(kinds), required - set(step.inputs)
+        if unknown or missing:
+            raise ValueError(f"{step.name}: unknown inputs {sorted(unknown)}, missing {sorted(missing)}")
+        if step.action == "filter" and len({"score_input", "mask_input"} & set(step.inputs)) != 1:
+            raise ValueError(f"{step.name}: a filter takes a score or a mask")
+        for slot, source in step.inputs.items():
+            if source not in steps:
+                raise ValueError(f"{step.name}: no step {source!r}")
+            kind = ACTIONS[steps[source].action][0]
+            if kind != kinds[slot]:
+                raise ValueError(f"{step.name}: {slot} needs a {kinds[slot]}, {source} gives a {kind}")
+        if step.action == "grow" and {"fragment", "sequence"} <= set(step.params):
+            source = steps[step.inputs["input"]]
+            if "fragment" in source.params and abs(step.params["fragment"] - source.params["fragment"]) != 1:
+                raise ValueError(f"{step.name}: fragments are not adjacent")
+    try:
+        return list(TopologicalSorter({s.name: set(s.inputs.values()) for s in steps.values()}).static_order())
+    except CycleError as error:
+        raise ValueError(f"steps form a cycle: {' -> '.join(error.args[1])}") from error
+
+
+def _digest(value) -> str:
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"))
+    return hashlib.sha256(text.encode()).hexdigest()[:10]
+
+
+class Results:
+    """Tables of steps below one shared folder."""
+
+    def __init__(self, spark: SparkSession, steps: list[Step], folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.steps = {s.name: s for s in steps}
+        if len(self.steps) != len(steps):
+            raise ValueError("step names must be unique")
+        self.order = _check(self.steps)
+        self.keys: dict[str, str] = {}
+        for name in self.order:
+            step = self.steps[name]
+            own = _digest({"action": step.action, "params": step.params})
+            self.keys[name] = f"{own}-{_digest({k: self.keys[v] for k, v in step.inputs.items()})}"
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{self.keys[name]}"
+
+    def exists(self, name: str) -> bool:
+        """Whether a complete result is there (Spark marks complete writes)."""
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
+    def closure(self, name: str) -> set[str]:
+        """The step and everything it derives from."""
+        found, todo = set(), [name]
+        while todo:
+            current = todo.pop()
+            if current not in found:
+                found.add(current)
+                todo += self.steps[current].inputs.values()
+        return found
+
+    def table(self, name: str, *, force: bool = False) -> DataFrame:
+        """The step's table, computed and written unless it is there already."""
+        wanted = self.closure(name)
+        for current in self.order:
+            if current in wanted and (force or not self.exists(current)):
+                step = self.steps[current]
+                inputs = {slot: self._read(source) for slot, source in step.inputs.items()}
+                result = step.run(**inputs, **step.params)
+                result.write.mode("overwrite").parquet(self.path(current))
+        return self._read(name)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
