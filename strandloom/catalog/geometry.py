@@ -178,8 +178,9 @@ _GROW = (
     f"p.gx + (s.x - t.x) / {G}::DOUBLE AS cx, p.gy + (s.y - t.y) / {G}::DOUBLE AS cy, "
     f"p.gz + (s.z - t.z) / {G}::DOUBLE AS cz FROM dock p JOIN rp ON rp.cs = p.conformer AND rp.rs = p.rotamer "
     "JOIN smean s ON s.conformer = cs AND s.rotamer = rs JOIN tmean t ON t.conformer = ct AND t.rotamer = rt), "
-    "off AS (SELECT a.d AS dx, b.d AS dy, c.d AS dz FROM (SELECT unnest(range(-3, 4)) AS d) a, "
-    "(SELECT unnest(range(-3, 4)) AS d) b, (SELECT unnest(range(-3, 4)) AS d) c), "
+    # 0.7 Angstrom are 1.3 grid points, so two points to each side are enough.
+    "off AS (SELECT a.d AS dx, b.d AS dy, c.d AS dz FROM (SELECT unnest(range(-2, 3)) AS d) a, "
+    "(SELECT unnest(range(-2, 3)) AS d) b, (SELECT unnest(range(-2, 3)) AS d) c), "
     "grown AS (SELECT parent_id, CAST(ct AS INTEGER) AS conformer, CAST(rt AS INTEGER) AS rotamer, "
     "CAST(round_even(cx, 0) + dx AS INTEGER) AS gx, CAST(round_even(cy, 0) + dy AS INTEGER) AS gy, "
     "CAST(round_even(cz, 0) + dz AS INTEGER) AS gz FROM opt, off WHERE rc + ((round_even(cx, 0) + dx - cx) ** 2 "

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _batches(*series: pd.Series):
@@ -52,7 +53,7 @@ def plane_normals(rings: np.ndarray) -> np.ndarray:
     return normal * np.sign((normal * turn).sum(axis=1))[:, None]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def superposed_rmsd(mobile: pd.Series, target: pd.Series) -> pd.Series:
     out = np.empty(len(mobile))
     for rows, (a, b) in _batches(mobile, target):
@@ -60,7 +61,7 @@ def superposed_rmsd(mobile: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def superposing_rotation(mobile: pd.Series, target: pd.Series) -> pd.Series:
     out = np.empty((len(mobile), 9))
     for rows, (a, b) in _batches(mobile, target):
@@ -68,7 +69,7 @@ def superposing_rotation(mobile: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series(list(out))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def plane_normal(ring: pd.Series) -> pd.Series:
     out = np.empty((len(ring), 3))
     for rows, (a,) in _batches(ring):

@@ -45,8 +45,9 @@ def score_poses(
         cells = cells.withColumn(f"_{c}", F.explode(touched))
     cells = bounded_broadcast(cells, MAX_RECEPTOR_CELLS)
     atoms = (
-        poses.repartition("pose_id")
-        .select("pose_id", F.explode(F.arrays_zip("xyz", "types")).alias("a"))
+        # The atoms of a pose stay in its task, so the partial sums leave one row per pose
+        # for the shuffle.
+        poses.select("pose_id", F.explode(F.arrays_zip("xyz", "types")).alias("a"))
         .select(
             "pose_id",
             *[F.get("a.xyz", F.lit(k)).alias(f"p{c}") for k, c in enumerate("xyz")],

@@ -11,17 +11,22 @@ from strandloom.functions.decimals import above_cent_column
 from strandloom.functions.nucleotides import overlaps
 from strandloom.functions.superpose import superposed_rmsd
 from strandloom.operators.library import place_atom
+from strandloom.staging import bounded_broadcast
+
+# Conformers of about 1 kB each: at most 50 MB are broadcast.
+MAX_SENT_CONFORMERS = 50_000
 
 
 def best_conformers(fragments: DataFrame, conformers: DataFrame) -> DataFrame:
     """Per fragment the conformer that superposes best; the lowest number wins ties.
 
     ``fragments(fragment, sequence, coords)``, ``conformers(sequence, conformer,
-    coords)``.  A structure has few fragments, so every one meets its library by an
-    equi-join on the sequence.
+    coords)``.  Every fragment meets the whole library of its sequence; a library that
+    is small enough is sent to the fragments instead of gathering them by sequence.
     """
+    library = conformers.select("sequence", "conformer", F.flatten("coords").alias("_c"))
     pairs = fragments.select("fragment", "sequence", F.flatten("coords").alias("_r")).join(
-        conformers.select("sequence", "conformer", F.flatten("coords").alias("_c")), "sequence"
+        bounded_broadcast(library, MAX_SENT_CONFORMERS), "sequence"
     )
     scored = pairs.select(
         "fragment", "sequence", "conformer", superposed_rmsd("_c", "_r").alias("crmsd")

@@ -223,6 +223,7 @@ def _translate(source, matched, ovrmsd, restrict):
         "parent_id",
     )
     if restrict is not None:
+        # The right side has distinct poses; adaptive execution splits a hot left pose.
         grown = grown.join(restrict.select(*POSE).distinct(), POSE, "left_semi")
     return grown
 

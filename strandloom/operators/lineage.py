@@ -44,11 +44,14 @@ def require_parents(child: DataFrame, parent: DataFrame) -> None:
 
 def compose_route(route: list[DataFrame], *, strict: bool = False) -> DataFrame:
     """Fold a route of relations, youngest first, into one relation."""
-    result = route[0].select("pose_id", "parent_id")
-    for step in route[1:]:
+    result = relation(route[0])
+    for number, step in enumerate(route[1:], start=1):
         if strict:
             require_parents(result, step)
         result = compose(result, step)
+        if number < len(route) - 1:
+            # Written, so that a long route is neither planned nor counted twice.
+            result = stage(result, "route")
     return result
 
 

@@ -146,13 +146,18 @@ def pairwise_matrix(structures: DataFrame, *, limit: int = PAIRWISE_LIMIT, block
     numbered = dense_ids(structures, ["id"], "n", "pairwise")
     own = F.floor(F.col("n") / block).cast("int")
     rows = numbered.select("n", "coords", own.alias("lo"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("hi"))
-    cols = numbered.select("n", "coords", own.alias("hi"), F.explode(F.sequence(F.lit(0), own)).alias("lo"))
+    cols = numbered.select(
+        F.col("n").alias("m"),
+        F.col("coords").alias("other"),
+        own.alias("right"),
+        F.explode(F.sequence(F.lit(0), own)).alias("left"),
+    )
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"i": [], "j": [], "rmsd": []})
-        a, b = np.stack(left["coords"].to_list()), np.stack(right["coords"].to_list())
-        i, j = np.meshgrid(left["n"].to_numpy(), right["n"].to_numpy(), indexing="ij")
+        a, b = np.stack(left["coords"].to_list()), np.stack(right["other"].to_list())
+        i, j = np.meshgrid(left["n"].to_numpy(), right["m"].to_numpy(), indexing="ij")
         value = np.empty(i.shape)
         for row in range(len(a)):
             value[row] = np.sqrt(((b - a[row]) ** 2).sum(axis=1) / (a.shape[1] / 3))
@@ -161,7 +166,7 @@ def pairwise_matrix(structures: DataFrame, *, limit: int = PAIRWISE_LIMIT, block
 
     tiles = (
         rows.groupBy("lo", "hi")
-        .cogroup(cols.groupBy("lo", "hi"))
+        .cogroup(cols.groupBy("left", "right"))
         .applyInPandas(tile, "i bigint, j bigint, rmsd double")
     )
     return tiles.select(
