@@ -270,14 +270,17 @@ def lattice(spark: SparkSession) -> DataFrame:
 def lattice_keys(spark: SparkSession, disp45: bool) -> DataFrame:
     """Masked lattice points grouped by all that their score depends on.
 
-    ``(d2, k2, points)``: at most 400 x 400 rows, 68,920 points in all.
+    ``(d2, d, phi, points)``: at most 400 x 400 rows, 68,920 points in all.
     """
     i, j, k = F.col("i"), F.col("j"), F.col("k")
+    d = F.sqrt(F.col("d2") * LATTICE_STEP**2)
+    phi = F.acos(F.sqrt(F.col("k2")) * LATTICE_STEP / d)
     return (
         lattice(spark)
         .where(translation_mask(i, j, k, disp45))
         .groupBy((i * i + j * j + k * k).alias("d2"), (k * k).alias("k2"))
         .agg(F.collect_list(F.struct("i", "j", "k")).alias("points"))
+        .select("d2", d.alias("d"), phi.alias("phi"), "points")
     )
 
 
@@ -299,14 +302,12 @@ def accepted_points(rotations: DataFrame, name: str) -> DataFrame:
         rotation_mask(F.col("r33"), tilt30)
         & F.col("_theta").between(MEAN[2] - reach[2], MEAN[2] + reach[2])
     )
-    d = F.sqrt(F.col("d2") * LATTICE_STEP**2)
-    phi = F.acos(F.sqrt(F.col("k2")) * LATTICE_STEP / d)
     return (
         possible.withColumn("d2", F.explode(F.sequence(F.lit(low), F.lit(high))))
         .join(F.broadcast(lattice_keys(spark, disp45)), "d2")
-        .where(score(d, phi, F.col("_theta")) >= limit)
+        .where(score(F.col("d"), F.col("phi"), F.col("_theta")) >= limit)
         .withColumn("_point", F.explode("points"))
-        .drop("d2", "k2", "points", "_theta")
+        .drop("d2", "d", "phi", "points", "_theta")
         .withColumns({a: F.col("_point")[a] for a in "ijk"})
         .drop("_point")
     )

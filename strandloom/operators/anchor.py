@@ -18,7 +18,7 @@ from strandloom.functions import gaussian
 from strandloom.functions import vectors as v
 from strandloom.functions.superpose import ring_rotation, superposing_rotation
 from strandloom.operators.pool import pose_columns
-from strandloom.staging import stage
+from strandloom.staging import stage, task_count
 
 PHASES = 64  # bins per axis of the place of a pose cell within a lattice cell
 
@@ -109,7 +109,9 @@ def candidate_cells(
     )
     # The tilt table has 98,304 rows whatever the library.
     tilts = F.broadcast(gaussian.cell_tilts(rotamers.sparkSession))
-    rows = located.join(tilts, "cell").drop("cell").repartition(*keys)
+    # A fixed number of partitions: each small row yields thousands of translations.
+    tasks = task_count(rotamers.sparkSession)
+    rows = located.join(tilts, "cell").drop("cell").repartition(tasks, *keys)
     accepted = gaussian.accepted_points(rows, filter_name)
     moved = v.rotate([F.col(a) * gaussian.LATTICE_STEP for a in "ijk"], w)
     grid = [

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from strandloom.constants import GRID_SPACING, MAX_OVRMSD, POSE
 from strandloom.functions import vectors as v
 from strandloom.operators.pool import pose_columns
-from strandloom.staging import row_bound, skew_join, stage
+from strandloom.staging import row_bound, skew_join, spread, stage
 
 
 def valid_ovrmsd(value: float) -> float:
@@ -209,7 +209,7 @@ def _translate(source, matched, ovrmsd, restrict):
         *[F.col(g).alias(f"s{g}") for g in ("gx", "gy", "gz")],
     )
     expanded = skew_join(
-        poses,
+        spread(poses, row_bound(source), "parent_id"),
         matched,
         ["conformer", "rotamer"],
         left_rows=row_bound(source),

@@ -22,7 +22,7 @@ from strandloom.constants import (
 )
 from strandloom.functions import vectors as v
 from strandloom.operators.library import placed
-from strandloom.staging import dense_ids, row_bound, skew_join
+from strandloom.staging import dense_ids, row_bound, skew_join, spread
 
 
 def reference_moments(conformers: DataFrame, reference: list[list[float]]) -> DataFrame:
@@ -100,6 +100,7 @@ def pairs_below(structures: DataFrame, threshold: float, *, hot_rows: int | None
     right = located.select(
         F.col("id").alias("j"),
         F.col("coords").alias("_b"),
+        *[F.col(f"c{k}").alias(f"e{k}") for k in range(3)],
         *[F.floor(F.col(f"c{k}") / width).alias(f"x{k}") for k in range(3)],
     )
     left = located.withColumnsRenamed({"id": "i", "coords": "_a"})
@@ -108,11 +109,13 @@ def pairs_below(structures: DataFrame, threshold: float, *, hot_rows: int | None
         cells = F.sequence(
             F.floor((F.col(f"c{k}") - slack) / width), F.floor((F.col(f"c{k}") + slack) / width)
         )
-        left = left.withColumn(f"x{k}", F.explode(cells)).drop(f"c{k}")
+        left = left.withColumn(f"x{k}", F.explode(cells))
     rows = row_bound(structures)
     met = skew_join(
-        left, right, ["x0", "x1", "x2"], left_rows=8 * rows, right_rows=rows, hot_rows=hot_rows
+        spread(left, rows, "i"), right, ["x0", "x1", "x2"], left_rows=8 * rows, right_rows=rows, hot_rows=hot_rows
     ).where("i < j")
+    apart = [F.col(f"c{k}") - F.col(f"e{k}") for k in range(3)]
+    met = met.where(v.dot(apart, apart) <= slack * slack)
     return met.withColumn("rmsd", direct_rmsd(F.col("_a"), F.col("_b"))).where(
         F.col("rmsd") < threshold
     ).select("i", "j", "rmsd")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 # No more keys than this are ever treated as hot, so their table can be broadcast.
 MAX_HOT_KEYS = 20_000
+# Fewer input rows per task than this may all land in one task.
+SPREAD_ROWS = 500_000
 
 _ROW_BITS = 33  # low bits of monotonically_increasing_id hold the row in its partition
 
@@ -100,6 +102,20 @@ def dense_ids(df: DataFrame, order: list[str], id_col: str, label: str) -> DataF
     return with_bound(numbered, row_bound(staged))
 
 
+def task_count(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Give a small input that is about to be multiplied to every task slot.
+
+    Adaptive execution sizes tasks by their input, so a small input would stay in one
+    task however much comes out of it.  Large inputs already have enough partitions.
+    """
+    tasks = task_count(df.sparkSession)
+    return df.repartition(tasks, *keys) if rows < tasks * SPREAD_ROWS else df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
