@@ -700,7 +700,7 @@ def chain_rmsd(spark, sf_dir):
     "UNION ALL SELECT chain, 2, a.second FROM numbered JOIN vals a ON a.layer = 1 AND a.node = frag2 "
     "UNION ALL SELECT chain, 2, a.first FROM numbered JOIN vals a ON a.layer = 2 AND a.node = frag3 "
     "UNION ALL SELECT chain, 3, a.second FROM numbered JOIN vals a ON a.layer = 2 AND a.node = frag3) "
-    "SELECT chain, nucleotide, round(avg(x), 6) AS x, round(avg(2 * x), 6) AS y, round(avg(-x), 6) AS z FROM parts GROUP BY ALL",
+    "SELECT chain, nucleotide, round(avg(x), 9) AS x, round(avg(2 * x), 9) AS y, round(avg(-x), 9) AS z FROM parts GROUP BY ALL",
 )
 def chain_coordinates(spark, sf_dir):
     layers, numbered = _numbered(spark, sf_dir)
@@ -710,7 +710,7 @@ def chain_coordinates(spark, sf_dir):
         numbered, layers.names, with_bound(values.withColumns(atoms), row_bound(values))
     )
     return coords.select(
-        "chain", "nucleotide", *[F.round(F.get("xyz", F.lit(k)), 6).alias(n) for k, n in enumerate("xyz")]
+        "chain", "nucleotide", *[F.round(F.get("xyz", F.lit(k)), 9).alias(n) for k, n in enumerate("xyz")]
     )
 
 

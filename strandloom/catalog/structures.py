@@ -85,7 +85,7 @@ _ATOM = {
     "index": "l_linenumber",
     "resid": "l_orderkey % 9000 + 1",
     "x": "l_quantity * 1.5{d} - 30.0{d}",
-    "y": "l_extendedprice / 1000.0{d}",
+    "y": "floor(l_extendedprice / 10.0{d}) / 100.0{d}",
     "z": "l_partkey % 999 - 0.5{d}",
 }
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -104,7 +104,7 @@ def _record_atoms(spark, sf_dir):
         F.lit(" ").alias("icode"),
         e["resid"].cast("int").alias("resid"),
         e["x"].alias("x"),
-        F.round(e["y"], 2).alias("y"),
+        e["y"].alias("y"),
         e["z"].alias("z"),
         F.lit(1.0).alias("occupancy"),
         F.lit(0.0).alias("bfactor"),
@@ -117,7 +117,7 @@ def _record_atoms(spark, sf_dir):
     "structure_record_lines",
     f"SELECT {', '.join(_KEYS)}, printf('ATOM  %5d  N1    %1s B%4d    %8.3f%8.3f%8.3f  1.00  0.00         B N  ', l_linenumber, "
     "['A', 'C', 'G', 'U'][l_suppkey % 4 + 1], l_orderkey % 9000 + 1, l_quantity * 1.5::DOUBLE - 30.0::DOUBLE, "
-    "round(l_extendedprice / 1000.0::DOUBLE, 2), l_partkey % 999 - 0.5::DOUBLE) AS line FROM lineitem",
+    "floor(l_extendedprice / 10.0::DOUBLE) / 100.0::DOUBLE, l_partkey % 999 - 0.5::DOUBLE) AS line FROM lineitem",
 )
 def structure_record_lines(spark, sf_dir):
     return _record_atoms(spark, sf_dir).select(*_KEYS, pdb.record().alias("line"))
@@ -126,7 +126,7 @@ def structure_record_lines(spark, sf_dir):
 @query(
     "structure_records_parsed_back",
     f"SELECT {', '.join(_KEYS)}, 'N1' AS name, ['A', 'C', 'G', 'U'][l_suppkey % 4 + 1] AS resname, CAST(l_orderkey % 9000 + 1 AS INTEGER) AS resid, "
-    "l_quantity * 1.5::DOUBLE - 30.0::DOUBLE AS x, round(l_extendedprice / 1000.0::DOUBLE, 2) AS y, "
+    "l_quantity * 1.5::DOUBLE - 30.0::DOUBLE AS x, floor(l_extendedprice / 10.0::DOUBLE) / 100.0::DOUBLE AS y, "
     "l_partkey % 999 - 0.5::DOUBLE AS z FROM lineitem",
 )
 def structure_records_parsed_back(spark, sf_dir):
