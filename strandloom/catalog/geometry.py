@@ -64,21 +64,15 @@ def conformers(spark, sf_dir):
 
 
 def rotvecs(spark, sf_dir):
-    nation = t.read(spark, sf_dir, "nation")
-    labels = t.read(spark, sf_dir, "embeddings").select(F.col("label").alias("conformer")).distinct()
-    # Every nation is a rotamer of each label that occurs; labels are listed per nation.
-    listed = labels.agg(F.sort_array(F.collect_list("conformer")).alias("labels"))
-    return (
-        nation.withColumn("_one", F.lit(1))
-        .join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("label", F.explode("labels"))
-        .select(
-            F.col("label").cast("int").alias("conformer"),
-            F.col("n_nationkey").cast("int").alias("rotamer"),
-            (F.col("n_nationkey") * 0.07 - 0.5).alias("rx"),
-            (F.col("n_regionkey") * 0.11 + 0.1).alias("ry"),
-            (F.col("n_nationkey") * 0.05).alias("rz"),
-        )
+    """Every nation, of which there are 25, is a rotamer of each label that occurs."""
+    labels = t.read(spark, sf_dir, "embeddings").select("label").distinct()
+    numbered = labels.withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    return numbered.join(t.read(spark, sf_dir, "nation"), "n_nationkey").select(
+        F.col("label").cast("int").alias("conformer"),
+        F.col("n_nationkey").cast("int").alias("rotamer"),
+        (F.col("n_nationkey") * 0.07 - 0.5).alias("rx"),
+        (F.col("n_regionkey") * 0.11 + 0.1).alias("ry"),
+        (F.col("n_nationkey") * 0.05).alias("rz"),
     )
 
 

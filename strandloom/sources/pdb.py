@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.nucleotides import base_of
+from strandloom.staging import bounded_broadcast
 
 # Record columns (name, first column from 1, width, type).
 _FIELDS = (
@@ -30,6 +31,8 @@ _FIELDS = (
 )
 # Fixed value: one record, as a format.
 _RECORD = "%s%5d %-4s%s%3s %s%4d%s   %8.3f%8.3f%8.3f%6.2f%6.2f      %4s%2s  "
+# Fixed value: largest atom number of a record.
+MAX_ATOMS = 99_999
 # Atoms of the 5'-terminal phosphate.
 _PHOSPHATE = ("P", "O1P", "O2P")
 _FORMAT = "\nMODEL "  # models are read as records of their own
@@ -171,12 +174,11 @@ def complex_models(protein: DataFrame, rna: DataFrame) -> DataFrame:
         .withColumn("resname", F.coalesce(base_of(F.col("resname")), F.raise_error(F.lit("not an RNA residue name"))))
     )
     models = rna.select("model").distinct()
-    # One protein, at most 99,999 atoms, is repeated for each model.
+    # One protein is repeated for each model; it is sent to the models, not the reverse.
+    body = protein.where(F.trim("hetero") == "").withColumn("_one", F.lit(1)).drop("model")
     body = (
-        protein.where(F.trim("hetero") == "")
-        .withColumn("_one", F.lit(1))
-        .drop("model")
-        .join(models.withColumn("_one", F.lit(1)), "_one")
+        models.withColumn("_one", F.lit(1))
+        .join(bounded_broadcast(body, MAX_ATOMS), "_one")
         .drop("_one")
     )
 
