@@ -2,9 +2,10 @@
 
 Fingerprints that differ in at most ``radius`` bits are linked.  Every bit position gets a
 random code of ``radius + 1`` bits; for each non-zero vector ``v`` the mask of table ``v``
-holds the positions whose code is orthogonal to ``v``.  The codes of ``radius`` differing
-positions span at most ``radius`` dimensions, so some ``v`` is orthogonal to them all: in
-that table the pair has equal masked values.  No pair within the radius is ever missed.
+holds the positions whose code is not orthogonal to ``v``.  The codes of ``radius``
+differing positions span at most ``radius`` dimensions, so some ``v`` is orthogonal to them
+all: its mask leaves them out, and the pair has equal masked values in that table.  No pair
+within the radius is ever missed.
 
 Only distinct fingerprints are hashed, so copies cost nothing.  A bucket of two is a pair
 of its own aggregate.  A bucket of up to ``BUCKET`` members is compared in one task, which
@@ -68,10 +69,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def masks(radius: int, level: int) -> list[int]:
     """The bit masks of the covering tables, as signed longs."""
     rng = np.random.default_rng(1000 * level + radius)
-    codes = rng.integers(1, 1 << (radius + 1), 64)  # never zero: no bit is in every mask
+    codes = rng.integers(1, 1 << (radius + 1), 64)  # never zero: no bit is left out by all
     out = []
     for v in range(1, 1 << (radius + 1)):
-        mask = sum(1 << i for i in range(64) if bin(int(codes[i]) & v).count("1") % 2 == 0)
+        mask = sum(1 << i for i in range(64) if bin(int(codes[i]) & v).count("1") % 2)
         out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
