@@ -31,8 +31,9 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 LOOSE = re.compile(r"(?:\A|\s) ")  # a space that may not open a word of its own
-PIECES = 800_000  # remembered per Python worker; about 200 MB
-WORDS = 400_000
+PIECES = 600_000  # remembered per Python worker; about 150 MB
+WORDS = 300_000
+TEXTS = 1000
 
 
 def byte_letters() -> dict[str, int]:
@@ -211,6 +212,8 @@ class PieceEncoder:
         return out
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
+        if len(many) > TEXTS:  # the pieces of a few texts at a time are enough to share
+            return [ids for k in range(0, len(many), TEXTS) for ids in self.encode(many[k : k + TEXTS])]
         if any(" " in s for s in self.vocabulary.special):
             learned = self._learn(set(many))
             return [np.frombuffer(learned[t], "<u4") for t in many]

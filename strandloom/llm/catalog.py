@@ -5,23 +5,135 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import bpe, decontaminate, simhash
+from strandloom.llm import (
+    bpe,
+    decontaminate,
+    line_dedup,
+    perplexity,
+    pii,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_output,
+    url_filter,
+)
 from strandloom.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def vocabulary() -> str:
+    """Content of the vocabulary file, which the driver reads and sends to the tasks."""
+    return bpe.Bpe(public_tokenizers.path(BYTE_BPE)).content()
+
+
+def op1_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_pages(pages, url_filter.repeated_urls(pages))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.Bpe(public_tokenizers.path(BYTE_BPE)).round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_benchmark_decontamination, op9_bpe_encode_decode)}
-SQL: dict[str, str] = {}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_after_edits(read(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_binary_output,
+        op2_simhash_near_dedup,
+        op3_quality_rules,
+        op4_pii,
+        op5_quality_classifier,
+        op6_line_dedup,
+        op7_benchmark_decontamination,
+        op8_url_filters,
+        op9_bpe_encode_decode,
+        op10_token_counts,
+    )
+}
+
+_HOST = r"regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1)"
+_PATH = r"regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RULES = "\n        ".join(
+    f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{r.text}'"
+    for r in sorted(url_filter.RULES, key=lambda r: -len(r.text))
+)
+_VERDICTS = " ".join(f"when '{r.text}' then '{r.verdict}'" for r in url_filter.RULES)
+
+SQL: dict[str, str] = {
+    "op8_url_filters": f"""
+    with parts as (
+        select page_id,
+               case when strpos(url, '://') > 0
+                    then translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+               case when strpos(url, '://') > 0 then {_PATH} else '' end as path
+        from pages),
+    named as (
+        select *, case when host <> '' then regexp_replace(host, '^www[.]', '')
+                 || regexp_replace(regexp_replace(path, '[.]html?$', ''), '/+$', '') end as canonical
+        from parts),
+    repeated as (select canonical from named where canonical is not null group by canonical having count(*) > 1),
+    ruled as (
+        select named.*, repeated.canonical is not null as listed,
+        case {_RULES} end as rule
+        from named left join repeated on named.canonical = repeated.canonical)
+    select page_id, host, path, rule, listed,
+           case when rule is not null then case rule {_VERDICTS} end
+                when listed then 'block' else 'allow' end as verdict
+    from ruled
+    """,
+    "op7_benchmark_decontamination": f"""
+    with docs as (select doc_id, {_WORDS} as words from documents),
+    items as (select item_id, words, least(10, len(words)) as k
+              from (select item_id, {_WORDS} as words from benchmark) where len(words) > 0),
+    item_windows as (
+        select distinct item_id, k, words[i:i + k - 1] as win
+        from (select *, unnest(range(1, len(words) - k + 2)) as i from items)),
+    doc_windows as (
+        select doc_id, k, i, words[i:i + k - 1] as win
+        from (select doc_id, words, k, unnest(range(1, len(words) - k + 2)) as i
+              from docs, (select distinct k from items) where len(words) >= k)),
+    hits as (select doc_id, i, k, item_id from doc_windows join item_windows using (k, win)),
+    words_hit as (select doc_id, count(distinct w) as n_hit
+                  from (select doc_id, unnest(range(i, i + k)) as w from hits) group by doc_id),
+    items_hit as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed
+                  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+    select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join words_hit using (doc_id) left join items_hit using (doc_id)
+    """,
+}
