@@ -8,7 +8,8 @@ lets more through, so whoever uses it has to check what passes.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Odd multipliers, one for each word of a block.
@@ -31,6 +32,17 @@ class Bloom:
         return ok
 
 
+def may_hold(bloom: Bloom, spark: SparkSession, *columns: str) -> Column:
+    """Whether the filter passes the ``xxhash64`` of ``columns``; only the hash goes to Python."""
+    sent = spark.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf("boolean")
+    def passes(hashes: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.passes(hashes.to_numpy()))
+
+    return passes(F.xxhash64(*columns))
+
+
 def build(entries: DataFrame, hash_col: str, n: int, max_blocks: int = MAX_BLOCKS) -> Bloom:
     """The filter of the ``n`` long hashes in ``hash_col``: 12 bits each, ``max_blocks`` at most."""
     blocks = 1

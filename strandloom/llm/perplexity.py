@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import bloom
 from strandloom.llm.common import map_batches, utf8
 from strandloom.staging import bounded_broadcast, stage
 
@@ -328,7 +329,7 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id"), F.lit(settings.held_out)) == 0
-    training = docs.select("doc_id", "text").join(trusted.where(~held), "doc_id", "left_semi")
+    training = _texts_of(docs, stage(trusted.where(~held & F.col("doc_id").isNotNull()), "trusted"))
     scored = stage(score(docs, model(training, settings.order), settings), "scores")
     sample = scored.join(trusted.where(held), "doc_id", "left_semi")
     limits = stage(_limits(sample, settings), "limits")
@@ -354,10 +355,20 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     )
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with these ids (no nulls).
+
+    A Bloom filter keeps most other texts out of the shuffle; the join is exact.
+    """
+    found = bloom.build(ids.select(F.xxhash64("doc_id").alias("hash")), "hash", ids.count())
+    near = docs.select("doc_id", "text").where(bloom.may_hold(found, docs.sparkSession, "doc_id"))
+    return near.join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 def drop_rejected(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents the classifier keeps, with the columns of ``docs``.
 
-    Rejected ids are few and small; rows without a doc_id stay.
+    Rows without a doc_id stay.
     """
     rejected = classify(docs, labels, settings).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(rejected.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
