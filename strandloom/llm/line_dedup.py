@@ -32,12 +32,14 @@ MARK = "\x1e"
 
 @dataclass(frozen=True)
 class Settings:
-    """Chunks of fewer than ``min_words`` words are no passages.  A document that keeps
+    """Chunks of fewer than ``min_bytes`` bytes are no passages.  A match grows over at most
+    ``context`` lines beyond a chunk whose neighbour is not repeated.  A document that keeps
     less than ``least_share`` of its words is dropped where documents are filtered.
     ``hash_bits`` is for tests of collisions."""
 
     passes: int = 2
-    min_words: int = 10
+    min_bytes: int = 60
+    context: int = 3
     least_share: float = 0.2
     hash_bits: int = 128
 
@@ -53,6 +55,8 @@ def lines_of(text: str) -> list[str]:
         for end in (". ", "! ", "? "):
             marked = marked.replace(end, end + MARK)
         parts = marked.split(MARK)
+    if all(map(str.strip, parts)):
+        return parts
     out: list[str] = []
     for p in parts:
         if out and (not p or p.isspace()):
@@ -62,59 +66,89 @@ def lines_of(text: str) -> list[str]:
     return out
 
 
-def cuts(hashes: np.ndarray, seed: int) -> list[int]:
-    """Where chunks start: 0, after every local minimum of the rolling hash, and the end."""
-    n = len(hashes)
-    if n < 4:
-        return [0, n]
-    factor = np.uint64(2 * seed + 0x9E3779B97F4A7C15 | 1)
-    rolled = (hashes[:-1] * factor ^ hashes[1:]) * np.uint64(0xD6E8FEB86659FD93)
-    low = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] <= rolled[2:])) + 1
-    # Minimum j covers lines j and j + 1; the next chunk starts after line j.
-    starts = [0, *(low + 1).tolist(), n]
-    return starts if starts[-2] < n else starts[:-1]
-
-
-def chunks(text: str, settings: Settings) -> tuple[list[str], list[tuple[int, int, int, int, int]]]:
-    """Lines, and for each chunk of two lines or more: pass, first line, end, two hashes."""
-    lines = lines_of(text)
-    if len(lines) < 2:
-        return lines, []
+@dataclass
+class Chunks:
+    """Chunks of several texts: lines of all, first line of each text, and one entry per
+    chunk: its text, pass, lines from ``begin`` to ``end`` (of all lines) and two hashes."""
+
+    lines: list[str]
+    base: np.ndarray
+    text: np.ndarray
+    number: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+
+
+def chunks(many: list[str], settings: Settings) -> Chunks:
+    """Cut texts into chunks of two lines or more.
+
+    Pair j of neighbouring lines is a cut if its rolling hash is lower than that of the
+    pair before and not higher than that of the pair behind, all in one text; the next
+    chunk starts at its second line.  Cuts are two lines apart at least.
+    """
+    lines: list[str] = []
+    counts = np.zeros(len(many), np.int64)
+    for i, text in enumerate(many):
+        own = lines_of(text)
+        counts[i] = len(own)
+        lines += own
     plain = [x.strip().encode() for x in lines]
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain))
-    words = np.cumsum([0, *(x.count(b" ") + 1 for x in plain)]).tolist()
-    found, digest, small = [], xxhash.xxh3_128_intdigest, settings.hash_bits < 128
-    for p in range(settings.passes):
-        at = cuts(hashes, p)
-        for a, b in zip(at, at[1:]):
-            if b - a < 2 or words[b] - words[a] < settings.min_words:
-                continue
-            h = digest(b"\n".join(plain[a:b]), p)
-            if small:
-                h %= 1 << settings.hash_bits
-            found.append((p, a, b, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-    return lines, found
+    n = len(plain)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, n)
+    size = np.fromiter(map(len, plain), np.int64, n)
+    owner = np.repeat(np.arange(len(many)), counts)
+    base = np.cumsum(counts) - counts
+    found: list[tuple[np.ndarray, ...]] = []
+    for p in range(settings.passes if n else 0):
+        rolled = (h[:-1] * np.uint64(2 * p + 0x9E3779B97F4A7C15 | 1) ^ h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+        inside = owner[:-1] == owner[1:]
+        low = inside[1:-1] & inside[:-2] & inside[2:] & (rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] <= rolled[2:])
+        begin = np.union1d(base[counts > 0], np.flatnonzero(low) + 2)
+        end = np.append(begin[1:], n)
+        length = end - begin
+        place = np.arange(n) - np.repeat(begin, length)
+        sums = []
+        for factor in (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25):
+            power = np.cumprod(np.full(int(length.max()), factor + 2 * p, np.uint64))
+            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(factor)
+            sums.append(np.add.reduceat(mixed * power[place], begin).view(np.int64))
+        wanted = (length > 1) & (np.add.reduceat(size, begin) >= settings.min_bytes)
+        chosen = [x[wanted] for x in (begin, end, *sums)]
+        found.append((owner[chosen[0]], np.full(len(chosen[0]), p), *chosen))
+    if not found:
+        found = [(np.empty(0, np.int64),) * 6]
+    text, number, begin, end, h1, h2 = (np.concatenate(x) for x in zip(*found))
+    if settings.hash_bits < 128:
+        h1, h2 = h1 & 0, h2 & ((1 << settings.hash_bits) - 1)
+    return Chunks(lines, base, text, number, begin, end, h1, h2)
+
+
+TEXTS = 1000  # cut at once
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
+def _places(c: Chunks) -> np.ndarray:
+    """Pass and first line of each chunk in its text, in one number."""
+    return c.number << 40 | c.begin - c.base[c.text]
+
+
 def _hash_rows(docs: DataFrame, settings: Settings, kind: str) -> DataFrame:
     def start():
         def step(batch: pa.RecordBatch) -> dict | None:
-            rows, owner = [], []
-            for i, text in enumerate(texts(batch)):
-                _, found = chunks(text, settings)
-                rows += found
-                owner += [i] * len(found)
-            if not rows:
-                return None
-            p, a, _, h1, h2 = (np.array(c, np.int64) for c in zip(*rows))
-            take = pa.array(owner)
+            many, parts = texts(batch), []
+            for k in range(0, len(many), TEXTS):
+                c = chunks(many[k : k + TEXTS], settings)
+                parts.append((c.text + k, _places(c), c.h1, c.h2))
+            text, place, h1, h2 = (np.concatenate(x) for x in zip(*parts))
+            take = pa.array(text)
             return {
                 "doc_id": batch.column("doc_id").take(take), "key": batch.column("key").take(take),
-                "place": p.astype(np.int64) << 40 | a, "h1": h1, "h2": h2,
+                "place": place, "h1": h1, "h2": h2,
             }
 
         return step
@@ -123,33 +157,37 @@ def _hash_rows(docs: DataFrame, settings: Settings, kind: str) -> DataFrame:
 
 
 def _text_rows(docs: DataFrame, sent, settings: Settings, kind: str) -> DataFrame:
-    """Chunks that pass the filter with their texts and the lines of the chunks around."""
+    """Chunks that pass the filter of repeated hashes with their lines.
+
+    Lines beyond a chunk come along where its neighbour does not pass, and on both sides
+    of chunks that pass the filter of first places, with which others are compared.
+    """
 
     def start():
         def step(batch: pa.RecordBatch) -> dict | None:
             out: dict[str, list] = {n: [] for n in ("place", "h1", "h2", "lines", "before", "after")}
-            owner = []
-            many = [chunks(t, settings) for t in texts(batch)]
-            flat = [c for _, found in many for c in found]
-            if not flat:
-                return None
-            passed = sent.value.passes(np.array([c[4] for c in flat], np.int64)).tolist()
-            at = 0
-            for i, (lines, found) in enumerate(many):
-                hit = passed[at : at + len(found)]
-                at += len(found)
-                if not any(hit):
+            many, owner = texts(batch), []
+            keys = batch.column("key").to_numpy()
+            for k in range(0, len(many), TEXTS):
+                c = chunks(many[k : k + TEXTS], settings)
+                hit = np.flatnonzero(sent.value[0].passes(c.h2))
+                if not len(hit):
                     continue
-                for k, (p, a, b, h1, h2) in enumerate(found):
-                    if not hit[k]:
-                        continue
-                    owner.append(i)
-                    out["place"].append(p << 40 | a)
-                    out["h1"].append(h1)
-                    out["h2"].append(h2)
-                    out["lines"].append(lines[a:b])
-                    out["before"].append(lines[max(0, a - 8) : a])
-                    out["after"].append(lines[b : b + 8])
+                place = _places(c)[hit]
+                first = sent.value[1].passes(keys[c.text[hit] + k] ^ (place << 17))
+                bounds = np.append(c.base, len(c.lines))
+                starts = set(zip(c.number[hit].tolist(), c.begin[hit].tolist()))
+                ends = set(zip(c.number[hit].tolist(), c.end[hit].tolist()))
+                out["place"] += place.tolist()
+                out["h1"] += c.h1[hit].tolist()
+                out["h2"] += c.h2[hit].tolist()
+                owner += (c.text[hit] + k).tolist()
+                columns = (c.text[hit], c.number[hit], c.begin[hit], c.end[hit], first)
+                for t, p, a, b, whole in zip(*(x.tolist() for x in columns)):
+                    out["lines"].append(c.lines[a:b])
+                    low, high = int(bounds[t]), int(bounds[t + 1])
+                    out["before"].append([] if not whole and (p, a) in ends else c.lines[max(low, a - settings.context) : a])
+                    out["after"].append([] if not whole and (p, b) in starts else c.lines[b : min(high, b + settings.context)])
             if not owner:
                 return None
             take = pa.array(owner)
@@ -209,7 +247,10 @@ def removals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"),
         "repeated",
     )
-    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated, "h2", repeated.count()))
+    n = repeated.count()
+    places = repeated.select(F.col("first.key").bitwiseXOR(F.shiftleft("first.place", 17)).alias("hash"))
+    filters = bloom.build(repeated, "h2", n), bloom.build(places, "hash", n)
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
     found = _text_rows(docs, sent, settings, kind).join(repeated, ["h1", "h2"])
     found = stage(found.withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "occurrences")
     first = found.where("is_first").dropDuplicates(["h1", "h2"]).select(
@@ -257,9 +298,16 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     white space at their ends.
     """
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    cut = removals(docs, settings).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("ranges").alias("_ranges"))
+    cut = stage(removals(docs, settings), "removals")
+    cut = cut.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("ranges").alias("_ranges"))
+    # Documents that a Bloom filter of the others' keys stops have nothing to lose and stay in place.
+    known = bloom.build(cut.select(F.xxhash64("_k").alias("hash")), "hash", cut.count())
+    maybe = bloom.may_hold(known, docs.sparkSession, "_key")
+    keyed = keyed.withColumn("_maybe", maybe)
     same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    joined = keyed.join(cut, same, "left").select(*docs.columns, "_ranges")
+    touched = keyed.where("_maybe").join(cut.hint("merge"), same, "left").select(*docs.columns, "_ranges")
+    untouched = keyed.where("not _maybe").select(*docs.columns, F.lit(None).cast(cut.schema["_ranges"].dataType).alias("_ranges"))
+    joined = touched.unionByName(untouched)
     columns = docs.columns
     added = {"_lines": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long"), "_share": F.lit(1.0)}
     schema = docs.withColumns(added).schema
