@@ -17,6 +17,8 @@ byte up in a table of four lengths and gathers the bytes of all ranks at once.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 
@@ -31,6 +33,8 @@ from strandloom.llm.common import map_batches, texts
 from strandloom.staging import shared_dir
 
 BLOCK_IDS = 1_000_000
+JOINED = 2000  # pieces that the library gets as one text
+TAIL = re.compile(r"(.*[^\W\d_])([.,!?*%&$#|]+)\Z", re.S)
 # Number of bytes of the four ranks of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -70,11 +74,39 @@ class LibraryEncoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.whole = any(" " in t.content for t in self.library.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def _encode(self, many: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(many, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode pieces not known yet, which follow a space.
+
+        Marks behind a letter are words of their own, so most pieces need only the part
+        before them.  Those parts go to the library many at a time, between line feeds,
+        which are words of their own too and have an id that no other word holds.
+        """
+        cut = {p: TAIL.match(p) for p in pieces}
+        heads = {m[1] if m else p for p, m in cut.items()}.difference(self.known)
+        plain, odd = [], []
+        for p in heads:
+            joins = self.line is not None and p and "\n" not in p and not p[0].isspace() and not p[-1].isspace()
+            (plain if joins else odd).append(p)
+        for k in range(0, len(plain), JOINED):
+            part = plain[k : k + JOINED]
+            ids = np.frombuffer(self._encode(["\n".join(" " + p for p in part)])[0], "<u4")
+            ends = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for p, end in zip(part, ends):
+                self.known[p] = raw[4 * start : 4 * end]
+                start = end + 1
+        self.known.update(zip(odd, self._encode([" " + p for p in odd])))
+        tails = list({m[2] for m in cut.values() if m})
+        marks = dict(zip(tails, self._encode(tails)))
+        self.known.update((p, self.known[m[1]] + marks[m[2]]) for p, m in cut.items() if m)
+
     def encode(self, many: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.whole:
@@ -87,8 +119,7 @@ class LibraryEncoder:
             known, missing = self.known, set()
             for p in cut:
                 missing.update(p[1:])
-            new = list(missing.difference(known))
-            known.update(zip(new, self._encode([" " + p for p in new])))
+            self._learn(missing.difference(known))
             heads = self._encode([p[0] for p in cut])
             out += [h + b"".join(map(known.__getitem__, p[1:])) for h, p in zip(heads, cut)]
         return out
@@ -102,6 +133,7 @@ def library(content: str) -> LibraryEncoder:
     key = hash(content)
     if key not in _libraries:
         _libraries.clear()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         _libraries[key] = LibraryEncoder(content)
     return _libraries[key]
 
