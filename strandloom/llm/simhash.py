@@ -265,5 +265,5 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))), "text")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_first", F.row_number().over(first))
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("_first", F.row_number().over(first))
     return named.where("_first = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
