@@ -40,8 +40,26 @@ class PieceCounts:
     def words(self, found: list[str]) -> int:
         """Tokens of whole words."""
         v = self.pieces.vocabulary
-        v.encode_words({w for w in (x.encode() for x in found) if w not in v._words})
-        return sum(len(v._words[x.encode()]) for x in found)
+        raw = [x.encode() for x in found]
+        if missing := set(raw).difference(v._words):
+            v.encode_words(missing)
+        return sum(map(len, map(v._words.__getitem__, raw)))
+
+
+def leaf_words(words: list[str], share: int) -> list[list[str]]:
+    """Words in runs of at least ``share``, so in no more runs than that asks for.
+
+    A run ends behind white space only at the end of the text: how white space is cut
+    depends on what follows it.
+    """
+    out, begin = [], 0
+    for i, word in enumerate(words, 1):
+        if i - begin >= share and not word[-1].isspace():
+            out.append(words[begin:i])
+            begin = i
+    if begin < len(words):
+        out.append(words[begin:])
+    return out
 
 
 class EditedText:
@@ -105,17 +123,50 @@ class EditedText:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the characters from ``start`` to ``end`` of the current text."""
-        if not 0 <= start <= end <= self.chars[1]:
-            raise IndexError(f"edit {start}:{end} outside {self.chars[1]} characters")
-        first, begin = self._find(start)
-        last = self._find(max(end - 1, start))[0]
+        self.edit_many([(start, end, new)])
+
+    def edit_many(self, edits: list[tuple[int, int, str]]) -> None:
+        """Edits in order, apart from each other, in places of the text as it is now.
+
+        Edits that lie in the same leaves are made together.
+        """
+        moved, k, at = 0, 0, 0
+        for start, end, _ in edits:
+            if not at <= start <= end <= self.chars[1]:
+                raise IndexError(f"edit {start}:{end} outside {self.chars[1]} characters or out of order")
+            at = end
+        while k < len(edits):
+            group: list[tuple[int, int, str]] = []
+            start = edits[k][0] + moved
+            first, begin = self._find(start)
+            last, stop = first, begin + len(self.texts[first])
+            while k < len(edits) and (not group or edits[k][0] + moved < stop):
+                a, b, new = edits[k]
+                group.append((a + moved, b + moved, new))
+                if b + moved > stop:
+                    last, low = self._find(b + moved - 1)
+                    stop = low + len(self.texts[last])
+                k += 1
+            self._apply(first, begin, last, group)
+            moved += sum(len(new) - (b - a) for a, b, new in group)
+
+    def _apply(self, first: int, begin: int, last: int, edits: list[tuple[int, int, str]]) -> None:
+        """Make edits inside the leaves from ``first``, which begins at ``begin``, to ``last``."""
+        start, end = edits[0][0], edits[-1][1]
+        stop = begin + sum(map(len, self.texts[first : last + 1]))
+        while first and start - begin < 4 * CONTEXT:
+            first -= 1
+            begin -= len(self.texts[first])
+        while last + 1 < len(self.texts) and stop - end < 4 * CONTEXT:
+            last += 1
+            stop += len(self.texts[last])
         while True:
             old = "".join(self.texts[first : last + 1])
             words, safe = self.split.findall(old), None
             at = 0
             for i, word in enumerate(words):
-                ahead = old[at : start - begin]
-                if len(ahead) >= CONTEXT and not ahead.isspace():
+                ahead = old[at : min(start - begin, at + 64)]
+                if at + CONTEXT <= start - begin and not ahead.isspace():
                     safe = (i, at)
                 at += len(word)
                 if at > start - begin:
@@ -126,15 +177,19 @@ class EditedText:
                     begin -= len(self.texts[first])
                     continue
                 safe = (0, 0)
-            made = old[: start - begin] + new + old[end - begin :]
+            parts, at = [], 0
+            for a, b, new in edits:
+                parts += (old[at : a - begin], new)
+                at = b - begin
+            made = "".join(parts) + old[at:]
             shift = len(made) - len(old)
-            # Where old pre-tokens start at or after the edit, in places of the new text.
+            # Where old pre-tokens start at or after the edits, in places of the new text.
             starts, place = {}, 0
             for i, word in enumerate(words):
                 if place >= end - begin:
                     starts[place + shift] = i
                 place += len(word)
-            fresh, place, stop = [], safe[1], len(words)
+            fresh, stop = [], len(words)
             synced = last + 1 >= len(self.texts)
             for match in self.split.finditer(made, safe[1]):
                 if match.start() in starts:
@@ -145,25 +200,30 @@ class EditedText:
                 break
             last += 1  # no common start inside these leaves
         self.encoded += len(fresh)
-        gone = words[safe[0] : stop]
-        change = self.counts.words(fresh) - self.counts.words(gone)
-        tokens = sum(self.tokens[self.size + i] for i in range(first, last + 1)) + change
-        self._set(first, made, tokens)
-        for i in range(first + 1, last + 1):
-            self._set(i, "", 0)
-        if len(made) > 64 * self.leaf * 8:
-            self._halve(first, tokens)
-
-    def _halve(self, leaf: int, tokens: int) -> None:
-        """Cut a leaf that edits have filled, and build the tree over the leaves anew."""
-        words = self.split.findall(self.texts[leaf])
-        leaves = [self.tokens[self.size + i] for i in range(len(self.texts))]
-        step = max(1, self.leaf)
-        parts = ["".join(words[i : i + step]) for i in range(0, len(words), step)]
-        counted = [self.counts.words(words[i : i + step]) for i in range(0, len(words), step)]
-        self.texts[leaf : leaf + 1] = parts
-        leaves[leaf : leaf + 1] = counted
-        self._sum(leaves)
+        # The leaves share the new words evenly; words that were there have known counts.
+        words = [*words[: safe[0]], *fresh, *words[stop:]]
+        share = max(1, -(-len(words) // (last - first + 1)))
+        parts = leaf_words(words, share)
+        for i in range(first, last + 1):
+            part = parts[i - first] if i - first < len(parts) else []
+            self._set(i, "".join(part), self.counts.words(part))
+        if share > 16 * self.leaf:
+            self._rebuild()
+
+    def _rebuild(self) -> None:
+        """Cut leaves that edits have filled, and build the tree over the leaves anew."""
+        texts, tokens = [], []
+        for i, text in enumerate(self.texts):
+            words = self.split.findall(text)
+            if len(words) <= 4 * self.leaf:
+                texts.append(text)
+                tokens.append(self.tokens[self.size + i])
+                continue
+            for part in leaf_words(words, self.leaf):
+                texts.append("".join(part))
+                tokens.append(self.counts.words(part))
+        self.texts = texts
+        self._sum(tokens)
 
 
 @dataclass(frozen=True)
@@ -208,12 +268,10 @@ def count_after_edits(docs: DataFrame, content: str, rules: tuple[Rule, ...] = R
                 out["n_tokens"].append(edited.n_tokens)
                 edits = 0
                 for pattern, new in compiled:
-                    moved = 0
-                    for m in list(pattern.finditer(text)):
-                        edited.edit(m.start() + moved, m.end() + moved, new)
-                        moved += len(new) - (m.end() - m.start())
-                        edits += 1
-                    if moved or edits:
+                    found = [(*m.span(), new) for m in pattern.finditer(text)]
+                    if found:
+                        edited.edit_many(found)
+                        edits += len(found)
                         text = edited.text
                 out["n_edits"].append(edits)
                 out["n_reencoded"].append(edited.encoded)
