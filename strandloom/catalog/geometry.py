@@ -1,7 +1,7 @@
 """Queries over geometry: grow, anchor, RMSD, best fits, Gaussian filters, coordinates.
 
-The library is derived from the given tables: one conformer per embedding label (21
-atoms from the label's mean vector), one rotamer per nation.  Pools come from orders,
+The library is derived from the given tables: one conformer per embedding label (22
+atoms from the label's mean vector, filled up with two zeros), one rotamer per nation.  Pools come from orders,
 so work grows with orders while the library stays the size of its tables.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from strandloom.catalog import tables as t
 from strandloom.catalog.relational import _CHAINS, _NUMBERED, POSES, _layers
-from strandloom.constants import GRID_SPACING, POSE
-from strandloom.functions import decimals, gaussian, nucleotides
+from strandloom.constants import GRID_SPACING, MAX_INDEX, POSE
+from strandloom.functions import decimals, gaussian, nucleotides, superpose
 from strandloom.functions import vectors as v
 from strandloom.operators import anchor as anchoring
 from strandloom.operators import chains, fit, library, rmsd
@@ -39,9 +39,25 @@ def query(name, sql=None):
 # ---------------------------------------------------------------- library
 
 
+PADDED = "list_concat(embedding, [0::FLOAT, 0::FLOAT])"
+
+
+def padded():
+    """All 64 values of an embedding and two zeros, which makes 22 atoms."""
+    return F.concat("embedding", F.array(*[F.lit(0.0).cast("float")] * 2))
+
+
+def domain(spark, sf_dir, table, column):
+    """The values of a library key, of which there are at most 65,536, in order."""
+    rows = t.read(spark, sf_dir, table).select(column).distinct().orderBy(column).limit(MAX_INDEX + 2).collect()
+    if len(rows) > MAX_INDEX + 1:
+        raise ValueError(f"{column} has more values than a library has numbers")
+    return [int(r[0]) for r in rows]
+
+
 def conformers(spark, sf_dir):
-    """Label means as 21 atoms; integer sums keep them exact."""
-    entry = F.posexplode(F.slice("embedding", 1, 63)).alias("n", "e")
+    """Label means as 22 atoms; integer sums keep them exact."""
+    entry = F.posexplode(padded()).alias("n", "e")
     sums = (
         t.read(spark, sf_dir, "embeddings")
         .select("label", entry)
@@ -57,17 +73,16 @@ def conformers(spark, sf_dir):
     ordered = F.sort_array(F.collect_list(F.struct("n", "x")))
     flat = sums.groupBy("label").agg(F.transform(ordered, lambda e: e["x"]).alias("f"))
     atoms = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
+        F.sequence(F.lit(0), F.lit(21)),
         lambda a: F.array(*[F.get("f", a * 3 + k) for k in range(3)]),
     )
     return flat.select(F.col("label").cast("int").alias("conformer"), atoms.alias("coords"))
 
 
 def rotvecs(spark, sf_dir):
-    """Every nation, of which there are 25, is a rotamer of each label that occurs."""
-    labels = t.read(spark, sf_dir, "embeddings").select("label").distinct()
-    numbered = labels.withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24))))
-    return numbered.join(t.read(spark, sf_dir, "nation"), "n_nationkey").select(
+    """Every nation is a rotamer of each label that occurs."""
+    labels = F.explode(F.lit(domain(spark, sf_dir, "embeddings", "label"))).alias("label")
+    return t.read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", labels).select(
         F.col("label").cast("int").alias("conformer"),
         F.col("n_nationkey").cast("int").alias("rotamer"),
         (F.col("n_nationkey") * 0.07 - 0.5).alias("rx"),
@@ -81,10 +96,11 @@ def rotamers(spark, sf_dir):
 
 
 def dock_poses(spark, sf_dir):
+    labels, nations = domain(spark, sf_dir, "embeddings", "label"), domain(spark, sf_dir, "nation", "n_nationkey")
     return t.read(spark, sf_dir, "orders").select(
         *pose_columns(
-            F.expr("o_orderkey % 10"),
-            F.expr("o_custkey % 25"),
+            F.get(F.lit(labels), (F.col("o_orderkey") % len(labels)).cast("int")),
+            F.get(F.lit(nations), (F.col("o_custkey") % len(nations)).cast("int")),
             F.expr("o_orderkey % 21 - 10"),
             F.expr("o_custkey % 19 - 9"),
             F.expr("(o_orderkey div 7) % 17 - 8"),
@@ -97,11 +113,10 @@ def dock_pool(spark, sf_dir):
     return organize(dock_poses(spark, sf_dir), ["source_id"], label="dock")
 
 
-_FLAT = ", ".join(f"embedding[{n + 1}]" for n in range(63))
 LIB = (
     "mean AS (SELECT label AS conformer, n, sum(CAST(round_even(e * 65536.0::DOUBLE, 0) AS BIGINT))::DOUBLE "
-    "/ count(*) / 4096.0::DOUBLE AS x FROM (SELECT label, unnest(embedding[1:63])::DOUBLE AS e, "
-    "generate_subscripts(embedding[1:63], 1) - 1 AS n FROM embeddings) GROUP BY label, n), "
+    "/ count(*) / 4096.0::DOUBLE AS x FROM (SELECT label, unnest(" + PADDED + ")::DOUBLE AS e, "
+    "generate_subscripts(" + PADDED + ", 1) - 1 AS n FROM embeddings) GROUP BY label, n), "
     "atoms AS (SELECT conformer, n // 3 AS atom, max(x) FILTER (n % 3 = 0) AS x, max(x) FILTER (n % 3 = 1) AS y, "
     "max(x) FILTER (n % 3 = 2) AS z FROM mean GROUP BY conformer, n // 3), "
     "rotvecs AS (SELECT l.conformer, n_nationkey AS rotamer, n_nationkey * 0.07::DOUBLE - 0.5::DOUBLE AS rx, "
@@ -120,9 +135,11 @@ LIB = (
     "ON a.conformer = r.conformer)"
 )
 _DOCK_POSES = (
-    "SELECT CAST(o_orderkey % 10 AS INTEGER) AS conformer, CAST(o_custkey % 25 AS INTEGER) AS rotamer, "
+    "SELECT CAST(ls[o_orderkey % len(ls) + 1] AS INTEGER) AS conformer, CAST(ns[o_custkey % len(ns) + 1] AS INTEGER) AS rotamer, "
     "CAST(o_orderkey % 21 - 10 AS INTEGER) AS gx, CAST(o_custkey % 19 - 9 AS INTEGER) AS gy, "
-    "CAST((o_orderkey // 7) % 17 - 8 AS INTEGER) AS gz, o_orderkey AS source_id FROM orders"
+    "CAST((o_orderkey // 7) % 17 - 8 AS INTEGER) AS gz, o_orderkey AS source_id FROM orders, "
+    "(SELECT list(label ORDER BY label) AS ls FROM (SELECT DISTINCT label FROM embeddings)), "
+    "(SELECT list(n_nationkey ORDER BY n_nationkey) AS ns FROM nation)"
 )
 DOCK = t.pool_sql("dock", _DOCK_POSES, "source_id")
 
@@ -134,8 +151,9 @@ OVRMSD, CRMSD = 0.7, 0.25
 
 def crmsds(spark, sf_dir):
     """Compatibility of label pairs: a given measure, one row per pair of labels."""
+    labels = domain(spark, sf_dir, "embeddings", "label")
     label = t.read(spark, sf_dir, "embeddings").select("label").distinct()
-    listed = label.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    listed = label.withColumn("target", F.explode(F.lit(labels)))
     return listed.select(
         F.col("label").cast("int").alias("source"),
         F.col("target"),
@@ -144,7 +162,7 @@ def crmsds(spark, sf_dir):
 
 
 def _half(table, second):
-    return table.withColumn("coords", F.slice("coords", 12 if second else 1, 10))
+    return table.withColumn("coords", F.slice("coords", 12 if second else 1, 11))
 
 
 def _grown(spark, sf_dir, restrict=None):
@@ -157,7 +175,7 @@ def _grown(spark, sf_dir, restrict=None):
 
 _GROW = (
     f"WITH {LIB}, {DOCK}, src AS (SELECT conformer, rotamer, atom - 11 AS a, x, y, z FROM turned WHERE atom >= 11), "
-    "tgt AS (SELECT conformer, rotamer, atom AS a, x, y, z FROM turned WHERE atom < 10), "
+    "tgt AS (SELECT conformer, rotamer, atom AS a, x, y, z FROM turned WHERE atom < 11), "
     "smean AS (SELECT conformer, rotamer, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM src GROUP BY ALL), "
     "tmean AS (SELECT conformer, rotamer, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM tgt GROUP BY ALL), "
     "sc AS (SELECT s.conformer, s.rotamer, s.a, s.x - m.x AS x, s.y - m.y AS y, s.z - m.z AS z FROM src s "
@@ -165,7 +183,7 @@ _GROW = (
     "tc AS (SELECT s.conformer, s.rotamer, s.a, s.x - m.x AS x, s.y - m.y AS y, s.z - m.z AS z FROM tgt s "
     "JOIN tmean m USING (conformer, rotamer)), "
     "rp AS (SELECT s.conformer AS cs, s.rotamer AS rs, t.conformer AS ct, t.rotamer AS rt, "
-    "sum((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) / 10.0::DOUBLE AS rc FROM sc s JOIN tc t USING (a) "
+    "sum((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) / 11.0::DOUBLE AS rc FROM sc s JOIN tc t USING (a) "
     f"WHERE (s.conformer * 7 + t.conformer * 3) % 10 / 10.0::DOUBLE < {CRMSD}::DOUBLE GROUP BY ALL "
     f"HAVING rc < {OVRMSD}::DOUBLE * {OVRMSD}::DOUBLE), "
     "opt AS (SELECT p.pose_id AS parent_id, rp.ct, rp.rt, rp.rc, "
@@ -197,7 +215,8 @@ def grow_restricted_to_pool(spark, sf_dir):
 
 
 _REFERENCE = [[0.4, 0.3, -0.2], [1.1, -0.5, 0.6], [-0.7, 0.8, 0.9], [0.2, -1.2, 0.1], [-0.9, -0.3, -0.8],
-              [0.6, 0.9, -1.1], [1.3, 0.2, 0.4], [-0.4, -0.6, 1.2], [0.1, 1.4, 0.3], [-1.2, 0.5, -0.1]]
+              [0.6, 0.9, -1.1], [1.3, 0.2, 0.4], [-0.4, -0.6, 1.2], [0.1, 1.4, 0.3], [-1.2, 0.5, -0.1],
+              [0.5, -0.8, -0.6]]
 _REF_SQL = "ref(a, x, y, z) AS (VALUES " + ", ".join(
     f"({n}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for n, (x, y, z) in enumerate(_REFERENCE)
 ) + ")"
@@ -205,10 +224,10 @@ _REF_SQL = "ref(a, x, y, z) AS (VALUES " + ", ".join(
 
 @query(
     "anchor_at_reference",
-    f"WITH {LIB}, {_REF_SQL}, t AS (SELECT conformer, rotamer, atom AS a, x, y, z FROM turned WHERE atom < 10), "
+    f"WITH {LIB}, {_REF_SQL}, t AS (SELECT conformer, rotamer, atom AS a, x, y, z FROM turned WHERE atom < 11), "
     "g AS (SELECT unnest(range(-8, 9)) AS v), "
     f"p AS (SELECT t.conformer, t.rotamer, i.v AS gx, j.v AS gy, k.v AS gz, sqrt(sum((t.x + i.v * {G}::DOUBLE - r.x) ** 2 "
-    f"+ (t.y + j.v * {G}::DOUBLE - r.y) ** 2 + (t.z + k.v * {G}::DOUBLE - r.z) ** 2) / 10.0::DOUBLE) AS d "
+    f"+ (t.y + j.v * {G}::DOUBLE - r.y) ** 2 + (t.z + k.v * {G}::DOUBLE - r.z) ** 2) / 11.0::DOUBLE) AS d "
     "FROM t JOIN ref r USING (a), g i, g j, g k GROUP BY ALL) "
     "SELECT CAST(conformer AS INTEGER) AS conformer, CAST(rotamer AS INTEGER) AS rotamer, CAST(gx AS INTEGER) AS gx, "
     "CAST(gy AS INTEGER) AS gy, CAST(gz AS INTEGER) AS gz FROM p WHERE d < 1.6::DOUBLE",
@@ -221,9 +240,9 @@ def anchor_at_reference(spark, sf_dir):
 
 # ---------------------------------------------------------------- RMSD
 
-_REFERENCE_21 = [[math.sin(1.7 * n) * 2, math.cos(2.3 * n) * 2, math.sin(0.9 * n + 1) * 2] for n in range(21)]
-_REF21_SQL = "ref(atom, x, y, z) AS (VALUES " + ", ".join(
-    f"({n}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for n, (x, y, z) in enumerate(_REFERENCE_21)
+_REFERENCE_22 = [[math.sin(1.7 * n) * 2, math.cos(2.3 * n) * 2, math.sin(0.9 * n + 1) * 2] for n in range(22)]
+_REF22_SQL = "ref(atom, x, y, z) AS (VALUES " + ", ".join(
+    f"({n}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for n, (x, y, z) in enumerate(_REFERENCE_22)
 ) + ")"
 
 
@@ -238,13 +257,13 @@ def _rmsd_sql(where, count):
 
 @query(
     "pose_rmsd_full_and_per_nucleotide",
-    f"WITH {LIB}, {DOCK}, {_REF21_SQL}, f AS ({_rmsd_sql('true', 21)}), a AS ({_rmsd_sql('r.atom < 11', 11)}), "
-    f"b AS ({_rmsd_sql('r.atom >= 11', 10)}) SELECT pose_id, f.value AS rmsd, a.value AS first, b.value AS second "
+    f"WITH {LIB}, {DOCK}, {_REF22_SQL}, f AS ({_rmsd_sql('true', 22)}), a AS ({_rmsd_sql('r.atom < 11', 11)}), "
+    f"b AS ({_rmsd_sql('r.atom >= 11', 11)}) SELECT pose_id, f.value AS rmsd, a.value AS first, b.value AS second "
     "FROM f JOIN a USING (pose_id) JOIN b USING (pose_id)",
 )
 def pose_rmsd_full_and_per_nucleotide(spark, sf_dir):
     return rmsd.ensemble_rmsd(
-        dock_pool(spark, sf_dir), conformers(spark, sf_dir), rotamers(spark, sf_dir), _REFERENCE_21, 11
+        dock_pool(spark, sf_dir), conformers(spark, sf_dir), rotamers(spark, sf_dir), _REFERENCE_22, 11
     )
 
 
@@ -275,22 +294,22 @@ def converted_poses(spark, sf_dir):
 
 
 # Forty structures share a place, so near pairs grow with the table, not its square.
-NEAR = 0.4
+NEAR = 0.6
 
 
 @query(
     "structure_pairs_below_rmsd",
-    "WITH s AS (SELECT vec_id, list_transform(range(63), lambda n: embedding[n + 1]::DOUBLE * 2 + "
+    f"WITH s AS (SELECT vec_id, list_transform(range(66), lambda n: {PADDED}[n + 1]::DOUBLE * 2 + "
     "CASE n % 3 WHEN 0 THEN (vec_id // 40) % 50 WHEN 1 THEN (vec_id // 2000) % 50 ELSE vec_id // 100000 END) AS x FROM embeddings), "
-    "d AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range(1, 64), "
-    "lambda n: (a.x[n] - b.x[n]) ** 2)) / 21.0::DOUBLE) AS d FROM s a JOIN s b ON a.vec_id < b.vec_id) "
+    "d AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range(1, 67), "
+    "lambda n: (a.x[n] - b.x[n]) ** 2)) / 22.0::DOUBLE) AS d FROM s a JOIN s b ON a.vec_id < b.vec_id) "
     f"SELECT i, j, round(d, 9) AS rmsd FROM d WHERE d < {NEAR}::DOUBLE",
 )
 def structure_pairs_below_rmsd(spark, sf_dir):
     structures = t.read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.transform(
-            F.slice("embedding", 1, 63),
+            padded(),
             lambda x, n: x.cast("double") * 2.0
             + F.when(n % 3 == 0, F.expr("(vec_id div 40) % 50"))
             .when(n % 3 == 1, F.expr("(vec_id div 2000) % 50"))
@@ -305,12 +324,12 @@ def structure_pairs_below_rmsd(spark, sf_dir):
 
 
 def _fragments(spark, sf_dir):
-    """Reference fragments: every embedding as 21 atoms, placed by its number."""
+    """Reference fragments: every embedding as 22 atoms, placed by its number."""
     shift = [F.col("vec_id") % 7 - 3.0, F.col("vec_id") % 5 - 2.0, F.col("vec_id") % 3 - 1.0]
     atoms = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
+        F.sequence(F.lit(0), F.lit(21)),
         lambda a: F.array(
-            *[F.get("embedding", a * 3 + k).cast("double") * 16.0 + shift[k] for k in range(3)]
+            *[F.get(padded(), a * 3 + k).cast("double") * 16.0 + shift[k] for k in range(3)]
         ),
     )
     return t.read(spark, sf_dir, "embeddings").select(
@@ -319,15 +338,15 @@ def _fragments(spark, sf_dir):
 
 
 _FIT = (
-    f"WITH {LIB}, refs AS (SELECT vec_id AS fragment, label AS conformer, a AS atom, embedding[3 * a + 1]::DOUBLE * 16 "
-    "+ vec_id % 7 - 3 AS x, embedding[3 * a + 2]::DOUBLE * 16 + vec_id % 5 - 2 AS y, "
-    "embedding[3 * a + 3]::DOUBLE * 16 + vec_id % 3 - 1 AS z FROM embeddings, range(21) AS r(a)), "
+    f"WITH {LIB}, refs AS (SELECT vec_id AS fragment, label AS conformer, a AS atom, {PADDED}[3 * a + 1]::DOUBLE * 16 "
+    f"+ vec_id % 7 - 3 AS x, {PADDED}[3 * a + 2]::DOUBLE * 16 + vec_id % 5 - 2 AS y, "
+    f"{PADDED}[3 * a + 3]::DOUBLE * 16 + vec_id % 3 - 1 AS z FROM embeddings, range(22) AS r(a)), "
     "g AS (SELECT r.fragment, t.conformer, t.rotamer, "
     f"round_even((avg(r.x) - avg(t.x)) / {G}::DOUBLE, 0) AS gx, round_even((avg(r.y) - avg(t.y)) / {G}::DOUBLE, 0) AS gy, "
     f"round_even((avg(r.z) - avg(t.z)) / {G}::DOUBLE, 0) AS gz FROM refs r JOIN turned t USING (conformer, atom) GROUP BY ALL), "
     "d AS (SELECT g.fragment, g.conformer, g.rotamer, g.gx, g.gy, g.gz, "
     f"sqrt(sum((t.x + g.gx * {G}::DOUBLE - r.x) ** 2 + (t.y + g.gy * {G}::DOUBLE - r.y) ** 2 "
-    f"+ (t.z + g.gz * {G}::DOUBLE - r.z) ** 2) / 21.0::DOUBLE) AS rmsd FROM g JOIN turned t USING (conformer, rotamer) "
+    f"+ (t.z + g.gz * {G}::DOUBLE - r.z) ** 2) / 22.0::DOUBLE) AS rmsd FROM g JOIN turned t USING (conformer, rotamer) "
     "JOIN refs r ON r.fragment = g.fragment AND r.atom = t.atom GROUP BY ALL), "
     "best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY fragment ORDER BY rmsd, rotamer) = 1)"
 )
@@ -345,7 +364,36 @@ def best_pose_per_fragment(spark, sf_dir):
     return best.withColumn("rmsd", F.round("rmsd", 6))
 
 
-@query("best_conformer_per_fragment")
+def superposed_sql(name, keys, pairs):
+    """CTEs that end in ``name(keys, crmsd)`` from ``pairs(keys, lx, ly, lz, rx, ry, rz)``."""
+    sums = {f"{i}{j}": f"sum(l{i} * r{j}) - sum(l{i}) * sum(r{j}) / count(*)" for i in "xyz" for j in "xyz"}
+    square = " + ".join(f"sum({q}{i} * {q}{i}) - sum({q}{i}) ** 2 / count(*)" for q in "lr" for i in "xyz")
+    after = {"x": "y", "y": "z", "z": "x"}
+    cof = {
+        i + j: f"({after[i]}{after[j]} * {after[after[i]]}{after[after[j]]} - {after[i]}{after[after[j]]} * {after[after[i]]}{after[j]})"
+        for i in "xyz" for j in "xyz"
+    }
+    parts = [
+        f"{name}_m AS (SELECT {keys}, count(*)::DOUBLE AS n, ({square}) / 2 AS e, "
+        + ", ".join(f"{v} AS {k}" for k, v in sums.items()) + f" FROM {pairs} GROUP BY {keys})",
+        f"{name}_q AS (SELECT {keys}, n, e, {' + '.join(f'{k} * {k}' for k in sums)} AS q, "
+        f"{' + '.join(f'x{j} * {cof[chr(120) + j]}' for j in 'xyz')} AS d, {' + '.join(f'{c} ** 2' for c in cof.values())} AS c FROM {name}_m)",
+        f"{name}_0 AS (SELECT {keys}, n, e, -2 * q AS p2, -8 * d AS p1, q * q - 4 * c AS p0, e AS x FROM {name}_q)",
+    ]
+    for step in range(superpose.NEWTON_STEPS):
+        parts.append(
+            f"{name}_{step + 1} AS (SELECT * REPLACE (CASE WHEN (x * x * 4 + p2 * 2) * x + p1 > 0 "
+            f"THEN x - (((x * x + p2) * x + p1) * x + p0) / ((x * x * 4 + p2 * 2) * x + p1) ELSE x END AS x) FROM {name}_{step})"
+        )
+    return ", ".join(parts) + f", {name} AS (SELECT {keys}, sqrt(greatest(e - x, 0) * 2 / n) AS crmsd FROM {name}_{superpose.NEWTON_STEPS})"
+
+
+@query(
+    "best_conformer_per_fragment",
+    f"{_FIT}, sp AS (SELECT r.fragment, a.conformer, a.x AS lx, a.y AS ly, a.z AS lz, r.x AS rx, r.y AS ry, r.z AS rz "
+    f"FROM refs r JOIN atoms a USING (atom)), {superposed_sql('sup', 'fragment, conformer', 'sp')} "
+    "SELECT fragment, CAST(arg_min(conformer, (round(crmsd, 9), conformer)) AS INTEGER) AS conformer, round(min(crmsd), 6) AS crmsd FROM sup GROUP BY fragment",
+)
 def best_conformer_per_fragment(spark, sf_dir):
     same = F.lit("AC").alias("sequence")
     best = fit.best_conformers(
@@ -365,11 +413,15 @@ _SEQUENCE = f"{_LETTER.format('fragment')} || {_LETTER.format('(fragment + 1)')}
     f"{_FIT}, s AS (SELECT *, {_SEQUENCE} AS sequence FROM best), "
     "n AS (SELECT s.fragment, s.sequence, t.atom, "
     f"t.x + s.gx * {G}::DOUBLE AS x, t.y + s.gy * {G}::DOUBLE AS y, t.z + s.gz * {G}::DOUBLE AS z FROM s "
-    "JOIN turned t USING (conformer, rotamer)) "
-    "SELECT d.fragment AS down, u.fragment AS up, d.sequence || u.sequence[2:] AS sequence, "
-    "round(sqrt(sum((d.x - u.x) ** 2 + (d.y - u.y) ** 2 + (d.z - u.z) ** 2) / 10.0::DOUBLE), 6) AS ovrmsd "
-    "FROM n d JOIN n u ON u.fragment = d.fragment + 1 AND d.atom = u.atom + 11 WHERE u.atom < 10 "
-    "GROUP BY d.fragment, u.fragment, d.sequence, u.sequence",
+    "JOIN turned t USING (conformer, rotamer)), "
+    "o AS (SELECT d.fragment AS down, u.fragment AS up, d.sequence || u.sequence[2:] AS sequence, "
+    "round(sqrt(sum((d.x - u.x) ** 2 + (d.y - u.y) ** 2 + (d.z - u.z) ** 2) / 11.0::DOUBLE), 6) AS ovrmsd "
+    "FROM n d JOIN n u ON u.fragment = d.fragment + 1 AND d.atom = u.atom + 11 WHERE u.atom < 11 "
+    "GROUP BY d.fragment, u.fragment, d.sequence, u.sequence), "
+    "cp AS (SELECT d.conformer AS dc, u.conformer AS uc, d.x AS lx, d.y AS ly, d.z AS lz, u.x AS rx, u.y AS ry, u.z AS rz "
+    f"FROM atoms d JOIN atoms u ON d.atom = u.atom + 11), {superposed_sql('sup', 'dc, uc', 'cp')} "
+    "SELECT o.*, round(crmsd, 6) AS crmsd FROM o JOIN s d ON d.fragment = o.down JOIN s u ON u.fragment = o.up "
+    "JOIN sup ON dc = d.conformer AND uc = u.conformer",
 )
 def best_fit_pairs(spark, sf_dir):
     shapes, turns = conformers(spark, sf_dir), rotamers(spark, sf_dir)
@@ -384,12 +436,34 @@ def best_fit_pairs(spark, sf_dir):
             f"{side}_conformer",
         )
     scored = fit.pair_rmsds(pairs)
-    return scored.select("down", "up", "sequence", F.round("ovrmsd", 6).alias("ovrmsd"))
+    return scored.select("down", "up", "sequence", *[F.round(c, 6).alias(c) for c in ("ovrmsd", "crmsd")])
+
+
+@query(
+    "best_fit_bases",
+    f"{_FIT} SELECT b.fragment, {_SEQUENCE.replace('fragment', 'b.fragment')} AS sequence, " + ", ".join(
+        f"round(sqrt(avg((t.x + b.gx * {G}::DOUBLE - r.x) ** 2 + (t.y + b.gy * {G}::DOUBLE - r.y) ** 2 "
+        f"+ (t.z + b.gz * {G}::DOUBLE - r.z) ** 2) FILTER (r.atom {half} 11)), 6) AS nucleotide{n}_ovrmsd"
+        for n, half in ((1, "<"), (2, ">="))
+    ) + " FROM best b JOIN turned t USING (conformer, rotamer) JOIN refs r ON r.fragment = b.fragment AND r.atom = t.atom GROUP BY b.fragment",
+)
+def best_fit_bases(spark, sf_dir):
+    shapes, turns = conformers(spark, sf_dir), rotamers(spark, sf_dir)
+    refs = _fragments(spark, sf_dir)
+    best = fit.best_poses(refs, shapes, turns)
+    fits = (
+        best.join(refs.select("fragment", F.col("coords").alias("ref")), "fragment")
+        .join(shapes, "conformer")
+        .join(turns, ["conformer", "rotamer"])
+        .withColumns({"sequence": F.expr(_SEQUENCE), "split": F.lit(11)})
+    )
+    found = fit.base_rmsds(fits)
+    return found.select("fragment", "sequence", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
 @query(
     "thresholds_strictly_above",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(floor(l_extendedprice::DECIMAL(28,8) * 100) + 1 AS DECIMAL(18,0))::DOUBLE "
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (split_part(l_extendedprice::VARCHAR, '.', 1)::BIGINT * 100 + substring(rpad(split_part(l_extendedprice::VARCHAR, '.', 2), 2, '0'), 1, 2)::BIGINT + 1)::DOUBLE "
     "/ 100 AS above, floor((l_extendedprice / 7.0::DOUBLE + 0.00003::DOUBLE)::DECIMAL(28,9) * 1000)::DOUBLE / 1000 AS below FROM lineitem",
 )
 def thresholds_strictly_above(spark, sf_dir):
@@ -661,7 +735,7 @@ def _chain_values(spark, sf_dir, layers):
 
 def _numbered(spark, sf_dir):
     layers = chains.number_nodes(_layers(spark, sf_dir))
-    table = chains.path_table(layers, chains.chain_total(layers))
+    table = chains.path_table(layers)
     return layers, chains.number_chains(table, layers.names)
 
 
@@ -713,8 +787,8 @@ def chain_coordinates(spark, sf_dir):
 
 @query(
     "mutate_adenine_to_guanine",
-    "WITH e AS (SELECT vec_id, list_transform(range(22), lambda a: [embedding[(a % 21) * 3 + 1]::DOUBLE + a, "
-    "embedding[(a % 21) * 3 + 2]::DOUBLE, embedding[(a % 21) * 3 + 3]::DOUBLE - (a % 4)]) AS c FROM embeddings), "
+    f"WITH e AS (SELECT vec_id, list_transform(range(22), lambda a: [{PADDED}[a * 3 + 1]::DOUBLE + a, "
+    f"{PADDED}[a * 3 + 2]::DOUBLE, {PADDED}[a * 3 + 3]::DOUBLE - (a % 4)]) AS c FROM embeddings), "
     "f AS (SELECT vec_id, c, list_transform(range(1, 4), lambda k: c[12][k] - c[9][k]) AS x, "
     "list_transform(range(1, 4), lambda k: c[14][k] - c[9][k]) AS p FROM e), "
     "g AS (SELECT *, [x[2]*p[3] - x[3]*p[2], x[3]*p[1] - x[1]*p[3], x[1]*p[2] - x[2]*p[1]] AS z FROM f), "
@@ -729,9 +803,9 @@ def mutate_adenine_to_guanine(spark, sf_dir):
     atoms = F.transform(
         F.sequence(F.lit(0), F.lit(21)),
         lambda a: F.array(
-            F.get("embedding", a % 21 * 3).cast("double") + a,
-            F.get("embedding", a % 21 * 3 + 1).cast("double"),
-            F.get("embedding", a % 21 * 3 + 2).cast("double") - a % 4,
+            F.get(padded(), a * 3).cast("double") + a,
+            F.get(padded(), a * 3 + 1).cast("double"),
+            F.get(padded(), a * 3 + 2).cast("double") - a % 4,
         ),
     )
     changed = t.read(spark, sf_dir, "embeddings").select("vec_id", atoms.alias("a")).select(

@@ -331,7 +331,7 @@ _NUMBERED = (
 @query(
     "chain_counts",
     f"{_CHAINS} SELECT layer, pool, CAST(n AS BIGINT) AS kept, CAST(n AS BIGINT) AS unique_poses, "
-    "CAST((SELECT count(*) FROM paths) AS BIGINT) AS chains FROM (SELECT 1 AS layer, 'frag1' AS pool, "
+    "CAST((SELECT count(*) FROM paths) AS VARCHAR) AS chains FROM (SELECT 1 AS layer, 'frag1' AS pool, "
     "max(node) AS n FROM n1 UNION ALL SELECT 2, 'frag2', max(node) FROM n2 UNION ALL SELECT 3, 'frag3', max(node) FROM n3)",
 )
 def chain_counts(spark, sf_dir):
@@ -376,6 +376,7 @@ STEPS = [cascade.Step("coarse", 25.0), cascade.Step("fine", 1.0)]
 def _energies(spark, sf_dir):
     return t.orders(spark, sf_dir).select(
         "pose_id",
+        "source_id",
         F.col("score").alias("energy"),
         (F.col("score") + (F.col("parent_key") % 50 - 25) * 0.99).alias("coarse"),
         (F.col("score") + (F.col("source_id") % 21 - 10) * 0.09).alias("fine"),
@@ -387,6 +388,27 @@ def energy_filter(spark, sf_dir):
     return cascade.cascade_filter(_energies(spark, sf_dir), -40.0, STEPS, 100)[0]
 
 
+_BIG = "9007199254740992.0"
+
+
+@query(
+    "energy_cascade_steps",
+    f"WITH {t.ORDERS}, e AS (SELECT pose_id, score, source_id % 500 = 0 AS big, score + (parent_key % 50 - 25) * 0.99::DOUBLE AS coarse, "
+    "score + (source_id % 21 - 10) * 0.09::DOUBLE AS fine FROM order_pool), "
+    "a AS (SELECT *, NOT big AND coarse >= -65 AND coarse < -15 AS stay FROM e), "
+    "b AS (SELECT *, fine >= -41 AND fine < -39 AS stay2 FROM a WHERE stay) "
+    "SELECT 0 AS step, CAST(count(*) AS BIGINT) AS entered, CAST(count(*) FILTER (big) AS BIGINT) AS unsafe, "
+    "CAST(count(*) FILTER (NOT big AND NOT stay) AS BIGINT) AS decided FROM a "
+    "UNION ALL SELECT 1, count(*), 0, count(*) FILTER (NOT stay2) FROM b "
+    "UNION ALL SELECT NULL, n, 0, n FROM (SELECT (SELECT count(*) FROM a WHERE big) + (SELECT count(*) FROM b WHERE stay2) AS n)",
+)
+def energy_cascade_steps(spark, sf_dir):
+    """Every 500th grid energy is so large that doubles cannot hold the error bound."""
+    rows = _energies(spark, sf_dir)
+    coarse = F.when(F.col("source_id") % 500 == 0, F.lit(float(_BIG)) * 64).otherwise(F.col("coarse"))
+    return cascade.cascade_filter(rows.withColumn("coarse", coarse), -40.0, STEPS, 10)[1]
+
+
 @query(
     "energy_route_statistics",
     f"WITH {t.ORDERS}, e AS (SELECT pose_id, score + (parent_key % 50 - 25) * 0.99::DOUBLE AS coarse, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.catalog import tables as t
-from strandloom.catalog.geometry import DOCK, LIB, G, conformers, dock_pool, rotamers
+from strandloom.catalog.geometry import DOCK, LIB, PADDED, G, conformers, dock_pool, padded, rotamers
 from strandloom.constants import POSE
 from strandloom.operators import energy, grow, library, pool, structure
 from strandloom.sources import pdb
@@ -136,24 +136,24 @@ def structure_records_parsed_back(spark, sf_dir):
 
 @query(
     "bead_reduction",
-    "WITH a AS (SELECT vec_id, n // 3 AS atom, n % 3 AS k, e FROM (SELECT vec_id, unnest(embedding[1:63])::DOUBLE AS e, "
-    "generate_subscripts(embedding[1:63], 1) - 1 AS n FROM embeddings)) SELECT vec_id, CAST(atom // 3 AS INTEGER) AS bead, "
+    f"WITH a AS (SELECT vec_id, n // 3 AS atom, n % 3 AS k, e FROM (SELECT vec_id, unnest({PADDED})::DOUBLE AS e, "
+    f"generate_subscripts({PADDED}, 1) - 1 AS n FROM embeddings)) SELECT vec_id, CAST(atom // 3 AS INTEGER) AS bead, "
     "round(avg(e) FILTER (k = 0), 9) AS x, round(avg(e) FILTER (k = 1), 9) AS y, round(avg(e) FILTER (k = 2), 9) AS z "
     "FROM a GROUP BY vec_id, atom // 3",
 )
 def bead_reduction(spark, sf_dir):
     atoms = (
         t.read(spark, sf_dir, "embeddings")
-        .select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("n"))
+        .select("vec_id", padded().alias("values"), F.explode(F.sequence(F.lit(0), F.lit(21))).alias("n"))
         .select(
             "vec_id",
             F.lit("RES").alias("resname"),
             F.format_string("A%d", "n").alias("name"),
-            *[F.get("embedding", F.col("n") * 3 + k).cast("double").alias(c) for k, c in enumerate("xyz")],
+            *[F.get("values", F.col("n") * 3 + k).cast("double").alias(c) for k, c in enumerate("xyz")],
         )
     )
     beads = spark.createDataFrame(
-        [("RES", n // 3, 30 + n // 3, f"A{n}", 3) for n in range(21)],
+        [("RES", n // 3, 30 + n // 3, f"A{n}", min(3, 22 - n // 3 * 3)) for n in range(22)],
         "resname string, bead int, atom_type int, name string, bead_atoms int",
     )
     reduced = library.reduce_to_beads(atoms, beads, ["vec_id"])
@@ -165,9 +165,9 @@ _CUTOFF = 6.0
 
 @query(
     "pair_energy_with_receptor",
-    f"WITH {LIB}, {DOCK}, rec AS (SELECT s_suppkey % 17 - 8.0::DOUBLE AS x, s_nationkey * 0.5::DOUBLE - 6.0::DOUBLE AS y, "
+    f"WITH {LIB}, {DOCK}, rec AS (SELECT s_suppkey % 17 - 8.0::DOUBLE + s_suppkey // 100 * 40 AS x, s_nationkey * 0.5::DOUBLE - 6.0::DOUBLE AS y, "
     "s_acctbal / 1000.0::DOUBLE AS z, CAST(s_suppkey % 3 AS INTEGER) AS type FROM supplier), "
-    f"pa AS (SELECT p.pose_id, t.x + p.gx * {G}::DOUBLE AS x, t.y + p.gy * {G}::DOUBLE AS y, t.z + p.gz * {G}::DOUBLE AS z, "
+    f"pa AS (SELECT p.pose_id, t.x + p.gx * {G}::DOUBLE + p.pose_id // 15000 * 40 AS x, t.y + p.gy * {G}::DOUBLE AS y, t.z + p.gz * {G}::DOUBLE AS z, "
     "CAST(t.atom % 2 AS INTEGER) AS type FROM dock p JOIN turned t ON t.conformer = p.conformer AND t.rotamer = p.rotamer), "
     "pr AS (SELECT pose_id, (pa.x - rec.x) ** 2 + (pa.y - rec.y) ** 2 + (pa.z - rec.z) ** 2 AS d2, pa.type AS a, rec.type AS b FROM pa, rec), "
     f"en AS (SELECT pose_id, sum((a + b + 1) * 0.5::DOUBLE / (d2 + 4)) AS score FROM pr WHERE d2 < {_CUTOFF}::DOUBLE ** 2 GROUP BY pose_id) "
@@ -175,7 +175,7 @@ _CUTOFF = 6.0
 )
 def pair_energy_with_receptor(spark, sf_dir):
     receptor = t.read(spark, sf_dir, "supplier").select(
-        F.expr("s_suppkey % 17 - 8.0D").alias("x"),
+        F.expr("s_suppkey % 17 - 8.0D + s_suppkey div 100 * 40").alias("x"),
         F.expr("s_nationkey * 0.5D - 6.0D").alias("y"),
         F.expr("s_acctbal / 1000.0D").alias("z"),
         F.expr("cast(s_suppkey % 3 as int)").alias("type"),
@@ -183,7 +183,11 @@ def pair_energy_with_receptor(spark, sf_dir):
     placed = library.pose_coordinates(
         dock_pool(spark, sf_dir), conformers(spark, sf_dir), rotamers(spark, sf_dir)
     )
-    poses = placed.select("pose_id", "xyz", F.lit([n % 2 for n in range(21)]).alias("types"))
+    # A hundred atoms and fifteen thousand poses share a place, whatever the table's size.
+    moved = F.transform(
+        "xyz", lambda a: F.array(F.get(a, F.lit(0)) + F.expr("pose_id div 15000 * 40"), F.get(a, F.lit(1)), F.get(a, F.lit(2)))
+    )
+    poses = placed.select("pose_id", moved.alias("xyz"), F.lit([n % 2 for n in range(22)]).alias("types"))
 
     def kernel(square, a, b):
         return (a + b + 1) * 0.5 / (square + 4.0)

@@ -22,21 +22,11 @@ MAX_OVRMSD = math.sqrt(3.0)
 # Fixed value: least filled share of a pose cell for an anchor pose to be kept.
 MIN_CELL_FRACTION = 1 / 3
 
-# Default and hard limits on the number of enumerated chains.
-DEFAULT_MAX_CHAINS = 100_000_000
-HARD_MAX_CHAINS = 1_000_000_000
-
 # Fixed value: longest O3'-P bond of a continuous backbone, in Angstrom.
 MAX_BACKBONE_BOND = 2.2
 
-# Decimals of printed RMSDs, and the pool size from which RMSDs
-# are stored as columns instead of text.
+# Fixed value: decimals of printed RMSDs.
 RMSD_DECIMALS = 3
-RMSD_TEXT_LIMIT = 100_000
-
-# Largest inputs of the complete pairwise RMSD reports.
-PAIRWISE_LIMIT = 250_000
-CHAIN_PAIRWISE_LIMIT = 50_000
 
 # Fixed value: largest rebuild error of a best-fit pose, in Angstrom.
 MAX_REBUILD_RMSD = 0.002

@@ -38,8 +38,11 @@ def above_cent(value: float) -> str:
 
 
 def above_cent_column(value: Column) -> Column:
-    """Least two-decimal number strictly above a DECIMAL(28,8) column."""
-    cents = F.floor(value.cast("decimal(28,8)") * F.lit(100)) + F.lit(1)
+    """Least two-decimal number strictly above a column, read by its decimal digits.
+
+    Eighteen decimals are kept, so what lies just below a cent stays below it.
+    """
+    cents = F.floor(value.cast("string").cast("decimal(34,18)") * F.lit(100)) + F.lit(1)
     return (cents / F.lit(100)).cast("decimal(18,2)")
 
 
@@ -51,5 +54,5 @@ def floor_decimal(raw: float, places: int = 5) -> str:
 def floor_decimal_column(value: Column, places: int = 5) -> Column:
     scale = 10**places
     return (
-        F.floor(value.cast("decimal(28,12)") * F.lit(scale)) / F.lit(scale)
+        F.floor(value.cast("string").cast("decimal(30,18)") * F.lit(scale)) / F.lit(scale)
     ).cast(f"decimal(20,{places})")

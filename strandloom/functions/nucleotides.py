@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandloom.functions.vectors import component, dot
+from strandloom.functions.vectors import centred, centroid, component, dot
 
 # Heavy atoms of each nucleotide.
 ATOMS = {"A": 22, "C": 20, "G": 23, "U": 20}
@@ -36,65 +36,45 @@ def overlaps(lower: Column, upper: Column) -> Column:
     return F.substring(lower, -1, 1) == F.substring(upper, 1, 1)
 
 
-def _minus(a: Column, b: Column) -> list[Column]:
-    return [component(a, k) - component(b, k) for k in range(3)]
+# Which atom of the source stands at each place of the target; None is the amino atom.
+MOVES = {
+    ("A", "G"): [*range(G_PLACE), None, *range(G_PLACE, ATOMS["A"])],
+    ("G", "A"): [n for n in range(ATOMS["G"]) if n != G_PLACE],
+    **{(a, b): list(range(ATOMS[a])) for a, b in ("AA", "GG", "CC", "UU", "CU", "UC")},
+}
 
 
-def _cross(a, b) -> list[Column]:
-    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-
-
-def adenine_to_guanine(coords: Column) -> Column:
-    """Coordinates of G from the 22 atoms of A: one atom more, in the base plane."""
-    origin, along, plane = (F.get(coords, F.lit(n)) for n in G_FRAME)
-    x = _minus(along, origin)
-    z = _cross(x, _minus(plane, origin))
-    y = _cross(z, x)
-    axes = []
-    for v in (x, y, z):
-        size = F.sqrt(dot(v, v))
-        axes.append([c / size for c in v])
-    amino = F.array(
+def _amino(coords: Column, start: int) -> Column:
+    """The amino atom of G over the base of the A whose atoms begin at ``start``."""
+    origin, along, plane = (F.get(coords, F.lit(start + n)) for n in G_FRAME)
+    x = [component(along, k) - component(origin, k) for k in range(3)]
+    p = [component(plane, k) - component(origin, k) for k in range(3)]
+    share = dot(p, x) / dot(x, x)
+    y = [p[k] - share * x[k] for k in range(3)]  # in the plane, at a right angle to x
+    return F.array(
         *[
-            sum((axes[n][k] * G_AMINO[n] for n in range(1, 3)), axes[0][k] * G_AMINO[0])
-            + component(origin, k)
+            component(origin, k) + x[k] / F.sqrt(dot(x, x)) * G_AMINO[0] + y[k] / F.sqrt(dot(y, y)) * G_AMINO[1]
             for k in range(3)
         ]
     )
-    return F.concat(
-        F.slice(coords, 1, G_PLACE),
-        F.array(amino),
-        F.slice(coords, G_PLACE + 1, ATOMS["A"] - G_PLACE),
-    )
-
-
-def guanine_to_adenine(coords: Column) -> Column:
-    return F.concat(
-        F.slice(coords, 1, G_PLACE), F.slice(coords, G_PLACE + 2, ATOMS["G"] - G_PLACE - 1)
-    )
 
 
 def mutate(coords: Column, source: str, target: str, *, centre: bool = True) -> Column:
-    """Coordinates of ``target`` from a fragment of ``source`` (A to G, C to U or same)."""
-    from strandloom.functions.vectors import centred, centroid
-
+    """Coordinates of ``target`` from a fragment of ``source`` (A and G, C and U or same)."""
     if len(source) != len(target):
         raise ValueError("sequences differ in length")
+    if unknown := [pair for pair in zip(source, target) if pair not in MOVES]:
+        raise ValueError("cannot mutate {} to {}".format(*unknown[0]))
+    starts = [sum(ATOMS[b] for b in source[:n]) for n in range(len(source))]
     size = sum(ATOMS[b] for b in source)
     coords = F.when(F.size(coords) == size, coords).otherwise(
         F.raise_error(F.lit(f"expected {size} atoms for {source}"))
     )
-    parts, start = [], 1
-    for old, new in zip(source, target):
-        part = F.slice(coords, start, ATOMS[old])
-        if old == new or (old, new) in (("C", "U"), ("U", "C")):
-            parts.append(part)
-        elif (old, new) == ("A", "G"):
-            parts.append(adenine_to_guanine(part))
-        elif (old, new) == ("G", "A"):
-            parts.append(guanine_to_adenine(part))
-        else:
-            raise ValueError(f"cannot mutate {old} to {new}")
-        start += ATOMS[old]
-    whole = F.concat(*parts)
+    whole = F.array(
+        *[
+            _amino(coords, start) if place is None else F.get(coords, F.lit(start + place))
+            for start, pair in zip(starts, zip(source, target))
+            for place in MOVES[pair]
+        ]
+    )
     return centred(whole, centroid(whole)) if centre else whole

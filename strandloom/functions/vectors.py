@@ -23,6 +23,14 @@ def dot(a, b, size: int = 3) -> Column:
     return total
 
 
+def cross(a, b) -> list[Column]:
+    """Vector product."""
+    return [
+        component(a, (k + 1) % 3) * component(b, (k + 2) % 3) - component(a, (k + 2) % 3) * component(b, (k + 1) % 3)
+        for k in range(3)
+    ]
+
+
 def rotate(vector, rotation) -> list[Column]:
     """Row vector times rotation."""
     return [

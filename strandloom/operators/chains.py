@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.constants import DEFAULT_MAX_CHAINS, HARD_MAX_CHAINS, POSE
+from strandloom.constants import POSE
 from strandloom.staging import dense_ids, row_bound, skew_join, stage, with_bound
 
 
@@ -155,7 +155,10 @@ def count_paths(layers: Layers, max_count: int | None = None) -> int:
 
 
 def chain_counts(layers: Layers) -> DataFrame:
-    """Per layer ``kept`` and ``unique`` (both after collapse) and the path total."""
+    """Per layer ``kept`` and ``unique`` (both after collapse) and the path total as text.
+
+    The total may exceed every integer type; text never wraps.
+    """
     total = count_paths(layers)
     rows = None
     for position, (name, nodes) in enumerate(zip(layers.names, layers.nodes), start=1):
@@ -164,40 +167,43 @@ def chain_counts(layers: Layers) -> DataFrame:
             F.lit(name).alias("pool"),
             "kept",
             F.col("kept").alias("unique_poses"),
-            F.lit(total).cast("bigint").alias("chains"),
+            F.lit(str(total)).alias("chains"),
         )
         rows = row if rows is None else rows.unionByName(row)
     return rows
 
 
-def chain_total(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> int:
-    """Number of chains, refused above the cap before anything is enumerated."""
-    if not 0 < max_chains <= HARD_MAX_CHAINS:
-        raise ValueError(f"max_chains must be in 1..{HARD_MAX_CHAINS}")
-    total = count_paths(layers, max_chains)
-    if total > max_chains:
-        raise TooManyChains(f"more than {max_chains} chains; raise the cap or filter the pools")
-    return total
+def enumerate_chains(layers: Layers, max_chains: int | None = None) -> DataFrame:
+    """All paths, one 1-based node number per layer; never a part of them.
 
+    A caller who gives ``max_chains`` gets an error instead of a larger table, from a
+    count made before anything is enumerated.
+    """
+    if max_chains is not None and count_paths(layers, max_chains) > max_chains:
+        raise TooManyChains(f"more than {max_chains} chains; raise the limit or filter the pools")
+    return path_table(number_nodes(layers))
 
-def enumerate_chains(layers: Layers, max_chains: int = DEFAULT_MAX_CHAINS) -> DataFrame:
-    """All paths, one 1-based node number per layer; never a part of them."""
-    total = chain_total(layers, max_chains)
-    return path_table(number_nodes(layers), total)
 
+def path_table(layers: Layers) -> DataFrame:
+    """Join the numbered layers into one row per path.
 
-def path_table(layers: Layers, total: int) -> DataFrame:
-    """Join the numbered layers into one row per path; ``total`` paths are known."""
+    Each longer table is written, so its rows are known and no join runs twice.
+    """
     names = layers.names
     if not layers.edges:
-        return layers.nodes[0].select((F.col("node") + 1).alias(names[0]))
-    table = layers.edges[0].select(F.col("low").alias(names[0]), F.col("high").alias(names[1]))
+        table = layers.nodes[0].select((F.col("node") + 1).alias(names[0]))
+        return with_bound(table, row_bound(layers.nodes[0]))
+    first = layers.edges[0]
+    table = with_bound(
+        first.select(F.col("low").alias(names[0]), F.col("high").alias(names[1])), row_bound(first)
+    )
     for j, edge in enumerate(layers.edges[1:], start=1):
         step = edge.select(F.col("low").alias(names[j]), F.col("high").alias(names[j + 1]))
-        # Every partial path is part of a complete one, so the total bounds them all.
-        table = skew_join(table, step, [names[j]], left_rows=total, right_rows=row_bound(edge))
-    table = with_bound(table, total)
-    return table.select(*[(F.col(n) + 1).alias(n) for n in names])
+        joined = skew_join(
+            table, step, [names[j]], left_rows=row_bound(table), right_rows=row_bound(edge)
+        )
+        table = stage(joined.select(*names[: j + 2]), "paths")
+    return with_bound(table.select(*[(F.col(n) + 1).alias(n) for n in names]), row_bound(table))
 
 
 def number_chains(table: DataFrame, names: list[str]) -> DataFrame:

@@ -9,12 +9,13 @@ from strandloom.constants import GRID_SPACING, MAX_REBUILD_RMSD
 from strandloom.functions import vectors as v
 from strandloom.functions.decimals import above_cent_column
 from strandloom.functions.nucleotides import overlaps
-from strandloom.functions.superpose import superposed_rmsd
+from strandloom.functions.superpose import with_superposed_rmsd
 from strandloom.operators.library import place_atom
-from strandloom.staging import bounded_broadcast
+from strandloom.staging import bounded_broadcast, present, row_bound, skew_join
 
 # Conformers of about 1 kB each: at most 50 MB are broadcast.
 MAX_SENT_CONFORMERS = 50_000
+HOT_FITS = 200_000  # fragments or library rows of one key that are split over tasks
 
 
 def best_conformers(fragments: DataFrame, conformers: DataFrame) -> DataFrame:
@@ -22,15 +23,16 @@ def best_conformers(fragments: DataFrame, conformers: DataFrame) -> DataFrame:
 
     ``fragments(fragment, sequence, coords)``, ``conformers(sequence, conformer,
     coords)``.  Every fragment meets the whole library of its sequence; a library that
-    is small enough is sent to the fragments instead of gathering them by sequence.
+    is small enough is sent to the fragments, a larger one meets them in blocks of both.
     """
-    library = conformers.select("sequence", "conformer", F.flatten("coords").alias("_c"))
-    pairs = fragments.select("fragment", "sequence", F.flatten("coords").alias("_r")).join(
-        bounded_broadcast(library, MAX_SENT_CONFORMERS), "sequence"
-    )
-    scored = pairs.select(
-        "fragment", "sequence", "conformer", superposed_rmsd("_c", "_r").alias("crmsd")
-    )
+    library = conformers.select("sequence", "conformer", F.col("coords").alias("_c"))
+    sent = bounded_broadcast(library, MAX_SENT_CONFORMERS)
+    wanted = fragments.select("fragment", "sequence", F.col("coords").alias("_r"))
+    if sent is library:
+        pairs = skew_join(wanted, library, ["sequence"], hot_rows=HOT_FITS)
+    else:
+        pairs = wanted.join(sent, "sequence")
+    scored = with_superposed_rmsd(pairs, "_c", "_r", "crmsd")
     best = F.min(F.struct("crmsd", "conformer")).alias("b")
     return scored.groupBy("fragment", "sequence").agg(best).select("fragment", "sequence", "b.*")
 
@@ -41,9 +43,15 @@ def best_poses(fragments: DataFrame, conformers: DataFrame, rotamers: DataFrame)
     The grid point is the rounded difference of the centroids; the RMSD follows from
     moments of conformer and reference, so no coordinates meet the rotamers.
     """
-    shaped = fragments.select("fragment", "conformer", F.col("coords").alias("_r")).join(
-        conformers.select("conformer", "coords"), "conformer"
-    )
+    rows = row_bound(fragments)
+    shaped = skew_join(
+        fragments.select("fragment", "conformer", F.col("coords").alias("_r")),
+        conformers.select("conformer", "coords"),
+        ["conformer"],
+        "left_outer",
+        left_rows=rows,
+        right_rows=0,
+    ).withColumn("coords", present(F.col("coords"), "a fragment names a missing conformer"))
     shaped = shaped.withColumn("r_mean", v.centroid(F.col("_r"))).withColumn(
         "c_mean", v.centroid(F.col("coords"))
     )
@@ -64,7 +72,10 @@ def best_poses(fragments: DataFrame, conformers: DataFrame, rotamers: DataFrame)
     rotation = F.greatest(
         F.col("scatter") - v.dot(F.col("cross"), F.col("m"), 9) * 2.0, F.lit(0.0)
     )
-    rows = moments.join(rotamers, "conformer").select(
+    turned_fits = skew_join(
+        moments, rotamers, ["conformer"], left_rows=rows, right_rows=row_bound(rotamers), hot_rows=HOT_FITS
+    )
+    rows = turned_fits.select(
         "fragment",
         "conformer",
         "rotamer",
@@ -80,6 +91,35 @@ def best_poses(fragments: DataFrame, conformers: DataFrame, rotamers: DataFrame)
     return rows.groupBy("fragment", "conformer").agg(best).select("fragment", "conformer", "b.*")
 
 
+def base_rmsds(fits: DataFrame) -> DataFrame:
+    """Overlap RMSDs of both nucleotides of each fit with the reference.
+
+    ``fits(fragment, sequence, split, ref, coords, m, gx, gy, gz)``: the first ``split``
+    atoms are the first nucleotide.
+    """
+    grid = [F.col(g) for g in ("gx", "gy", "gz")]
+    placed = fits.withColumn(
+        "_world", F.transform("coords", lambda a: F.array(*place_atom(a, F.col("m"), grid)))
+    )
+    squares = F.zip_with(
+        "_world",
+        "ref",
+        lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d),
+    )
+    placed = placed.withColumn("_d", squares)
+
+    def part(values):
+        return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values))
+
+    rest = F.size("_d") - F.col("split")
+    return placed.select(
+        "fragment",
+        "sequence",
+        part(F.slice("_d", F.lit(1), F.col("split"))).alias("nucleotide1_ovrmsd"),
+        part(F.slice("_d", F.col("split") + 1, rest)).alias("nucleotide2_ovrmsd"),
+    )
+
+
 def best_fit_table(fits: DataFrame) -> DataFrame:
     """Report columns, with 1-based conformer and rotamer."""
     return fits.select(
@@ -136,13 +176,8 @@ def pair_rmsds(pairs: DataFrame) -> DataFrame:
         ),
     )
     overlap = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size("down_coords"))
-    return pairs.select(
-        "down",
-        "up",
-        "sequence",
-        overlap.alias("ovrmsd"),
-        superposed_rmsd(F.flatten("down_coords"), F.flatten("up_coords")).alias("crmsd"),
-    )
+    scored = pairs.select("down", "up", "sequence", overlap.alias("ovrmsd"), "down_coords", "up_coords")
+    return with_superposed_rmsd(scored, "down_coords", "up_coords", "crmsd").drop("down_coords", "up_coords")
 
 
 def thresholds(pairs: DataFrame) -> DataFrame:

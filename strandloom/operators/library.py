@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import GRID_SPACING
 from strandloom.functions import vectors as v
-from strandloom.functions.superpose import superposed_rmsd
-from strandloom.staging import require_empty, row_bound, skew_join
+from strandloom.functions.superpose import with_superposed_rmsd
+from strandloom.staging import bounded_broadcast, present, row_bound, skew_join
+
+MAX_SENT_ATOMS = 100_000  # template or bead rows sent to every task
 
 
 def rotamers_from_rotvec(rotvecs: DataFrame) -> DataFrame:
@@ -80,10 +82,8 @@ def update_crmsds(crmsds: DataFrame, lower: DataFrame, upper: DataFrame) -> Data
     )
     stale = F.col("_rl") | F.col("_ru")
     kept = pairs.where(~stale).select("lower", "upper", "crmsd")
-    fresh = pairs.where(stale).select(
-        "lower", "upper", superposed_rmsd(F.flatten("_cl"), F.flatten("_cu")).alias("crmsd")
-    )
-    return kept.unionByName(fresh)
+    fresh = with_superposed_rmsd(pairs.where(stale).select("lower", "upper", "_cl", "_cu"), "_cl", "_cu", "crmsd")
+    return kept.unionByName(fresh.select("lower", "upper", "crmsd"))
 
 
 def placed(pool: DataFrame, conformers: DataFrame, rotamers: DataFrame) -> DataFrame:
@@ -93,17 +93,13 @@ def placed(pool: DataFrame, conformers: DataFrame, rotamers: DataFrame) -> DataF
     a pool full of one conformer is split over tasks.
     """
     rows = row_bound(pool)
-    with_shape = skew_join(pool, conformers, ["conformer"], left_rows=rows, right_rows=0)
-    return skew_join(with_shape, rotamers, ["conformer", "rotamer"], left_rows=rows, right_rows=0)
-
-
-def require_library(pool: DataFrame, rotamers: DataFrame) -> None:
-    """Every pose must name a rotamer that the library has."""
-    used = pool.select("conformer", "rotamer").distinct()
-    require_empty(
-        used.join(rotamers.select("conformer", "rotamer"), ["conformer", "rotamer"], "left_anti"),
-        "pose refers to a missing rotamer",
+    shape = [c for c in conformers.columns if c != "conformer"]
+    with_shape = skew_join(pool, conformers, ["conformer"], "left_outer", left_rows=rows, right_rows=0)
+    turned = skew_join(
+        with_shape, rotamers, ["conformer", "rotamer"], "left_outer", left_rows=rows, right_rows=0
     )
+    checked = {c: present(F.col(c), "pose refers to a missing conformer") for c in shape}
+    return turned.withColumns({**checked, "m": present(F.col("m"), "pose refers to a missing rotamer")})
 
 
 def place_atom(atom: Column, m: Column, grid: list[Column]) -> list[Column]:
@@ -127,8 +123,9 @@ def pose_coordinates(pool: DataFrame, conformers: DataFrame, rotamers: DataFrame
 def converted_poses(pool: DataFrame, rotvecs: DataFrame) -> DataFrame:
     """External form of a pool: inverse rotation vector, translation and conformer."""
     joined = skew_join(
-        pool, rotvecs, ["conformer", "rotamer"], left_rows=row_bound(pool), right_rows=0
+        pool, rotvecs, ["conformer", "rotamer"], "left_outer", left_rows=row_bound(pool), right_rows=0
     )
+    joined = joined.withColumn("rx", present(F.col("rx"), "pose refers to a missing rotamer"))
     return joined.select(
         "pose_id",
         "conformer",
@@ -143,7 +140,7 @@ def reduce_to_beads(atoms: DataFrame, beads: DataFrame, keys: list[str]) -> Data
     ``atoms(keys, resname, name, x, y, z)``; ``beads(resname, bead, atom_type, name,
     bead_atoms)`` lists every atom of a bead with the number it must have.
     """
-    joined = atoms.join(F.broadcast(beads), ["resname", "name"])
+    joined = atoms.join(bounded_broadcast(beads, MAX_SENT_ATOMS), ["resname", "name"])
     grouped = joined.groupBy(*keys, "resname", "bead", "atom_type", "bead_atoms").agg(
         F.count_distinct("name").alias("_n"), *[F.avg(c).alias(c) for c in "xyz"]
     )

@@ -9,22 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.staging import require_empty, row_bound, skew_join, stage, with_bound
+from strandloom.staging import HOT_ROWS, present, require_empty, row_bound, skew_join, stage, with_bound
 
 
 def relation(pool: DataFrame) -> DataFrame:
     return with_bound(pool.select("pose_id", "parent_id"), getattr(pool, "_row_bound", None))
 
 
-def compose(child: DataFrame, parent: DataFrame) -> DataFrame:
-    """Lineage of ``child`` through ``parent``: child.parent_id = parent.pose_id."""
-    return skew_join(
+def compose(child: DataFrame, parent: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Lineage of ``child`` through ``parent``: child.parent_id = parent.pose_id.
+
+    ``strict`` makes a parent id that ``parent`` lacks an error, seen by the join
+    itself unless ``parent`` may hold hot keys.
+    """
+    rows, known = row_bound(child), row_bound(parent)
+    inline = strict and known < HOT_ROWS
+    if strict and not inline:
+        require_parents(child, parent)
+    composed = skew_join(
         child.select("pose_id", F.col("parent_id").alias("_via")),
         parent.select(F.col("pose_id").alias("_via"), "parent_id"),
         ["_via"],
-        left_rows=row_bound(child),
-        right_rows=row_bound(parent),
+        "left_outer" if inline else "inner",
+        left_rows=rows,
+        right_rows=known,
     ).select("pose_id", "parent_id")
+    if inline:
+        composed = composed.withColumn(
+            "parent_id", present(F.col("parent_id"), "lineage refers to a missing parent")
+        )
+    return composed
 
 
 def prune(rel: DataFrame, keys: DataFrame) -> DataFrame:
@@ -46,9 +60,7 @@ def compose_route(route: list[DataFrame], *, strict: bool = False) -> DataFrame:
     """Fold a route of relations, youngest first, into one relation."""
     result = relation(route[0])
     for number, step in enumerate(route[1:], start=1):
-        if strict:
-            require_parents(result, step)
-        result = compose(result, step)
+        result = compose(result, step, strict=strict)
         if number < len(route) - 1:
             # Written, so that a long route is neither planned nor counted twice.
             result = stage(result, "route")
@@ -75,7 +87,7 @@ def link_edges(low_route: list[DataFrame], high_route: list[DataFrame]) -> DataF
     sides = []
     for route, name in ((low_route, "low"), (high_route, "high")):
         if route:
-            rel = compose_route(route)
+            rel = compose_route(route, strict=True)
             sides.append(rel.select(F.col("parent_id").alias("_join"), F.col("pose_id").alias(name)))
         else:
             sides.append(None)

@@ -10,16 +10,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.constants import (
-    CHAIN_PAIRWISE_LIMIT,
-    GRID_SPACING,
-    PAIRWISE_LIMIT,
-    RMSD_DECIMALS,
-)
+from strandloom.constants import GRID_SPACING, RMSD_DECIMALS
 from strandloom.functions import vectors as v
 from strandloom.operators.library import placed
 from strandloom.staging import dense_ids, row_bound, skew_join, spread
@@ -52,28 +46,43 @@ def pose_rmsd(
     name: str = "rmsd",
 ) -> DataFrame:
     """``(pose_id, rmsd)`` to one reference fragment, rounded half-even."""
+    moments = reference_moments(conformers, reference)
+    moments = moments.select("conformer", F.struct("mean", "scatter", "cross").alias("_m"))
+    value = _placed_rmsd(F.col("_m"), reference)
+    return placed(pool, moments, rotamers).select("pose_id", value.alias(name))
+
+
+def _placed_rmsd(moments: Column, reference: list[list[float]]) -> Column:
+    """RMSD of a pose from its conformer's moments, rotation and grid point."""
     atoms = len(reference)
     centre = np.asarray(reference, dtype=float).mean(axis=0)
-    joined = placed(pool, reference_moments(conformers, reference), rotamers)
-    moved = v.rotate(F.col("mean"), F.col("m"))
+    moved = v.rotate(moments["mean"], F.col("m"))
     off = [
         moved[k] + F.col(g) * GRID_SPACING - float(centre[k]) for k, g in enumerate(("gx", "gy", "gz"))
     ]
-    turned = F.greatest(F.col("scatter") - v.dot(F.col("cross"), F.col("m"), 9) * 2.0, F.lit(0.0))
-    value = F.sqrt(turned / atoms + v.dot(off, off))
-    return joined.select("pose_id", F.bround(value, RMSD_DECIMALS).alias(name))
+    turned = F.greatest(moments["scatter"] - v.dot(moments["cross"], F.col("m"), 9) * 2.0, F.lit(0.0))
+    return F.bround(F.sqrt(turned / atoms + v.dot(off, off)), RMSD_DECIMALS)
 
 
 def ensemble_rmsd(
     pool: DataFrame, conformers: DataFrame, rotamers: DataFrame, reference: list[list[float]], split: int
 ) -> DataFrame:
     """Full, first- and second-nucleotide RMSD of every pose; ``split`` atoms come first."""
-    result = pose_rmsd(pool, conformers, rotamers, reference)
-    for name, first, count in (("first", 0, split), ("second", split, len(reference) - split)):
+    parts = {"rmsd": (0, len(reference)), "first": (0, split), "second": (split, len(reference) - split)}
+    moments = None
+    for name, (first, count) in parts.items():
         part = conformers.withColumn("coords", F.slice("coords", first + 1, count))
-        values = pose_rmsd(pool, part, rotamers, reference[first : first + count], name=name)
-        result = result.join(values, "pose_id")
-    return result
+        found = reference_moments(part, reference[first : first + count])
+        found = found.select("conformer", F.struct("mean", "scatter", "cross").alias(f"_{name}"))
+        moments = found if moments is None else moments.join(found, "conformer")
+    joined = placed(pool, moments, rotamers)
+    return joined.select(
+        "pose_id",
+        *[
+            _placed_rmsd(F.col(f"_{name}"), reference[first : first + count]).alias(name)
+            for name, (first, count) in parts.items()
+        ],
+    )
 
 
 def direct_rmsd(a: Column, b: Column) -> Column:
@@ -136,55 +145,20 @@ def triangle_pair(offset: int, n: int) -> tuple[int, int]:
     return i, offset - (i * n - i * (i + 1) // 2) + i + 1
 
 
-def pairwise_matrix(structures: DataFrame, *, limit: int = PAIRWISE_LIMIT, block: int = 512) -> DataFrame:
-    """The complete upper triangle ``(offset, i, j, rmsd)`` of a small ensemble.
+def _wide_values(numbered: DataFrame, names: list[str], values: DataFrame) -> DataFrame:
+    """``numbered`` with the columns ``_first_j`` and ``_second_j`` of each layer's node.
 
-    The report is quadratic by definition, so inputs above ``limit`` are refused.
-    Rows meet as pairs of blocks of fixed size, each one task-sized product.
+    One join per layer, many chains to one node; rows never multiply.
     """
-    total = row_bound(structures)
-    if total > limit:
-        raise ValueError(f"{total} structures exceed the pairwise limit of {limit}")
-    blocks = -(-total // block)
-    numbered = dense_ids(structures, ["id"], "n", "pairwise")
-    own = F.floor(F.col("n") / block).cast("int")
-    rows = numbered.select("n", "coords", own.alias("lo"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("hi"))
-    cols = numbered.select(
-        F.col("n").alias("m"),
-        F.col("coords").alias("other"),
-        own.alias("right"),
-        F.explode(F.sequence(F.lit(0), own)).alias("left"),
-    )
-
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"i": [], "j": [], "rmsd": []})
-        a, b = np.stack(left["coords"].to_list()), np.stack(right["other"].to_list())
-        i, j = np.meshgrid(left["n"].to_numpy(), right["m"].to_numpy(), indexing="ij")
-        value = np.empty(i.shape)
-        for row in range(len(a)):
-            value[row] = np.sqrt(((b - a[row]) ** 2).sum(axis=1) / (a.shape[1] / 3))
-        upper = i < j
-        return pd.DataFrame({"i": i[upper], "j": j[upper], "rmsd": value[upper]})
-
-    tiles = (
-        rows.groupBy("lo", "hi")
-        .cogroup(cols.groupBy("left", "right"))
-        .applyInPandas(tile, "i bigint, j bigint, rmsd double")
-    )
-    return tiles.select(
-        triangle_offset(F.col("i"), F.col("j"), total).alias("offset"), "i", "j", "rmsd"
-    )
-
-
-def chain_pairwise_matrix(structures: DataFrame) -> DataFrame:
-    return pairwise_matrix(structures, limit=CHAIN_PAIRWISE_LIMIT)
-
-
-def melt_chains(numbered: DataFrame, names: list[str]) -> DataFrame:
-    """``(chain, layer, node)``: one row per chain and layer, layers from 0, nodes 0-based."""
-    entries = F.posexplode(F.array(*[F.col(n) - 1 for n in names])).alias("layer", "node")
-    return numbered.select("chain", entries)
+    rows = row_bound(numbered)
+    known = row_bound(values)
+    wide = numbered.select("chain", *names)
+    for j, name in enumerate(names):
+        layer = values.where(F.col("layer") == j).select(
+            (F.col("node") + 1).alias(name), F.col("first").alias(f"_first_{j}"), F.col("second").alias(f"_second_{j}")
+        )
+        wide = skew_join(wide, layer, [name], left_rows=rows, right_rows=known)
+    return wide
 
 
 def chain_rmsd(numbered: DataFrame, names: list[str], values: DataFrame) -> DataFrame:
@@ -193,27 +167,13 @@ def chain_rmsd(numbered: DataFrame, names: list[str], values: DataFrame) -> Data
     A nucleotide shared by two fragments counts with the mean of its two RMSDs; the
     chain RMSD is the root mean square over the k+1 nucleotides.
     """
-    long = melt_chains(numbered, names)
-    joined = skew_join(long, values, ["layer", "node"])
-    both = F.explode(
-        F.array(
-            F.struct(F.col("layer").alias("nucleotide"), F.col("first").alias("value")),
-            F.struct((F.col("layer") + 1).alias("nucleotide"), F.col("second").alias("value")),
-        )
-    ).alias("e")
-    # One shuffle by chain serves both aggregations.
-    nucleotides = (
-        joined.select("chain", both)
-        .select("chain", "e.*")
-        .repartition("chain")
-        .groupBy("chain", "nucleotide")
-        .agg(F.avg("value").alias("value"))
-    )
-    return nucleotides.groupBy("chain").agg(
-        F.bround(
-            F.sqrt(F.sum(F.col("value") * F.col("value")) / (len(names) + 1)), RMSD_DECIMALS
-        ).alias("chain_rmsd")
-    )
+    wide = _wide_values(numbered, names, values)
+    k = len(names)
+    each = [F.col("_first_0")]
+    each += [(F.col(f"_second_{j}") + F.col(f"_first_{j + 1}")) / 2.0 for j in range(k - 1)]
+    each.append(F.col(f"_second_{k - 1}"))
+    square = sum((x * x for x in each[1:]), each[0] * each[0])
+    return wide.select("chain", F.bround(F.sqrt(square / (k + 1)), RMSD_DECIMALS).alias("chain_rmsd"))
 
 
 def chain_coordinates(numbered: DataFrame, names: list[str], values: DataFrame) -> DataFrame:
@@ -222,21 +182,11 @@ def chain_coordinates(numbered: DataFrame, names: list[str], values: DataFrame)
     ``first`` and ``second`` are flat coordinate arrays of the two nucleotides of a
     pose; the two copies of a shared nucleotide are averaged.
     """
-    long = melt_chains(numbered, names)
-    joined = skew_join(long, values, ["layer", "node"])
-    both = F.explode(
-        F.array(
-            F.struct(F.col("layer").alias("nucleotide"), F.col("first").alias("xyz")),
-            F.struct((F.col("layer") + 1).alias("nucleotide"), F.col("second").alias("xyz")),
-        )
-    ).alias("e")
-    copies = (
-        joined.select("chain", both)
-        .select("chain", "e.*")
-        .groupBy("chain", "nucleotide")
-        .agg(F.collect_list("xyz").alias("c"))  # one or two copies
-    )
-    mean = F.when(F.size("c") == 1, F.get("c", F.lit(0))).otherwise(
-        F.zip_with(F.get("c", F.lit(0)), F.get("c", F.lit(1)), lambda x, y: (x + y) / 2.0)
-    )
-    return copies.select("chain", "nucleotide", mean.alias("xyz"))
+    wide = _wide_values(numbered, names, values)
+    k = len(names)
+    each = [F.col("_first_0")]
+    each += [
+        F.zip_with(f"_second_{j}", f"_first_{j + 1}", lambda x, y: (x + y) / 2.0) for j in range(k - 1)
+    ]
+    each.append(F.col(f"_second_{k - 1}"))
+    return wide.select("chain", F.posexplode(F.array(*each)).alias("nucleotide", "xyz"))

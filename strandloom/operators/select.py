@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import POSE
 from strandloom.operators.pool import fingerprint, organize
-from strandloom.staging import dense_ids, row_bound, skew_join
+from strandloom.staging import dense_ids, present, task_count
+
+COPY_BLOCK = 100_000  # copies of one id that one task writes
 
 
 def require_aligned(pool_rows: int, measure_rows: int) -> None:
@@ -34,8 +36,12 @@ def mask_encoding(rows: int, selected: int) -> str:
 
 def filter_by_score(pool: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
     """Passing poses, re-numbered, with the id they had as ``parent_id``."""
-    require_aligned(row_bound(pool), row_bound(scores))
-    return renumber(pool.join(mask(scores, threshold), "pose_id"))
+    require_aligned(pool.count(), scores.count())
+    # Equal numbers and a score for every pose leave no score of another pool.
+    scored = pool.join(scores.select("pose_id", "score", F.lit(True).alias("_scored")), "pose_id", "left")
+    # Rows without a score pass the predicate, so that the join keeps them, and fail after it.
+    passing = scored.where(F.col("_scored").isNull() | ((F.col("score") < threshold) & ~F.isnan("score")))
+    return renumber(passing.withColumn("gx", F.when(present(F.col("_scored"), "a pose has no score"), F.col("gx"))))
 
 
 def filter_by_mask(pool: DataFrame, selector: DataFrame) -> DataFrame:
@@ -44,28 +50,34 @@ def filter_by_mask(pool: DataFrame, selector: DataFrame) -> DataFrame:
 
 
 def filter_by_index(pool: DataFrame, index: DataFrame) -> DataFrame:
-    """Poses named by an id list; an id listed twice gives two rows."""
-    return renumber(
-        skew_join(index.select("pose_id"), pool, ["pose_id"], right_rows=row_bound(pool)),
-        tie=["parent_id", "_copy"],
+    """Poses named by an id list; an id listed twice gives two rows.
+
+    Listed ids are counted before they meet the pool, so a hot id is one row there.
+    Its copies are written out in blocks that are dealt to different tasks.
+    """
+    counts = index.groupBy("pose_id").agg(F.count("*").alias("_n"))
+    found = counts.join(pool.select("pose_id", *POSE, F.lit(True).alias("_there")), "pose_id", "left")
+    last = F.floor((F.col("_n") - 1) / F.lit(COPY_BLOCK)).cast("bigint")
+    there = present(F.col("_there"), "a listed pose is not in the pool")
+    blocks = found.withColumn("gx", F.when(there, F.col("gx"))).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    )
+    dealt = blocks.repartition(task_count(pool.sparkSession), "pose_id", "_block")
+    first = F.col("_block") * COPY_BLOCK
+    copies = dealt.withColumn(
+        "_copy", F.explode(F.sequence(first, F.least(first + COPY_BLOCK, F.col("_n")) - 1))
     )
+    kept = copies.select(F.col("pose_id").alias("parent_id"), *POSE, "_copy")
+    return organize(kept, ["parent_id", "_copy"], label="filtered").drop("_copy")
 
 
-def renumber(selected: DataFrame, tie: list[str] | None = None) -> DataFrame:
+def renumber(selected: DataFrame) -> DataFrame:
     """New canonical pool of already organized rows, keeping the old id.
 
     The old ids already follow the canonical order, so they break every tie.
     """
     kept = selected.select(F.col("pose_id").alias("parent_id"), *POSE)
-    if tie and "_copy" in tie:
-        # Copies of one id are the same row; count them and write them back out.
-        kept = (
-            kept.groupBy("parent_id", *POSE)
-            .agg(F.count("*").alias("_n"))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-            .drop("_n")
-        )
-    return organize(kept, tie or ["parent_id"], label="filtered").drop("_copy")
+    return organize(kept, ["parent_id"], label="filtered")
 
 
 def select_by_rmsd(rmsds: DataFrame, threshold: float, *, preserve_order: bool = False) -> DataFrame:

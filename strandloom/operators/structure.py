@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import MAX_BACKBONE_BOND
 from strandloom.functions.nucleotides import base_of
-from strandloom.staging import require_empty
+from strandloom.operators.library import MAX_SENT_ATOMS
+from strandloom.staging import bounded_broadcast, require_empty
 
 
 def require_single_chain(atoms: DataFrame) -> None:
@@ -19,6 +20,11 @@ def require_single_chain(atoms: DataFrame) -> None:
     require_empty(chains.where("chains > 1"), "structure has several chains")
 
 
+def _refused(column, when, message):
+    """The column, or an error for rows of which ``when`` holds; part of the same pass."""
+    return F.when(when, F.raise_error(F.lit(message))).otherwise(column)
+
+
 def nucleotides(atoms: DataFrame, template: DataFrame, *, ignore_missing: bool = False,
                 ignore_unknown: bool = False) -> DataFrame:
     """``(structure, resid, base, position, xyz, bond3, bond5)`` of complete nucleotides.
@@ -30,10 +36,11 @@ def nucleotides(atoms: DataFrame, template: DataFrame, *, ignore_missing: bool =
     name = F.regexp_replace(F.trim("name"), r"\*", "'")
     based = atoms.withColumn("base", base_of(F.col("resname"))).withColumn("name", name)
     if not ignore_unknown:
-        require_empty(based.where(F.col("base").isNull()), "unknown base")
+        based = based.withColumn("base", _refused(F.col("base"), F.col("base").isNull(), "unknown base"))
+    template = bounded_broadcast(template, MAX_SENT_ATOMS)
     sizes = template.groupBy("base").agg(F.count("*").alias("atoms"))
     found = (
-        based.join(F.broadcast(template), ["base", "name"])
+        based.join(template, ["base", "name"])
         .groupBy("structure", "resid", "base")
         .agg(
             F.sort_array(F.collect_list(F.struct("place", "x", "y", "z"))).alias("_a"),
@@ -41,12 +48,12 @@ def nucleotides(atoms: DataFrame, template: DataFrame, *, ignore_missing: bool =
             F.max(F.when(F.col("name") == "O3'", F.struct("x", "y", "z"))).alias("bond3"),
             F.max(F.when(F.col("name") == "P", F.struct("x", "y", "z"))).alias("bond5"),
         )
-        .join(F.broadcast(sizes), "base")
+        .join(sizes, "base")
     )
-    require_empty(found.where(F.size("_a") > F.col("_distinct")), "duplicate atom")
-    whole = F.col("_distinct") == F.col("atoms")
+    twice = F.size("_a") > F.col("_distinct")
+    whole = _refused(F.col("_distinct") == F.col("atoms"), twice, "duplicate atom")
     if not ignore_missing:
-        require_empty(found.where(~whole), "nucleotide lacks atoms")
+        whole = _refused(F.lit(True), ~whole, "nucleotide lacks atoms")
     order = Window.partitionBy("structure").orderBy("resid")
     return found.where(whole).select(
         "structure",

@@ -97,10 +97,12 @@ def chain_sequences(described: dict, sequence: str | None = None) -> list[str]:
     return found
 
 
-def write_rmsds(rmsds: DataFrame, path: str, rows: int, text_limit: int) -> None:
-    """RMSDs in pool order: three-decimal text when small, else a column table."""
+def write_rmsds(rmsds: DataFrame, path: str, *, format: str = "parquet") -> None:
+    """RMSDs in pool order: a table with pose ids, or their three-decimal text."""
+    if format not in ("parquet", "text"):
+        raise ValueError(f"format must be parquet or text, not {format}")
     ordered = rmsds.repartitionByRange("pose_id").sortWithinPartitions("pose_id")
-    if rows > text_limit:
+    if format == "parquet":
         ordered.write.parquet(path)
     else:
         ordered.select(F.format_string("%.3f", F.col("rmsd")).alias("value")).write.text(path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A key with fewer rows than this is handled by one task without trouble.
@@ -149,8 +149,8 @@ def skew_join(
     left and ``b`` on the right becomes ``a*b`` groups, each left row meeting each
     right row in exactly one of them.
     """
-    if how not in ("inner", "left_semi"):
-        raise ValueError(f"skew_join supports inner and left_semi, not {how}")
+    if how not in ("inner", "left_semi", "left_outer"):
+        raise ValueError(f"skew_join supports inner, left_semi and left_outer, not {how}")
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     left_rows = row_bound(left) if left_rows is None else left_rows
     if how == "left_semi":
@@ -158,6 +158,9 @@ def skew_join(
         right_rows = 0  # distinct keys: never hot
     elif right_rows is None:
         right_rows = row_bound(right)
+    if how == "left_outer" and right_rows >= hot_rows:
+        # A block of a split right key may hold no partner of a left row.
+        raise ValueError("left_outer needs a right side without hot keys; pass right_rows=0 for unique keys")
     if max(left_rows, right_rows) < hot_rows:
         joined = left.join(right, on, how)
         return with_bound(joined, left_rows) if how == "left_semi" else joined
@@ -195,6 +198,11 @@ def skew_join(
     return with_bound(joined, left_rows) if how == "left_semi" else joined
 
 
+def present(column: Column, message: str) -> Column:
+    """The column, or an error where a join found no partner."""
+    return F.when(column.isNull(), F.raise_error(F.lit(message))).otherwise(column)
+
+
 def require_empty(df: DataFrame, message: str) -> None:
     """Raise with a sample row if ``df`` has any row."""
     bad = df.limit(1).collect()

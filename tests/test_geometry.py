@@ -117,14 +117,7 @@ def test_pairs_below_and_full_matrix(spark, hot_rows):
     got = {(r.i, r.j): r.rmsd for r in rmsd.pairs_below(df, 0.4, hot_rows=hot_rows).collect()}
     want = {k: x for k, x in full.items() if x < 0.4}
     assert got.keys() == want.keys() and len(want) > 50
-    if hot_rows is None:
-        rows = rmsd.pairwise_matrix(df, block=8).orderBy("offset").collect()
-        assert [r.offset for r in rows] == list(range(len(full)))
-        assert [(r.i, r.j) for r in rows] == sorted(full)
-        assert np.allclose([r.rmsd for r in rows], [full[k] for k in sorted(full)])
-        assert [rmsd.triangle_pair(n, len(data)) for n in range(len(full))] == sorted(full)
-        with pytest.raises(ValueError, match="limit"):
-            rmsd.pairwise_matrix(df, limit=10)
+    assert [rmsd.triangle_pair(n, len(data)) for n in range(len(full))] == sorted(full)
 
 
 def test_superposition(spark):
@@ -132,15 +125,17 @@ def test_superposition(spark):
     a = rng.normal(size=(6, 8, 3))
     turned = np.array([x @ matrix(rng.normal(size=3)) + 3 for x in a])
     df = spark.createDataFrame(
-        [(x.ravel().tolist(), y.ravel().tolist(), (x * [1, 1, -1]).ravel().tolist()) for x, y in zip(a, turned)],
-        "a array<double>, b array<double>, mirrored array<double>",
+        [(x.tolist(), y.tolist(), (x * [1, 1, -1]).tolist()) for x, y in zip(a, turned)],
+        "a array<array<double>>, b array<array<double>>, mirrored array<array<double>>",
     )
-    rows = df.select(
-        "a", "b",
-        superpose.superposed_rmsd("a", "b").alias("d"),
-        superpose.superposed_rmsd("a", "mirrored").alias("far"),
-        superpose.superposing_rotation("a", "b").alias("m"),
-    ).collect()
+    scored = superpose.with_superposed_rmsd(superpose.with_superposed_rmsd(df, "a", "b", "d"), "a", "mirrored", "far")
+    turn = superpose.superposing_rotation(F.flatten("a"), F.flatten("b"))
+    rows = scored.select("d", "far", turn.alias("m")).collect()
+    want = superpose.fit(a, a * [1, 1, -1])[1]
+    assert np.allclose([r.far for r in rows], want)
+    odd = df.select("a", F.slice("b", 1, 7).alias("b"))
+    with pytest.raises(Exception, match="atom counts"):
+        superpose.with_superposed_rmsd(odd, "a", "b", "d").collect()
     for r, x, y in zip(rows, a, turned):
         m = np.reshape(r.m, (3, 3))
         assert r.d < 1e-6 and r.far > 0.1 and abs(np.linalg.det(m) - 1) < 1e-9
@@ -258,6 +253,12 @@ def test_anchor_equals_brute_force(spark):
     assert {(r.rotamer, r.gx, r.gy, r.gz) for r in kept} == {k for k, (c, cap) in want.items() if c >= cap / 3}
 
 
+def plane_normal(ring):
+    """Direction of least spread, on the side the first three atoms go round."""
+    normal = np.linalg.svd(ring - ring.mean(0))[2][2]
+    return normal * np.sign(normal @ np.cross(ring[1] - ring[0], ring[2] - ring[1]))
+
+
 def test_stacking_angle_and_dihedral(spark):
     rng = np.random.default_rng(12)
     rows = [(rng.normal(size=(6, 3)), rng.normal(size=(9, 3))) for _ in range(6)]
@@ -266,13 +267,16 @@ def test_stacking_angle_and_dihedral(spark):
     )
     got = stacking.stacking_angle_dihedral(df, "p", "n").collect()
     for r, (a, b) in zip(got, rows):
-        n, m = superpose.plane_normals(a[None])[0], superpose.plane_normals(b[None])[0]
-        assert np.isclose(np.linalg.norm(n), 1) and abs(r.angle - math.asin(min(1, np.linalg.norm(np.cross(n, m))))) < 1e-9
+        n, m = plane_normal(a), plane_normal(b)
+        assert abs(r.angle - math.asin(min(1, np.linalg.norm(np.cross(n, m))))) < 1e-7
         x = (a[0] - a.mean(0)) / np.linalg.norm(a[0] - a.mean(0))
         y = np.cross(n, x) / np.linalg.norm(np.cross(n, x))
         f = b[0] - b.mean(0)
         f = f - (f @ n) * n
-        assert abs(r.dihedral - math.atan2(f @ y, f @ x)) < 1e-9
+        assert abs(r.dihedral - math.atan2(f @ y, f @ x)) < 1e-7
+    line = spark.createDataFrame([([float(k) for n in range(4) for k in (n, 2 * n, -n)],)], "p array<double>")
+    with pytest.raises(Exception, match="degenerate"):
+        superpose.with_plane_normal(line, "p", "n").collect()
 
 
 def test_rings_by_residue(spark):
@@ -299,6 +303,25 @@ def test_mutation_round_trip(spark):
         nucleotides.mutate(F.col("c"), "AC", "CC")
 
 
+def test_thresholds_just_below_a_cent(spark):
+    values = [0.009999999999, 1.2299999999, 0.01, 1.23, -1.23, -0.004, 12.999999999999, 1e-9, 0.0]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for r in df.select("x", decimals.above_cent_column(F.col("x")).alias("y")).collect():
+        assert str(r.y) == decimals.above_cent(r.x)
+
+
+def test_poses_of_an_unknown_library_entry_are_refused(spark):
+    rng = np.random.default_rng(20)
+    _, _, conf, rot, rotvecs = make_library(spark, rng, 2, 4, 3)
+    pool_schema = "pose_id bigint, conformer int, rotamer int, gx int, gy int, gz int"
+    for pose, words in (((0, 5, 0, 0, 0, 0), "missing conformer"), ((0, 1, 9, 0, 0, 0), "missing rotamer")):
+        df = spark.createDataFrame([pose], pool_schema)
+        with pytest.raises(Exception, match=words):
+            library.pose_coordinates(df, conf, rot).collect()
+        with pytest.raises(Exception, match="missing rotamer"):
+            library.converted_poses(df, rotvecs).collect()
+
+
 def test_decimal_thresholds():
     cases = {"0": "0.01", "1.23": "1.24", "1.239": "1.24", "-1.23": "-1.22", "-1.239": "-1.23", "-0.004": "0.00",
              "1e-9": "0.01", "-1e-9": "0.00", "0.01": "0.02", "12.999999999999999999999999999999": "13.00"}
@@ -325,8 +348,13 @@ def test_structure_fragments(spark):
     got = {r.fragment: r.sequence for r in structure.dinucleotides(nucs).collect()}
     assert got == {1: "AG", 3: "UC"}  # the backbone breaks between G and U
     structure.require_single_chain(df)
-    with pytest.raises(ValueError, match="lacks atoms"):
-        structure.nucleotides(df.where("index <> 5"), template)
+    for bad, words in (
+        (df.where("index <> 5"), "lacks atoms"),
+        (df.unionByName(df.where("index = 5")), "duplicate atom"),
+        (df.withColumn("resname", F.lit("XX")), "unknown base"),
+    ):
+        with pytest.raises(Exception, match=words):
+            structure.nucleotides(bad, template).collect()
     kept = structure.nucleotides(df.where("index <> 5"), template, ignore_missing=True)
     assert [r.resid for r in kept.orderBy("position").collect()] == [1, 3, 4]
 

@@ -1,4 +1,4 @@
-"""Text and array sources, result reuse and the pool graph."""
+"""Text and array sources."""
 
 import json
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import POSE
 from strandloom.operators import pool
-from strandloom.plans.representatives import AmbiguousLineage, Pool, PoolGraph
-from strandloom.plans.results import Results, Step
 from strandloom.sources import arrays, pdb, tables
 
 
@@ -133,69 +131,3 @@ def test_parameter_files():
     assert tables.substitute({"root": "/d", "lib": "$root/l", "x": "$lib/x"})["x"] == "/d/l/x"
     with pytest.raises(ValueError, match="circle"):
         tables.substitute({"a": "$b/", "b": "$a/"})
-
-
-def test_results_are_reused_until_something_changes(spark, tmp_path):
-    ran = []
-
-    def numbers(fragment, top):
-        ran.append("anchor")
-        return spark.range(top).withColumnRenamed("id", "pose_id")
-
-    def score(input, sign):
-        ran.append("score")
-        return input.select("pose_id", (F.col("pose_id") * float(sign)).alias("score"))
-
-    def steps(sign):
-        return [
-            Step("s", "score", score, {"input": "a"}, {"sign": sign}),
-            Step("a", "anchor", numbers, {}, {"fragment": 1, "top": 5}),
-        ]
-
-    first = Results(spark, steps(1), str(tmp_path))
-    assert first.table("s").count() == 5 and ran == ["anchor", "score"]
-    assert Results(spark, steps(1), str(tmp_path)).table("s").count() == 5 and ran == ["anchor", "score"]
-    again = Results(spark, steps(-1), str(tmp_path))
-    assert again.table("s").agg(F.min("score")).first()[0] == -4.0 and ran == ["anchor", "score", "score"]
-    assert again.keys["a"] == first.keys["a"] and again.keys["s"] != first.keys["s"]
-
-
-def test_results_reject_wrong_graphs(spark):
-    run = lambda **_: None
-    anchor = Step("a", "anchor", run)
-    for bad, words in (
-        ([Step("x", "mystery", run)], "unknown action"),
-        ([Step("x", "grow", run)], "missing"),
-        ([anchor, Step("x", "rmsd", run, {"input": "b"})], "no step"),
-        ([anchor, Step("m", "mask", run, {"input": "a", "score_input": "a"})], "needs a score"),
-        ([Step("x", "grow", run, {"input": "y"}), Step("y", "grow", run, {"input": "x"})], "cycle"),
-        ([anchor, Step("f", "filter", run, {"input": "a"})], "score or a mask"),
-    ):
-        with pytest.raises(ValueError, match=words):
-            Results(spark, bad, "/nowhere")
-
-
-def test_representatives_and_links():
-    pools = [
-        Pool("anchor", 2),
-        Pool("anchor-f", 2, {"anchor": "within"}),
-        Pool("grow3", 3, {"anchor-f": "grow"}),
-        Pool("grow3-f", 3, {"grow3": "within"}),
-        Pool("grow1", 1, {"anchor-f": "grow"}),
-        Pool("lonely", 5),
-    ]
-    graph = PoolGraph(pools)
-    assert graph.representatives == {1: "grow1", 2: "anchor-f", 3: "grow3-f"} and graph.skipped == [5]
-    links = {(x["low"], x["high"]): x for x in graph.links()}
-    assert links["anchor-f", "grow3-f"]["high_route"] == ["grow3-f", "grow3", "anchor-f"]
-    assert links["grow1", "anchor-f"]["join"] == "anchor-f"
-    assert graph.targets(exclude=("grow1",)) == ["anchor-f", "grow3-f"]
-    with pytest.raises(ValueError, match="not representatives"):
-        graph.targets(("grow3",))
-    assert '"anchor-f" -> "grow3"' in graph.dot()
-    twice = [*pools, Pool("other3", 3, {"anchor-f": "grow"})]
-    with pytest.raises(AmbiguousLineage, match="several lineages"):
-        PoolGraph(twice)
-    assert PoolGraph(twice, ("other3",)).representatives[3] == "other3"
-    with pytest.raises(ValueError, match="gap"):
-        PoolGraph([Pool("a", 1), Pool("b", 2, {"a": "grow"}), Pool("c", 3), Pool("d", 4, {"c": "grow"})])
