@@ -25,6 +25,11 @@ HEADLINE = [
     "structure_pairs_below_rmsd",
     "best_pose_per_fragment",
     "stacking_filter_check",
+    "pair_energy_with_receptor",
+    "best_conformer_per_fragment",
+    "chain_rmsd",
+    "chain_coordinates",
+    "index_filter_keeps_copies",
 ]
 
 

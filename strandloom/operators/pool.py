@@ -14,7 +14,7 @@ from strandloom.constants import (
     OFFSET,
     POSE,
 )
-from strandloom.staging import dense_ids, row_bound, skew_join, stage
+from strandloom.staging import dense_ids, present, row_bound, skew_join, stage
 
 
 def checked(column: Column, low: int, high: int, name: str) -> Column:
@@ -134,8 +134,14 @@ def select_poses(
 
 
 def scatter(values: DataFrame, order_array: DataFrame, value: str) -> DataFrame:
-    """Re-key a measure of a selection to request positions, for any order array."""
-    return order_array.join(values, "pose_id").select("request_pos", value)
+    """Re-key a measure of a selection to request positions, for any order array.
+
+    A request without a value is an error.
+    """
+    known = values.select("pose_id", value, F.lit(True).alias("_there"))
+    found = skew_join(order_array, known, ["pose_id"], "left_outer", right_rows=0)
+    checked = present(F.col("_there"), "a request has no value")
+    return found.select(F.when(checked, F.col("request_pos")).alias("request_pos"), value)
 
 
 def fingerprint(pool: DataFrame) -> DataFrame:
