@@ -5,6 +5,8 @@ Files are read by byte range or as a bounded stream inside tasks, never whole.
 
 from __future__ import annotations
 
+import io
+import math
 import os
 import struct
 from collections.abc import Iterator
@@ -96,6 +98,60 @@ def read_npy(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
     return spark.range(0, tasks, 1, tasks).mapInPandas(load, f"pose_id bigint, {name} {_sql_type(dtype)}")
 
 
+def read_arrays(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
+    """``(row, name)`` of an array kept as one file or as a folder of parts in name order.
+
+    Files come through Spark's own reader, so they may lie in any store; each part is at
+    most 2 GB, as that reader asks, and is decoded by one task.  Parts may be compressed
+    (``.npy.zst``).  Rows of arrays of more dimensions are flat arrays.  All parts need
+    one type and one row shape.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def decode(content: bytes, path: str) -> np.ndarray:
+        if path.endswith(".zst"):
+            import zstandard
+
+            with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as stream:
+                content = stream.read()
+        handle = io.BytesIO(content)
+        shape, dtype = _header(handle)
+        body = content[handle.tell() :]
+        if not shape or len(body) != dtype.itemsize * math.prod(shape):
+            raise ValueError(f"{path}: the data do not fit shape {shape}")
+        found = np.frombuffer(body, dtype).reshape(shape)
+        if dtype.kind == "u" and dtype.itemsize == 8 and found.size and found.max() >> 63:
+            raise ValueError(f"{path}: value exceeds 63 bits")
+        return found
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                found = decode(content, path)
+                kind = _sql_type(found.dtype) + ("" if found.ndim == 1 else f" {found.shape[1:]}")
+                yield pd.DataFrame({"path": [path], "rows": [len(found)], "kind": [kind]})
+
+    # One row per file.
+    parts = files.mapInPandas(heads, "path string, rows bigint, kind string").orderBy("path").collect()
+    kinds = {p.kind for p in parts}
+    if len(kinds) != 1:
+        raise ValueError(f"{path}: parts differ: {sorted(kinds)}")
+    kind = kinds.pop().split(" ")
+    starts = dict(zip([p.path for p in parts], np.cumsum([0, *[p.rows for p in parts]]).tolist()))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                found = decode(content, path)
+                for at in range(0, len(found), CHUNK):
+                    part = found[at : at + CHUNK]
+                    values = part if part.ndim == 1 else list(part.reshape(len(part), -1))
+                    yield pd.DataFrame({"row": starts[path] + at + np.arange(len(part)), name: values})
+
+    sql = kind[0] if len(kind) == 1 else f"array<{kind[0]}>"
+    return files.mapInPandas(rows, f"row bigint, {name} {sql}")
+
+
 def _pose_header(raw: bytes, magic: bytes, path: str):
     if raw[: len(magic)] != magic:
         raise ValueError(f"{path}: wrong file mark")

@@ -131,3 +131,50 @@ def test_parameter_files():
     assert tables.substitute({"root": "/d", "lib": "$root/l", "x": "$lib/x"})["x"] == "/d/l/x"
     with pytest.raises(ValueError, match="circle"):
         tables.substitute({"a": "$b/", "b": "$a/"})
+
+
+def test_arrays_of_any_shape_and_library_files(spark, tmp_path):
+    import zstandard
+
+    from strandloom.sources import library
+
+    rng = np.random.default_rng(3)
+    whole = rng.normal(size=(7, 4, 3)).astype("<f4")
+    folder = tmp_path / "conformers"
+    folder.mkdir()
+    np.save(folder / "a.npy", whole[:3])
+    np.save(tmp_path / "b.npy", whole[3:])
+    raw = (tmp_path / "b.npy").read_bytes()
+    frames = [zstandard.compress(raw[:50]), zstandard.compress(raw[50:])]
+    (folder / "b.npy.zst").write_bytes(b"".join(frames))
+    got = {r.conformer: r.coords for r in library.read_conformers(spark, str(folder)).collect()}
+    assert sorted(got) == list(range(7)) and all(np.allclose(got[n], whole[n]) for n in got)
+    np.save(tmp_path / "v.npy", rng.normal(size=(6, 3)))
+    np.save(tmp_path / "ends.npy", np.array([2, 2, 6], np.uint32))
+    rotamers = library.read_rotamers(spark, str(tmp_path / "v.npy"), str(tmp_path / "ends.npy"))
+    rows = sorted((r.conformer, r.rotamer, round(r.rx, 9)) for r in rotamers.collect())
+    first = np.load(tmp_path / "v.npy")[:, 0].round(9).tolist()
+    assert rows == [(c, r, x) for (c, r), x in zip([(0, 0), (0, 1), (2, 0), (2, 1), (2, 2), (2, 3)], first)]
+    np.save(tmp_path / "ends.npy", np.array([2, 5], np.uint32))
+    with pytest.raises(Exception, match="end indices differ"):
+        library.read_rotamers(spark, str(tmp_path / "v.npy"), str(tmp_path / "ends.npy")).collect()
+    matrix = rng.random((2, 3))
+    np.save(tmp_path / "m.npy", matrix)
+    pairs = {(r.lower, r.upper): r.crmsd for r in library.read_crmsds(spark, str(tmp_path / "m.npy")).collect()}
+    assert pairs == {(i, j): matrix[i, j] for i in range(2) for j in range(3)}
+    np.save(folder / "c.npy", np.zeros((2, 5)))
+    with pytest.raises(ValueError, match="parts differ"):
+        arrays.read_arrays(spark, str(folder))
+    (tmp_path / "short.npy").write_bytes(raw[:-4])
+    with pytest.raises(Exception, match="do not fit"):
+        arrays.read_arrays(spark, str(tmp_path / "short.npy"))
+
+
+def test_rmsd_output_formats(spark, tmp_path):
+    rmsds = spark.createDataFrame([(2, 0.5), (0, 1.25), (1, 2.0)], "pose_id bigint, rmsd double")
+    tables.write_rmsds(rmsds, str(tmp_path / "t"), format="text")
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["1.250", "2.000", "0.500"]
+    tables.write_rmsds(rmsds, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+    with pytest.raises(ValueError, match="format"):
+        tables.write_rmsds(rmsds, str(tmp_path / "x"), format="tsv")
