@@ -160,6 +160,27 @@ def bead_reduction(spark, sf_dir):
     return reduced.select("vec_id", "bead", *[F.round(c, 9).alias(c) for c in "xyz"])
 
 
+@query(
+    "pose_record_lines",
+    f"WITH {LIB}, {DOCK} SELECT p.pose_id, CAST(t.atom + 1 AS INTEGER) AS atom, printf('ATOM  %5d  N1    A B%4d    %8.3f%8.3f%8.3f  1.00  0.00         B N  ', "
+    f"t.atom + 1, t.atom // 11 + 1, t.x + p.gx * {G}::DOUBLE, t.y + p.gy * {G}::DOUBLE, t.z + p.gz * {G}::DOUBLE) AS line "
+    "FROM dock p JOIN turned t ON t.conformer = p.conformer AND t.rotamer = p.rotamer",
+)
+def pose_record_lines(spark, sf_dir):
+    """Poses as structure records, a model each."""
+    placed = library.pose_coordinates(
+        dock_pool(spark, sf_dir), conformers(spark, sf_dir), rotamers(spark, sf_dir)
+    )
+    rows = [(n, "", "N1", " ", "A", "B", n + 1, " ", n // 11 + 1, 1.0, 0.0, "B", "N") for n in range(22)]
+    template = spark.createDataFrame(
+        rows,
+        "place int, hetero string, name string, altloc string, resname string, chain string, index int, "
+        "icode string, resid int, occupancy double, bfactor double, segid string, element string",
+    )
+    atoms = pdb.pose_atoms(placed.select("pose_id", "xyz"), template)
+    return atoms.select("pose_id", F.col("index").alias("atom"), pdb.record().alias("line"))
+
+
 _CUTOFF = 6.0
 
 

@@ -160,6 +160,21 @@ def write_models(atoms: DataFrame, path: str, *, ter_at_end: bool = False) -> No
     )
 
 
+def pose_atoms(placed: DataFrame, template: DataFrame) -> DataFrame:
+    """Atom rows of poses, ready for ``record`` and ``write_models``; a pose is a model.
+
+    ``placed(pose_id, xyz)`` as ``library.pose_coordinates`` gives it; ``template(place,
+    ...)`` has the other atom columns of each place.  Both need the same atoms.
+    """
+    rows = placed.select("pose_id", F.size("xyz").alias("_n"), F.posexplode("xyz").alias("place", "_c"))
+    known = template.withColumn("_atoms", F.count("*").over(Window.partitionBy(F.lit(1))))  # one molecule
+    joined = rows.join(bounded_broadcast(known, MAX_ATOMS), "place", "left")
+    fits = F.col("_n") == F.coalesce("_atoms", F.lit(-1))
+    model = F.when(fits, F.col("pose_id") + 1).otherwise(F.raise_error(F.lit("pose and template differ in atoms")))
+    xyz = {c: F.get("_c", F.lit(k)) for k, c in enumerate("xyz")}
+    return joined.withColumns({"model": model, **xyz}).drop("_n", "_c", "_atoms", "place")
+
+
 def complex_models(protein: DataFrame, rna: DataFrame) -> DataFrame:
     """Docking ensemble: the protein as chain A in every model, then RNA as chain B.
 
