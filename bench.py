@@ -37,6 +37,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from strandloom.catalog import all_queries
+    from strandloom.staging import workspace
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -58,7 +59,8 @@ def main() -> None:
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
         start = time.time()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with workspace(spark):
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     spark.stop()

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,13 +41,39 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Keep the tables written inside in one folder, and remove it at the end.
+
+    Results that read those tables have to be written or collected before that.
+    """
+    path = f"{shared_dir(spark)}/strandloom/run-{uuid.uuid4().hex}"
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        remove(spark, path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
-    The rows are counted while they are written; see ``row_bound``.
+    The rows are counted while they are written; see ``row_bound``.  Outside a
+    ``workspace`` the table stays until the shared folder is cleaned.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
+    folder = _run.get() or f"{shared_dir(spark)}/strandloom"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return with_bound(spark.read.schema(df.schema).parquet(path), seen.get["rows"])

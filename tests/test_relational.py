@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import POSE
 from strandloom.operators import cascade, chains, identity, lineage, pool, select
-from strandloom.staging import dense_ids, skew_join
+from strandloom.staging import dense_ids, skew_join, stage, workspace
 
 POSES = "conformer int, rotamer int, gx int, gy int, gz int"
 
@@ -31,6 +32,16 @@ def pairs(df, a, b):
     return sorted((r[a], r[b]) for r in df.collect())
 
 
+def test_workspace_removes_what_was_staged(spark):
+    with workspace(spark) as path:
+        inside = stage(spark.range(5), "w")
+        assert inside.count() == 5 and all(f"{path}/w-" in name for name in inside.inputFiles())
+        folder = Path(inside.inputFiles()[0].removeprefix("file://")).parents[1]
+        assert folder.exists()
+    assert not folder.exists()
+    assert stage(spark.range(3), "w").count() == 3
+
+
 def test_bucket_split_floors_negative_coordinates(spark):
     df = spark.createDataFrame([(g,) for g in range(-40, 41)], "g int")
     bucket, offset = pool.split_grid(F.col("g"))
@@ -48,14 +59,23 @@ def test_dense_ids_follow_the_order_with_many_copies(spark):
     assert [(r.k, r.n) for r in got] == sorted(rows)
 
 
-@pytest.mark.parametrize("how", ["inner", "left_semi"])
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_outer"])
 def test_skew_join_splits_hot_keys_without_losing_rows(spark, how):
     rng = random.Random(3)
     left = [(0 if rng.random() < 0.5 else rng.randrange(20), n) for n in range(300)]
     right = [(0 if rng.random() < 0.4 else rng.randrange(25), n) for n in range(120)]
     a = spark.createDataFrame(left, "k int, l int")
+    if how == "left_outer":  # its right side has unique keys
+        right = [(k, 10 * k) for k in range(15)]
     b = spark.createDataFrame(right, "k int, r int")
-    joined = skew_join(a, b, ["k"], how, hot_rows=20)
+    known = {"right_rows": 0} if how == "left_outer" else {}
+    joined = skew_join(a, b, ["k"], how, hot_rows=20, **known)
+    if how == "left_outer":
+        got = Counter((r.k, r.l, r.r) for r in joined.collect())
+        assert got == Counter((k, l, dict(right).get(k)) for k, l in left)
+        with pytest.raises(ValueError, match="hot keys"):
+            skew_join(a, b, ["k"], how, hot_rows=5)
+        return
     if how == "inner":
         want = Counter((k, l, r) for (k, l), (q, r) in product(left, right) if k == q)
         got = Counter((r.k, r.l, r.r) for r in joined.collect())
