@@ -64,22 +64,49 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class Recent(dict):
+    """A memory that forgets what has not been asked for since it was last full."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def missing(self, wanted: set) -> set:
+        """What is not known; known older entries become recent."""
+        new = wanted.difference(self)
+        if self.older:
+            kept = {p for p in new if p in self.older}
+            self.update((p, self.older[p]) for p in kept)
+            new -= kept
+        return new
+
+    def trim(self, limit: int) -> None:
+        if len(self) > limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class LibraryEncoder:
-    """The tokenizers library over pieces of text, each different piece encoded once."""
+    """The tokenizers library over pieces of text, each different piece encoded once.
+
+    Ids come as bytes of little-endian integers, of two bytes unless an id needs four.
+    """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, end_id: int = 0):
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.whole = any(" " in t.content for t in self.library.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
+        self.size = max(self.size, end_id + 1)
+        self.dtype = "<u4" if self.size > 1 << 16 else "<u2"
+        self.known = Recent()
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
 
     def _encode(self, many: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(many, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces not known yet, which follow a space.
@@ -89,18 +116,18 @@ class LibraryEncoder:
         which are words of their own too and have an id that no other word holds.
         """
         cut = {p: TAIL.match(p) for p in pieces}
-        heads = {m[1] if m else p for p, m in cut.items()}.difference(self.known)
+        heads = self.known.missing({m[1] if m else p for p, m in cut.items()})
         plain, odd = [], []
         for p in heads:
             joins = self.line is not None and p and "\n" not in p and not p[0].isspace() and not p[-1].isspace()
             (plain if joins else odd).append(p)
         for k in range(0, len(plain), JOINED):
             part = plain[k : k + JOINED]
-            ids = np.frombuffer(self._encode(["\n".join(" " + p for p in part)])[0], "<u4")
-            ends = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(part, ends):
-                self.known[p] = raw[4 * start : 4 * end]
+            raw = self._encode(["\n".join(" " + p for p in part)])[0]
+            ids = np.frombuffer(raw, self.dtype)
+            width, start = ids.itemsize, 0
+            for p, end in zip(part, [*np.flatnonzero(ids == self.line).tolist(), len(ids)]):
+                self.known[p] = raw[width * start : width * end]
                 start = end + 1
         self.known.update(zip(odd, self._encode([" " + p for p in odd])))
         tails = list({m[2] for m in cut.values() if m})
@@ -108,48 +135,46 @@ class LibraryEncoder:
         self.known.update((p, self.known[m[1]] + marks[m[2]]) for p, m in cut.items() if m)
 
     def encode(self, many: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text."""
         if self.whole:
             return self._encode(many)
         out: list[bytes] = []
         for k in range(0, len(many), TEXTS):
             cut = [pieces_of(t) for t in many[k : k + TEXTS]]
-            if len(self.known) > PIECES:
-                self.known.clear()
+            self.known.trim(PIECES // 2)
             known, missing = self.known, set()
             for p in cut:
                 missing.update(p[1:])
-            self._learn(missing.difference(known))
+            self._learn(known.missing(missing))
             heads = self._encode([p[0] for p in cut])
             out += [h + b"".join(map(known.__getitem__, p[1:])) for h, p in zip(heads, cut)]
         return out
 
 
-_libraries: dict[int, LibraryEncoder] = {}
+_libraries: dict[tuple, LibraryEncoder] = {}
 
 
-def library(content: str) -> LibraryEncoder:
+def library(content: str, end_id: int) -> LibraryEncoder:
     """The encoder of a vocabulary, kept for the life of the Python worker."""
-    key = hash(content)
+    key = content, end_id
     if key not in _libraries:
         _libraries.clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
-        _libraries[key] = LibraryEncoder(content)
+        _libraries[key] = LibraryEncoder(content, end_id)
     return _libraries[key]
 
 
-def encode(docs: DataFrame, content: str, end_id: int, wide: bool) -> DataFrame:
-    """doc_id and ``ids`` (binary, two bytes per id or four if ``wide``), the end id last."""
+def encode(docs: DataFrame, content: str, end_id: int) -> DataFrame:
+    """doc_id and ``ids`` (binary, see ``LibraryEncoder``), the end id last."""
     sent = docs.sparkSession.sparkContext.broadcast(content)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dtype = "<u4" if wide else "<u2"
 
     def start():
-        made = library(sent.value)
-        end = np.array([end_id], dtype).tobytes()
+        made = library(sent.value, end_id)
+        end = np.array([end_id], made.dtype).tobytes()
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in made.encode(texts(batch))]
+            ids = [x + end for x in made.encode(texts(batch))]
             return {"doc_id": batch.column("doc_id"), "ids": ids}
 
         return step
@@ -185,10 +210,9 @@ def write(docs: DataFrame, path: str, content: str, end_id: int = 2, block_ids:
     that one id on many rows does not fall to one task.
     """
     spark = docs.sparkSession
-    size = max(LibraryEncoder(content).size, end_id + 1)
-    wide = size > 1 << 16
-    dtype = "<u4" if wide else "<u2"
-    encoded = encode(docs, content, end_id, wide).withColumn("row", F.monotonically_increasing_id())
+    form = LibraryEncoder(content, end_id)
+    size, dtype = form.size, form.dtype
+    encoded = encode(docs, content, end_id).withColumn("row", F.monotonically_increasing_id())
     encoded.write.option("compression", "zstd").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     counts = _counts(encoded, size, dtype).groupBy("id").agg(F.sum("n").alias("n"))
@@ -224,7 +248,7 @@ def write(docs: DataFrame, path: str, content: str, end_id: int = 2, block_ids:
             if batch is None:
                 return flush() if names else None
             for name, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                n = len(x) // (4 if wide else 2)
+                n = len(x) // np.dtype(dtype).itemsize
                 if names and rows + n > block_ids:
                     made.append(flush())
                 ids.append(x)
