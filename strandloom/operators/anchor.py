@@ -18,8 +18,10 @@ from strandloom.functions import gaussian
 from strandloom.functions import vectors as v
 from strandloom.functions.superpose import ring_rotation, superposing_rotation
 from strandloom.operators.pool import pose_columns
-from strandloom.staging import stage, task_count
+from strandloom.staging import row_bound, stage, task_count
 
+TRANSLATIONS = 2_000  # about what a rotamer has, for the number of tasks
+ROWS_PER_TASK = 4_000_000
 PHASES = 64  # bins per axis of the place of a pose cell within a lattice cell
 
 
@@ -109,8 +111,8 @@ def candidate_cells(
     )
     # The tilt table has 98,304 rows whatever the library.
     tilts = F.broadcast(gaussian.cell_tilts(rotamers.sparkSession))
-    # A fixed number of partitions: each small row yields thousands of translations.
-    tasks = task_count(rotamers.sparkSession)
+    # Each small row yields thousands of translations, so tasks follow what comes out.
+    tasks = max(task_count(rotamers.sparkSession), -(-row_bound(located) * TRANSLATIONS // ROWS_PER_TASK))
     rows = located.join(tilts, "cell").drop("cell").repartition(tasks, *keys)
     accepted = gaussian.accepted_points(rows, filter_name)
     moved = v.rotate([F.col(a) * gaussian.LATTICE_STEP for a in "ijk"], w)
