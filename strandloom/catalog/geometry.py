@@ -504,6 +504,7 @@ _PLACE_SQL = (
     "cos(l_quantity * 0.02::DOUBLE) AS r33 FROM lineitem), "
     "q AS (SELECT *, sqrt(i * i + j * j + k * k) * 0.25::DOUBLE AS d, acos(least(1.0::DOUBLE, abs(r33))) AS theta FROM p), "
     "phi AS (SELECT *, CASE WHEN d > 0 THEN acos(abs(k) * 0.25::DOUBLE / d) END AS phi FROM q), "
+    # Mean, precision and peak of the stacking density.
     "dev AS (SELECT *, d - 3.778988652846167::DOUBLE AS a, phi - 0.3359170155526752::DOUBLE AS b, "
     "theta - 0.21710309041293038::DOUBLE AS c FROM phi), "
     "scored AS (SELECT *, exp(-0.5::DOUBLE * (13.055035569772702::DOUBLE * a * a + 31.531026898594526::DOUBLE * b * b "
@@ -685,6 +686,7 @@ _FILTER = "rrm70"
     "lat AS (SELECT a.v AS i, b.v AS j, c.v AS k FROM (SELECT unnest(range(-20, 21)) AS v) a, (SELECT unnest(range(-20, 21)) AS v) b, "
     "(SELECT unnest(range(-20, 21)) AS v) c WHERE i*i + j*j + k*k < 400 AND 3*k*k > i*i + j*j), "
     "acc AS (SELECT o_orderkey, o0, o1, o2, i, j, k, sqrt(i*i + j*j + k*k) * 0.25::DOUBLE - 3.778988652846167::DOUBLE AS a, "
+    # Mean, precision and peak of the stacking density.
     "acos(abs(k) / sqrt(i*i + j*j + k*k)) - 0.3359170155526752::DOUBLE AS b, acos(least(1, abs(r33))) - 0.21710309041293038::DOUBLE AS c "
     "FROM tilt, lat WHERE abs(acos(least(1, abs(r33))) - 0.21710309041293038::DOUBLE) < 0.3), "
     "hit AS (SELECT o_orderkey, o0, o1, o2, i * 0.25::DOUBLE AS x, j * 0.25::DOUBLE AS y, k * 0.25::DOUBLE AS z FROM acc WHERE exp(-0.5::DOUBLE * (13.055035569772702::DOUBLE * a * a "
