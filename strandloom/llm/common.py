@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 WORDS = rb"[^\x20\x09-\x0D]+"  # what bytes.split() yields
+ROWS = 1000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 
 
@@ -26,8 +27,9 @@ def map_batches(
     """Run a function over the Arrow batches of every partition.
 
     ``start`` runs once per task and returns the function from a batch to a dict of
-    column values (``None``: no rows).  With ``finish`` the function is called once
-    more with ``None`` after the last batch.
+    column values (``None``: no rows); it gets at most ``ROWS`` rows at a time, which
+    bounds the Python objects alive.  With ``finish`` it is called once more with
+    ``None`` after the last batch.
     """
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,8 +50,9 @@ def map_batches(
             )
 
         for batch in batches:
-            if batch.num_rows and (columns := step(batch)) is not None:
-                yield made(columns)
+            for k in range(0, batch.num_rows, ROWS):
+                if (columns := step(batch.slice(k, ROWS))) is not None:
+                    yield made(columns)
         if finish and (columns := step(None)) is not None:
             yield made(columns)
 

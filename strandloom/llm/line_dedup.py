@@ -125,7 +125,7 @@ def chunks(many: list[str], settings: Settings) -> Chunks:
     return Chunks(lines, base, text, number, begin, end, h1, h2)
 
 
-TEXTS = 1000  # cut at once
+TEXTS = 500  # cut at once
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
