@@ -35,7 +35,7 @@ from strandloom.staging import bounded_broadcast, stage
 
 PAD = 2  # byte that stands for the start of a text
 DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
-CHUNK = 2_000_000  # bytes handled at once inside a task
+CHUNK = 500_000  # bytes handled at once inside a task
 FALLBACK = (0.5, 1.0, 1.5)  # discounts where the counts of counts are degenerate
 
 
@@ -104,7 +104,7 @@ def count_ngrams(texts: DataFrame, order: int) -> DataFrame:
                     if len(total) == 8:
                         total[:] = [merged()]
             full = sum(len(k) for k, _ in total)
-            if not full or (batch is not None and full < 2_000_000):
+            if not full or (batch is not None and full < 1_000_000):
                 return None
             keys, n = merged()
             total.clear()
