@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +32,8 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 LOOSE = re.compile(r"(?:\A|\s) ")  # a space that may not open a word of its own
-PIECES = 600_000  # remembered per Python worker; about 150 MB
-WORDS = 300_000
+PIECES = 500_000  # remembered per Python worker, and as many older ones; up to 200 MB
+WORDS = 500_000
 TEXTS = 1000
 
 
@@ -185,12 +186,34 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
+class Recent(dict):
+    """A memory that forgets what has not been asked for since it was last full."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def missing(self, wanted: set) -> set:
+        """What is not known; known older entries become recent."""
+        new = wanted.difference(self)
+        if self.older:
+            kept = {p for p in new if p in self.older}
+            self.update((p, self.older[p]) for p in kept)
+            new -= kept
+        return new
+
+    def trim(self, limit: int) -> None:
+        if len(self) > limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, remembering the ids of pieces already met."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.inner: dict[str, bytes] = {}
+        self.inner = Recent()
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         v = self.vocabulary
@@ -204,7 +227,7 @@ class PieceEncoder:
                     ids.extend(v._words[w])
                 else:
                     ids.append(w)
-            out[p] = np.array(ids, "<u4").tobytes()
+            out[p] = array("I", ids).tobytes()
         if len(v._words) > WORDS:
             v._words.clear()
         if len(v._fits) > 4 * WORDS:
@@ -220,13 +243,11 @@ class PieceEncoder:
         cut = [pieces_of(t) for t in many]
         first = self._learn({p[0] for p in cut})
         inner = self.inner
-        if len(inner) > PIECES:
-            inner.clear()
+        inner.trim(PIECES)
         missing: set[str] = set()
         for p in cut:
             missing.update(p[1:])
-        missing.difference_update(inner)
-        learned = self._learn({" " + p for p in missing})
+        learned = self._learn({" " + p for p in inner.missing(missing)})
         inner.update((p[1:], ids) for p, ids in learned.items())
         return [
             np.frombuffer(first[p[0]] + b"".join(map(inner.__getitem__, p[1:])), "<u4") for p in cut

@@ -10,14 +10,14 @@ leaves are updated.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandloom.llm.bpe import PieceEncoder, encoder, pieces_of
+from strandloom.llm.bpe import PIECES, PieceEncoder, encoder, pieces_of
 from strandloom.llm.common import map_batches, texts
 
 LEAF = 32  # pieces of a leaf
@@ -30,11 +30,10 @@ class PieceCounts:
     def __init__(self, pieces: PieceEncoder):
         self.pieces = pieces
 
-    def learn(self, found: Iterable[str]) -> None:
+    def learn(self, found: set[str]) -> None:
         """Encode what is not known yet, all at once."""
         inner = self.pieces.inner
-        missing = {p for p in found if p not in inner}
-        learned = self.pieces._learn({" " + p for p in missing})
+        learned = self.pieces._learn({" " + p for p in inner.missing(found)})
         inner.update((p[1:], ids) for p, ids in learned.items())
 
     def words(self, found: list[str]) -> int:
@@ -297,7 +296,4 @@ def plain_encoder(content: str) -> PieceEncoder:
 
 
 def limit_memory(counts: PieceCounts) -> None:
-    from strandloom.llm.bpe import PIECES
-
-    if len(counts.pieces.inner) > PIECES:
-        counts.pieces.inner.clear()
+    counts.pieces.inner.trim(PIECES)

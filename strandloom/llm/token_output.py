@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm.bpe import PIECES, TEXTS, pieces_of
+from strandloom.llm.bpe import PIECES, TEXTS, Recent, pieces_of
 from strandloom.llm.common import map_batches, texts
 from strandloom.staging import shared_dir
 
@@ -64,28 +64,6 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-class Recent(dict):
-    """A memory that forgets what has not been asked for since it was last full."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict = {}
-
-    def missing(self, wanted: set) -> set:
-        """What is not known; known older entries become recent."""
-        new = wanted.difference(self)
-        if self.older:
-            kept = {p for p in new if p in self.older}
-            self.update((p, self.older[p]) for p in kept)
-            new -= kept
-        return new
-
-    def trim(self, limit: int) -> None:
-        if len(self) > limit:
-            self.older = dict(self)
-            self.clear()
-
-
 class LibraryEncoder:
     """The tokenizers library over pieces of text, each different piece encoded once.
 
@@ -141,7 +119,7 @@ class LibraryEncoder:
         out: list[bytes] = []
         for k in range(0, len(many), TEXTS):
             cut = [pieces_of(t) for t in many[k : k + TEXTS]]
-            self.known.trim(PIECES // 2)
+            self.known.trim(PIECES)
             known, missing = self.known, set()
             for p in cut:
                 missing.update(p[1:])

@@ -584,7 +584,7 @@ def test_counts_follow_random_edits(vocabulary):
 
     for _ in range(250):
         text = some(120) + prose(rng.random(), rng.randint(0, 90)) + some(40)
-        counts.learn(bpe.pieces_of(text)[1:])
+        counts.learn(set(bpe.pieces_of(text)[1:]))
         edited = token_counts.EditedText(text, counts, leaf=rng.choice([1, 2, 8]))
         for _ in range(8):
             start = rng.randint(0, len(text))
@@ -601,7 +601,7 @@ def test_counts_follow_random_edits(vocabulary):
 def test_few_words_are_encoded_again(vocabulary):
     counts = token_counts.PieceCounts(bpe.PieceEncoder(vocabulary))
     text = prose(5, 5000)
-    counts.learn(bpe.pieces_of(text)[1:])
+    counts.learn(set(bpe.pieces_of(text)[1:]))
     edited = token_counts.EditedText(text, counts)
     edited.edit(20_000, 20_003, "other")
     assert edited.encoded < 12
