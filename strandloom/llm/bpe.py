@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandloom.llm.common import map_batches, texts
+from strandloom.llm.common import kept, map_batches, texts
 
 # The split pattern of byte-level vocabularies.
 SPLIT = (
@@ -32,8 +32,8 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 LOOSE = re.compile(r"(?:\A|\s) ")  # a space that may not open a word of its own
-PIECES = 500_000  # remembered per Python worker, and as many older ones; up to 200 MB
-WORDS = 500_000
+PIECES = 300_000  # remembered per Python worker, and as many older ones; up to 150 MB
+WORDS = 300_000
 TEXTS = 1000
 
 
@@ -254,16 +254,9 @@ class PieceEncoder:
         ]
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(content: str) -> PieceEncoder:
     """The encoder of a vocabulary, kept for the life of the Python worker."""
-    key = hashlib.sha256(content.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(Vocabulary(content))
-    return _encoders[key]
+    return kept(("encoder", content), lambda: PieceEncoder(Vocabulary(content)))
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:

@@ -18,6 +18,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_kept: dict = {}
+_touched: set = set()
+
+
+def kept(key: tuple, build: Callable):
+    """What ``build`` makes, kept in the Python worker for its next tasks.
+
+    A worker keeps one thing at a time, and none once it runs tasks that do not ask for it.
+    """
+    _touched.add(key)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def map_batches(
     df: DataFrame,
     schema: StructType | str,
@@ -37,7 +53,10 @@ def map_batches(
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _touched.clear()
         step = start()
+        for key in _kept.keys() - _touched:
+            del _kept[key]
 
         def made(columns: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import bloom
-from strandloom.llm.common import map_batches, utf8
+from strandloom.llm.common import kept, map_batches, utf8
 from strandloom.staging import bounded_broadcast, stage
 
 PAD = 2  # byte that stands for the start of a text
@@ -232,16 +232,6 @@ class Shard:
         return np.bincount(own, total, len(sizes))
 
 
-_shards: dict[str, Shard] = {}
-
-
-def _shard(name: str, build) -> Shard:
-    if name not in _shards:
-        _shards.clear()  # one shard at a time in a Python worker
-        _shards[name] = build()
-    return _shards[name]
-
-
 def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], settings: Settings) -> DataFrame:
     """doc_id, lang, n_bytes and log_p of every document; null texts are empty."""
     order = settings.order
@@ -284,7 +274,7 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], settings:
         sent = spark.sparkContext.broadcast((owner, arrays))
 
         def start(s=s, sent=sent):
-            made = _shard(f"{run}-{s}", lambda: Shard(order, s, *sent.value))
+            made = kept((run, s), lambda: Shard(order, s, *sent.value))
 
             def step(batch: pa.RecordBatch) -> dict:
                 sums, sizes = [], []

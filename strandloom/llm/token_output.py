@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandloom.llm.bpe import PIECES, TEXTS, Recent, pieces_of
-from strandloom.llm.common import map_batches, texts
+from strandloom.llm.common import kept, map_batches, texts
 from strandloom.staging import shared_dir
 
 BLOCK_IDS = 1_000_000
@@ -129,17 +129,10 @@ class LibraryEncoder:
         return out
 
 
-_libraries: dict[tuple, LibraryEncoder] = {}
-
-
 def library(content: str, end_id: int) -> LibraryEncoder:
     """The encoder of a vocabulary, kept for the life of the Python worker."""
-    key = content, end_id
-    if key not in _libraries:
-        _libraries.clear()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
-        _libraries[key] = LibraryEncoder(content, end_id)
-    return _libraries[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
+    return kept(("library", content, end_id), lambda: LibraryEncoder(content, end_id))
 
 
 def encode(docs: DataFrame, content: str, end_id: int) -> DataFrame:
