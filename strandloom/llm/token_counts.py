@@ -17,10 +17,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandloom.llm.bpe import PIECES, PieceEncoder, encoder, pieces_of
+from strandloom.llm.bpe import PieceEncoder, encoder, pieces_of
 from strandloom.llm.common import map_batches, texts
 
 LEAF = 32  # pieces of a leaf
+REMEMBERED = 500_000  # pieces per Python worker, and as many older ones
 CONTEXT = 4  # characters before an edit that fix the pre-token start ahead of them
 
 
@@ -296,4 +297,4 @@ def plain_encoder(content: str) -> PieceEncoder:
 
 
 def limit_memory(counts: PieceCounts) -> None:
-    counts.pieces.inner.trim(PIECES)
+    counts.pieces.inner.trim(REMEMBERED)
