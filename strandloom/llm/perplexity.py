@@ -13,14 +13,17 @@ that a byte's whole back-off chain lies in one shard.  A shard has at most ``sha
 entries (one pair of bytes may exceed that by its own entries), so it can be sent to every
 task whatever the size of the model; the orders up to two, at most 65,792 entries, go with
 each.  Every shard makes one pass over the documents, which therefore never move; partial
-sums are added per document.
+sums are added per document and block of bytes.
 
-*Decision.*  A tenth of the trusted documents, by hash, is not trained on.  The limit of a
-language is taken from two quantiles of their perplexities; documents above it go.
+*Decision.*  A few odd words vanish in the average of a long text, so the worst window of
+a document decides: all windows of ``WIDTH`` neighbouring blocks are scored.  A tenth of the
+trusted documents, by hash, is not trained on.  The limit of a language is a quantile of
+the worst windows of these documents; documents above it go.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -36,6 +39,8 @@ from strandloom.staging import bounded_broadcast, stage
 PAD = 2  # byte that stands for the start of a text
 DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 CHUNK = 500_000  # bytes handled at once inside a task
+BLOCK = 8  # bytes whose costs are added up
+WIDTH = 3  # blocks of a window
 FALLBACK = (0.5, 1.0, 1.5)  # discounts where the counts of counts are degenerate
 
 
@@ -43,15 +48,15 @@ FALLBACK = (0.5, 1.0, 1.5)  # discounts where the counts of counts are degenerat
 class Settings:
     """``order`` (3 to 7) in bytes; a tenth of trusted documents (``held_out`` = 10)
     sets the limits; ``shard_rows`` bounds what is sent to a task.  The limit of a
-    language is ``middle + reach * (upper - middle)`` in log perplexity, where ``middle``
-    and ``upper`` are the two ``quantiles``.  ``prior`` bytes at the language's middle
-    perplexity are added to a document, so that a few words cannot condemn it.
+    language is the ``quantile`` of the worst windows of its held-out documents, or an
+    estimate of it where these are too few to show it.
+    ``prior`` bytes at the language's middle perplexity are added to the perplexity of a
+    document, and what a text lacks of a window counts as such bytes.
     Languages with fewer than ``least`` held-out documents use the limit of all."""
 
     order: int = 5
     held_out: int = 10
-    quantiles: tuple[float, float] = (0.5, 0.95)
-    reach: float = 3.0
+    quantile: float = 0.99
     prior: int = 60
     least: int = 20
     shard_rows: int = 4_000_000
@@ -211,9 +216,12 @@ class Shard:
         self.order, self.number, self.owner = order, number, owner
         self.tables = [(Table(*p), Table(*c)) for p, c in arrays]
 
-    def sums(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log probability of each document's own n-grams of this shard."""
-        own = np.repeat(np.arange(len(sizes)), sizes)
+    def blocks(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost (negative log probability) of this shard's n-grams in every block of the
+        documents, one document after the other, and the number of blocks of each."""
+        counts = -(-sizes // BLOCK)
+        first = np.repeat(np.cumsum(counts) - counts, sizes)
+        own = first + (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // BLOCK
         if self.owner.max():
             mine = self.owner[(keys >> 8) & 0xFFFF] == self.number
             keys, own = keys[mine], own[mine]
@@ -229,11 +237,29 @@ class Shard:
             total[todo] += self.tables[n - 1][1].find(short >> 8)[0]
         else:
             total[todo] -= np.log(256)
-        return np.bincount(own, total, len(sizes))
+        return np.bincount(own, -total, int(counts.sum())), counts
+
+
+def worst_windows(blocks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The largest cost of ``WIDTH`` neighbouring blocks of each document; of all blocks
+    where there are fewer."""
+    before = np.concatenate(([0.0], np.cumsum(blocks)))
+    ends = np.cumsum(counts)
+    out = before[ends] - before[ends - counts]
+    long = np.flatnonzero(counts > WIDTH)
+    if len(long):
+        windows = before[WIDTH:] - before[:-WIDTH]
+        # Runs of windows that lie in one document; those across two are left out.
+        cuts = np.stack([(ends - counts)[long], ends[long] - WIDTH + 1], 1).ravel()
+        out[long] = np.maximum.reduceat(np.append(windows, -np.inf), cuts)[::2]
+    return out
 
 
 def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], settings: Settings) -> DataFrame:
-    """doc_id, lang, n_bytes and log_p of every document; null texts are empty."""
+    """doc_id, lang, n_bytes, log_p and worst (cost of the worst window) of every document.
+
+    Null texts are empty.
+    """
     order = settings.order
     spark = docs.sparkSession
     entries = None
@@ -258,7 +284,8 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], settings:
         filled += here
     kind_of = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "lang", "text")
-    if shard:
+    many = shard > 0
+    if many:
         rows = stage(rows, "scored")
     total = None
     run = uuid.uuid4().hex
@@ -277,33 +304,73 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], settings:
             made = kept((run, s), lambda: Shard(order, s, *sent.value))
 
             def step(batch: pa.RecordBatch) -> dict:
-                sums, sizes = [], []
+                costs, counts, sizes = [], [], []
                 for keys, own in _chunks(utf8(batch), order):
-                    sums.append(made.sums(keys, own))
+                    cost, count = made.blocks(keys, own)
+                    costs.append(cost)
+                    counts.append(count)
                     sizes.append(own)
-                return {
+                out = {
                     "_row": batch.column("_row"),
                     "doc_id": batch.column("doc_id"),
                     "lang": batch.column("lang"),
                     "n_bytes": np.concatenate(sizes).astype(np.int64),
-                    "log_p": np.concatenate(sums),
+                }
+                if many:
+                    ends = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
+                    return out | {"costs": pa.ListArray.from_arrays(ends, np.concatenate(costs).astype(np.float32))}
+                # No window crosses documents, so chunks are handled one by one.
+                return out | {
+                    "log_p": -np.concatenate([_sums(c, n) for c, n in zip(costs, counts)]),
+                    "worst": np.concatenate([worst_windows(c, n) for c, n in zip(costs, counts)]),
                 }
 
             return step
 
-        one = map_batches(rows, f"_row long, doc_id {kind_of}, lang string, n_bytes long, log_p double", start)
+        kept_columns = "costs array<float>" if many else "log_p double, worst double"
+        one = map_batches(rows, f"_row long, doc_id {kind_of}, lang string, n_bytes long, {kept_columns}", start)
         total = one if total is None else total.unionByName(one)
-    if shard:
-        total = total.groupBy("_row", "doc_id", "lang", "n_bytes").agg(F.sum("log_p").alias("log_p"))
+    if many:
+        added = F.aggregate(
+            F.slice("parts", 2, shard),
+            F.transform(F.element_at("parts", 1), lambda x: x.cast("double")),
+            lambda have, more: F.zip_with(have, more, lambda x, y: x + y),
+        )
+        summed = total.groupBy("_row", "doc_id", "lang", "n_bytes").agg(F.collect_list("costs").alias("parts"))
+        total = _worst_of(summed.select("doc_id", "lang", "n_bytes", added.alias("costs")), kind_of)
     return total.drop("_row")
 
 
+def _sums(costs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), costs, len(counts))
+
+
+def _worst_of(summed: DataFrame, kind_of: str) -> DataFrame:
+    """log_p and worst of documents whose block costs lie in an array."""
+
+    def start():
+        def step(batch: pa.RecordBatch) -> dict:
+            held = batch.column("costs")
+            counts = held.value_lengths().to_numpy().astype(np.int64)
+            costs = held.flatten().to_numpy()
+            return {n: batch.column(n) for n in ("doc_id", "lang", "n_bytes")} | {
+                "log_p": -_sums(costs, counts), "worst": worst_windows(costs, counts),
+            }
+
+        return step
+
+    return map_batches(summed, f"doc_id {kind_of}, lang string, n_bytes long, log_p double, worst double", start)
+
+
 def _limits(scored: DataFrame, settings: Settings) -> DataFrame:
     """middle and limit (log perplexity) of each language and, with null, of all."""
-    cost = -F.col("log_p") / F.col("n_bytes")
-    q = [F.percentile_approx(cost, p, 10_000) for p in settings.quantiles]
-    middle = q[0]
-    limit = middle + settings.reach * (q[1] - middle)
+    middle = F.percentile_approx(-F.col("log_p") / F.col("n_bytes"), 0.5, 10_000)
+    worst = F.col("worst") / F.least("n_bytes", F.lit(BLOCK * WIDTH))
+    found, low, high = (F.percentile_approx(worst, p, 10_000) for p in (settings.quantile, 0.8, 0.95))
+    # Fewer documents than this cannot show the quantile: an exponential tail is laid through two lower ones.
+    least = round(1 / (1 - settings.quantile))
+    tail = high + (high - low) * (math.log(0.05 / (1 - settings.quantile)) / math.log(0.2 / 0.05))
+    limit = F.when(F.count("*") < least, F.greatest(found, tail)).otherwise(found)
     columns = [F.count("*").alias("n"), middle.alias("middle"), limit.alias("limit")]
     each = scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(*columns)
     every = scored.agg(*columns).select(F.lit(None).cast("string").alias("lang"), "n", "middle", "limit")
@@ -311,11 +378,13 @@ def _limits(scored: DataFrame, settings: Settings) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (per byte), limit and kept of every document.
+    """doc_id, lang, n_bytes, perplexity, worst, limit and kept of every document.
 
-    Trusted are documents that ``labels`` gives quality 1 and no toxicity.  Null and empty
-    texts have nothing to score and are kept by the prior; repeated rows score alike; a null language is one of its own; without trusted text every document is kept
-    and its limit is null.  Perplexity includes the prior.
+    ``perplexity`` is that of the whole text by byte, with the prior; ``worst`` is that of
+    the worst window, which may not exceed ``limit``.  Trusted are documents that
+    ``labels`` gives quality 1 and no toxicity.  Null and empty texts have nothing to
+    score and are kept; repeated rows score alike; a null language is one of its own;
+    without trusted text every document is kept and its limit is null.
     """
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id"), F.lit(settings.held_out)) == 0
@@ -329,19 +398,23 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     rows = scored.join(bounded_broadcast(each, 10_000), key == F.col("_lang"), "left")
     middle = F.coalesce("middle", F.lit(every["middle"]).cast("double"))
     cost = (settings.prior * middle - F.col("log_p")) / (F.col("n_bytes") + settings.prior)
+    size = BLOCK * WIDTH
+    worst = (F.col("worst") + F.greatest(F.lit(0), size - F.col("n_bytes")) * middle) / size
     return rows.select(
         "doc_id",
         "lang",
         "n_bytes",
         cost.alias("_cost"),
+        worst.alias("_worst"),
         F.coalesce("limit", F.lit(every["limit"]).cast("double")).alias("_limit"),
     ).select(
         "doc_id",
         "lang",
         "n_bytes",
         F.exp("_cost").alias("perplexity"),
+        F.exp("_worst").alias("worst"),
         F.exp("_limit").alias("limit"),
-        (F.col("_limit").isNull() | (F.col("_cost") <= F.col("_limit"))).alias("kept"),
+        (F.col("_limit").isNull() | (F.col("n_bytes") == 0) | (F.col("_worst") <= F.col("_limit"))).alias("kept"),
     )
 
 

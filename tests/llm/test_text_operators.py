@@ -392,6 +392,34 @@ def test_classifier_rejects_held_out_junk(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got.values())
 
 
+def test_few_odd_words_are_found_in_long_texts(spark):
+    good = [prose(i, 200 + 5 * (i % 40)) for i in range(440)]
+    foul = []
+    for i in range(20):
+        words = prose(2000 + i, 600).split()
+        words[50 * (i % 10) + 7] = "xyzzyx"
+        words[500] = "kwjgvk"
+        foul.append(" ".join(words))
+    docs = docs_of(spark, good + foul)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = table(perplexity.classify(docs, labels))
+    assert sum(got[i].kept for i in range(440, 460)) == 0
+    assert sum(not got[i].kept for i in range(440)) <= 18
+    again = table(perplexity.classify(docs, labels, perplexity.Settings(shard_rows=3000)))
+    assert [got[i].kept for i in range(460)] == [again[i].kept for i in range(460)]
+
+
+def test_worst_windows_stay_inside_documents():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 9, 200)
+    blocks = rng.random(int(counts.sum()))
+    want = []
+    for part in np.split(blocks, np.cumsum(counts)[:-1]):
+        w = perplexity.WIDTH
+        want.append(max((part[i : i + w].sum() for i in range(len(part) - w + 1)), default=part.sum()))
+    assert np.allclose(perplexity.worst_windows(blocks, counts), want)
+
+
 def test_classifier_without_trusted_text_keeps_all(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = perplexity.classify(docs_of(spark, ODD), labels).collect()
