@@ -1,16 +1,16 @@
-"""Repeated passages: content-defined chunks of lines, removed after byte comparison.
+"""Repeated passages: windows of neighbouring lines, removed after byte comparison.
 
 Lines end at line feeds and, as paragraphs often are one long line, after sentences.  A
-rolling hash over two neighbouring line hashes is cut at its local minima, so a boundary
-depends on the four lines around it alone: insertions elsewhere never move it, and chunks
-have two lines at least.  ``passes`` chunkings with other hashes make it likely that some
-chunk lies inside a short passage.
-
-Chunk hashes are counted over the whole table.  Only texts of chunks that pass a Bloom
-filter of the repeated hashes are shuffled; each is compared with the first occurrence
-byte by byte, and a match grows over the neighbouring lines as long as these are equal.
-The first occurrence, by doc_id and place, always stays: whatever goes is the same as
-something earlier.
+window starts at every line and one ends at every line: the shortest run of two lines or
+more that has ``min_bytes`` bytes.  Any passage of two lines or more with that many bytes
+is covered by windows inside it, whatever stands around it: a line that no window ending
+at it covers lies in the window that starts with the passage.  A line of more than
+``line_words`` words is a window of its own.
+
+Window hashes are counted over the whole table.  Only texts of windows that pass a Bloom
+filter of the repeated hashes are shuffled, and the join with these is exact; each is then
+compared with the first occurrence byte by byte.  The first occurrence, by doc_id and
+place, always stays: whatever goes is the same as something earlier.
 """
 
 from __future__ import annotations
@@ -32,14 +32,13 @@ MARK = "\x1e"
 
 @dataclass(frozen=True)
 class Settings:
-    """Chunks of fewer than ``min_bytes`` bytes are no passages.  A match grows over at most
-    ``context`` lines beyond a chunk whose neighbour is not repeated.  A document that keeps
-    less than ``least_share`` of its words is dropped where documents are filtered.
-    ``hash_bits`` is for tests of collisions."""
+    """Runs of lines of fewer than ``min_bytes`` bytes are no passages, and single lines
+    only if they have more than ``line_words`` words.  A document that keeps less than
+    ``least_share`` of its words is dropped where documents are filtered.  ``hash_bits``
+    is for tests of collisions."""
 
-    passes: int = 2
     min_bytes: int = 60
-    context: int = 3
+    line_words: int = 50
     least_share: float = 0.2
     hash_bits: int = 128
 
@@ -68,13 +67,12 @@ def lines_of(text: str) -> list[str]:
 
 @dataclass
 class Chunks:
-    """Chunks of several texts: lines of all, first line of each text, and one entry per
-    chunk: its text, pass, lines from ``begin`` to ``end`` (of all lines) and two hashes."""
+    """Windows of several texts: lines of all, first line of each text, and one entry per
+    window: its text, lines from ``begin`` to ``end`` (of all lines) and two hashes."""
 
     lines: list[str]
     base: np.ndarray
     text: np.ndarray
-    number: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     h1: np.ndarray
@@ -82,12 +80,7 @@ class Chunks:
 
 
 def chunks(many: list[str], settings: Settings) -> Chunks:
-    """Cut texts into chunks of two lines or more.
-
-    Pair j of neighbouring lines is a cut if its rolling hash is lower than that of the
-    pair before and not higher than that of the pair behind, all in one text; the next
-    chunk starts at its second line.  Cuts are two lines apart at least.
-    """
+    """All windows of the texts, each once."""
     lines: list[str] = []
     counts = np.zeros(len(many), np.int64)
     for i, text in enumerate(many):
@@ -100,29 +93,33 @@ def chunks(many: list[str], settings: Settings) -> Chunks:
     size = np.fromiter(map(len, plain), np.int64, n)
     owner = np.repeat(np.arange(len(many)), counts)
     base = np.cumsum(counts) - counts
-    found: list[tuple[np.ndarray, ...]] = []
-    for p in range(settings.passes if n else 0):
-        rolled = (h[:-1] * np.uint64(2 * p + 0x9E3779B97F4A7C15 | 1) ^ h[1:]) * np.uint64(0xD6E8FEB86659FD93)
-        inside = owner[:-1] == owner[1:]
-        low = inside[1:-1] & inside[:-2] & inside[2:] & (rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] <= rolled[2:])
-        begin = np.union1d(base[counts > 0], np.flatnonzero(low) + 2)
-        end = np.append(begin[1:], n)
-        length = end - begin
-        place = np.arange(n) - np.repeat(begin, length)
-        sums = []
-        for factor in (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25):
-            power = np.cumprod(np.full(int(length.max()), factor + 2 * p, np.uint64))
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(factor)
-            sums.append(np.add.reduceat(mixed * power[place], begin).view(np.int64))
-        wanted = (length > 1) & (np.add.reduceat(size, begin) >= settings.min_bytes)
-        chosen = [x[wanted] for x in (begin, end, *sums)]
-        found.append((owner[chosen[0]], np.full(len(chosen[0]), p), *chosen))
-    if not found:
-        found = [(np.empty(0, np.int64),) * 6]
-    text, number, begin, end, h1, h2 = (np.concatenate(x) for x in zip(*found))
+    low, high = base[owner], (base + counts)[owner]
+    at = np.arange(n)
+    before = np.concatenate(([0], np.cumsum(size)))
+    # From every line on, and up to every line: two lines at least, and enough bytes.
+    ends = np.maximum(at + 2, np.searchsorted(before, before[:-1] + settings.min_bytes, "left"))
+    starts = np.minimum(at - 1, np.searchsorted(before, before[1:] - settings.min_bytes, "right") - 1)
+    forward, backward = ends <= high, starts >= low
+    # More than ``line_words`` words have that many bytes and as many spaces between them.
+    alone = np.array([i for i in np.flatnonzero(size > 2 * settings.line_words).tolist() if len(lines[i].split()) > settings.line_words], np.int64)
+    begin = np.concatenate((at[forward], starts[backward], alone))
+    length = np.concatenate((ends[forward], at[backward] + 1, alone + 1)) - begin
+    order = np.lexsort((length, begin))
+    begin, length = begin[order], length[order]
+    once = np.ones(len(begin), bool)
+    once[1:] = (begin[1:] != begin[:-1]) | (length[1:] != length[:-1])
+    begin, length = begin[once], length[once]
+    sums = np.zeros((2, len(begin)), np.uint64)
+    for total, factor in zip(sums, (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)):
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(factor)
+        here = np.arange(len(begin))
+        for j in range(int(length.max(initial=0))):
+            here = here[length[here] > j]
+            total[here] = (total[here] + mixed[begin[here] + j]) * np.uint64(factor)
+    h1, h2 = sums.view(np.int64)
     if settings.hash_bits < 128:
         h1, h2 = h1 & 0, h2 & ((1 << settings.hash_bits) - 1)
-    return Chunks(lines, base, text, number, begin, end, h1, h2)
+    return Chunks(lines, base, owner[begin], begin, begin + length, h1, h2)
 
 
 TEXTS = 500  # cut at once
@@ -133,8 +130,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _places(c: Chunks) -> np.ndarray:
-    """Pass and first line of each chunk in its text, in one number."""
-    return c.number << 40 | c.begin - c.base[c.text]
+    """Number of lines of each window and its first line in its text, in one number."""
+    return c.end - c.begin << 40 | c.begin - c.base[c.text]
 
 
 def _hash_rows(docs: DataFrame, settings: Settings, kind: str) -> DataFrame:
@@ -157,37 +154,20 @@ def _hash_rows(docs: DataFrame, settings: Settings, kind: str) -> DataFrame:
 
 
 def _text_rows(docs: DataFrame, sent, settings: Settings, kind: str) -> DataFrame:
-    """Chunks that pass the filter of repeated hashes with their lines.
-
-    Lines beyond a chunk come along where its neighbour does not pass, and on both sides
-    of chunks that pass the filter of first places, with which others are compared.
-    """
+    """Windows that pass the filter of repeated hashes with their lines."""
 
     def start():
         def step(batch: pa.RecordBatch) -> dict | None:
-            out: dict[str, list] = {n: [] for n in ("place", "h1", "h2", "lines", "before", "after")}
+            out: dict[str, list] = {n: [] for n in ("place", "h1", "h2", "lines")}
             many, owner = texts(batch), []
-            keys = batch.column("key").to_numpy()
             for k in range(0, len(many), TEXTS):
                 c = chunks(many[k : k + TEXTS], settings)
-                hit = np.flatnonzero(sent.value[0].passes(c.h2))
-                if not len(hit):
-                    continue
-                place = _places(c)[hit]
-                first = sent.value[1].passes(keys[c.text[hit] + k] ^ (place << 17))
-                bounds = np.append(c.base, len(c.lines))
-                starts = set(zip(c.number[hit].tolist(), c.begin[hit].tolist()))
-                ends = set(zip(c.number[hit].tolist(), c.end[hit].tolist()))
-                out["place"] += place.tolist()
+                hit = np.flatnonzero(sent.value.passes(c.h2))
+                out["place"] += _places(c)[hit].tolist()
                 out["h1"] += c.h1[hit].tolist()
                 out["h2"] += c.h2[hit].tolist()
                 owner += (c.text[hit] + k).tolist()
-                columns = (c.text[hit], c.number[hit], c.begin[hit], c.end[hit], first)
-                for t, p, a, b, whole in zip(*(x.tolist() for x in columns)):
-                    out["lines"].append(c.lines[a:b])
-                    low, high = int(bounds[t]), int(bounds[t + 1])
-                    out["before"].append([] if not whole and (p, a) in ends else c.lines[max(low, a - settings.context) : a])
-                    out["after"].append([] if not whole and (p, b) in starts else c.lines[b : min(high, b + settings.context)])
+                out["lines"] += [c.lines[a:b] for a, b in zip(c.begin[hit].tolist(), c.end[hit].tolist())]
             if not owner:
                 return None
             take = pa.array(owner)
@@ -197,35 +177,23 @@ def _text_rows(docs: DataFrame, sent, settings: Settings, kind: str) -> DataFram
 
     return map_batches(
         _keyed(docs),
-        f"doc_id {kind}, key long, place long, h1 long, h2 long, lines array<string>, before array<string>, after array<string>",
+        f"doc_id {kind}, key long, place long, h1 long, h2 long, lines array<string>",
         start,
     )
 
 
-def _equal_run(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x.strip() != y.strip():
-            break
-        n += 1
-    return n
-
-
 def _compare(pairs: DataFrame, kind: str) -> DataFrame:
-    """Line ranges of occurrences equal to the first one (or null), grown over equal lines."""
+    """Line ranges of occurrences equal to the first one; null where only the hash is."""
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
-            c = {n: batch.column(n).to_pylist() for n in ("place", "lines", "f_lines", "before", "f_before", "after", "f_after")}
+            c = {n: batch.column(n).to_pylist() for n in ("place", "lines", "f_lines")}
             begin, end = [], []
-            for place, own, first, b, fb, a, fa in zip(*c.values()):
-                if len(own) != len(first) or any(x.strip() != y.strip() for x, y in zip(own, first)):
-                    begin.append(None)
-                    end.append(None)
-                    continue
+            for place, own, first in zip(*c.values()):
+                same = len(own) == len(first) and all(x.strip() == y.strip() for x, y in zip(own, first))
                 at = place & ((1 << 40) - 1)
-                begin.append(at - _equal_run(b[::-1], fb[::-1]))
-                end.append(at + len(own) + _equal_run(a, fa))
+                begin.append(at if same else None)
+                end.append(at + len(own) if same else None)
             keep = ("doc_id", "key", "place")
             return {n: batch.column(n) for n in keep} | {"begin": begin, "end": end}
 
@@ -247,15 +215,10 @@ def removals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"),
         "repeated",
     )
-    n = repeated.count()
-    places = repeated.select(F.col("first.key").bitwiseXOR(F.shiftleft("first.place", 17)).alias("hash"))
-    filters = bloom.build(repeated, "h2", n), bloom.build(places, "hash", n)
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated, "h2", repeated.count()))
     found = _text_rows(docs, sent, settings, kind).join(repeated, ["h1", "h2"])
     found = stage(found.withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "occurrences")
-    first = found.where("is_first").dropDuplicates(["h1", "h2"]).select(
-        "h1", "h2", *[F.col(n).alias(f"f_{n}") for n in ("lines", "before", "after")]
-    )
+    first = found.where("is_first").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("lines").alias("f_lines"))
     pairs = found.where("not is_first").join(first, ["h1", "h2"]).drop("h1", "h2", "is_first")
     compared = stage(_compare(pairs, kind), "compared")
     ranges = compared.where("begin is not null").select("doc_id", "key", "begin", "end")

@@ -309,6 +309,22 @@ def test_repeated_passages_go_once(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts) - 1))
 
 
+def sentences(seed, words, lines):
+    made = prose(seed, words, 10**9).split()
+    cuts = [words * k // lines for k in range(lines + 1)]
+    return " ".join(" ".join(made[a:b]) + "." for a, b in zip(cuts, cuts[1:]))
+
+
+def test_passages_of_few_lines_are_found_between_other_text(spark):
+    passages = [sentences(9000 + i, 52 + i % 9, 1 + i % 8) for i in range(64)]
+    texts = [f"{prose(100 * i + k, 64)} {p} {prose(100 * i + k + 10, 64)}" for i, p in enumerate(passages) for k in range(2)]
+    got = table(line_dedup.clean(docs_of(spark, texts)))
+    for i, p in enumerate(passages):
+        assert got[2 * i].text == texts[2 * i]
+        assert got[2 * i + 1]["_removed"] == 1 + i % 8
+        assert got[2 * i + 1].text == texts[2 * i + 1].replace(f" {p} ", " ")
+
+
 def test_every_removed_line_stays_somewhere(spark):
     rng = random.Random(6)
     parts = [prose(i, 24) for i in range(12)]
