@@ -293,7 +293,7 @@ def all_spans(many: list[str], weights: Weights | None, settings: Settings) -> l
     base = [pattern_spans(t) for t in many]
     if weights is None:
         return [(b, b) for b in base]
-    graphs = [graph_of(t, b) if b else Graph([], [], [], [], []) for t, b in zip(many, base)]
+    graphs = [graph_of(t, b) for t, b in zip(many, base)]
     belief, at, out = beliefs(graphs, weights, settings), 0, []
     for text, own, g in zip(many, base, graphs):
         more = added_spans(g, belief[at : at + len(g.shapes)], text, settings)
@@ -320,8 +320,8 @@ def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     Counts and hash are of the pattern spans; ``spans`` lists all.  Null texts are empty
-    and have no spans; a document without pattern spans has nothing to be consistent
-    with and gets none; repeated rows are labelled alike; an empty table gives no rows.
+    and have no spans; in a document without pattern spans shapes and links alone decide;
+    repeated rows are labelled alike; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, settings))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -549,6 +549,16 @@ def test_field_makes_repeated_numbers_one_kind(spark):
     assert pii.redact("a b@c.de f", pii.pattern_spans("a b@c.de f")) == "a <email> f"
 
 
+def test_field_decides_without_pattern_spans():
+    weights = pii.Weights(np.zeros((pii.SHAPES, pii.LABELS)), np.zeros((5, 5)), np.zeros((5, 5)))
+    weights.unary[18, 0] = 9.0  # a token with @ is an e-mail address
+    bare, beside = "write user@localhost or user@localhost", "at 10.0.0.1 write user@localhost or user@localhost"
+    got = [[bare[a:b] for a, _, b in spans] for _, spans in pii.all_spans([bare], weights, pii.Settings())]
+    assert got == [["user@localhost"] * 2]
+    assert len(pii.all_spans([beside], weights, pii.Settings())[0][1]) == 3
+    assert pii.all_spans(["", "no node"], weights, pii.Settings()) == [([], []), ([], [])]
+
+
 def test_loopy_beliefs_are_exact_on_a_tree():
     rng = np.random.default_rng(2)
     weights = pii.Weights(rng.normal(size=(pii.SHAPES, pii.LABELS)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
