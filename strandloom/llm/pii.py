@@ -4,9 +4,11 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers.  Tokens th
 digit or ``@`` are the nodes of the field (any other token carries the label *none* with
 certainty and so separates the chain).  Neighbouring nodes share a chain potential;
 occurrences of the same or a similar token anywhere in the document share a skip
-potential, each with the next one, so that links grow with the nodes.  Tokens of pattern
-spans are observed; damped loopy message passing labels the others, which makes a number
-that is a phone number in one place one in all places.
+potential with one of them, a pattern span where there is one, so that links grow with
+the nodes and evidence is one or two links away in a text of any length.  Tokens of
+pattern spans are observed; damped loopy message passing, until messages stay the same,
+labels the others, which makes a number that is a phone number in one place one in all
+places.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of documents, where the
 patterns give the labels.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,7 +116,7 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
     by_place = sorted((s, e, k) for s, k, e in spans)
     reach, nearest, k = -1, [], 0
     last_end = -1
-    seen: dict[str, int] = {}
+    groups: dict[str, list[int]] = {}
     for node, m in enumerate(_NODE.finditer(text)):
         token = m.group()
         core = token.strip(".,;:!?()[]{}\"'<>|*#&$%") or token
@@ -135,17 +138,25 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
             names.append("d" + digits)
         if len(digits) >= 7:
             names.append("e" + digits[-7:])
-        for other in {seen[n] for n in names if n in seen}:
-            graph.skip.append((other, node))
         for n in names:
-            seen[n] = node
+            groups.setdefault(n, []).append(node)
+    links: set[tuple[int, int]] = set()
+    for nodes in groups.values():
+        hubs: dict[int, int] = {}  # first node of each observed kind
+        for node in nodes:
+            if graph.observed[node] >= 0:
+                hubs.setdefault(graph.observed[node], node)
+        for hub in hubs.values() or nodes[:1]:
+            links.update((hub, node) for node in nodes if node != hub and (node, hub) not in links)
+    graph.skip = sorted(links)
     return graph
 
 
 @dataclass(frozen=True)
 class Settings:
     """At most ``sample`` documents and ``nodes`` of their tokens are fitted; a label
-    needs the belief ``sure``; messages are passed ``rounds`` times with ``damping``.
+    needs the belief ``sure``; messages are passed with ``damping`` until none changes by
+    ``tolerance``; a warning tells if that takes more than ``rounds`` rounds.
     ``agreement`` is the prior weight of equal labels at the ends of a skip link, from
     which the fitted weights depart only as the sample demands."""
 
@@ -153,7 +164,8 @@ class Settings:
     nodes: int = 200_000
     steps: int = 150
     l2: float = 1e-3
-    rounds: int = 12
+    rounds: int = 2000
+    tolerance: float = 1e-8
     damping: float = 0.5
     sure: float = 0.9
     agreement: float = 3.0
@@ -201,7 +213,7 @@ def beliefs(graphs: list[Graph], weights: Weights, settings: Settings) -> np.nda
     for g in graphs:
         for i, (on, seen) in enumerate(zip(g.shapes, g.observed)):
             if seen >= 0:
-                local[at + i] = -50.0
+                local[at + i] = -1e9  # no number of messages outweighs a pattern span
                 local[at + i, seen] = 0.0
             else:
                 local[at + i] = weights.unary[on].sum(0)
@@ -225,7 +237,12 @@ def beliefs(graphs: list[Graph], weights: Weights, settings: Settings) -> np.nda
             top = joint.max(1, keepdims=True)
             new = np.log(np.exp(joint - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            message = settings.damping * message + (1 - settings.damping) * new
+            change = (1 - settings.damping) * (new - message)
+            message += change
+            if np.abs(change).max() < settings.tolerance:
+                break
+        else:
+            warnings.warn(f"messages still change after {settings.rounds} rounds")
         np.add.at(local, target, message)
     p = np.exp(local - local.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -258,7 +275,9 @@ def _training_rows(docs: DataFrame, settings: Settings) -> DataFrame:
                 counts = [np.zeros((len(own), LABELS), int), np.zeros((len(own), LABELS), int)]
                 for table, links in zip(counts, (g.chain, g.skip)):
                     for a, b in links:
-                        table[a, own[b]] += 1
+                        # A hub has no bounded number of members, a member few hubs.
+                        if table is counts[0] or own[b] != NONE:
+                            table[a, own[b]] += table is counts[0] or not table[a, own[b]]
                         table[b, own[a]] += 1
                 for i, label in enumerate(own):
                     # What a pattern span is linked to has no known label without a pattern.

@@ -559,6 +559,19 @@ def test_field_decides_without_pattern_spans():
     assert pii.all_spans(["", "no node"], weights, pii.Settings()) == [([], []), ([], [])]
 
 
+def test_many_repeats_of_a_number_are_one_kind():
+    weights = pii.Weights(np.zeros((pii.SHAPES, pii.LABELS)), np.zeros((5, 5)), 5.0 * np.eye(5))
+    weights.unary[0, pii.NONE] = 1.0
+    for place in (0, 30, 59):
+        parts = [f"word{chr(97 + i % 26)} 555-4321 said" for i in range(60)]
+        parts[place] = "call +1 (888) 555-4321 said"
+        text = " . ".join(parts)
+        (base, spans), = pii.all_spans([text], weights, pii.Settings())
+        assert len(base) == 1 and len(spans) == 60 and {k for _, k, _ in spans} == {3}
+        graph = pii.graph_of(text, base)
+        assert len(graph.skip) <= 3 * len(graph.shapes)
+
+
 def test_loopy_beliefs_are_exact_on_a_tree():
     rng = np.random.default_rng(2)
     weights = pii.Weights(rng.normal(size=(pii.SHAPES, pii.LABELS)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
