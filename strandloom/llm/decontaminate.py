@@ -148,7 +148,6 @@ def scan(
     benchmark = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text"))
     size = benchmark.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     blocks = -(-size // block_chars) or 1
-    part = F.pmod(F.xxhash64("name", "text"), F.lit(blocks))
     if blocks == 1:
         rows = docs.select(F.lit(0).cast("long").alias("_row"), "doc_id", "text")
         block = [(r[0], bytes(r[1])) for r in benchmark.where("text is not null").distinct().collect()]
@@ -157,11 +156,22 @@ def scan(
     from strandloom.staging import stage
 
     rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "scanned")
+    return _merged(_scan_blocks(rows, benchmark, window, kind, blocks)).drop("_row")
+
+
+def _scan_blocks(rows: DataFrame, benchmark: DataFrame, window: int, kind: str, blocks: int) -> DataFrame:
+    """What each block finds in each row."""
+    part = F.pmod(F.xxhash64("name", "text"), F.lit(blocks))
     found = None
     for b in range(blocks):
         block = [(r[0], bytes(r[1])) for r in benchmark.where((part == b) & F.col("text").isNotNull()).distinct().collect()]
         one = _scan_block(rows, block, window, kind)
         found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """One row for each scanned one, with the spans and items of all blocks."""
     return (
         found.groupBy("_row", "doc_id", "n_words")
         .agg(
@@ -187,7 +197,6 @@ def scan(
                 ).otherwise(F.concat(out, F.array(s))),
             ),
         )
-        .drop("_row")
     )
 
 
@@ -204,21 +213,18 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, mode: str = "documents") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, mode: str = "documents", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents without benchmark passages, with the columns of ``docs``.
 
     ``documents`` drops every document with a hit, ``spans`` cuts the hit words out.
-    The benchmark must fit one block here, else use ``scan``, which has no such limit.
+    A benchmark of more than ``block_chars`` is scanned block by block; the rows are the same.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode must be documents or spans, not {mode}")
     benchmark = items.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     size = benchmark.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    if size > BLOCK_CHARS:
-        if mode == "spans":
-            raise ValueError("cut spans block by block: call with parts of the benchmark")
-        bad = scan(docs, items, window).where(F.size("spans") > 0).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+    if size > block_chars:
+        return _decontaminate_blocks(docs, items, window, mode, block_chars)
     block = [(r[0], bytes(r[1])) for r in benchmark.where("text is not null").distinct().collect()]
     sent = docs.sparkSession.sparkContext.broadcast(block)
     columns = docs.columns
@@ -253,6 +259,37 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, mode: str
     return docs.mapInArrow(run, docs.schema)
 
 
+def _decontaminate_blocks(docs: DataFrame, items: DataFrame, window: int, mode: str, block_chars: int) -> DataFrame:
+    """Rows are told apart by their number in a written table, so doc_id may be null or repeat."""
+    from strandloom.staging import stage
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    benchmark = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text"))
+    size = benchmark.agg(F.sum(F.length("text") + 16)).first()[0]
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminated")
+    found = _scan_blocks(rows.select("_row", "doc_id", "text"), benchmark, window, kind, -(-size // block_chars))
+    hit = stage(_merged(found.where(F.size("spans") > 0)).select("_row", F.col("spans").alias("_spans")), "hits")
+    if mode == "documents":
+        return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+
+    def start():
+        def step(batch: pa.RecordBatch) -> dict:
+            out = {c: batch.column(c) for c in docs_columns}
+            changed = []
+            old = batch.column("text").to_pylist()
+            for o, text, spans in zip(old, utf8(batch), batch.column("_spans").to_pylist()):
+                if spans:
+                    o = remove_spans(text, [(x["start"], x["end"]) for x in spans]).decode()
+                changed.append(o)
+            return out | {"text": changed}
+
+        return step
+
+    docs_columns = docs.columns
+    joined = rows.join(hit, "_row", "left").select(*docs_columns, "_spans")
+    return map_batches(joined, docs.schema, start)
+
+
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     found = scan(docs, items)

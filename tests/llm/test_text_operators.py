@@ -283,6 +283,18 @@ def test_decontamination_against_plain_search(spark, block_chars):
 # --- line dedup ---------------------------------------------------------------
 
 
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_decontamination_is_the_same_in_blocks(spark, mode):
+    items = [prose(800 + i, 14) for i in range(6)]
+    texts = [f"{prose(i, 20)} {items[i % 6]} {prose(50 + i, 20)}" if i % 2 else prose(i, 40) for i in range(12)] + [None, ""]
+    docs = docs_of(spark, texts, ids=[None, None, 7, 7, *range(20, 30)])
+    table_of = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = decontaminate.decontaminate(docs, table_of, mode=mode)
+    parts = decontaminate.decontaminate(docs, table_of, mode=mode, block_chars=200)
+    assert parts.columns == docs.columns
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+
+
 def test_lines_together_are_the_text():
     for text in [t or "" for t in ODD] + ["\na. b\n\n c! d? e", prose(1, 90) + "\n" + prose(2, 40)]:
         assert "".join(line_dedup.lines_of(text)) == text
