@@ -337,6 +337,18 @@ def test_passages_of_few_lines_are_found_between_other_text(spark):
         assert got[2 * i + 1].text == texts[2 * i + 1].replace(f" {p} ", " ")
 
 
+def test_nothing_of_a_long_passage_remains(spark, monkeypatch):
+    # The first of its group holds a part of an earlier passage, and the filter lets all through.
+    full = bloom.Bloom(np.full((1, 8), 2**32 - 1, np.uint32))
+    monkeypatch.setattr(bloom, "build", lambda *args, **more: full)
+    passage = sentences(77, 300, 30)
+    inner = " ".join(f"{x}." for x in passage.split(". ")[10:18])
+    texts = [f"{prose(1, 64)} {inner} {prose(2, 64)}"]
+    texts += [f"{prose(10 + i, 64)} {passage} {prose(30 + i, 64)}" for i in range(4)]
+    got = table(line_dedup.clean(docs_of(spark, texts)))
+    assert [got[i]["_removed"] for i in range(5)] == [0, 8, 30, 30, 30]
+
+
 def test_every_removed_line_stays_somewhere(spark):
     rng = random.Random(6)
     parts = [prose(i, 24) for i in range(12)]
