@@ -33,13 +33,11 @@ MARK = "\x1e"
 @dataclass(frozen=True)
 class Settings:
     """Runs of lines of fewer than ``min_bytes`` bytes are no passages, and single lines
-    only if they have more than ``line_words`` words.  A document that keeps less than
-    ``least_share`` of its words is dropped where documents are filtered.  ``hash_bits``
-    is for tests of collisions."""
+    only if they have more than ``line_words`` words.  ``hash_bits`` is for tests of
+    collisions."""
 
     min_bytes: int = 60
     line_words: int = 50
-    least_share: float = 0.2
     hash_bits: int = 128
 
 
@@ -300,8 +298,8 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def drop_repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Cleaned documents with the columns of ``docs``, without those that keep next to nothing."""
-    return clean(docs, settings).where(F.col("_share") >= settings.least_share).select(*docs.columns)
+    """Cleaned documents with the columns of ``docs``, without those that keep no word."""
+    return clean(docs, settings).where(F.col("_share") > 0).select(*docs.columns)
 
 
 def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -349,6 +349,12 @@ def test_nothing_of_a_long_passage_remains(spark, monkeypatch):
     assert [got[i]["_removed"] for i in range(5)] == [0, 8, 30, 30, 30]
 
 
+def test_what_no_other_document_has_stays(spark):
+    license, own = prose(3, 800), prose(4, 40)
+    kept = table(line_dedup.drop_repeated(docs_of(spark, [license, f"{license} {own}", license, "", None])))
+    assert {i: r.text for i, r in kept.items()} == {0: license, 1: own, 3: "", 4: None}
+
+
 def test_every_removed_line_stays_somewhere(spark):
     rng = random.Random(6)
     parts = [prose(i, 24) for i in range(12)]
