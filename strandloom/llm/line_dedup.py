@@ -216,7 +216,10 @@ def removals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated, "h2", repeated.count()))
     found = _text_rows(docs, sent, settings, kind).join(repeated, ["h1", "h2"])
     found = stage(found.withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "occurrences")
-    first = found.where("is_first").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("lines").alias("f_lines"))
+    # Written, so that the join reads plain exchanges and can split a window that very many have.
+    first = stage(
+        found.where("is_first").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("lines").alias("f_lines")), "firsts"
+    )
     pairs = found.where("not is_first").join(first, ["h1", "h2"]).drop("h1", "h2", "is_first")
     compared = stage(_compare(pairs, kind), "compared")
     ranges = compared.where("begin is not null").select("doc_id", "key", "begin", "end")
