@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import (
     bpe,
+    conversation_trie,
     decontaminate,
+    jaccard_join,
     line_dedup,
     perplexity,
     pii,
@@ -16,6 +18,7 @@ from strandloom.llm import (
     token_counts,
     token_output,
     url_filter,
+    whitening,
 )
 from strandloom.llm.common import read
 
@@ -68,6 +71,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_after_edits(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +96,9 @@ QUERIES = {
         op8_url_filters,
         op9_bpe_encode_decode,
         op10_token_counts,
+        op11_embedding_whitening,
+        op12_ngram_jaccard_join,
+        op13_conversation_prefix_trie,
     )
 }
 
@@ -136,4 +154,51 @@ SQL: dict[str, str] = {
            sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
     from docs left join words_hit using (doc_id) left join items_hit using (doc_id)
     """,
+    "op12_ngram_jaccard_join": rf"""
+    with recursive docs as (
+        select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as words from documents),
+    shingles as (
+        select distinct doc_id, array_to_string(words[i:i + least(5, len(words)) - 1], ' ') as shingle
+        from (select *, unnest(range(1, len(words) - least(5, len(words)) + 2)) as i from docs where len(words) > 0)),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (select a.doc_id as a, b.doc_id as b, count(*) as k
+               from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+               group by a.doc_id, b.doc_id),
+    links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+              where 100 * k >= 80 * (x.n + y.n - k)),
+    reach as (select doc_id, doc_id as other from documents union select doc_id, b from reach join links on a = other)
+    select doc_id, coalesce(n, 0) as n_shingles, component_id
+    from (select doc_id, min(other) as component_id from reach group by doc_id) left join sizes using (doc_id)
+    """,
+    "op13_conversation_prefix_trie": rf"""
+    with recursive given as (
+        select conv_id as c, list([coalesce(role, ''), coalesce(text, '')] order by turn nulls first, role, text) as turns
+        from conversations where conv_id is not null group by conv_id),
+    crc as (
+        select c, 0 as bit, 4294967295::bigint as v from given
+        union all
+        select c, bit + 1, xor(u >> 1, (u & 1) * 3988292384)
+        from (select c, bit, case when bit % 8 = 0 then xor(v, ascii(substr(c::varchar, bit // 8 + 1, 1))) else v end as u
+              from crc where bit < 8 * length(c::varchar))),
+    heads as (select c, xor(v, 4294967295) % 4 as h from crc where bit = 8 * length(c::varchar)),
+    rebuilt as (
+        select o.c, coalesce(b.turns[1:h], []) || o.turns[h + 1:] as seq
+        from given o join heads using (c) left join given b on b.c = o.c - o.c % 20),
+    prefixes as (select c, d as depth, seq[1:d] as seq, len(seq) = d as ends
+                 from (select *, unnest(range(0, len(seq) + 1)) as d from rebuilt)),
+    nodes as (
+        select depth, seq, min(c) as conv_id, count(*) as n_convs,
+               sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256,
+               case when depth = 0 then 0 else
+                   (count(*) - 1) * len(regexp_extract_all(seq[depth][2], '[^\x20\x09-\x0D]+')) end as saved
+        from prefixes group by depth, seq),
+    children as (select depth - 1 as depth, seq[1:depth - 1] as seq, count(*) as n_children from nodes where depth > 0 group by all),
+    sized as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (depth, seq)),
+    below as (select d as depth, seq[1:d] as seq, n_children, saved
+              from (select *, unnest(range(0, depth + 1)) as d from sized)),
+    sums as (select depth, seq, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens
+             from below group by depth, seq)
+    select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+    from sized n join sums using (depth, seq) left join nodes p on p.depth = n.depth - 1 and p.seq = n.seq[1:n.depth - 1]
+    """,
 }

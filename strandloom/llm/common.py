@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandloom.staging import row_bound, skew_join, task_count
+
 WORDS = rb"[^\x20\x09-\x0D]+"  # what bytes.split() yields
 ROWS = 1000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
@@ -88,6 +90,13 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def to_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a side of unique keys; keys that many rows of the other side share are spread."""
+    rows = row_bound(left)
+    hot = max(1000, 2 * rows // task_count(left.sparkSession))
+    return skew_join(left, right, on, how, left_rows=rows, right_rows=0, hot_rows=hot)
+
+
 def bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
     """At most ``rows`` rows of ``df``, the same ones every time, spread over ``key``."""
     total = df.count()
