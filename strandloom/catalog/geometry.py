@@ -17,10 +17,10 @@ from strandloom.constants import GRID_SPACING, MAX_INDEX, POSE
 from strandloom.functions import decimals, gaussian, nucleotides, superpose
 from strandloom.functions import vectors as v
 from strandloom.operators import anchor as anchoring
-from strandloom.operators import chains, fit, library, rmsd
+from strandloom.operators import chains, filter_cache, fit, library, rmsd
 from strandloom.operators import grow as growing
 from strandloom.operators.pool import organize, pose_columns
-from strandloom.staging import row_bound, with_bound
+from strandloom.staging import row_bound, stage, with_bound
 
 QUERIES, SQL = {}, {}
 G = repr(GRID_SPACING)
@@ -643,56 +643,128 @@ _CELL_SQL = (
     f"WITH {_QUAT_SQL}, {_CELL_SQL.format(src='qt')} SELECT o_orderkey, cell FROM cells",
 )
 def hopf_cell_of_rotation(spark, sf_dir):
-    turned = _order_rotations(spark, sf_dir).select(
-        "o_orderkey", v.rotvec_matrix("rx", "ry", "rz").alias("m")
-    )
-    # The exchange keeps the matrix from being expanded into every use of an entry.
-    turned = turned.repartition("o_orderkey")
-    return turned.select("o_orderkey", gaussian.hopf_cell(F.col("m")).alias("cell"))
+    turn = v.rotvec_matrix("rx", "ry", "rz")
+    return _order_rotations(spark, sf_dir).select("o_orderkey", v.shared(turn, gaussian.hopf_cell).alias("cell"))
+
+
+# Tilt at the centre of each cell of a table.
+_TILT_SQL = (
+    "hc AS (SELECT *, cell % 64 AS mm, (cell // 64) % 16 AS qq, (cell // 1024) % 16 AS pp, cell // 16384 AS face FROM {src}), "
+    "ha AS (SELECT *, tan(pi() / 4 * (2 * (pp + 0.5::DOUBLE) / 16 - 1)) AS ua, tan(pi() / 4 * (2 * (qq + 0.5::DOUBLE) / 16 - 1)) AS ub, "
+    "CASE WHEN face % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg FROM hc), "
+    "hs AS (SELECT *, sqrt(ua*ua + ub*ub + 1) AS nn, CASE face // 2 WHEN 0 THEN sg ELSE ua END AS hx, "
+    "CASE face // 2 WHEN 0 THEN ua WHEN 1 THEN sg ELSE ub END AS hy, CASE face // 2 WHEN 2 THEN sg ELSE ub END AS hz FROM ha), "
+    "hq AS (SELECT *, acos(hz / nn) / 2 AS ht, atan2(hy, hx) AS az, pi() * (mm + 0.5::DOUBLE) / 64 AS tu FROM hs), "
+    "tilt AS (SELECT *, 1 - 2 * ((cos(ht) * sin(tu)) ** 2 + (sin(ht) * cos(az + tu)) ** 2) AS r33 FROM hq)"
+)
+_LATTICE_SQL = (
+    "lat AS (SELECT a.v AS i, b.v AS j, c.v AS k FROM (SELECT unnest(range(-20, 21)) AS v) a, (SELECT unnest(range(-20, 21)) AS v) b, "
+    "(SELECT unnest(range(-20, 21)) AS v) c WHERE i*i + j*j + k*k < 400 AND 3*k*k > i*i + j*j)"
+)
+# Mean, precision and peak of the stacking density.
+_DEVIATIONS_SQL = (
+    "sqrt(i*i + j*j + k*k) * 0.25::DOUBLE - 3.778988652846167::DOUBLE AS a, "
+    "acos(abs(k) / sqrt(i*i + j*j + k*k)) - 0.3359170155526752::DOUBLE AS b, acos(least(1, abs(r33))) - 0.21710309041293038::DOUBLE AS c"
+)
+_DENSITY_SQL = (
+    "exp(-0.5::DOUBLE * (13.055035569772702::DOUBLE * a * a "
+    "+ 31.531026898594526::DOUBLE * b * b + 35.02664194314763::DOUBLE * c * c + 2 * (-9.829936278368704::DOUBLE * a * b "
+    "- 7.388302029768115::DOUBLE * a * c - 5.996886272605505::DOUBLE * b * c))) / 0.17639457343866755::DOUBLE"
+)
+_FILTERS_SQL = "filters(filter, cutoff, tilt30, disp45) AS (VALUES " + ", ".join(
+    f"('{n}', {gaussian.cutoff(n)!r}::DOUBLE, {str(tilt).upper()}, {str(disp).upper()})"
+    for n in gaussian.filter_names()
+    for _, tilt, disp in (gaussian.parse_name(n),)
+) + ")"
+
+
+@query(
+    "stacking_filter_sizes",
+    f"WITH {_QUAT_SQL}, {_CELL_SQL.format(src='qt')}, distinct_cells AS (SELECT DISTINCT cell FROM cells), "
+    f"{_TILT_SQL.format(src='distinct_cells')}, {_LATTICE_SQL}, {_FILTERS_SQL}, "
+    "keys AS (SELECT i*i + j*j AS side, k*k AS k2, any_value(i) AS i, any_value(j) AS j, any_value(k) AS k, count(*) AS n FROM lat GROUP BY side, k2), "
+    f"dev AS (SELECT cell, r33, side, k2, n, {_DEVIATIONS_SQL} FROM tilt, keys WHERE abs(r33) > 0.5), "
+    f"scored AS (SELECT *, {_DENSITY_SQL} AS score FROM dev) "
+    "SELECT filter, cell, CAST(sum(n) AS INTEGER) AS size FROM scored JOIN filters ON score >= cutoff "
+    "AND (NOT tilt30 OR 4 * r33 * r33 > 3) AND (NOT disp45 OR k2 > side) GROUP BY filter, cell",
+)
+def stacking_filter_sizes(spark, sf_dir):
+    turn = v.rotvec_matrix("rx", "ry", "rz")
+    cells = _order_rotations(spark, sf_dir).select(v.shared(turn, gaussian.hopf_cell).alias("cell"))
+    return filter_cache.sizes(stage(anchoring.cell_tilts_of(cells), "cells"))
 
 
 # ---------------------------------------------------------------- anchor
 
 _FRAME = [0.36, 0.48, -0.8, -0.8, 0.6, 0.0, 0.48, 0.64, 0.6]
 _CENTRE = [1.25, -2.5, 0.75]
-_RING = [0.5, -0.25, 1.0]
+_HEXAGON = [[1.4 * math.cos(n * math.pi / 3), 1.4 * math.sin(n * math.pi / 3), 0.0] for n in range(6)]
 _FILTER = "rrm70"
+# A nucleotide ring per region: the reference hexagon, turned and moved.
+_RING_TURN = {"rx": "r_regionkey * 0.2D - 0.3D", "ry": "r_regionkey * 0.15D + 0.1D", "rz": "r_regionkey * 0.05D"}
+_RING_PLACE = ["0.5D + r_regionkey * 0.1D", "-0.25D", "1.0D - r_regionkey * 0.2D"]
+
+
+def _ring_conformers(spark, sf_dir):
+    """Conformers of two other atoms and the six of the ring."""
+    turn = v.rotvec_matrix(*[F.expr(e) for e in _RING_TURN.values()])
+    place = [F.expr(e) for e in _RING_PLACE]
+
+    def ring(m):
+        atoms = [[c + p for c, p in zip(v.rotate([F.lit(x) for x in atom], m), place)] for atom in _HEXAGON]
+        return F.array(*[F.array(*atom) for atom in ([F.lit(0.0)] * 3, [F.lit(9.0)] * 3, *atoms)])
+
+    return t.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("conformer"), v.shared(turn, ring).alias("coords"))
+
+
+def _matrix_sql(q, prefix):
+    """Columns of the rotation matrix of a quaternion (w, x, y, z)."""
+    w, x, y, z = q
+    entries = (
+        f"1 - 2*({y}*{y} + {z}*{z})", f"2*({x}*{y} - {w}*{z})", f"2*({x}*{z} + {w}*{y})", f"2*({x}*{y} + {w}*{z})",
+        f"1 - 2*({x}*{x} + {z}*{z})", f"2*({y}*{z} - {w}*{x})", f"2*({x}*{z} - {w}*{y})", f"2*({y}*{z} + {w}*{x})",
+        f"1 - 2*({x}*{x} + {y}*{y})",
+    )
+    return ", ".join(f"{e} AS {prefix}{n}" for n, e in enumerate(entries))
+
+
+_RING_SQL = (
+    "ringv AS (SELECT r_regionkey AS conformer, r_regionkey * 0.2::DOUBLE - 0.3::DOUBLE AS rx, r_regionkey * 0.15::DOUBLE + 0.1::DOUBLE AS ry, "
+    "r_regionkey * 0.05::DOUBLE AS rz, 0.5::DOUBLE + r_regionkey * 0.1::DOUBLE AS c0, -0.25::DOUBLE AS c1, "
+    "1.0::DOUBLE - r_regionkey * 0.2::DOUBLE AS c2 FROM region), "
+    "ringq AS (SELECT *, cos(h / 2) AS w, rx / h * sin(h / 2) AS x, ry / h * sin(h / 2) AS y, rz / h * sin(h / 2) AS z "
+    "FROM (SELECT *, sqrt(rx*rx + ry*ry + rz*rz) AS h FROM ringv)), "
+    f"ringm AS (SELECT conformer, c0, c1, c2, {_matrix_sql('wxyz', 'g')} FROM ringq)"
+)
+# Entry (i, j) of ring * rotamer, and of that times the transposed frame.
+_RING_TURNED = ", ".join(
+    f"g{3 * i}*m{j} + g{3 * i + 1}*m{3 + j} + g{3 * i + 2}*m{6 + j} AS p{3 * i + j}" for i in range(3) for j in range(3)
+)
+_RELATIVE = ", ".join(
+    " + ".join(f"({_FRAME[3 * j + k]})*p{3 * i + k}" for k in range(3)) + f" AS {'abcdefghi'[3 * i + j]}"
+    for i in range(3)
+    for j in range(3)
+)
 
 
 @query(
     "anchor",
-    f"WITH {_QUAT_SQL}, "
-    "mat AS (SELECT o_orderkey, 1 - 2*(y*y + z*z) AS m0, 2*(x*y - w*z) AS m1, 2*(x*z + w*y) AS m2, 2*(x*y + w*z) AS m3, "
-    "1 - 2*(x*x + z*z) AS m4, 2*(y*z - w*x) AS m5, 2*(x*z - w*y) AS m6, 2*(y*z + w*x) AS m7, 1 - 2*(x*x + y*y) AS m8 FROM qt), "
-    # Relative rotation m * transpose(frame), as a quaternion of the product of quaternions.
-    "rel AS (SELECT o_orderkey, 1.25 - (0.5*m0 - 0.25*m3 + m6) AS o0, -2.5 - (0.5*m1 - 0.25*m4 + m7) AS o1, "
-    "0.75 - (0.5*m2 - 0.25*m5 + m8) AS o2, "
-    "0.36*m0 + 0.48*m1 - 0.8*m2 AS a, -0.8*m0 + 0.6*m1 AS b, 0.48*m0 + 0.64*m1 + 0.6*m2 AS c, "
-    "0.36*m3 + 0.48*m4 - 0.8*m5 AS d, -0.8*m3 + 0.6*m4 AS e, 0.48*m3 + 0.64*m4 + 0.6*m5 AS f, "
-    "0.36*m6 + 0.48*m7 - 0.8*m8 AS g, -0.8*m6 + 0.6*m7 AS h, 0.48*m6 + 0.64*m7 + 0.6*m8 AS i FROM mat), "
-    "rq AS (SELECT o_orderkey, o0, o1, o2, CASE WHEN a + e + i > 0 THEN [1 + a + e + i, h - f, c - g, d - b] "
+    f"WITH {_QUAT_SQL}, {_RING_SQL}, "
+    "keyed AS (SELECT *, rs[o_orderkey % len(rs) + 1] AS conformer FROM qt, "
+    "(SELECT list(r_regionkey ORDER BY r_regionkey) AS rs FROM region)), "
+    f"mat AS (SELECT o_orderkey, conformer, {_matrix_sql('wxyz', 'm')} FROM keyed), "
+    f"rm AS (SELECT mat.*, c0, c1, c2, {_RING_TURNED} FROM mat JOIN ringm USING (conformer)), "
+    "rel AS (SELECT o_orderkey, conformer, 1.25 - (c0*m0 + c1*m3 + c2*m6) AS o0, -2.5 - (c0*m1 + c1*m4 + c2*m7) AS o1, "
+    f"0.75 - (c0*m2 + c1*m5 + c2*m8) AS o2, {_RELATIVE} FROM rm), "
+    "rq AS (SELECT o_orderkey, conformer, o0, o1, o2, CASE WHEN a + e + i > 0 THEN [1 + a + e + i, h - f, c - g, d - b] "
     "WHEN a >= e AND a >= i THEN [h - f, 1 + a - e - i, b + d, c + g] WHEN e >= i THEN [c - g, b + d, 1 - a + e - i, f + h] "
     "ELSE [d - b, c + g, f + h, 1 - a - e + i] END AS q FROM rel), "
-    "rn AS (SELECT o_orderkey, o0, o1, o2, q[1] AS w, q[2] AS x, q[3] AS y, q[4] AS z FROM rq), "
-    f"{_CELL_SQL.format(src='rn')}, "
-    # Tilt at the centre of the cell.
-    "hc AS (SELECT o_orderkey, o0, o1, o2, cell % 64 AS mm, (cell // 64) % 16 AS qq, (cell // 1024) % 16 AS pp, cell // 16384 AS face FROM cells), "
-    "ha AS (SELECT *, tan(pi() / 4 * (2 * (pp + 0.5::DOUBLE) / 16 - 1)) AS ua, tan(pi() / 4 * (2 * (qq + 0.5::DOUBLE) / 16 - 1)) AS ub, "
-    "CASE WHEN face % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg FROM hc), "
-    "hs AS (SELECT *, sqrt(ua*ua + ub*ub + 1) AS nn, CASE face // 2 WHEN 0 THEN sg ELSE ua END AS hx, "
-    "CASE face // 2 WHEN 0 THEN ua WHEN 1 THEN sg ELSE ub END AS hy, CASE face // 2 WHEN 2 THEN sg ELSE ub END AS hz FROM ha), "
-    "hq AS (SELECT o_orderkey, o0, o1, o2, acos(hz / nn) / 2 AS ht, atan2(hy, hx) AS hp, pi() * (mm + 0.5::DOUBLE) / 64 AS tu FROM hs), "
-    "tilt AS (SELECT o_orderkey, o0, o1, o2, 1 - 2 * ((cos(ht) * sin(tu)) ** 2 + (sin(ht) * cos(hp + tu)) ** 2) AS r33 FROM hq), "
-    "lat AS (SELECT a.v AS i, b.v AS j, c.v AS k FROM (SELECT unnest(range(-20, 21)) AS v) a, (SELECT unnest(range(-20, 21)) AS v) b, "
-    "(SELECT unnest(range(-20, 21)) AS v) c WHERE i*i + j*j + k*k < 400 AND 3*k*k > i*i + j*j), "
-    "acc AS (SELECT o_orderkey, o0, o1, o2, i, j, k, sqrt(i*i + j*j + k*k) * 0.25::DOUBLE - 3.778988652846167::DOUBLE AS a, "
-    # Mean, precision and peak of the stacking density.
-    "acos(abs(k) / sqrt(i*i + j*j + k*k)) - 0.3359170155526752::DOUBLE AS b, acos(least(1, abs(r33))) - 0.21710309041293038::DOUBLE AS c "
-    "FROM tilt, lat WHERE abs(acos(least(1, abs(r33))) - 0.21710309041293038::DOUBLE) < 0.3), "
-    "hit AS (SELECT o_orderkey, o0, o1, o2, i * 0.25::DOUBLE AS x, j * 0.25::DOUBLE AS y, k * 0.25::DOUBLE AS z FROM acc WHERE exp(-0.5::DOUBLE * (13.055035569772702::DOUBLE * a * a "
-    "+ 31.531026898594526::DOUBLE * b * b + 35.02664194314763::DOUBLE * c * c + 2 * (-9.829936278368704::DOUBLE * a * b "
-    "- 7.388302029768115::DOUBLE * a * c - 5.996886272605505::DOUBLE * b * c))) / 0.17639457343866755::DOUBLE >= 2.04198::DOUBLE), "
-    f"cnt AS (SELECT o_orderkey, o0, o1, o2, round_even((o0 + 0.36*x - 0.8*y + 0.48*z) / {G}::DOUBLE, 0) AS gx, "
+    "rn AS (SELECT o_orderkey, conformer, o0, o1, o2, q[1] AS w, q[2] AS x, q[3] AS y, q[4] AS z FROM rq), "
+    f"{_CELL_SQL.format(src='rn')}, {_TILT_SQL.format(src='cells')}, {_LATTICE_SQL}, "
+    f"acc AS (SELECT o_orderkey, conformer, o0, o1, o2, lat.i, lat.j, lat.k, {_DEVIATIONS_SQL} "
+    "FROM (SELECT o_orderkey, conformer, o0, o1, o2, r33 FROM tilt) q, lat WHERE abs(acos(least(1, abs(r33))) - 0.21710309041293038::DOUBLE) < 0.3), "
+    f"hit AS (SELECT o_orderkey, conformer, o0, o1, o2, i * 0.25::DOUBLE AS x, j * 0.25::DOUBLE AS y, k * 0.25::DOUBLE AS z FROM acc WHERE {_DENSITY_SQL} >= 2.04198::DOUBLE), "
+    f"cnt AS (SELECT o_orderkey, conformer, o0, o1, o2, round_even((o0 + 0.36*x - 0.8*y + 0.48*z) / {G}::DOUBLE, 0) AS gx, "
     f"round_even((o1 + 0.48*x + 0.6*y + 0.64*z) / {G}::DOUBLE, 0) AS gy, round_even((o2 - 0.8*x + 0.6*z) / {G}::DOUBLE, 0) AS gz, count(*) AS n FROM hit GROUP BY ALL), "
     f"ctr AS (SELECT *, gx * {G}::DOUBLE - o0 AS e0, gy * {G}::DOUBLE - o1 AS e1, gz * {G}::DOUBLE - o2 AS e2 FROM cnt), "
     "ph AS (SELECT *, (0.36*e0 + 0.48*e1 - 0.8*e2) * 4 AS p0, (-0.8*e0 + 0.6*e1) * 4 AS p1, (0.48*e0 + 0.64*e1 + 0.6*e2) * 4 AS p2 FROM ctr), "
@@ -701,17 +773,17 @@ _FILTER = "rrm70"
     "dl AS (SELECT b0, b1, b2, i - (b0 + 0.5) / 64 AS x, j - (b1 + 0.5) / 64 AS y, k - (b2 + 0.5) / 64 AS z FROM (SELECT DISTINCT b0, b1, b2 FROM bn), nb), "
     f"cp AS (SELECT b0, b1, b2, count(*) FILTER (abs(0.36*x - 0.8*y + 0.48*z) <= {G}::DOUBLE * 2 AND abs(0.48*x + 0.6*y + 0.64*z) <= {G}::DOUBLE * 2 "
     f"AND abs(-0.8*x + 0.6*z) <= {G}::DOUBLE * 2) AS cap FROM dl GROUP BY ALL) "
-    "SELECT 0 AS conformer, o_orderkey, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, CAST(gz AS INTEGER) AS gz, "
+    "SELECT CAST(conformer AS INTEGER) AS conformer, o_orderkey, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, CAST(gz AS INTEGER) AS gz, "
     "CAST(n AS BIGINT) AS count, CAST(cap AS INTEGER) AS capacity FROM bn JOIN cp USING (b0, b1, b2) WHERE n >= cap * (1.0::DOUBLE / 3)",
 )
 def anchor(spark, sf_dir):
+    regions = domain(spark, sf_dir, "region", "r_regionkey")
     turns = _order_rotations(spark, sf_dir).select(
-        F.lit(0).alias("conformer"), "o_orderkey", v.rotvec_matrix("rx", "ry", "rz").alias("m")
+        F.get(F.lit(regions), (F.col("o_orderkey") % len(regions)).cast("int")).cast("int").alias("conformer"),
+        "o_orderkey",
+        v.rotvec_matrix("rx", "ry", "rz").alias("m"),
     )
-    identity = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-    shapes = turns.select(
-        "conformer", F.lit(identity).alias("to_reference"), F.lit(_RING).alias("ring_centre")
-    ).distinct()
+    shapes = anchoring.ring_shapes(_ring_conformers(spark, sf_dir), list(range(2, 8)), _HEXAGON)
     cells = anchoring.candidate_cells(
         turns, shapes, _FILTER, _FRAME, _CENTRE, keys=["conformer", "o_orderkey"]
     )

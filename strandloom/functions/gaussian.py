@@ -268,63 +268,92 @@ def lattice(spark: SparkSession) -> DataFrame:
 
 
 def lattice_keys(spark: SparkSession, disp45: bool) -> DataFrame:
-    """Masked lattice points grouped by all that their score depends on.
+    """All that a score depends on in the masked lattice: ``(d2, side, k, d, phi)``.
 
-    ``(d2, d, phi, points)``: at most 400 x 400 rows, 68,920 points in all.
+    ``side`` is i*i + j*j and k is positive; points with -k have the same score.  There are
+    at most 400 x 20 rows.
     """
     i, j, k = F.col("i"), F.col("j"), F.col("k")
-    d = F.sqrt(F.col("d2") * LATTICE_STEP**2)
-    phi = F.acos(F.sqrt(F.col("k2")) * LATTICE_STEP / d)
-    return (
-        lattice(spark)
-        .where(translation_mask(i, j, k, disp45))
-        .groupBy((i * i + j * j + k * k).alias("d2"), (k * k).alias("k2"))
-        .agg(F.collect_list(F.struct("i", "j", "k")).alias("points"))
-        .select("d2", d.alias("d"), phi.alias("phi"), "points")
+    side, d2 = F.col("side"), F.col("side") + k * k
+    masked = lattice(spark).where("k > 0").where(translation_mask(i, j, k, disp45))
+    d = F.sqrt(d2 * LATTICE_STEP**2)
+    return masked.select((i * i + j * j).alias("side"), "k").distinct().select(
+        d2.alias("d2"), side, "k", d.alias("d"), F.acos(k * LATTICE_STEP / d).alias("phi")
     )
 
 
-def accepted_points(rotations: DataFrame, name: str) -> DataFrame:
-    """One row per accepted lattice point of each row with a cell-centre ``r33``.
+def lattice_sides(spark: SparkSession) -> DataFrame:
+    """``(side, points)``: the (i, j) of each i*i + j*j, at most 1,681 points in all."""
+    i, j = F.col("i"), F.col("j")
+    flat = lattice(spark).where("k = 1").select((i * i + j * j).alias("side"), F.struct("i", "j").alias("p"))
+    return flat.groupBy("side").agg(F.collect_list("p").alias("points"))
+
 
-    The score limit bounds the distance, so every row only meets the lattice keys
-    of its possible squared distances: an equi-join with a table of fixed size.
+def scored_keys(cells: DataFrame, name: str) -> DataFrame:
+    """``(cell, r33, side, k, score)`` of every lattice key that a cell may accept.
+
+    ``cells`` has distinct cells with their ``r33``.  The score limit bounds distance and
+    tilt, so a cell only meets the keys of possible squared distances: an equi-join with a
+    table of fixed size, and never more scores than cells times keys.
     """
-    spark = rotations.sparkSession
     _, tilt30, disp45 = parse_name(name)
-    limit = cutoff(name)
-    q_max = -2.0 * math.log(limit * NORMALIZER)
+    q_max = -2.0 * math.log(cutoff(name) * NORMALIZER)
     reach = [math.sqrt(q_max * v) + 1e-9 for v in VARIANCE]
     low = max(1, math.floor(((MEAN[0] - reach[0]) / LATTICE_STEP) ** 2))
     high = min(399, math.ceil(((MEAN[0] + reach[0]) / LATTICE_STEP) ** 2))
     theta = F.acos(F.least(F.lit(1.0), F.abs(F.col("r33"))))
-    possible = rotations.withColumn("_theta", theta).where(
+    possible = cells.select("cell", "r33", theta.alias("theta")).where(
         rotation_mask(F.col("r33"), tilt30)
-        & F.col("_theta").between(MEAN[2] - reach[2], MEAN[2] + reach[2])
+        & F.col("theta").between(MEAN[2] - reach[2], MEAN[2] + reach[2])
     )
+    keys = F.broadcast(lattice_keys(cells.sparkSession, disp45))
+    met = possible.withColumn("d2", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(keys, "d2")
+    return met.select("cell", "r33", "side", "k", score(F.col("d"), F.col("phi"), F.col("theta")).alias("score"))
+
+
+def accept_rows(cells: DataFrame, name: str) -> DataFrame:
+    """``(cell, accepted, size)`` of the distinct ``cells`` that accept any translation.
+
+    ``accepted`` lists, by ``side``, a bitmap of the accepted k; ``size`` counts the points.
+    """
+    kept = scored_keys(cells, name).where(F.col("score") >= cutoff(name))
+    bitmaps = kept.groupBy("cell", "side").agg(F.expr("bit_or(shiftleft(1, k))").alias("bits"))
+    counts = lattice_sides(cells.sparkSession).select("side", F.size("points").alias("n"))
     return (
-        possible.withColumn("d2", F.explode(F.sequence(F.lit(low), F.lit(high))))
-        .join(F.broadcast(lattice_keys(spark, disp45)), "d2")
-        .where(score(F.col("d"), F.col("phi"), F.col("_theta")) >= limit)
-        .withColumn("_point", F.explode("points"))
-        .drop("d2", "d", "phi", "points", "_theta")
-        .withColumns({a: F.col("_point")[a] for a in "ijk"})
-        .drop("_point")
+        bitmaps.join(F.broadcast(counts), "side")
+        .groupBy("cell")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("side", "bits"))).alias("accepted"),
+            F.sum(F.bit_count("bits") * F.col("n") * 2).cast("int").alias("size"),
+        )
     )
 
 
-def filter_pairs(spark: SparkSession, name: str) -> DataFrame:
-    """All accepted ``(cell, i, j, k)`` pairs of a filter."""
-    return accepted_points(cell_tilts(spark), name).drop("r33")
+def accepted_points(rows: DataFrame) -> DataFrame:
+    """One row per accepted lattice point ``(i, j, k)`` of rows with ``accepted``."""
+    sides = F.broadcast(lattice_sides(rows.sparkSession))
+    kept = [c for c in rows.columns if c != "accepted"]
+    each = F.expr(f"filter(sequence(1, {LATTICE_HALF}), k -> (shiftright(_bits, k) & 1) = 1)")
+    found = rows.withColumn("_a", F.explode("accepted")).select(
+        *kept, F.col("_a.side").alias("side"), F.col("_a.bits").alias("_bits")
+    )
+    found = found.withColumn("_k", each).join(sides, "side").drop("side", "_bits")
+    found = found.withColumn("_p", F.explode("points")).withColumn("_k", F.explode("_k"))
+    return found.select(
+        *kept, F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), F.explode(F.array("_k", -F.col("_k"))).alias("k")
+    )
 
 
-def filter_sizes(pairs: DataFrame) -> DataFrame:
-    """Accepted translations per cell."""
-    return pairs.groupBy("cell").agg(F.count("*").alias("size"))
+def filter_pairs(spark: SparkSession, name: str) -> DataFrame:
+    """All accepted ``(cell, i, j, k)`` pairs of a filter."""
+    return accepted_points(accept_rows(cell_tilts(spark), name).select("cell", "accepted"))
 
 
 def audit(scored: DataFrame, name: str) -> DataFrame:
-    """Least margins of ``(r33, score)`` rows from the cutoff and the tilt limit."""
+    """Least margins of ``(r33, score)`` rows from the cutoff and the tilt limit.
+
+    A score or tilt nearer than ``AUDIT_MARGIN`` could fall on either side by rounding.
+    """
     return scored.agg(
         F.min(F.abs(F.col("score") / cutoff(name) - 1.0)).alias("min_rel_margin"),
         F.min(F.abs(F.col("r33") * F.col("r33") * 4.0 - 3.0)).alias("min_tilt_gap"),

@@ -16,6 +16,15 @@ def component(vector, index: int) -> Column:
     return vector[index] if isinstance(vector, (list, tuple)) else F.get(vector, F.lit(index))
 
 
+def shared(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` refers to it.
+
+    The optimizer puts an expression into every place that names it; the variable of a
+    lambda keeps its value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dot(a, b, size: int = 3) -> Column:
     total = component(a, 0) * component(b, 0)
     for k in range(1, size):

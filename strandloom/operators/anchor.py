@@ -1,8 +1,9 @@
 """Anchoring: poses whose nucleotide ring stacks on a protein ring.
 
 Each rotamer turns the nucleotide ring into some Hopf cell relative to the protein
-ring.  The cell's accepted ring translations are rounded to pose grid points, and a
-grid point is kept when enough of its cell is accepted.
+ring.  What that cell accepts is kept once a cell, as bitmaps over the lattice; the accepted
+translations are rounded to pose grid points, and a grid point is kept when enough of its
+cell is accepted.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from strandloom.functions import gaussian
 from strandloom.functions import vectors as v
 from strandloom.functions.superpose import ring_rotation, superposing_rotation
 from strandloom.operators.pool import pose_columns
-from strandloom.staging import row_bound, stage, task_count
+from strandloom.staging import row_bound, skew_join, stage, task_count
 
 TRANSLATIONS = 2_000  # about what a rotamer has, for the number of tasks
 ROWS_PER_TASK = 4_000_000
+FEW_CELLS = 20_000  # accepting cells that are sent to every task, 1 or 2 KB each
 PHASES = 64  # bins per axis of the place of a pose cell within a lattice cell
 
 
@@ -80,12 +82,15 @@ def candidate_cells(
     centre: list[float],
     *,
     keys: list[str] | None = None,
+    accepted: DataFrame | None = None,
 ) -> DataFrame:
     """Pose cells with accepted translations: ``count`` of them and ``capacity``.
 
     ``frame`` turns the protein reference into the world; ``centre`` is the protein
-    ring centre.  Rotamers are distributed once; the translations of a rotamer are
-    generated, rounded and counted where it lies, without another shuffle.
+    ring centre.  What a Hopf cell accepts is worked out once for each distinct cell, or
+    read from ``accepted`` (see ``filter_cache``), and joined to the rotamers by cell.
+    Rotamers are distributed once; the translations of a rotamer are generated, rounded
+    and counted where it lies, without another shuffle.
     """
     keys = keys or ["conformer", "rotamer"]
     w = [F.lit(float(x)) for x in frame]
@@ -109,12 +114,16 @@ def candidate_cells(
         ),
         "ring-cells",
     )
-    # The tilt table has 98,304 rows whatever the library.
-    tilts = F.broadcast(gaussian.cell_tilts(rotamers.sparkSession))
+    if accepted is None:
+        accepted = gaussian.accept_rows(cell_tilts_of(located), filter_name)
+    accepted = stage(accepted.select("cell", "accepted"), "accepted")
     # Each small row yields thousands of translations, so tasks follow what comes out.
     tasks = max(task_count(rotamers.sparkSession), -(-row_bound(located) * TRANSLATIONS // ROWS_PER_TASK))
-    rows = located.join(tilts, "cell").drop("cell").repartition(tasks, *keys)
-    accepted = gaussian.accepted_points(rows, filter_name)
+    if row_bound(accepted) <= FEW_CELLS:
+        rows = located.repartition(tasks, *keys).join(F.broadcast(accepted), "cell").drop("cell")
+    else:
+        rows = skew_join(located, accepted, ["cell"], right_rows=0).drop("cell").repartition(tasks, *keys)
+    points = gaussian.accepted_points(rows)
     moved = v.rotate([F.col(a) * gaussian.LATTICE_STEP for a in "ijk"], w)
     grid = [
         F.rint((F.col(f"o{k}") + moved[k]) / GRID_SPACING).cast("int").alias(g)
@@ -122,7 +131,7 @@ def candidate_cells(
     ]
     offsets = [f"o{k}" for k in range(3)]
     cells = (
-        accepted.select(*keys, *offsets, *grid)
+        points.select(*keys, *offsets, *grid)
         .groupBy(*keys, *offsets, "gx", "gy", "gz")
         .agg(F.count("*").alias("count"))
     )
@@ -136,6 +145,11 @@ def candidate_cells(
     return cells.join(table, ["b0", "b1", "b2"]).drop("b0", "b1", "b2")
 
 
+def cell_tilts_of(located: DataFrame) -> DataFrame:
+    """Distinct Hopf cells of ``located`` with the tilt at their centre."""
+    return located.select("cell").distinct().select("cell", gaussian.hopf_r33(F.col("cell")).alias("r33"))
+
+
 def all_bins(spark) -> DataFrame:
     n = F.col("id")
     return spark.range(PHASES**3).select(

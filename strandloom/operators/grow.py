@@ -5,7 +5,8 @@ below the overlap threshold and the two conformers are compatible.  The squared
 deviation is a rotation part plus a translation part, so
 
 1. distinct source rotations meet target rotamers by an equi-join on conformer and
-   on the cells of a projection whose distance never exceeds the rotation part;
+   on six-dimensional cells of two projections that never differ by more than the
+   rotation part allows;
 2. only surviving rotation pairs are expanded over the source poses; and
 3. the translation ball of each is enumerated axis by axis, without waste.
 """
@@ -23,6 +24,8 @@ from strandloom.functions import vectors as v
 from strandloom.operators.pool import pose_columns
 from strandloom.staging import row_bound, skew_join, spread, stage
 
+FEW_POSES = 500_000  # distinct poses that are sent to every task, about 50 MB
+
 
 def valid_ovrmsd(value: float) -> float:
     value = float(value)
@@ -31,37 +34,40 @@ def valid_ovrmsd(value: float) -> float:
     return value
 
 
-def _projection(conformers: DataFrame) -> list[float]:
-    """Unit weights over atoms, summing to zero, along the longest axis of one shape.
+def _axes(conformers: DataFrame) -> list[list[float]]:
+    """Up to two orthonormal weights over atoms, along the longest axes of one shape.
 
-    Any such weights give a valid lower bound; a long axis makes it sharp.
+    Any such weights give a valid bound.  Two long axes together pin the rotation; with one,
+    everything that differs by a turn about it would still meet.
     """
     coords = np.asarray(conformers.orderBy("conformer").select("coords").first()[0], dtype=float)
-    u, s, _ = np.linalg.svd(coords - coords.mean(axis=0), full_matrices=False)
-    return [float(w) for w in u[:, 0]]
+    u, _, _ = np.linalg.svd(coords - coords.mean(axis=0), full_matrices=False)
+    return u[:, :2].T.tolist()
 
 
-def _shapes(conformers: DataFrame, weights: list[float], prefix: str) -> DataFrame:
-    """Centroid, scatter, centred coordinates and projected point of each conformer."""
-    checked = F.when(F.size("coords") == len(weights), F.col("coords")).otherwise(
+def _shapes(conformers: DataFrame, axes: list[list[float]], prefix: str) -> DataFrame:
+    """Centroid, scatter, centred coordinates and projected points of each conformer."""
+    checked = F.when(F.size("coords") == len(axes[0]), F.col("coords")).otherwise(
         F.raise_error(F.lit("shared nucleotide differs in atoms"))
     )
     df = conformers.select("conformer", checked.alias("coords")).withColumn(
         "mean", v.centroid(F.col("coords"))
     )
     df = df.withColumn("c", v.centred(F.col("coords"), F.col("mean")))
-    weighted = F.zip_with("c", F.lit(weights), lambda a, w: F.transform(a, lambda x: x * w))
-    point = F.array(*[v.axis_sum(weighted, k) for k in range(3)])
+    points = []
+    for weights in axes:
+        weighted = F.zip_with("c", F.lit(weights), lambda a, w: F.transform(a, lambda x: x * w))
+        points.append(F.array(*[v.axis_sum(weighted, k) for k in range(3)]))
     return df.select(
         F.col("conformer").alias(f"{prefix}_conf"),
         F.col("mean").alias(f"{prefix}_mean"),
         F.col("c").alias(f"{prefix}_c"),
         v.square_sum(F.col("c")).alias(f"{prefix}_scatter"),
-        point.alias(f"{prefix}_point"),
+        F.array(*points).alias(f"{prefix}_points"),
     )
 
 
-def rotation_pairs(
+def rotation_candidates(
     source_rotations: DataFrame,
     source_conformers: DataFrame,
     target_conformers: DataFrame,
@@ -69,32 +75,32 @@ def rotation_pairs(
     conformer_pairs: DataFrame,
     ovrmsd: float,
 ) -> DataFrame:
-    """Source and target rotations whose rotation part alone is within the threshold.
+    """Source and target rotations that meet in a cell, with all that their RMSD needs.
 
-    Gives ``(conformer, rotamer, t_conf, t_rot, rotated, a0..a2)``: the mean square
-    rotation part and the difference of the two turned centroids.
+    A cell spans the three coordinates of each projected point.  A source rotation lies in
+    one cell; a target rotation is put into every cell it may be near enough to, at most two
+    an axis.  Both sides are written first, so hot cells are known and split.
     """
-    ovrmsd = valid_ovrmsd(ovrmsd)
-    weights = _projection(target_conformers)
-    atoms = len(weights)
-    limit = ovrmsd * ovrmsd
+    axes = _axes(target_conformers)
+    atoms = len(axes[0])
     # |w C_s R_s - w C_t R_t| <= sqrt(atoms) * rmsd for unit w (Cauchy-Schwarz).
-    reach = math.sqrt(atoms) * ovrmsd * (1 + 1e-9)
+    reach = math.sqrt(atoms) * valid_ovrmsd(ovrmsd) * (1 + 1e-9)
     width = 2.0 * reach
-    source_shapes = _shapes(source_conformers, weights, "s")
-    target_shapes = _shapes(target_conformers, weights, "t")
+    cells = [f"x{n}" for n in range(3 * len(axes))]
+    source_shapes = _shapes(source_conformers, axes, "s")
+    target_shapes = _shapes(target_conformers, axes, "t")
 
     pairs = (
         conformer_pairs.select(F.col("source").alias("s_conf"), F.col("target").alias("t_conf"))
         .join(source_shapes, "s_conf")
-        .join(target_shapes.drop("t_point"), "t_conf")
+        .join(target_shapes.drop("t_points"), "t_conf")
         .select(
             "s_conf",
             "t_conf",
             v.cross_moment(F.col("s_c"), F.col("t_c")).alias("moment"),
             ((F.col("s_scatter") + F.col("t_scatter")) / atoms).alias("base"),
             "s_mean",
-            "s_point",
+            "s_points",
         )
     )
     m = F.col("m")
@@ -107,7 +113,10 @@ def rotation_pairs(
         for j in range(3)
         for k in range(3)
     ]
-    point = v.rotate(F.col("s_point"), m)
+
+    def projected(points):
+        return [c for n in range(len(axes)) for c in v.rotate(F.get(points, F.lit(n)), m)]
+
     left = source_rotations.join(pairs, F.col("conformer") == F.col("s_conf")).select(
         "conformer",
         "rotamer",
@@ -115,9 +124,8 @@ def rotation_pairs(
         "base",
         F.array(*turned).alias("turned"),
         F.array(*v.rotate(F.col("s_mean"), m)).alias("s_at"),
-        *[F.floor(point[k] / width).alias(f"x{k}") for k in range(3)],
+        *[F.floor(c / width).alias(x) for c, x in zip(projected(F.col("s_points")), cells)],
     )
-    t_point = v.rotate(F.col("t_point"), m)
     right = target_rotamers.join(
         target_shapes.drop("t_c", "t_scatter"), F.col("conformer") == F.col("t_conf")
     ).select(
@@ -125,18 +133,38 @@ def rotation_pairs(
         F.col("rotamer").alias("t_rot"),
         m.alias("t_m"),
         F.array(*v.rotate(F.col("t_mean"), m)).alias("t_at"),
-        *[p.alias(f"p{k}") for k, p in enumerate(t_point)],
+        *[
+            F.sequence(F.floor((c - reach) / width), F.floor((c + reach) / width)).alias(x)
+            for c, x in zip(projected(F.col("t_points")), cells)
+        ],
+    )
+    for x in cells:
+        right = right.withColumn(x, F.explode(x))
+    left, right = stage(left, "source-cells"), stage(right, "target-cells")
+    return skew_join(left, right, ["t_conf", *cells]).drop(*cells)
+
+
+def rotation_pairs(
+    source_rotations: DataFrame,
+    source_conformers: DataFrame,
+    target_conformers: DataFrame,
+    target_rotamers: DataFrame,
+    conformer_pairs: DataFrame,
+    ovrmsd: float,
+) -> DataFrame:
+    """Source and target rotations whose rotation part alone is within the threshold.
+
+    Gives ``(conformer, rotamer, t_conf, t_rot, rotated, a0..a2)``: the mean square
+    rotation part and the difference of the two turned centroids.
+    """
+    atoms = len(target_conformers.orderBy("conformer").select("coords").first()[0])
+    met = rotation_candidates(
+        source_rotations, source_conformers, target_conformers, target_rotamers, conformer_pairs, ovrmsd
     )
-    for k in range(3):
-        cells = F.sequence(
-            F.floor((F.col(f"p{k}") - reach) / width), F.floor((F.col(f"p{k}") + reach) / width)
-        )
-        right = right.withColumn(f"x{k}", F.explode(cells)).drop(f"p{k}")
-    met = left.join(right, ["t_conf", "x0", "x1", "x2"])
     rotated = F.greatest(
         F.col("base") - v.dot(F.col("turned"), F.col("t_m"), 9) * (2.0 / atoms), F.lit(0.0)
     )
-    return met.withColumn("rotated", rotated).where(F.col("rotated") < limit).select(
+    return met.withColumn("rotated", rotated).where(F.col("rotated") < ovrmsd * ovrmsd).select(
         "conformer",
         "rotamer",
         "t_conf",
@@ -183,7 +211,7 @@ def grow(
     """
     pairs = crmsds.where((F.col("crmsd") < crmsd) & ~F.isnan("crmsd"))
     if restrict is not None:
-        allowed = restrict.select(*POSE).distinct()
+        restrict = allowed = stage(restrict.select(*POSE).distinct(), "restrict")
         rotations = allowed.select("conformer", "rotamer").distinct()
         target_rotamers = target_rotamers.join(rotations, ["conformer", "rotamer"], "left_semi")
         pairs = pairs.join(
@@ -222,10 +250,12 @@ def _translate(source, matched, ovrmsd, restrict):
         *pose_columns(F.col("t_conf"), F.col("t_rot"), F.col("gx"), F.col("gy"), F.col("gz")),
         "parent_id",
     )
-    if restrict is not None:
-        # The right side has distinct poses; adaptive execution splits a hot left pose.
-        grown = grown.join(restrict.select(*POSE).distinct(), POSE, "left_semi")
-    return grown
+    if restrict is None:
+        return grown
+    if row_bound(restrict) <= FEW_POSES:
+        return grown.join(F.broadcast(restrict), POSE, "left_semi")
+    # A pose grown from very many parents is split over tasks.
+    return skew_join(stage(grown, "grown"), restrict, POSE, "left_semi")
 
 
 def anchor_at_reference(

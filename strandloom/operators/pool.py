@@ -14,6 +14,7 @@ from strandloom.constants import (
     OFFSET,
     POSE,
 )
+from strandloom.operators.digest import ordered_digest
 from strandloom.staging import dense_ids, present, row_bound, skew_join, stage
 
 
@@ -122,7 +123,7 @@ def select_poses(
     """
     if base not in (0, 1):
         raise ValueError("base must be 0 or 1")
-    total = row_bound(pool)
+    total = pool.count()  # from the footers of a written pool
     wanted = requests.withColumn("pose_id", F.col("pose_id") - F.lit(base))
     wanted = wanted.withColumn(
         "pose_id",
@@ -145,18 +146,9 @@ def scatter(values: DataFrame, order_array: DataFrame, value: str) -> DataFrame:
 
 
 def fingerprint(pool: DataFrame) -> DataFrame:
-    """Order-sensitive identity of a pool, computed without a global sort.
-
-    Each row hashes its id together with its pose; the modular sum of the hashes
-    does not depend on partitioning.
-    """
-    word = F.xxhash64("pose_id", *POSE).cast("decimal(38,0)")
-    return pool.agg(
-        F.count("*").alias("poses"),
-        F.pmod(F.sum(word), F.lit(1 << 62).cast("decimal(38,0)"))
-        .cast("bigint")
-        .alias("digest"),
-    )
+    """Identity of a pool: number of poses, and digest of their records in order."""
+    found = ordered_digest(pool, POSE)
+    return found.select(F.col("rows").alias("poses"), "digest")
 
 
 def same_pool(left: DataFrame, right: DataFrame) -> bool:

@@ -93,38 +93,80 @@ def direct_rmsd(a: Column, b: Column) -> Column:
     return F.sqrt(square / (F.size(a) / 3))
 
 
-def pairs_below(structures: DataFrame, threshold: float, *, hot_rows: int | None = None) -> DataFrame:
-    """Pairs ``(i, j, rmsd)``, i < j, of ``(id, flat coords)`` nearer than ``threshold``.
+PIVOTS = 4  # directions whose cells candidates meet in: at most 2**4 cells a structure
+PIVOT_SAMPLE = 2_000  # structures that directions are fitted on; any directions are exact
+
+
+def pivot_directions(structures: DataFrame, count: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> list[list[float]]:
+    """Orthonormal directions over flat coordinates along which a sample varies most."""
+    rows = structures.orderBy(F.xxhash64("id"), "id").limit(sample).select("coords").collect()
+    if not rows:
+        return []
+    if len({len(r.coords) for r in rows}) > 1:
+        raise ValueError("structures differ in atoms")
+    points = np.asarray([r.coords for r in rows], dtype=float)
+    _, _, directions = np.linalg.svd(points - points.mean(axis=0), full_matrices=False)
+    return directions[:count].tolist()
+
 
-    The distance of two centroids is at most their RMSD.  Centroids fall into cells
-    twice as wide as the threshold; each structure is compared with the cells its
-    threshold ball touches (at most eight), so candidates meet by equi-join.  A cell
-    that holds a large share of all structures is split by salts on both sides.
+def near_candidates(
+    structures: DataFrame, threshold: float, directions: list[list[float]], *, hot_rows: int | None = None
+) -> DataFrame:
+    """Pairs ``(i, j, _a, _b)``, i < j, that projections do not tell apart.
+
+    Two structures of n atoms whose RMSD is below the threshold differ by less than
+    ``sqrt(n) * threshold`` in their projections on orthonormal directions taken together.
+    Each projection is cut into cells twice that wide; a structure is put into the cells it
+    may be near enough to (at most two a direction), so candidates meet by equi-join.  A
+    cell that holds a large share of all structures is split by salts on both sides.
     """
-    if not threshold > 0:
-        raise ValueError("threshold must be positive")
-    width = 2.0 * threshold
-    centre = [v.flat_axis_mean(F.col("coords"), k) for k in range(3)]
-    located = structures.select("id", "coords", *[c.alias(f"c{k}") for k, c in enumerate(centre)])
+    atoms = len(directions[0]) / 3
+    slack = math.sqrt(atoms) * threshold * (1 + 1e-9)
+    width = 2.0 * slack
+    keys = range(len(directions))
+    same = F.when(F.size("coords") == len(directions[0]), F.col("coords")).otherwise(
+        F.raise_error(F.lit("structures differ in atoms"))
+    )
+
+    def along(direction):
+        product = F.zip_with(same, F.lit(direction), lambda x, w: x * w)
+        return F.aggregate(product, F.lit(0.0), lambda total, x: total + x)
+
+    located = structures.select("id", "coords", *[along(d).alias(f"c{k}") for k, d in enumerate(directions)])
     right = located.select(
         F.col("id").alias("j"),
         F.col("coords").alias("_b"),
-        *[F.col(f"c{k}").alias(f"e{k}") for k in range(3)],
-        *[F.floor(F.col(f"c{k}") / width).alias(f"x{k}") for k in range(3)],
+        *[F.col(f"c{k}").alias(f"e{k}") for k in keys],
+        *[F.floor(F.col(f"c{k}") / width).alias(f"x{k}") for k in keys],
     )
     left = located.withColumnsRenamed({"id": "i", "coords": "_a"})
-    slack = threshold * (1 + 1e-9)
-    for k in range(3):
+    for k in keys:
         cells = F.sequence(
             F.floor((F.col(f"c{k}") - slack) / width), F.floor((F.col(f"c{k}") + slack) / width)
         )
         left = left.withColumn(f"x{k}", F.explode(cells))
     rows = row_bound(structures)
     met = skew_join(
-        spread(left, rows, "i"), right, ["x0", "x1", "x2"], left_rows=8 * rows, right_rows=rows, hot_rows=hot_rows
+        spread(left, rows, "i"),
+        right,
+        [f"x{k}" for k in keys],
+        left_rows=2 ** len(directions) * rows,
+        right_rows=rows,
+        hot_rows=hot_rows,
     ).where("i < j")
-    apart = [F.col(f"c{k}") - F.col(f"e{k}") for k in range(3)]
-    met = met.where(v.dot(apart, apart) <= slack * slack)
+    apart = [F.col(f"c{k}") - F.col(f"e{k}") for k in keys]
+    return met.where(v.dot(apart, apart, len(apart)) <= slack * slack).select("i", "j", "_a", "_b")
+
+
+def pairs_below(structures: DataFrame, threshold: float, *, hot_rows: int | None = None) -> DataFrame:
+    """Pairs ``(i, j, rmsd)``, i < j, of ``(id, flat coords)`` nearer than ``threshold``."""
+    if not threshold > 0:
+        raise ValueError("threshold must be positive")
+    directions = pivot_directions(structures)
+    if not directions:
+        none = structures.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("rmsd"))
+        return none.limit(0)
+    met = near_candidates(structures, threshold, directions, hot_rows=hot_rows)
     return met.withColumn("rmsd", direct_rmsd(F.col("_a"), F.col("_b"))).where(
         F.col("rmsd") < threshold
     ).select("i", "j", "rmsd")

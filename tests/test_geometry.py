@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.constants import GRID_SPACING, POSE
 from strandloom.functions import decimals, gaussian, nucleotides, stacking, superpose
 from strandloom.functions import vectors as v
-from strandloom.operators import anchor, energy, fit, grow, library, rmsd, structure
+from strandloom.operators import anchor, energy, filter_cache, fit, grow, library, rmsd, structure
 
 CONF = "conformer int, coords array<array<double>>"
 
@@ -379,3 +379,134 @@ def test_pair_energy(spark):
                     s2 = 9 / square
                     total += (kind + other + 1) * (s2**4 - s2**3)
         assert math.isclose(got[n], total, rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("turns", [60, 120])
+def test_second_axis_leaves_few_rotation_candidates(spark, monkeypatch, turns):
+    """A long thin shape turned about its own axis: one axis lets all of these turns meet."""
+    rng = np.random.default_rng(20)
+    rod = rng.normal(size=(9, 3)) * [6.0, 1.5, 1.0]
+    u, s, _ = np.linalg.svd(rod - rod.mean(0), full_matrices=False)
+    rod = u * s  # its long axis is the first
+    conf = spark.createDataFrame([(0, rod.tolist())], CONF)
+    angles = rng.uniform(-math.pi, math.pi, turns)
+    vecs = [(0, n, float(a), *map(float, rng.normal(size=2) * 0.003)) for n, a in enumerate(angles)]
+    rot = library.rotamers_from_rotvec(
+        spark.createDataFrame(vecs, "conformer int, rotamer int, rx double, ry double, rz double")
+    )
+    pairs = spark.createDataFrame([(0, 0)], "source int, target int")
+    args = (rot, conf, conf, rot, pairs, 0.25)
+    found = {(r.rotamer, r.t_rot) for r in grow.rotation_pairs(*args).collect()}
+    both = grow.rotation_candidates(*args).select("rotamer", "t_rot").collect()
+    assert len(both) == len(set(both)) and found <= {tuple(r) for r in both}
+    axes = grow._axes
+    monkeypatch.setattr(grow, "_axes", lambda c: axes(c)[:1])
+    one = grow.rotation_candidates(*args).count()
+    assert {(r.rotamer, r.t_rot) for r in grow.rotation_pairs(*args).collect()} == found
+    assert len(both) <= 6 * len(found) and 5 * len(both) < one
+
+
+def test_hot_rotation_cells_are_split(spark, monkeypatch):
+    """The same pairs when every cell counts as hot."""
+    from strandloom import staging
+
+    rng = np.random.default_rng(21)
+    coords, _, conf, rot, _ = make_library(spark, rng, 2, 6, 30, 0.1)
+    pairs = spark.createDataFrame([(a, b) for a in range(2) for b in range(2)], "source int, target int")
+    want = sorted((r.conformer, r.rotamer, r.t_conf, r.t_rot) for r in grow.rotation_pairs(rot, conf, conf, rot, pairs, 0.9).collect())
+    monkeypatch.setattr(staging, "HOT_ROWS", 5)
+    got = sorted((r.conformer, r.rotamer, r.t_conf, r.t_rot) for r in grow.rotation_pairs(rot, conf, conf, rot, pairs, 0.9).collect())
+    assert got == want and len(want) > 100
+
+
+def test_structures_with_one_centroid_meet_by_pivots(spark):
+    rng = np.random.default_rng(22)
+    groups = rng.normal(size=(60, 8, 3)) * 3
+    data = np.concatenate([g + rng.normal(size=(5, 8, 3)) * 0.03 for g in groups])
+    data -= data.mean(axis=1, keepdims=True)
+    df = spark.createDataFrame([(n, x.ravel().tolist()) for n, x in enumerate(data)], "id bigint, coords array<double>")
+    near = rmsd.near_candidates(df, 0.3, rmsd.pivot_directions(df)).count()
+    got = {(r.i, r.j) for r in rmsd.pairs_below(df, 0.3).collect()}
+    assert got == {(i, j) for i, j in itertools.combinations(range(300), 2) if i // 5 == j // 5}
+    assert near <= 2 * len(got)  # of 44,850 pairs, all of which share their centroid's cell
+    assert rmsd.pairs_below(df.limit(0), 0.3).collect() == []
+
+
+def test_accept_rows_and_stored_filter(spark, tmp_path):
+    cells = spark.createDataFrame([(n,) for n in range(0, gaussian.HOPF_CELLS, 97)], "cell int")
+    cells = cells.select("cell", gaussian.hopf_r33(F.col("cell")).alias("r33"))
+    scored = gaussian.scored_keys(cells, "rrm70")
+    keys = gaussian.lattice_keys(spark, False).count()
+    assert scored.count() <= cells.count() * keys and keys < 1500
+    tilt = {r.cell: r.r33 for r in cells.collect()}
+    axis = np.arange(-20, 21)
+    ijk = np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), -1).reshape(-1, 3)
+    side = ijk[:, 0] ** 2 + ijk[:, 1] ** 2
+    ijk = ijk[((ijk**2).sum(1) < 400) & (3 * ijk[:, 2] ** 2 > side)]
+    d = np.sqrt((ijk**2).sum(1)) * 0.25
+    phi = np.arccos(np.abs(ijk[:, 2]) * 0.25 / d)
+    p, want = np.array(gaussian.PRECISION), {}
+    for cell, r33 in tilt.items():
+        dev = np.stack([d, phi, np.full_like(d, math.acos(min(1, abs(r33))))], 1) - gaussian.MEAN
+        score = np.exp(-0.5 * np.einsum("ni,ij,nj->n", dev, p, dev)) / gaussian.NORMALIZER
+        if hits := set(map(tuple, ijk[score >= gaussian.cutoff("rrm70")].tolist())):
+            want[cell] = hits
+    rows = gaussian.accept_rows(cells, "rrm70")
+    assert {r.cell: r["size"] for r in rows.collect()} == {c: len(h) for c, h in want.items()} and len(want) > 20
+    points = gaussian.accepted_points(rows.select("cell", "accepted")).collect()
+    assert len(points) == sum(map(len, want.values()))
+    assert all((r.i, r.j, r.k) in want[r.cell] for r in points)
+
+
+def test_stored_filter_is_checked(spark, tmp_path):
+    path = str(tmp_path / "rrm50")
+    said = filter_cache.write(spark, "rrm50", path)
+    assert said["pairs"] == 4_111_232 and said["min_rel_margin"] > gaussian.AUDIT_MARGIN
+    cells = filter_cache.read(spark, "rrm50", path)
+    assert cells.agg(F.sum("size")).first()[0] == 4_111_232
+    with pytest.raises(filter_cache.FilterCacheError, match="name"):
+        filter_cache.read(spark, "rrm60", path)
+    with pytest.raises(filter_cache.FilterCacheError, match="rounding"):
+        filter_cache.write(spark, "rrm50", str(tmp_path / "other"), least=1.0)
+    changed = tmp_path / "changed"
+    first = cells.orderBy("cell").first().cell
+    flipped = F.transform("accepted", lambda a: F.struct(a.side.alias("side"), a.bits.bitwiseXOR(F.lit(6)).alias("bits")))
+    cells.withColumn("accepted", F.when(F.col("cell") == first, flipped).otherwise(F.col("accepted"))).write.parquet(f"{changed}/cells")
+    spark.read.json(f"{path}/manifest").write.json(f"{changed}/manifest")
+    with pytest.raises(filter_cache.FilterCacheError, match="digest"):
+        filter_cache.read(spark, "rrm50", str(changed))
+
+
+def test_anchor_from_a_stored_filter(spark, monkeypatch):
+    """Rows of a stored filter, and shuffled accept rows, give the same cells."""
+    rng = np.random.default_rng(23)
+    rot = library.rotamers_from_rotvec(
+        spark.createDataFrame([(0, n, *map(float, rng.normal(size=3) * 0.4)) for n in range(6)],
+                              "conformer int, rotamer int, rx double, ry double, rz double")
+    )
+    identity = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    shapes = spark.createDataFrame([(0, identity, [0.1, 0.2, 0.3])], "conformer int, to_reference array<double>, ring_centre array<double>")
+    args = (rot, shapes, "rrm80", identity, [0.0, 0.5, 1.0])
+    want = sorted(map(tuple, anchor.candidate_cells(*args).collect()))
+    stored = gaussian.accept_rows(gaussian.cell_tilts(spark), "rrm80")
+    assert sorted(map(tuple, anchor.candidate_cells(*args, accepted=stored).collect())) == want and len(want) > 10
+    monkeypatch.setattr(anchor, "FEW_CELLS", 0)
+    assert sorted(map(tuple, anchor.candidate_cells(*args).collect())) == want
+
+
+def test_digest_follows_order_and_not_partitions(spark, monkeypatch):
+    from strandloom.operators import digest
+
+    monkeypatch.setattr(digest, "FAN", 8)
+    rows = [(n, f"v{n % 7}" if n % 5 else None) for n in range(700)]
+
+    def of(rows, parts=3):
+        df = spark.createDataFrame(rows, "pose_id bigint, v string").repartition(parts)
+        return tuple(digest.ordered_digest(df, ["v"]).first())
+
+    base = of(rows)
+    assert base == of(rows, 7) and base[0] == 700
+    swapped = list(rows)
+    swapped[3], swapped[4] = (3, rows[4][1]), (4, rows[3][1])
+    assert of(swapped) != base and of(rows[:-1]) != base
+    assert of([(0, "")]) != of([(0, None)]) and of([])[0] == 0
