@@ -13,6 +13,7 @@ from strandloom.staging import row_bound, skew_join, task_count
 
 WORDS = rb"[^\x20\x09-\x0D]+"  # what bytes.split() yields
 ROWS = 1000
+HOT = 100_000  # rows of a key below which a join leaves it to one task
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 
 
@@ -93,7 +94,7 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def to_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join with a side of unique keys; keys that many rows of the other side share are spread."""
     rows = row_bound(left)
-    hot = max(1000, 2 * rows // task_count(left.sparkSession))
+    hot = max(HOT, rows // task_count(left.sparkSession))
     return skew_join(left, right, on, how, left_rows=rows, right_rows=0, hot_rows=hot)
 
 

@@ -10,10 +10,11 @@ least ``need(n) = ceil(n * percent / 100)`` of them with any partner, so two par
   every ``SUBSET`` shingles of the first ones make a key.  Large sets scan the inverted lists
   of their first shingles, in which small sets stand as well.  The size that divides them is
   the one with the least cost, keys made below it and list entries scanned above it.
-* A key or list is a bucket; of buckets with the same members one is left.  The members are
-  compared with one centre of their bucket first, then only with members that these links
-  have not put into their component: in tasks, on 1,024-bit parity sketches, whose distance is
-  never above the true difference.  Candidates are decided on the whole sets.
+* A key or list is a bucket; of buckets with the same members one is left.  Members are
+  compared in tasks, on 1,024-bit parity sketches, whose distance is never above the true
+  difference; candidates are decided on the whole sets.  For some rounds each member
+  names its nearest one of another component only, which joins large groups by few pairs;
+  then all pairs of members that are still in different components follow.
 
 No link is lost and no bucket is expanded into all its pairs.  Shingles are 64-bit hashes and
 sets are told apart by 128 bits and their size, so unequal ones are taken as equal with a
@@ -27,18 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import LOWER, map_batches, to_unique, utf8
-from strandloom.staging import bounded_broadcast, dense_ids, row_bound, skew_join, stage, with_bound
+from strandloom.staging import bounded_broadcast, dense_ids, row_bound, stage, with_bound
 
 WORDS = 5
 PERCENT = 80
 SUBSET = 2
-STARS = ("min", "max")  # centres that the members of a bucket are compared with
+ROUNDS = 2  # in which members name their nearest one, before all pairs that are left
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 FEW = 1_000_000  # sets sent to all tasks at once, 40 bytes each; more are joined by a shuffle
+PAIRS = 200_000  # pairs of members that one task looks at together
+COMMON = 1_000_000  # sets of a shingle from which it is sent to all tasks
 _SKETCH = 1024
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
@@ -108,17 +111,28 @@ def _first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return stage(map_batches(rows, schema, start), "first-shingles")
 
 
+def _counted(entries: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
+    """``entries`` (h, ...) with ``df`` from ``counts`` (h, df), inner.
+
+    The most common shingles, of which there are at most ``rows / COMMON`` and 20,000, go
+    to all tasks, so that no task gets all entries of one.
+    """
+    cut = max(COMMON, rows // 20_000)
+    hot = F.broadcast(counts.where(F.col("df") >= cut))
+    rest = entries.join(hot.select("h"), "h", "left_anti").join(counts.where(F.col("df") < cut), "h")
+    return entries.join(hot, "h").unionByName(rest)
+
+
 def _alive(found: DataFrame, percent: int) -> DataFrame:
     """One row per distinct set that may have a partner: number g, digest, hash of a text of it."""
+    need = F.ceil(F.col("n") * percent / 100)
     sets = found.where("n > 1").select("d1", "d2", "n", "text_hash", F.explode("first").alias("h"))
-    common = sets.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
-    bound = found.agg(F.sum(F.size("first"))).first()[0] or 0
-    hits = skew_join(sets, common, ["h"], "left_semi", left_rows=bound)
+    counts = stage(sets.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common-first")
+    rows = found.agg(F.sum(F.col("n") - need + F.greatest(F.lit(1), F.floor(F.col("n") / 10)))).first()[0] or 0
     # Copies count one by one here, which only lets more sets pass.
-    need = F.ceil(F.col("n") * percent / 100)
     asked = F.greatest(F.lit(1), F.floor(need / 10))
-    passed = hits.groupBy("d1", "d2", "n", "text_hash").agg(F.count("*").alias("hits")).where(F.col("hits") >= asked)
-    one = passed.groupBy("d1", "d2", "n").agg(F.min("text_hash").alias("text_hash"))
+    hits = _counted(sets, counts, rows).groupBy("d1", "d2", "n", "text_hash").agg(F.count("*").alias("hits"))
+    one = hits.where(F.col("hits") >= asked).groupBy("d1", "d2", "n").agg(F.min("text_hash").alias("text_hash"))
     return stage(dense_ids(one, ["d1", "d2", "n"], "g", "alive"), "alive-sets")
 
 
@@ -152,9 +166,8 @@ def _ranked(sets: DataFrame, percent: int) -> DataFrame:
     shingles have no partner.
     """
     entries = sets.select("g", F.explode("items").alias("h"))
-    entries = with_bound(entries, sets.agg(F.sum("n")).first()[0] or 0)
-    counts = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = to_unique(entries, counts, ["h"]).groupBy("g")
+    counts = stage(entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    shared = _counted(entries, counts, sets.agg(F.sum("n")).first()[0] or 0).groupBy("g")
     rows = shared.agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("items"))
     rows = rows.join(sets.select("g", "n"), "g").withColumn(
         "scan", (F.size("items") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
@@ -207,10 +220,6 @@ def _buckets(ranked: DataFrame, small: int) -> DataFrame:
     return stage(to_unique(members, kept, ["a", "b"]), "bucket-members")
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = stage(pairs.distinct(), "candidates")
@@ -247,85 +256,93 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """Members of buckets that more than one component meets in, with their label."""
     rows = members.withColumn("label", F.col("g"))
     if links is not None:
-        rows = to_unique(members, components(links), ["g"], "left_outer")
-        rows = rows.withColumn("label", F.coalesce("label", "g"))
-    rows = stage(rows, "labelled")
+        # A set is in no more buckets than its text has shingles and pairs of first ones.
+        rows = members.join(components(links), "g", "left").withColumn("label", F.coalesce("label", "g"))
+    rows = stage(rows.select("a", "b", "g", "n", "scans", "size", "label"), "labelled")
     mixed = rows.groupBy("a", "b").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("a", "b")
     return stage(to_unique(rows, mixed, ["a", "b"]), "mixed")
 
 
-def _stars(rows: DataFrame, pick: str, percent: int) -> DataFrame:
-    """Every member with the centre of its bucket, the least or greatest one that scans."""
-    best = F.min_by if pick == "min" else F.max_by
-    chosen = F.when(F.col("scans"), F.col("g"))
-    centres = rows.where("scans").groupBy("a", "b").agg(best(F.struct("g", "n", "label"), chosen).alias("x"))
-    pairs = to_unique(rows, centres, ["a", "b"]).where("label <> x.label").where(_close(F.col("n"), F.col("x.n"), percent))
-    return pairs.select(F.least("g", "x.g").alias("a"), F.greatest("g", "x.g").alias("b"))
+def _cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members in order of their cell (a, b, i, j).
+
+    A bucket is cut into blocks by hash, and a cell pairs two blocks or one with itself.
+    """
+    rows = rows.join(sets.select("g", "sketch"), "g")
+    rows = rows.withColumn("_cuts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("g"), F.col("_cuts")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
+    low, high = F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j")
+    cells = rows.select("a", "b", low, high, "own", "g", "label", "n", "scans", "sketch")
+    return cells.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j")
 
 
-def _near(left: tuple, right: tuple, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of two runs of members that may be similar, by label, size and sketch."""
-    g, label, n, scans, bits = left
-    for x in range(len(g)):
-        og, olabel, on, oscans, obits = right
-        ok = (olabel != label[x]) & (oscans | scans[x])
-        ok &= np.minimum(on, n[x]) * 100 >= np.maximum(on, n[x]) * percent
-        at = np.flatnonzero(ok)
-        if len(at):
-            apart = np.bitwise_count(obits[at] ^ bits[x]).sum(1, dtype=np.int64)
-            # |A - B| + |B - A| <= (n + m) * (100 - p) / (100 + p) for similar sets
-            for o in og[at[apart * (100 + percent) <= (on[at] + n[x]) * (100 - percent)]].tolist():
-                yield (g[x], o) if g[x] < o else (o, g[x])
+def _followers(cut: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same cell, in runs; ``cut`` has where cells begin."""
+    ends = np.repeat(np.append(cut[1:], size), np.diff(np.append(cut, size)))
+    after = ends - np.arange(size) - 1
+    total = np.cumsum(after)
+    at = 0
+    while at < size:
+        stop = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS)), at + 1)
+        left = np.repeat(np.arange(at, stop), after[at:stop])
+        first = np.cumsum(after[at:stop]) - after[at:stop]
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(first, after[at:stop])
+        at = stop
 
 
-def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket, but of two components, that sketches do not rule out.
+def _candidates(rows: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of members of one bucket, but of two components, that may be similar.
 
-    A bucket is cut into blocks by hash, and a cell pairs two blocks.
+    With ``nearest`` only the one of every member that is nearest by sketch.
     """
-    rows = to_unique(rows, sets.select("g", "sketch"), ["g"])
-    cuts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("_cuts", cuts).withColumn("_own", F.pmod(F.xxhash64("g"), F.col("_cuts")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
     names = ["a", "b", "i", "j"]
-    cells = rows.select(
-        "a", "b", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "g", "label", "n", "scans", "sketch"
-    )
-    ordered = cells.repartition(*names).sortWithinPartitions(*names, "_own")
 
     def start():
         held: list[pa.RecordBatch] = []
 
-        def compared(cell: pa.Table) -> list[tuple[int, int]]:
-            columns = [cell[c].to_numpy() for c in ("g", "label", "n", "scans")]
-            bits = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint64).reshape(cell.num_rows, -1)
-            own = cell["_own"].to_numpy()
-            parts = [tuple(c[own == o] for c in (*columns, bits)) for o in np.unique(own)]
-            i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
-            if i != j:
-                return list(_near(*parts, percent)) if len(parts) == 2 else []
-            return [p for p in _near(parts[0], parts[0], percent)]
+        def compared(table: pa.Table, cut: np.ndarray, crossed: np.ndarray) -> np.ndarray:
+            g, label, n, own = (table[c].to_numpy() for c in ("g", "label", "n", "own"))
+            scans = table["scans"].to_numpy()
+            bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(g), -1)
+            found = []
+            for x, y in _followers(cut, len(g)):
+                ok = (label[x] != label[y]) & (scans[x] | scans[y]) & (~crossed[x] | (own[x] != own[y]))
+                ok &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+                x, y = x[ok], y[ok]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                # |A - B| + |B - A| <= (n + m) * (100 - p) / (100 + p) for similar sets
+                near = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+                found.append(np.stack([x[near], y[near], apart[near]], 1))
+            pairs = np.concatenate(found)
+            if nearest and len(pairs):
+                pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
+                firsts = [np.unique(pairs[:, side], return_index=True)[1] for side in (0, 1)]
+                pairs = pairs[np.unique(np.concatenate(firsts))]
+            return np.unique(np.sort(np.stack([g[pairs[:, 0]], g[pairs[:, 1]]], 1), 1), axis=0)
 
         def step(batch: pa.RecordBatch | None) -> dict | None:
-            out: set[tuple[int, int]] = set()
             if batch is not None and batch.num_rows:
                 held.append(batch)
-            if held:
-                table = pa.Table.from_batches(held)
-                keys = np.stack([table[c].to_numpy() for c in names], 1)
-                cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-                held.clear()
-                bounds = [0, *cut.tolist(), table.num_rows]
-                for lo, hi in zip(bounds, bounds[1:]):
-                    if hi == table.num_rows and batch is not None:
-                        held.extend(table.slice(lo).to_batches())  # the open cell waits
-                    else:
-                        out.update(compared(table.slice(lo, hi - lo)))
-            return {"a": [p[0] for p in out], "b": [p[1] for p in out]} if out else None
+            if not held or batch is not None and sum(b.num_rows for b in held) < BLOCK:
+                return None
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table[c].to_numpy() for c in names], 1)
+            cut = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1)
+            held.clear()
+            size = table.num_rows
+            if batch is not None:  # the open cell waits
+                size = int(cut[-1])
+                cut = cut[:-1]
+                held.extend(table.slice(size).to_batches())
+            if not size:
+                return None
+            pairs = compared(table.slice(0, size), cut, keys[:size, 2] != keys[:size, 3])
+            return {"a": pairs[:, 0], "b": pairs[:, 1]} if len(pairs) else None
 
         return step
 
-    return map_batches(ordered, "a long, b long", start, finish=True)
+    return map_batches(_cells(rows, sets), "a long, b long", start, finish=True)
 
 
 def similar_sets(docs: DataFrame, found: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -335,10 +352,9 @@ def similar_sets(docs: DataFrame, found: DataFrame, size: int, percent: int) ->
     ranked = _ranked(sets, percent)
     members = _buckets(ranked, boundary(ranked))
     links = None
-    for pick in (*STARS, None):
+    for number in range(ROUNDS + 1):
         rows = _labelled(members, links)
-        pairs = _stars(rows, pick, percent) if pick else _rest(rows, sets, percent)
-        new = _linked(pairs, sets, percent)
+        new = _linked(_candidates(rows, sets, percent, number < ROUNDS), sets, percent)
         links = new if links is None else links.unionByName(new)
     return alive, components(links)
 

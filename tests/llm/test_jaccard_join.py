@@ -93,10 +93,13 @@ def test_any_boundary_gives_the_same_links(spark, monkeypatch, small):
     check(spark, families(5))
 
 
-def test_large_groups_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_large_groups_in_blocks(spark, monkeypatch, rounds):
     """A chain of near copies, each near only to some others, in buckets of several blocks."""
     monkeypatch.setattr(J, "BLOCK", 7)
-    monkeypatch.setattr(J, "STARS", ())
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    monkeypatch.setattr(J, "PAIRS", 20)
+    monkeypatch.setattr(J, "COMMON", 5)
     monkeypatch.setattr(J, "FEW", 0)
     rng = random.Random(6)
     base = words(rng, 200)
