@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("relational", "geometry", "structures", "library")
+_MODULES = ("relational", "geometry", "structures", "library", "files")
 
 
 def _merged(attribute: str) -> dict:

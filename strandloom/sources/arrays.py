@@ -1,26 +1,28 @@
-"""Array files on the shared file system: .npy columns and binary pose files.
+"""Array files in any store: ``.npy`` columns and arrays of any shape, plain or zstd.
 
-Files are read by byte range or as a bounded stream inside tasks, never whole.
+Headers and frame bounds are read by tasks, one per file; then plain files are read in row
+ranges and compressed ones in runs of frames, each by a task of its own in bounded chunks.
 """
 
 from __future__ import annotations
 
 import io
 import math
-import os
-import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql import functions as F
 
-from strandloom.constants import BUCKET, BUCKET_SIZE, POSE
-from strandloom.operators.pool import bucket_starts
+from strandloom.sources import store
+from strandloom.sources.staged import StagedWriter
 
-ROWS_PER_TASK = 4_000_000
-CHUNK = 500_000
+TASK_BYTES = 64 << 20  # of content, for one task
+CHUNK_BYTES = 8 << 20  # of content, held at a time
+ROWS_PER_FILE = 4_000_000
+ENDINGS = (".npy", ".npy.zst")
 
 
 def _header(handle) -> tuple[tuple[int, ...], np.dtype]:
@@ -44,211 +46,250 @@ def _sql_type(dtype: np.dtype) -> str:
     raise ValueError(f"unsupported array type {dtype}")
 
 
-def find_array(path: str) -> str:
-    """The plain file, or its .zst twin when only that exists."""
-    for candidate in (path, f"{path}.zst"):
-        if os.path.isfile(candidate):
-            return candidate
-    raise FileNotFoundError(path)
+_ARROW = {"float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64()}
 
 
-def _open(path: str):
-    if not path.endswith(".zst"):
-        return open(path, "rb")
-    import zstandard
+def _describe(uri: str, size: int, task_bytes: int) -> dict:
+    """Shape and type of an array file, and the runs that tasks read it in.
 
-    return zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True)
-
-
-def read_npy(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """``(pose_id, name)`` of a one-dimensional array.
-
-    Plain files are split into row ranges.  A compressed file is one stream and is
-    read by one task in bounded chunks.
-    """
-    path = find_array(path)
-    with _open(path) as handle:
-        shape, dtype = _header(handle)
-        start = handle.tell()
-    if len(shape) != 1:
-        raise ValueError(f"{path}: expected one dimension, found {len(shape)}")
-    rows, compressed = shape[0], path.endswith(".zst")
-    step = max(rows, 1) if compressed else ROWS_PER_TASK
-    tasks = max(1, -(-rows // step))
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for task in batch["id"]:
-                first, last = task * step, min(rows, (task + 1) * step)
-                with _open(path) as handle:
-                    if compressed:
-                        _header(handle)
-                    else:
-                        handle.seek(start + first * dtype.itemsize)
-                    for at in range(first, last, CHUNK):
-                        size = min(CHUNK, last - at)
-                        data = handle.read(size * dtype.itemsize)
-                        if len(data) != size * dtype.itemsize:
-                            raise ValueError(f"{path}: file is too short")
-                        values = np.frombuffer(data, dtype)
-                        if dtype.kind == "u" and dtype.itemsize == 8 and len(values) and values.max() >> 63:
-                            raise ValueError(f"{path}: value exceeds 63 bits")
-                        yield pd.DataFrame({"pose_id": np.arange(at, at + size), name: values})
-
-    return spark.range(0, tasks, 1, tasks).mapInPandas(load, f"pose_id bigint, {name} {_sql_type(dtype)}")
-
-
-def read_arrays(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """``(row, name)`` of an array kept as one file or as a folder of parts in name order.
-
-    Files come through Spark's own reader, so they may lie in any store; each part is at
-    most 2 GB, as that reader asks, and is decoded by one task.  Parts may be compressed
-    (``.npy.zst``).  Rows of arrays of more dimensions are flat arrays.  All parts need
-    one type and one row shape.
+    A run is a place in the file and the range of content bytes found from there.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def decode(content: bytes, path: str) -> np.ndarray:
-        if path.endswith(".zst"):
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as stream:
-                content = stream.read()
-        handle = io.BytesIO(content)
+    with store.stream(uri) as handle:
         shape, dtype = _header(handle)
-        body = content[handle.tell() :]
-        if not shape or len(body) != dtype.itemsize * math.prod(shape):
-            raise ValueError(f"{path}: the data do not fit shape {shape}")
-        found = np.frombuffer(body, dtype).reshape(shape)
-        if dtype.kind == "u" and dtype.itemsize == 8 and found.size and found.max() >> 63:
-            raise ValueError(f"{path}: value exceeds 63 bits")
-        return found
-
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                found = decode(content, path)
-                kind = _sql_type(found.dtype) + ("" if found.ndim == 1 else f" {found.shape[1:]}")
-                yield pd.DataFrame({"path": [path], "rows": [len(found)], "kind": [kind]})
-
-    # One row per file.
-    parts = files.mapInPandas(heads, "path string, rows bigint, kind string").orderBy("path").collect()
-    kinds = {p.kind for p in parts}
-    if len(kinds) != 1:
-        raise ValueError(f"{path}: parts differ: {sorted(kinds)}")
-    kind = kinds.pop().split(" ")
-    starts = dict(zip([p.path for p in parts], np.cumsum([0, *[p.rows for p in parts]]).tolist()))
+        begin = handle.tell()
+    if not shape:
+        raise ValueError(f"{uri}: a single value is no array")
+    row = dtype.itemsize * math.prod(shape[1:])
+    total = begin + row * shape[0]
+    if not uri.endswith(store.ZSTD):
+        if size != total:
+            raise ValueError(f"{uri}: the data do not fit shape {shape}")
+        step = max(1, task_bytes // max(row, 1)) * row
+        runs = [(at, at, min(at + step, total)) for at in range(begin, total, max(step, 1))]
+    else:
+        runs, at, known = [], 0, True
+        for start, _, content in store.frames(uri, size):
+            known = known and content >= 0
+            if runs and (not known or at + max(content, 0) - runs[-1][1] <= task_bytes):
+                runs[-1] = (*runs[-1][:2], at + content)
+            else:
+                runs.append((start, at, at + content))
+            at += content
+        if not known:  # frames of unknown length: one stream
+            runs = [(0, 0, total)]
+        elif at != total:
+            raise ValueError(f"{uri}: the data do not fit shape {shape}")
+    return {
+        "uri": uri,
+        "rows": shape[0],
+        "kind": f"{dtype.str} {' '.join(map(str, shape[1:]))}".strip(),
+        "begin": begin,
+        "runs": [dict(zip(("place", "low", "high"), r)) for r in runs],
+    }
+
+
+_FACTS = "uri string, rows bigint, kind string, begin bigint, runs array<struct<place: bigint, low: bigint, high: bigint>>"
+
+
+def describe(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """One row per array file of ``path``: rows, type, and what tasks read."""
+    found = store.files(store.qualified(spark, path), ENDINGS)
+    if not found:
+        raise FileNotFoundError(path)
+
+    run = pa.struct([(c, pa.int64()) for c in ("place", "low", "high")])
+    schema = pa.schema(
+        [("uri", pa.string()), ("rows", pa.int64()), ("kind", pa.string()), ("begin", pa.int64()), ("runs", pa.list_(run))]
+    )
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                found = decode(content, path)
-                for at in range(0, len(found), CHUNK):
-                    part = found[at : at + CHUNK]
-                    values = part if part.ndim == 1 else list(part.reshape(len(part), -1))
-                    yield pd.DataFrame({"row": starts[path] + at + np.arange(len(part)), name: values})
+            rows = [_describe(u, s, task_bytes) for u, s in zip(batch["uri"].to_pylist(), batch["size"].to_pylist())]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    sql = kind[0] if len(kind) == 1 else f"array<{kind[0]}>"
-    return files.mapInPandas(rows, f"row bigint, {name} {sql}")
+    listed = spark.createDataFrame([(f.uri, f.size) for f in found], "uri string, size bigint")
+    return listed.repartition(len(found), "uri").mapInArrow(facts, _FACTS)
 
 
-def _pose_header(raw: bytes, magic: bytes, path: str):
-    if raw[: len(magic)] != magic:
-        raise ValueError(f"{path}: wrong file mark")
-    size, mx, my, mz, offsets, poses = struct.unpack_from("<HhhhHI", raw, len(magic))
-    if size < 1:
-        raise ValueError(f"{path}: bucket size must be positive")
-    return size, (mx, my, mz), offsets or 65_536, poses
+def _rows(uri: str, run: tuple[int, int, int], begin: int, row: int, rows: int, chunk: int) -> Iterator[tuple[int, bytes]]:
+    """``(first row, data)`` of the rows that begin in a run of content bytes.
 
-
-def pose_file_rows(path: str, magic: bytes, chunk: int = CHUNK) -> Iterator[pd.DataFrame]:
-    """Poses of one file, in bounded chunks.
-
-    Layout (little endian): mark, bucket size u16, bucket i16 x3, offset count u16
-    (0 means 65,536), pose count u32, offsets i16 x3, poses per offset u32, and per
-    pose conformer, rotamer and offset number u16.
+    A row that goes on in the next frame is read to its end.
     """
-    with _open(path) as handle:
-        size, bucket, n_offsets, n_poses = _pose_header(handle.read(len(magic) + 14), magic, path)
-        offsets = np.frombuffer(handle.read(6 * n_offsets), "<i2").reshape(-1, 3)
-        counts = np.frombuffer(handle.read(4 * n_offsets), "<u4").astype(np.int64)
-        if counts.sum() != n_poses:
-            raise ValueError(f"{path}: offset counts do not add up to {n_poses}")
-        for at in range(0, n_poses, chunk):
-            stop = min(n_poses, at + chunk)
-            data = handle.read(6 * (stop - at))
-            if len(data) != 6 * (stop - at):
-                raise ValueError(f"{path}: file is too short")
-            fields = np.frombuffer(data, "<u2").reshape(-1, 3)
-            if fields[:, 2].max(initial=0) >= n_offsets:
-                raise ValueError(f"{path}: pose refers to a missing offset")
-            grid = offsets[fields[:, 2]].astype(np.int64) + np.array(bucket) * size
-            yield pd.DataFrame(
-                {
-                    "conformer": fields[:, 0].astype(np.int32),
-                    "rotamer": fields[:, 1].astype(np.int32),
-                    "gx": grid[:, 0].astype(np.int32),
-                    "gy": grid[:, 1].astype(np.int32),
-                    "gz": grid[:, 2].astype(np.int32),
-                }
-            )
-        if handle.read(1):
-            raise ValueError(f"{path}: data after the last pose")
-
-
-def read_pose_files(spark: SparkSession, paths: list[str], magic: bytes) -> DataFrame:
-    """Poses of binary pose files, one file per task at a time, with ``file``."""
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["file"]:
-                for rows in pose_file_rows(path, magic):
-                    yield rows.assign(file=path)
-
-    files = spark.createDataFrame([(p,) for p in paths], "file string").repartition(len(paths))
-    return files.mapInPandas(load, "conformer int, rotamer int, gx int, gy int, gz int, file string")
-
-
-def write_pose_files(
-    pool: DataFrame, folder: str, magic: bytes, *, rows_per_file: int = 4_000_000,
-    bucket_size: int = BUCKET_SIZE,
+    place, low, high = run
+    first = max(0, -(-(low - begin) // row)) if row else 0
+    last = min(rows, max(0, -(-(high - begin) // row))) if row else rows
+    if first >= last:
+        return
+    packed = uri.endswith(store.ZSTD)
+    with store.unpacked(uri, place) if packed else store.opened(uri) as handle:
+        skip = begin + first * row - low
+        if packed:
+            while skip:
+                got = len(handle.read(min(skip, chunk)))
+                if not got:
+                    raise ValueError(f"{uri}: file is too short")
+                skip -= got
+        else:
+            handle.seek(place + skip)
+        step = max(1, chunk // max(row, 1))
+        for at in range(first, last, step):
+            want = (min(step, last - at)) * row
+            data = bytearray()
+            while len(data) < want:
+                got = handle.read(want - len(data))
+                if not got:
+                    raise ValueError(f"{uri}: file is too short")
+                data += got
+            yield at, bytes(data)
+        if packed and last == rows and handle.read(1):
+            raise ValueError(f"{uri}: data after the last row")
+
+
+def read_arrays(
+    spark: SparkSession, path: str, name: str = "value", *, task_bytes: int = TASK_BYTES, chunk: int = CHUNK_BYTES
 ) -> DataFrame:
-    """Write an organized pool as binary pose files; returns ``(file, poses)``.
+    """``(row, name)`` of an array kept as one file or as a folder of parts in name order.
 
-    A bucket with many poses is cut into files of ``rows_per_file`` by pose id, which
-    bounds every group.  Files are published by rename, so a retried task is harmless.
+    Parts may be compressed (``.npy.zst``).  Rows of arrays of more dimensions are flat
+    arrays.  All parts need one type and one row shape.  No task holds more than some rows
+    of one file.
     """
-    starts = bucket_starts(pool).select(*BUCKET, "first_id")
-    parts = pool.join(starts, BUCKET).withColumn(
-        "_part", F.floor((F.col("pose_id") - F.col("first_id")) / rows_per_file)
-    )
-
-    def save(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pose_id")
-        offsets = group[["ox", "oy", "oz"]].to_numpy()
-        new = np.r_[True, (offsets[1:] != offsets[:-1]).any(axis=1)]
-        firsts = np.flatnonzero(new)
-        counts = np.diff(np.r_[firsts, len(group)])
-        if len(firsts) > 65_536:
-            raise ValueError("too many offsets in one file")
-        which = np.cumsum(new) - 1
-        bucket = [int(group[m].iloc[0]) for m in BUCKET]
-        name = "_".join(map(str, [*bucket, int(group["_part"].iloc[0])]))
-        path = os.path.join(folder, f"poses_{name}.bin")
-        body = np.column_stack([group["conformer"], group["rotamer"], which]).astype("<u2")
-        head = struct.pack("<HhhhHI", bucket_size, *bucket, len(firsts) % 65_536, len(group))
-        temporary = f"{path}.{os.getpid()}"
-        with open(temporary, "wb") as out:
-            out.write(magic + head)
-            out.write(offsets[firsts].astype("<i2").tobytes())
-            out.write(counts.astype("<u4").tobytes())
-            out.write(body.tobytes())
-        os.replace(temporary, path)
-        return pd.DataFrame({"file": [path], "poses": [len(group)]})
-
-    os.makedirs(folder, exist_ok=True)
-    return (
-        parts.select("pose_id", *POSE, *BUCKET, "ox", "oy", "oz", "_part")
-        .groupBy(*BUCKET, "_part")
-        .applyInPandas(save, "file string, poses bigint")
-    )
+    # One row per file, with the runs of its frames.
+    parts = describe(spark, path, task_bytes).orderBy("uri").collect()
+    kinds = {p.kind for p in parts}
+    if len(kinds) != 1:
+        raise ValueError(f"{path}: parts differ: {sorted(kinds)}")
+    code, *inner = kinds.pop().split(" ")
+    dtype, width = np.dtype(code), math.prod(map(int, inner))
+    sql = _sql_type(dtype)
+    item = _ARROW[sql]
+    starts = np.cumsum([0, *[p.rows for p in parts]]).tolist()
+    tasks = [
+        (p.uri, start, r.place, r.low, r.high, p.begin, p.rows) for p, start in zip(parts, starts) for r in p.runs
+    ]
+    schema = pa.schema([("row", pa.int64()), (name, pa.list_(item) if inner else item)])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, start, place, low, high, begin, rows in zip(*[c.to_pylist() for c in batch.columns]):
+                for at, data in _rows(uri, (place, low, high), begin, dtype.itemsize * width, rows, chunk):
+                    flat = np.frombuffer(data, dtype)
+                    if dtype.kind == "u" and dtype.itemsize == 8 and len(flat) and flat.max() >> 63:
+                        raise ValueError(f"{uri}: value exceeds 63 bits")
+                    count = len(flat) // max(width, 1) if width else rows
+                    column = pa.array(flat.astype(item.to_pandas_dtype()))
+                    if inner:
+                        column = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * width, column)
+                    yield pa.RecordBatch.from_arrays([pa.array(start + at + np.arange(count)), column], schema=schema)
+
+    sql = sql if not inner else f"array<{sql}>"
+    fields = "uri string, start bigint, place bigint, low bigint, high bigint, begin bigint, rows bigint"
+    if not tasks:
+        return spark.createDataFrame([], f"row bigint, {name} {sql}")
+    # One task a run, however small its description.
+    spread = spark.sparkContext.parallelize(tasks, len(tasks))
+    return spark.createDataFrame(spread, fields).mapInArrow(load, f"row bigint, {name} {sql}")
+
+
+def read_npy(spark: SparkSession, path: str, name: str = "value", **limits) -> DataFrame:
+    """``(pose_id, name)`` of a one-dimensional array."""
+    found = read_arrays(spark, path, name, **limits)
+    if found.schema[name].dataType.typeName() == "array":
+        raise ValueError(f"{path}: expected one dimension")
+    return found.withColumnRenamed("row", "pose_id")
+
+
+# ---------------------------------------------------------------- writing
+
+
+class ArrayWriter(StagedWriter, DataSourceArrowWriter):
+    """Parts of an array: rows of one part follow each other in a task."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.dtype, self.width = np.dtype(options["dtype"]), int(options["width"])
+        self.rows = int(options["rows"])
+
+    def _save(self, part: int, first: int, values: list[np.ndarray]) -> tuple:
+        flat = np.concatenate(values).astype(self.dtype)
+        shape = (len(flat) // max(self.width, 1), self.width) if self.width else (len(flat),)
+        head = io.BytesIO()
+        np.lib.format.write_array_header_1_0(
+            head, {"descr": np.lib.format.dtype_to_descr(self.dtype), "fortran_order": False, "shape": shape}
+        )
+        name = f"part-{first:015d}.npy"
+        return (*self.put(name, [head.getvalue(), flat.tobytes()]), first, shape[0])
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        done, held, part, first, following = [], [], None, 0, 0
+        for batch in iterator:
+            rows = batch["row"].to_numpy()
+            column = batch["value"]
+            if column.null_count:
+                raise ValueError("an array has no nulls")
+            flat = column.flatten() if self.width else column
+            if self.width and (column.value_lengths().to_numpy() != self.width).any():
+                raise ValueError(f"rows differ in length; {self.width} is expected")
+            flat = flat.to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            parts = rows // self.rows
+            for cut in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(parts)) + 1):
+                if not len(cut):
+                    continue
+                if parts[cut[0]] != part:
+                    if held:
+                        done.append(self._save(part, first, held))
+                    held, part, first, following = [], parts[cut[0]], int(rows[cut[0]]), int(rows[cut[0]])
+                if (rows[cut] != following + np.arange(len(cut))).any():
+                    raise ValueError("rows of an array must be dense and without repeats")
+                following += len(cut)
+                held.append(flat[cut].ravel())
+        if held:
+            done.append(self._save(part, first, held))
+        return self.message(done)
+
+    def complete(self, files: list[tuple]) -> None:
+        following = 0
+        for *_, first, count in sorted(files, key=lambda f: f[2]):
+            if first != following:
+                raise ValueError(f"row {following} is missing or repeated")
+            following += count
+
+
+class ArrayFiles(DataSource):
+    """Writes dense rows as ``.npy`` parts, see ``write_arrays``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "array_files"
+
+    def schema(self) -> str:
+        return "row bigint, value double"
+
+    def writer(self, schema, overwrite: bool) -> ArrayWriter:
+        return ArrayWriter(dict(self.options))
+
+
+def write_arrays(
+    df: DataFrame, path: str, value: str, *, row: str = "pose_id", dtype: str | None = None, width: int = 0,
+    rows_per_file: int = ROWS_PER_FILE,
+) -> None:
+    """Write the column ``value`` as ``.npy`` parts ``part-<first row>.npy`` in a folder.
+
+    ``row`` has the dense ids 0..n-1, which give every part its place: a part holds the rows
+    of one multiple of ``rows_per_file`` and is written by one task, which sees no more than
+    that.  Rows are numbers, or arrays of ``width`` numbers.  Parts appear only when all are
+    there and follow each other; a failed job leaves nothing.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(ArrayFiles)
+    found = df.select(F.col(row).cast("bigint").alias("row"), F.col(value).alias("value"))
+    if dtype is None:
+        kind = found.schema["value"].dataType
+        dtype = {"float": "<f4", "double": "<f8", "int": "<i4", "bigint": "<i8", "boolean": "|b1"}[
+            getattr(kind, "elementType", kind).simpleString()
+        ]
+    part = F.floor(F.col("row") / rows_per_file)
+    ordered = found.repartition(part).sortWithinPartitions("row")
+    options = {"folder": store.qualified(spark, path), "dtype": dtype, "width": str(width), "rows": str(rows_per_file)}
+    ordered.write.format("array_files").mode("append").options(**options).save()

@@ -65,6 +65,11 @@ def workspace(spark: SparkSession) -> Iterator[str]:
         remove(spark, path)
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """Path of a new folder in the shared one, or in the workspace that is open."""
+    return f"{_run.get() or f'{shared_dir(spark)}/strandloom'}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
@@ -72,8 +77,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     ``workspace`` the table stays until the shared folder is cleaned.
     """
     spark = df.sparkSession
-    folder = _run.get() or f"{shared_dir(spark)}/strandloom"
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return with_bound(spark.read.schema(df.schema).parquet(path), seen.get["rows"])

@@ -56,7 +56,7 @@ def types(df, con, sql):
     """Column types of both sides, where they differ."""
     names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
              "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT",
-             "array<double>": "DOUBLE[]", "array<bigint>": "BIGINT[]", "array<int>": "INTEGER[]"}
+             "array<double>": "DOUBLE[]", "array<float>": "FLOAT[]", "array<bigint>": "BIGINT[]", "array<int>": "INTEGER[]"}
     theirs = {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {sql}").fetchall()}
     return {
         f.name: (f.dataType.simpleString(), theirs.get(f.name))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import POSE
 from strandloom.operators import pool
-from strandloom.sources import arrays, pdb, tables
+from strandloom.sources import arrays, pdb, poses, tables
 
 
 def atoms_frame(spark, models=2):
@@ -57,24 +57,78 @@ def test_complex_models(spark):
     assert [r["index"] for r in both[:7]] == list(range(1, 8)) and both[4].resname == "G"
 
 
-@pytest.mark.parametrize("suffix", ["", ".zst"])
-def test_npy_columns(spark, tmp_path, monkeypatch, suffix):
-    values = np.random.default_rng(1).normal(size=1000).astype(np.float32)
+def packed(path, frames, sizes=True):
+    """Replace a file by a zstd file of so many frames."""
+    import zstandard
+
+    raw = path.read_bytes()
+    cut = np.linspace(0, len(raw), frames + 1).astype(int)
+    pack = zstandard.ZstdCompressor(write_content_size=sizes, write_checksum=True)
+    path.unlink()
+    target = path.with_name(path.name + ".zst")
+    target.write_bytes(b"".join(pack.compress(raw[x:y]) for x, y in zip(cut, cut[1:])))
+    return target
+
+
+@pytest.mark.parametrize("frames,sizes", [(0, True), (1, True), (40, True), (40, False)])
+def test_npy_columns_in_ranges(spark, tmp_path, frames, sizes):
+    """Plain files by row ranges, compressed ones by frames; rows may cross frames."""
+    values = np.random.default_rng(1).normal(size=5000)
     path = tmp_path / "score.npy"
     np.save(path, values)
-    if suffix:
-        import zstandard
-
-        half = path.read_bytes()
-        cut = len(half) // 2
-        frames = b"".join(zstandard.ZstdCompressor().compress(b) for b in (half[:cut], half[cut:]))
-        path.unlink()
-        (tmp_path / "score.npy.zst").write_bytes(frames)
-    monkeypatch.setattr(arrays, "ROWS_PER_TASK", 300)
-    df = arrays.read_npy(spark, str(path), "score")
+    if frames:
+        packed(path, frames, sizes)
+    df = arrays.read_npy(spark, str(path), "score", task_bytes=4000, chunk=1000)
     got = df.orderBy("pose_id").collect()
-    assert [r.pose_id for r in got] == list(range(1000)) and np.array_equal([r.score for r in got], values)
-    assert df.rdd.getNumPartitions() == (1 if suffix else 4)
+    assert [r.pose_id for r in got] == list(range(5000)) and np.array_equal([r.score for r in got], values)
+    assert df.rdd.getNumPartitions() == {(0, True): 10, (1, True): 1, (40, True): 14, (40, False): 1}[frames, sizes]
+
+
+def test_array_faults(spark, tmp_path):
+    path = tmp_path / "a.npy"
+    np.save(path, np.arange(10))
+    whole = path.read_bytes()
+    for raw in (whole[:-3], whole + b"x"):
+        path.write_bytes(raw)
+        with pytest.raises(Exception, match="do not fit"):
+            arrays.read_npy(spark, str(path)).collect()
+    path.write_bytes(whole + b"x")
+    packed(path, 2)
+    with pytest.raises(Exception, match="do not fit"):
+        arrays.read_npy(spark, str(path)).collect()
+    with pytest.raises(FileNotFoundError):
+        arrays.read_npy(spark, str(tmp_path / "none.npy"))
+    np.save(path, np.zeros((2, 2)))
+    with pytest.raises(ValueError, match="one dimension"):
+        arrays.read_npy(spark, str(path))
+
+
+@pytest.mark.parametrize("width", [0, 3])
+def test_array_writer_round_trip(spark, tmp_path, width):
+    values = np.random.default_rng(3).normal(size=(1000, width) if width else 1000)
+    rows = [(n, v.tolist()) for n, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"pose_id bigint, v {'array<double>' if width else 'double'}").repartition(7)
+    folder = tmp_path / "out"
+    arrays.write_arrays(df, str(folder), "v", width=width, rows_per_file=300)
+    parts = sorted(folder.iterdir())
+    assert [p.name for p in parts] == [f"part-{n:015d}.npy" for n in (0, 300, 600, 900)]
+    assert np.array_equal(np.concatenate([np.load(p) for p in parts]), values)
+    back = arrays.read_arrays(spark, str(folder), "v").orderBy("row").collect()
+    assert np.array_equal([r.v for r in back], values)
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    gap = spark.createDataFrame([(n, 1.0) for n in range(50) if n != 20], "pose_id bigint, v double")
+    apart = spark.createDataFrame([(n, 1.0) for n in range(50) if not 20 <= n < 30], "pose_id bigint, v double")
+    twice = spark.createDataFrame([(n // 2, 1.0) for n in range(50)], "pose_id bigint, v double")
+    for name, df in (("gap", gap), ("apart", apart), ("twice", twice)):
+        with pytest.raises(Exception, match="dense|missing or repeated"):
+            arrays.write_arrays(df, str(tmp_path / name), "v", rows_per_file=10)
+        assert not (tmp_path / name).exists() or list((tmp_path / name).iterdir()) == []
+    bad = spark.createDataFrame([(0, 70_000, 1, 0, 0, 0)], "source_id int, conformer int, rotamer int, gx int, gy int, gz int")
+    with pytest.raises(Exception):
+        poses.write_poses(pool.organize(bad, ["source_id"]), str(tmp_path / "bad"), b"m")
+    assert not (tmp_path / "bad").exists() or list((tmp_path / "bad").iterdir()) == []
 
 
 def test_pose_files(spark, tmp_path):
@@ -83,12 +137,29 @@ def test_pose_files(spark, tmp_path):
     rows += [(200 + n, 1, 1, 5, 5, 5) for n in range(50)]
     df = spark.createDataFrame(rows, "source_id int, conformer int, rotamer int, gx int, gy int, gz int")
     organized = pool.organize(df, ["source_id"])
-    written = arrays.write_pose_files(organized, str(tmp_path / "poses"), b"marker1", rows_per_file=20).collect()
+    folder = tmp_path / "poses"
+    written = poses.write_poses(organized, str(folder), b"marker1", rows_per_file=20).collect()
     assert sum(r.poses for r in written) == 250 and max(r.poses for r in written) == 20
-    back = arrays.read_pose_files(spark, [r.file for r in written], b"marker1")
+    assert all(p.name.startswith("poses_") for p in folder.iterdir())
+    # Several tasks a file, and files compressed here and there.
+    for path in sorted(folder.iterdir())[::3]:
+        packed(path, 2)
+    back = poses.read_poses(spark, str(folder), b"marker1", task_bytes=60)
     assert sorted(map(tuple, back.select(*POSE).collect())) == sorted(r[1:] for r in rows)
+    assert back.rdd.getNumPartitions() > len(written)
+    assert poses.count_poses(spark, str(folder), b"marker1").agg(F.sum("poses")).first()[0] == 250
+    # Places in the file are those of the pool.
+    most = max(written, key=lambda r: r.poses).file
+    places = sorted(r.row for r in back.where(F.col("file").startswith(most)).collect())
+    assert places == list(range(20))
     with pytest.raises(Exception, match="wrong file mark"):
-        arrays.read_pose_files(spark, [written[0].file], b"another").collect()
+        poses.read_poses(spark, str(folder), b"another").collect()
+    plain = next(p for p in sorted(folder.iterdir()) if p.suffix == ".bin")
+    whole = plain.read_bytes()
+    for raw, message in ((whole[:-1], "too short"), (whole + b"x", "data after")):
+        plain.write_bytes(raw)
+        with pytest.raises(Exception, match=message):
+            poses.read_poses(spark, str(folder), b"marker1").collect()
 
 
 def test_chain_table_round_trip(spark, tmp_path):
