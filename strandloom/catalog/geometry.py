@@ -793,66 +793,112 @@ def anchor(spark, sf_dir):
 # ---------------------------------------------------------------- chains in space
 
 
-def _chain_values(spark, sf_dir, layers):
-    """Two nucleotide values per node of each layer, from its pose."""
-    values = None
-    for position, nodes in enumerate(layers.nodes):
-        layer = nodes.select(
-            F.lit(position).alias("layer"),
-            "node",
-            ((F.col("gx") % 100) * 0.010713 + F.col("rotamer") * 0.5031 + position).alias("first"),
-            ((F.col("gx") % 77) * 0.020371 + F.col("conformer") * 0.2519).alias("second"),
-        )
-        values = layer if values is None else values.unionByName(layer)
-    return with_bound(values, sum(row_bound(n) for n in layers.nodes))
+# Two atoms a nucleotide for the poses of chains, one conformer and one rotamer a nation.
+_CHAIN_ATOMS = [(0.4, 1.1, -0.7), (-0.9, 0.3, 0.8), (1.3, -0.6, 0.2), (-0.5, -1.2, 0.6)]
+_CHAIN_REFERENCE = [[3.0, 1.0, 0.5], [4.5, -0.5, 1.0], [6.0, 0.5, 2.0], [7.5, -1.0, 1.5]]
+
+
+def _chain_library(spark, sf_dir):
+    """Conformers and rotamers of every nation key."""
+    nations = t.read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    atoms = [F.array(F.lit(x) + key * 0.03, F.lit(y) - key * 0.02, F.lit(z) * (key % 5 + 1.0)) for x, y, z in _CHAIN_ATOMS]
+    shapes = nations.select(key.cast("int").alias("conformer"), F.array(*atoms).alias("coords"))
+    keys = F.explode(F.lit(domain(spark, sf_dir, "nation", "n_nationkey"))).alias("c")
+    turns = nations.select(key, keys).select(
+        F.col("c").cast("int").alias("conformer"),
+        key.cast("int").alias("rotamer"),
+        (key * 0.07 - 0.5).alias("rx"),
+        (F.col("c") * 0.03 + 0.1).alias("ry"),
+        (key * 0.05).alias("rz"),
+    )
+    return shapes, library.rotamers_from_rotvec(turns)
 
 
 def _numbered(spark, sf_dir):
-    layers = chains.number_nodes(_layers(spark, sf_dir))
-    table = chains.path_table(layers)
-    return layers, chains.number_chains(table, layers.names)
+    layers = _layers(spark, sf_dir)
+    return layers, chains.number_chains(chains.path_table(layers), layers.names)
 
 
-_VALUE_SQL = (
-    f"{_CHAINS}, {_NUMBERED}, "
-    "vals AS (" + " UNION ALL ".join(
-        f"SELECT DISTINCT {n} AS layer, n{n + 1}.node, (p.gx % 100) * 0.010713::DOUBLE + p.rotamer * 0.5031::DOUBLE + {n} AS first, "
-        f"(p.gx % 77) * 0.020371::DOUBLE + p.conformer * 0.2519::DOUBLE AS second FROM n{n + 1} JOIN {pool} p USING (pose_id)"
-        for n, pool in enumerate(("customers", "order_pool", "lines"))
-    ) + ")"
+def _by_layer(layers, measure):
+    """``(layer, node, first, second)`` of what ``measure`` gives for the poses of each layer."""
+    values = None
+    for position, nodes in enumerate(layers.nodes):
+        poses = with_bound(nodes.withColumnRenamed("node", "pose_id"), row_bound(nodes))
+        found = measure(poses).select(F.lit(position).alias("layer"), F.col("pose_id").alias("node"), "first", "second")
+        values = found if values is None else values.unionByName(found)
+    return stage(values, "chain-values")
+
+
+_CHAIN_LIB_SQL = (
+    "ca(a, ax, ay, az, qx, qy, qz) AS (VALUES " + ", ".join(
+        f"({n}, " + ", ".join(f"{float(x)!r}::DOUBLE" for x in (*atom, *ref)) + ")"
+        for n, (atom, ref) in enumerate(zip(_CHAIN_ATOMS, _CHAIN_REFERENCE))
+    ) + "), "
+    "catoms AS (SELECT n_nationkey AS conformer, a, ax + n_nationkey * 0.03::DOUBLE AS x, ay - n_nationkey * 0.02::DOUBLE AS y, "
+    "az * (n_nationkey % 5 + 1.0::DOUBLE) AS z, qx, qy, qz FROM nation, ca), "
+    "cv AS (SELECT c.n_nationkey AS conformer, r.n_nationkey AS rotamer, r.n_nationkey * 0.07::DOUBLE - 0.5::DOUBLE AS rx, "
+    "c.n_nationkey * 0.03::DOUBLE + 0.1::DOUBLE AS ry, r.n_nationkey * 0.05::DOUBLE AS rz FROM nation c, nation r), "
+    "cq AS (SELECT conformer, rotamer, cos(h / 2) AS w, rx / h * sin(h / 2) AS x, ry / h * sin(h / 2) AS y, rz / h * sin(h / 2) AS z "
+    "FROM (SELECT *, sqrt(rx*rx + ry*ry + rz*rz) AS h FROM cv)), "
+    f"cm AS (SELECT conformer, rotamer, {_matrix_sql('wxyz', 'm')} FROM cq), "
+    "cturned AS MATERIALIZED (SELECT conformer, rotamer, a, qx, qy, qz, x*m0 + y*m3 + z*m6 AS x, x*m1 + y*m4 + z*m7 AS y, x*m2 + y*m5 + z*m8 AS z "
+    "FROM catoms JOIN cm USING (conformer)), "
+    + ", ".join(
+        f"v{n} AS MATERIALIZED (SELECT node, a, qx, qy, qz, x + gx * {G}::DOUBLE AS x, y + gy * {G}::DOUBLE AS y, z + gz * {G}::DOUBLE AS z "
+        f"FROM (SELECT DISTINCT node, conformer, rotamer, gx, gy, gz FROM n{n} JOIN {pool} USING (pose_id)) JOIN cturned USING (conformer, rotamer))"
+        for n, pool in ((1, "customers"), (2, "order_pool"), (3, "lines"))
+    )
+)
+_CHAIN_SQL = f"{_CHAINS}, {_NUMBERED.replace(' AS (', ' AS MATERIALIZED (', 1)}, {_CHAIN_LIB_SQL}"
+_NUCLEOTIDE_RMSD = ", ".join(
+    f"round_even(sqrt(sum((x - qx) ** 2 + (y - qy) ** 2 + (z - qz) ** 2) FILTER (a // 2 = {n}) / 2.0), 3) AS {name}"
+    for n, name in enumerate(("first", "second"))
 )
 
 
 @query(
     "chain_rmsd",
-    f"{_VALUE_SQL} SELECT chain, round_even(sqrt((a.first ** 2 + ((a.second + b.first) / 2) ** 2 + ((b.second + c.first) / 2) ** 2 "
-    "+ c.second ** 2) / 4), 3) AS chain_rmsd FROM numbered JOIN vals a ON a.layer = 0 AND a.node = frag1 "
-    "JOIN vals b ON b.layer = 1 AND b.node = frag2 JOIN vals c ON c.layer = 2 AND c.node = frag3",
+    f"{_CHAIN_SQL}, " + ", ".join(f"r{n} AS MATERIALIZED (SELECT node, {_NUCLEOTIDE_RMSD} FROM v{n} GROUP BY node)" for n in (1, 2, 3))
+    + " SELECT chain, round_even(sqrt((r1.first ** 2 + ((r1.second + r2.first) / 2) ** 2 + ((r2.second + r3.first) / 2) ** 2 "
+    "+ r3.second ** 2) / 4), 3) AS chain_rmsd FROM numbered JOIN r1 ON r1.node = frag1 JOIN r2 ON r2.node = frag2 JOIN r3 ON r3.node = frag3",
 )
 def chain_rmsd(spark, sf_dir):
     layers, numbered = _numbered(spark, sf_dir)
-    return rmsd.chain_rmsd(numbered, layers.names, _chain_values(spark, sf_dir, layers))
+    shapes, turns = _chain_library(spark, sf_dir)
+    values = _by_layer(layers, lambda poses: rmsd.ensemble_rmsd(poses, shapes, turns, _CHAIN_REFERENCE, 2))
+    return rmsd.chain_rmsd(numbered, layers.names, values)
+
+
+_SHARED = "round((p.{c} + q.{c}) / 2, 6) AS {c}"
 
 
 @query(
     "chain_coordinates",
-    f"{_VALUE_SQL}, parts AS (SELECT chain, a.layer AS nucleotide, a.first AS x FROM numbered JOIN vals a ON a.layer = 0 AND a.node = frag1 "
-    "UNION ALL SELECT chain, 1, a.second FROM numbered JOIN vals a ON a.layer = 0 AND a.node = frag1 "
-    "UNION ALL SELECT chain, 1, a.first FROM numbered JOIN vals a ON a.layer = 1 AND a.node = frag2 "
-    "UNION ALL SELECT chain, 2, a.second FROM numbered JOIN vals a ON a.layer = 1 AND a.node = frag2 "
-    "UNION ALL SELECT chain, 2, a.first FROM numbered JOIN vals a ON a.layer = 2 AND a.node = frag3 "
-    "UNION ALL SELECT chain, 3, a.second FROM numbered JOIN vals a ON a.layer = 2 AND a.node = frag3) "
-    "SELECT chain, nucleotide, round(avg(x), 9) AS x, round(avg(2 * x), 9) AS y, round(avg(-x), 9) AS z FROM parts GROUP BY ALL",
+    f"{_CHAIN_SQL} SELECT chain, 0 AS nucleotide, CAST(a AS INTEGER) AS atom, " + ", ".join(f"round({c}, 6) AS {c}" for c in "xyz")
+    + " FROM numbered JOIN v1 ON node = frag1 WHERE a < 2 "
+    + "".join(
+        f"UNION ALL SELECT chain, {n}, CAST(q.a AS INTEGER), " + ", ".join(_SHARED.format(c=c) for c in "xyz")
+        + f" FROM numbered JOIN v{n} p ON p.node = frag{n} JOIN v{n + 1} q ON q.node = frag{n + 1} AND q.a = p.a - 2 "
+        for n in (1, 2)
+    )
+    + "UNION ALL SELECT chain, 3, CAST(a - 2 AS INTEGER), " + ", ".join(f"round({c}, 6) AS {c}" for c in "xyz")
+    + " FROM numbered JOIN v3 ON node = frag3 WHERE a >= 2",
 )
 def chain_coordinates(spark, sf_dir):
     layers, numbered = _numbered(spark, sf_dir)
-    values = _chain_values(spark, sf_dir, layers)
-    atoms = {c: F.array(F.col(c), F.col(c) * 2.0, -F.col(c)) for c in ("first", "second")}
-    coords = rmsd.chain_coordinates(
-        numbered, layers.names, with_bound(values.withColumns(atoms), row_bound(values))
-    )
-    return coords.select(
-        "chain", "nucleotide", *[F.round(F.get("xyz", F.lit(k)), 9).alias(n) for k, n in enumerate("xyz")]
+    shapes, turns = _chain_library(spark, sf_dir)
+
+    def halves(poses):
+        placed = library.pose_coordinates(poses, shapes, turns)
+        return placed.select(
+            "pose_id", F.flatten(F.slice("xyz", 1, 2)).alias("first"), F.flatten(F.slice("xyz", 3, 2)).alias("second")
+        )
+
+    coords = rmsd.chain_coordinates(numbered, layers.names, _by_layer(layers, halves))
+    atoms = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda a: F.slice("xyz", a * 3 + 1, F.lit(3)))
+    return coords.select("chain", "nucleotide", F.posexplode(atoms).alias("atom", "p")).select(
+        "chain", "nucleotide", "atom", *[F.round(F.get("p", F.lit(k)), 6).alias(n) for k, n in enumerate("xyz")]
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.catalog import tables as t
 from strandloom.constants import BUCKET, OFFSET, POSE
 from strandloom.operators import cascade, chains, identity, lineage, pool, select
-from strandloom.staging import row_bound, with_bound
+from strandloom.staging import row_bound, together, with_bound
 
 QUERIES, SQL = {}, {}
 
@@ -293,7 +293,7 @@ def link_edges_between_representatives(spark, sf_dir):
 
 
 def _layers(spark, sf_dir):
-    pools = [f(spark, sf_dir) for f in (t.customers, t.orders, t.lines)]
+    pools = together(*[lambda f=f: f(spark, sf_dir) for f in (t.customers, t.orders, t.lines)])
     customers, orders, lines = pools
     edges = [
         lineage.link_edges([], [_parents(orders, customers, "parent_key")]),

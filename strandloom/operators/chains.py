@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.constants import POSE
-from strandloom.staging import dense_ids, row_bound, skew_join, stage, with_bound
+from strandloom.staging import dense_ids, row_bound, skew_join, stage, together, with_bound
 
 
 class TooManyChains(ValueError):
@@ -25,8 +25,9 @@ class TooManyChains(ValueError):
 class Layers:
     """Collapsed layers.
 
-    ``nodes[j]`` holds ``(node, pose...)`` where ``node`` is the least pose id of
-    the physical pose; ``edges[j]`` holds distinct ``(low, high)`` nodes.
+    ``nodes[j]`` holds ``(node, first, pose...)``: distinct physical poses numbered 0..n-1
+    in pose order, with the least pose id that has them; ``edges[j]`` holds distinct
+    ``(low, high)`` nodes.
     """
 
     names: list[str]
@@ -51,7 +52,7 @@ def prune_edges(edges: list[DataFrame]) -> list[DataFrame]:
     the distinct node ids that are still alive, and writes it, so plans stay flat
     however many layers there are.
     """
-    edges = [stage(e.select("low", "high"), "edges") for e in edges]
+    edges = together(*[lambda e=e: stage(e.select("low", "high"), "edges") for e in edges])
     if len(edges) == 1:
         return edges
     for j in range(1, len(edges)):
@@ -68,58 +69,46 @@ def kept_ids(edges: list[DataFrame]) -> list[DataFrame]:
     return [layer.withColumnRenamed("_k", "pose_id") for layer in layers]
 
 
+def _collapsed(name: str, pool: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct poses of the surviving ids, numbered once."""
+    alive = pool.select("pose_id", *POSE).join(ids, "pose_id", "left_semi")
+    # The map-side combine collapses copies before they are shuffled.
+    layer = alive.groupBy(*POSE).agg(F.min("pose_id").alias("first"))
+    return dense_ids(layer, POSE, "node", f"nodes-{name}")
+
+
+def _remapped(edge: DataFrame, ends: dict[str, tuple[DataFrame, DataFrame]], label: str) -> DataFrame:
+    """Distinct edges between nodes; ``ends`` has the pool and the nodes of either side.
+
+    Every pose id of an edge has one pose and that one node, so rows never multiply.
+    """
+    rows = row_bound(edge)
+    for side, (pool, nodes) in ends.items():
+        poses = with_bound(pool.select(F.col("pose_id").alias(side), *POSE), row_bound(pool))
+        placed = with_bound(skew_join(edge, poses, [side], left_rows=rows, right_rows=0), rows)
+        numbered = skew_join(placed, nodes.select(*POSE, "node"), POSE, left_rows=rows, right_rows=0)
+        edge = with_bound(numbered.drop(side, *POSE).withColumnRenamed("node", side), rows)
+    return stage(edge.select("low", "high").distinct(), label)
+
+
 def connect(names: list[str], pools: list[DataFrame], edges: list[DataFrame]) -> Layers:
-    """Prune, then collapse identical poses and remap their edges."""
+    """Prune, then collapse identical poses and remap their edges.
+
+    Layers do not wait for each other, nor do edge sets; nodes are numbered as they are made.
+    """
     if len(pools) != len(names) or len(edges) != len(pools) - 1:
         raise ValueError("k pools need k names and k-1 edge sets")
     pruned = prune_edges(edges) if edges else []
     kept = kept_ids(pruned) if edges else [pools[0].select("pose_id")]
-    nodes, node_of = [], []
-    for j, (name, pool, ids) in enumerate(zip(names, pools, kept)):
-        alive = stage(pool.select("pose_id", *POSE).join(ids, "pose_id", "left_semi"), f"alive-{name}")
-        rows = row_bound(alive)
-        # The map-side combine collapses copies before they are shuffled.
-        layer = alive.groupBy(*POSE).agg(F.min("pose_id").alias("node"))
-        mapping = with_bound(
-            skew_join(alive, layer, POSE, left_rows=rows, right_rows=rows).select("pose_id", "node"), rows
-        )
-        inner = 0 < j < len(pools) - 1  # such a layer has edges on both sides
-        nodes.append(with_bound(layer, rows))
-        node_of.append(stage(mapping, f"node-of-{name}") if inner else mapping)
-    collapsed = []
-    for j, edge in enumerate(pruned):
-        rows = row_bound(edge)
-        for side, mapping in (("low", node_of[j]), ("high", node_of[j + 1])):
-            # Each edge end has exactly one node, so the row bound carries over.
-            edge = with_bound(
-                skew_join(edge, mapping.withColumnRenamed("pose_id", side), [side],
-                          left_rows=rows, right_rows=row_bound(mapping))
-                .drop(side)
-                .withColumnRenamed("node", side),
-                rows,
-            )
-        collapsed.append(stage(edge.select("low", "high").distinct(), f"links-{j}"))
-    return Layers(list(names), nodes, collapsed)
-
-
-def number_nodes(layers: Layers) -> Layers:
-    """The same layers with nodes numbered 0..n-1 in pose order."""
-    nodes = [
-        dense_ids(nodes.withColumnRenamed("node", "_first"), POSE, "node", f"nodes-{name}")
-        for name, nodes in zip(layers.names, layers.nodes)
-    ]
-    edges = []
-    for j, edge in enumerate(layers.edges):
-        rows = row_bound(edge)
-        for side, layer in (("low", nodes[j]), ("high", nodes[j + 1])):
-            number = layer.select(F.col("_first").alias(side), "node")
-            edge = (
-                skew_join(edge, number, [side], left_rows=rows, right_rows=row_bound(layer))
-                .drop(side)
-                .withColumnRenamed("node", side)
-            )
-        edges.append(stage(edge.select("low", "high"), f"numbered-links-{j}"))
-    return Layers(layers.names, nodes, edges)
+    nodes = together(*[lambda x=x: _collapsed(*x) for x in zip(names, pools, kept)])
+    ends = list(zip(pools, nodes))
+    remapped = together(
+        *[
+            lambda j=j, e=e: _remapped(e, {"low": ends[j], "high": ends[j + 1]}, f"links-{j}")
+            for j, e in enumerate(pruned)
+        ]
+    )
+    return Layers(list(names), nodes, remapped)
 
 
 def count_paths(layers: Layers, max_count: int | None = None) -> int:
@@ -181,11 +170,11 @@ def enumerate_chains(layers: Layers, max_chains: int | None = None) -> DataFrame
     """
     if max_chains is not None and count_paths(layers, max_chains) > max_chains:
         raise TooManyChains(f"more than {max_chains} chains; raise the limit or filter the pools")
-    return path_table(number_nodes(layers))
+    return path_table(layers)
 
 
 def path_table(layers: Layers) -> DataFrame:
-    """Join the numbered layers into one row per path.
+    """Join the layers into one row per path.
 
     Each longer table is written, so its rows are known and no join runs twice.
     """

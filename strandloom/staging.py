@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -236,6 +237,13 @@ def present(column: Column, message: str) -> Column:
     return F.when(column.isNull(), F.raise_error(F.lit(message))).otherwise(column)
 
 
+def together(*steps: Callable) -> list:
+    """Results of independent steps, whose jobs share the cluster instead of waiting in line."""
+    with ThreadPoolExecutor(max(1, len(steps))) as threads:
+        running = [threads.submit(copy_context().run, step) for step in steps]
+        return [r.result() for r in running]
+
+
 def require_empty(df: DataFrame, message: str) -> None:
     """Raise with a sample row if ``df`` has any row."""
     bad = df.limit(1).collect()
