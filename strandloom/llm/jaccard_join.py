@@ -12,9 +12,10 @@ least ``need(n) = ceil(n * percent / 100)`` of them with any partner, so two par
   the one with the least cost, keys made below it and list entries scanned above it.
 * A key or list is a bucket; of buckets with the same members one is left.  Members are
   compared in tasks, on 1,024-bit parity sketches, whose distance is never above the true
-  difference; candidates are decided on the whole sets.  For some rounds each member
-  names its nearest one of another component only, which joins large groups by few pairs;
-  then all pairs of members that are still in different components follow.
+  difference; candidates are decided on the whole sets.  For some rounds each set names
+  its nearest one of another component in its largest buckets only, which joins large
+  groups by few pairs; then all pairs of members that are still in different components
+  follow, in all buckets.
 
 No link is lost and no bucket is expanded into all its pairs.  Shingles are 64-bit hashes and
 sets are told apart by 128 bits and their size, so unequal ones are taken as equal with a
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import LOWER, map_batches, to_unique, utf8
@@ -37,7 +38,9 @@ from strandloom.staging import bounded_broadcast, dense_ids, row_bound, stage, w
 WORDS = 5
 PERCENT = 80
 SUBSET = 2
-ROUNDS = 2  # in which members name their nearest one, before all pairs that are left
+ROUNDS = 1  # in which sets name their nearest one, before all pairs that are left
+LARGEST = 2  # buckets that a set looks for its nearest one in
+KEY_COST = 8  # a subset is shuffled and grouped; that takes as long as looking at so many entries
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 FEW = 1_000_000  # sets sent to all tasks at once, 40 bytes each; more are joined by a shuffle
 PAIRS = 200_000  # pairs of members that one task looks at together
@@ -179,8 +182,8 @@ def _ranked(sets: DataFrame, percent: int) -> DataFrame:
 def boundary(ranked: DataFrame) -> int:
     """Largest size of the sets that are met by subsets: the one with the least total cost.
 
-    A set costs its number of subsets below the boundary, and the entries of the lists of
-    its first shingles above it.  Sizes are weighed in steps of a tenth.
+    A set costs its number of subsets, ``KEY_COST`` each, below the boundary, and the entries
+    of the lists of its first shingles above it.  Sizes are weighed in steps of a tenth.
     """
     step = F.ceil(F.log2("n") * 8).cast("int")
     firsts = F.size("first")
@@ -189,7 +192,7 @@ def boundary(ranked: DataFrame) -> int:
         ranked.groupBy(step.alias("step"))
         .agg(
             F.max("n").alias("n"),
-            F.sum(firsts * (firsts - 1) / 2).alias("subsets"),
+            F.sum(firsts * (firsts - 1) / 2 * KEY_COST).alias("subsets"),
             F.sum(lists.cast("double")).alias("lists"),
         )
         .orderBy("step")
@@ -264,7 +267,7 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members in order of their cell (a, b, i, j).
+    """Members in order of their cell (a, b, i, j) and label.
 
     A bucket is cut into blocks by hash, and a cell pairs two blocks or one with itself.
     """
@@ -274,40 +277,48 @@ def _cells(rows: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
     low, high = F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j")
     cells = rows.select("a", "b", low, high, "own", "g", "label", "n", "scans", "sketch")
-    return cells.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j")
+    return cells.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j", "label")
 
 
-def _followers(cut: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of the same cell, in runs; ``cut`` has where cells begin."""
-    ends = np.repeat(np.append(cut[1:], size), np.diff(np.append(cut, size)))
-    after = ends - np.arange(size) - 1
+def _followers(cut: np.ndarray, runs: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same cell but not of the same run, in portions.
+
+    ``cut`` has where cells begin, ``runs`` where runs do; every cell begins a run.
+    """
+    ends, following = (np.repeat(np.append(c[1:], size), np.diff(np.append(c, size))) for c in (cut, runs))
+    after = ends - following
     total = np.cumsum(after)
     at = 0
     while at < size:
         stop = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS)), at + 1)
         left = np.repeat(np.arange(at, stop), after[at:stop])
         first = np.cumsum(after[at:stop]) - after[at:stop]
-        yield left, left + 1 + np.arange(len(left)) - np.repeat(first, after[at:stop])
+        yield left, following[left] + np.arange(len(left)) - np.repeat(first, after[at:stop])
         at = stop
 
 
 def _candidates(rows: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of members of one bucket, but of two components, that may be similar.
 
-    With ``nearest`` only the one of every member that is nearest by sketch.
+    With ``nearest`` only the largest buckets of each set are used, and only the one of
+    every member that is nearest by sketch.
     """
     names = ["a", "b", "i", "j"]
+    if nearest:
+        largest = Window.partitionBy("g").orderBy(F.desc("size"), "a", "b")
+        rows = rows.withColumn("_rank", F.row_number().over(largest)).where(F.col("_rank") <= LARGEST).drop("_rank")
 
     def start():
         held: list[pa.RecordBatch] = []
 
         def compared(table: pa.Table, cut: np.ndarray, crossed: np.ndarray) -> np.ndarray:
             g, label, n, own = (table[c].to_numpy() for c in ("g", "label", "n", "own"))
+            runs = np.union1d(cut, np.flatnonzero(label[1:] != label[:-1]) + 1)
             scans = table["scans"].to_numpy()
             bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(g), -1)
             found = []
-            for x, y in _followers(cut, len(g)):
-                ok = (label[x] != label[y]) & (scans[x] | scans[y]) & (~crossed[x] | (own[x] != own[y]))
+            for x, y in _followers(cut, runs, len(g)):
+                ok = (scans[x] | scans[y]) & (~crossed[x] | (own[x] != own[y]))
                 ok &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
                 x, y = x[ok], y[ok]
                 apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
@@ -324,7 +335,7 @@ def _candidates(rows: DataFrame, sets: DataFrame, percent: int, nearest: bool) -
         def step(batch: pa.RecordBatch | None) -> dict | None:
             if batch is not None and batch.num_rows:
                 held.append(batch)
-            if not held or batch is not None and sum(b.num_rows for b in held) < BLOCK:
+            if not held or batch is not None and sum(b.num_rows for b in held) < 8 * BLOCK:
                 return None
             table = pa.Table.from_batches(held).combine_chunks()
             keys = np.stack([table[c].to_numpy() for c in names], 1)
