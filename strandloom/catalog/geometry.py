@@ -17,7 +17,7 @@ from strandloom.constants import GRID_SPACING, MAX_INDEX, POSE
 from strandloom.functions import decimals, gaussian, nucleotides, superpose
 from strandloom.functions import vectors as v
 from strandloom.operators import anchor as anchoring
-from strandloom.operators import chains, filter_cache, fit, library, rmsd
+from strandloom.operators import chains, filter_cache, fit, library, rebuild, rmsd
 from strandloom.operators import grow as growing
 from strandloom.operators.pool import organize, pose_columns
 from strandloom.staging import row_bound, stage, with_bound
@@ -293,6 +293,28 @@ def converted_poses(spark, sf_dir):
     return library.converted_poses(dock_pool(spark, sf_dir), rotvecs(spark, sf_dir))
 
 
+_CONVERTED_SQL = SQL["converted_poses"]
+
+
+@query("converted_pose_range", f"SELECT * FROM ({_CONVERTED_SQL}) WHERE pose_id BETWEEN 499 AND 1199")
+def converted_pose_range(spark, sf_dir):
+    """Poses 500 to 1,200, counted from one."""
+    return library.converted_poses(dock_pool(spark, sf_dir), rotvecs(spark, sf_dir), pose_range=(500, 1200))
+
+
+@query(
+    "converted_poses_of_requests",
+    f"SELECT event_id AS request_pos, c.* FROM events JOIN ({_CONVERTED_SQL}) c "
+    "ON c.pose_id = (event_id * 31 + user_id) % (SELECT count(*) FROM orders)",
+)
+def converted_poses_of_requests(spark, sf_dir):
+    pool = dock_pool(spark, sf_dir)
+    requests = t.read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_pos"), ((F.col("event_id") * 31 + F.col("user_id")) % row_bound(pool)).alias("pose_id")
+    )
+    return library.converted_poses(pool, rotvecs(spark, sf_dir), requests=requests)
+
+
 # Forty structures share a place, so near pairs grow with the table, not its square.
 NEAR = 0.6
 
@@ -790,6 +812,83 @@ def anchor(spark, sf_dir):
     return cells.where(F.col("count") >= F.col("capacity") * F.lit(1 / 3))
 
 
+# ---------------------------------------------------------------- rebuilt poses
+
+_RING_GRID = {"gx": "o_orderkey % 7 - 3", "gy": "o_custkey % 5 - 6", "gz": "(o_orderkey div 7) % 9 - 3"}
+
+
+def _ring_jobs(spark, sf_dir):
+    """Jobs of orders, some with poses that the library lacks, and published coordinates,
+    some absent or moved by a hundredth."""
+    regions, nations = domain(spark, sf_dir, "region", "r_regionkey"), domain(spark, sf_dir, "nation", "n_nationkey")
+    key = F.col("o_orderkey")
+    poses = t.read(spark, sf_dir, "orders").select(
+        key.alias("pose_id"),
+        F.get(F.lit(regions), (key % len(regions)).cast("int")).cast("int").alias("conformer"),
+        F.get(F.lit(nations), (F.col("o_custkey") % len(nations)).cast("int")).cast("int").alias("rotamer"),
+        *[F.expr(e).cast("int").alias(g) for g, e in _RING_GRID.items()],
+    )
+    shapes = _ring_conformers(spark, sf_dir)
+    vectors = rotvecs(spark, sf_dir).drop("conformer").distinct().withColumn("conformer", F.explode(F.lit(regions)))
+    turns = library.rotamers_from_rotvec(vectors.withColumn("conformer", F.col("conformer").cast("int")))
+    moved = F.transform("xyz", lambda a: F.array(F.get(a, F.lit(0)) + 0.01, F.get(a, F.lit(1)), F.get(a, F.lit(2))))
+    placed = library.pose_coordinates(poses, shapes, turns).where("pose_id % 71 <> 0")
+    published = placed.select(
+        F.col("pose_id").alias("job"), F.when(F.col("pose_id") % 50 == 0, moved).otherwise(F.col("xyz")).alias("xyz")
+    )
+    far = F.when(F.col("pose_id") % 61 == 0, 1000).otherwise(0), F.when(F.col("pose_id") % 67 == 0, 1000).otherwise(0)
+    jobs = poses.select(
+        F.col("pose_id").alias("job"), (F.col("conformer") + far[0]).alias("conformer"), (F.col("rotamer") + far[1]).alias("rotamer"),
+        *_RING_GRID, F.lit(0).alias("nucleotide"),
+    )
+    return jobs, published, shapes, turns
+
+
+_JOBS_SQL = (
+    f"WITH {_RING_SQL}, keyed AS (SELECT o_orderkey AS job, o_custkey, rs[o_orderkey % len(rs) + 1] AS conformer, ns[o_custkey % len(ns) + 1] AS rotamer, "
+    "o_orderkey % 7 - 3 AS gx, o_custkey % 5 - 6 AS gy, (o_orderkey // 7) % 9 - 3 AS gz FROM orders, "
+    "(SELECT list(r_regionkey ORDER BY r_regionkey) AS rs FROM region), (SELECT list(n_nationkey ORDER BY n_nationkey) AS ns FROM nation)), "
+    "said AS (SELECT *, CASE WHEN job % 61 = 0 THEN 'conformer ' || (conformer + 1000) || ' is not in the library' WHEN job % 67 = 0 THEN "
+    "'rotamer ' || (rotamer + 1000) || ' of conformer ' || conformer || ' is not in the library' WHEN job % 71 = 0 THEN 'no published coordinates' "
+    "WHEN job % 50 = 0 THEN 'reconstructed pose RMSD 0.010000 exceeds 0.002' END AS error FROM keyed), "
+    "turnv AS (SELECT n_nationkey AS rotamer, n_nationkey * 0.07::DOUBLE - 0.5::DOUBLE AS rx, n_regionkey * 0.11::DOUBLE + 0.1::DOUBLE AS ry, "
+    "n_nationkey * 0.05::DOUBLE AS rz FROM nation), "
+    "turnq AS (SELECT rotamer, cos(h / 2) AS w, rx / h * sin(h / 2) AS x, ry / h * sin(h / 2) AS y, rz / h * sin(h / 2) AS z "
+    "FROM (SELECT *, sqrt(rx*rx + ry*ry + rz*rz) AS h FROM turnv)), "
+    f"turnm AS (SELECT rotamer, {_matrix_sql('wxyz', 'm')} FROM turnq), "
+    f"rm AS (SELECT said.job, gx, gy, gz, turnm.*, c0, c1, c2, {_RING_TURNED} FROM said JOIN ringm USING (conformer) JOIN turnm USING (rotamer) WHERE error IS NULL), "
+    f"rel AS (SELECT job, {_RELATIVE}, "
+    + ", ".join(f"c0*m{k} + c1*m{3 + k} + c2*m{6 + k} + {g} * {G}::DOUBLE - ({_CENTRE[k]}) AS e{k}" for k, g in enumerate(("gx", "gy", "gz")))
+    + " FROM rm), "
+    "loc AS (SELECT job, i AS r33, " + ", ".join(
+        " + ".join(f"({_FRAME[3 * k + j]})*e{j}" for j in range(3)) + f" AS {n}" for k, n in enumerate("xyz")
+    ) + " FROM rel), "
+    "des AS (SELECT job, sqrt(x*x + y*y + z*z) AS d, acos(abs(z) / sqrt(x*x + y*y + z*z)) AS phi, acos(least(1, abs(r33))) AS theta FROM loc), "
+    # The same form as of lattice points, from the deviations of the descriptors.
+    "sc AS (SELECT *, d - 3.778988652846167::DOUBLE AS a, phi - 0.3359170155526752::DOUBLE AS b, theta - 0.21710309041293038::DOUBLE AS c FROM des), "
+    f"scored AS (SELECT job, d, phi, theta, {_DENSITY_SQL} AS score FROM sc), {_FILTERS_SQL}, "
+    "w AS (SELECT n.filter, b.filter AS wide FROM filters n JOIN filters b ON n.filter <> b.filter "
+    "AND n.cutoff >= b.cutoff AND (n.tilt30 OR NOT b.tilt30) AND (n.disp45 OR NOT b.disp45)), "
+    "depth AS (SELECT f.filter, count(w.wide) AS depth FROM filters f LEFT JOIN w USING (filter) GROUP BY f.filter), "
+    "v AS (SELECT job, filter, coalesce(d < 5 AND phi < radians(60) AND (NOT tilt30 OR theta < radians(30)) "
+    "AND (NOT disp45 OR phi < radians(45)) AND score >= cutoff, false) AS ok FROM scored, filters), "
+    "r AS (SELECT v.*, depth FROM v JOIN depth USING (filter) WHERE NOT ok AND NOT EXISTS (SELECT 1 FROM w JOIN v o "
+    "ON o.filter = w.wide AND o.job = v.job WHERE w.filter = v.filter AND NOT o.ok)), "
+    "imp AS (SELECT v.job, v.filter, max_by(r.filter, (r.depth, r.filter)) AS implied_by FROM v JOIN w USING (filter) "
+    "JOIN r ON r.filter = w.wide AND r.job = v.job GROUP BY v.job, v.filter) "
+    "SELECT v.job, v.filter, CASE WHEN imp.filter IS NOT NULL THEN 'implied' WHEN v.ok THEN 'accepted' ELSE 'rejected' END AS state, "
+    "imp.implied_by, NULL::VARCHAR AS error FROM v LEFT JOIN imp ON imp.job = v.job AND imp.filter = v.filter "
+    "UNION ALL SELECT job, NULL, 'error', NULL, error FROM said WHERE error IS NOT NULL"
+)
+
+
+@query("stacking_check_of_rebuilt_poses", _JOBS_SQL)
+def stacking_check_of_rebuilt_poses(spark, sf_dir):
+    jobs, published, shapes, turns = _ring_jobs(spark, sf_dir)
+    ring = list(range(2, 8))
+    return rebuild.check_rebuilt(jobs, published, shapes, turns, [ring, ring], [_HEXAGON, _HEXAGON], _FRAME, _CENTRE)
+
+
 # ---------------------------------------------------------------- chains in space
 
 
@@ -887,19 +986,56 @@ _SHARED = "round((p.{c} + q.{c}) / 2, 6) AS {c}"
 )
 def chain_coordinates(spark, sf_dir):
     layers, numbered = _numbered(spark, sf_dir)
+    coords = rmsd.chain_coordinates(numbered, layers.names, _by_layer(layers, _halves(spark, sf_dir)))
+    atoms = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda a: F.slice("xyz", a * 3 + 1, F.lit(3)))
+    return coords.select("chain", "nucleotide", F.posexplode(atoms).alias("atom", "p")).select(
+        "chain", "nucleotide", "atom", *[F.round(F.get("p", F.lit(k)), 6).alias(n) for k, n in enumerate("xyz")]
+    )
+
+
+CHAIN_NEAR = 0.4
+
+
+def _halves(spark, sf_dir):
+    """Placed atoms of the two nucleotides of a pose, flat."""
     shapes, turns = _chain_library(spark, sf_dir)
 
-    def halves(poses):
+    def measure(poses):
         placed = library.pose_coordinates(poses, shapes, turns)
         return placed.select(
             "pose_id", F.flatten(F.slice("xyz", 1, 2)).alias("first"), F.flatten(F.slice("xyz", 3, 2)).alias("second")
         )
 
-    coords = rmsd.chain_coordinates(numbered, layers.names, _by_layer(layers, halves))
-    atoms = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda a: F.slice("xyz", a * 3 + 1, F.lit(3)))
-    return coords.select("chain", "nucleotide", F.posexplode(atoms).alias("atom", "p")).select(
-        "chain", "nucleotide", "atom", *[F.round(F.get("p", F.lit(k)), 6).alias(n) for k, n in enumerate("xyz")]
-    )
+    return measure
+
+
+_CHAIN_FLAT = ", ".join(
+    f"l{n} AS MATERIALIZED (SELECT node, list([x, y, z] ORDER BY a) AS p FROM v{n} GROUP BY node)" for n in (1, 2, 3)
+)
+
+
+def _mean_sql(a, b):
+    return "[" + ", ".join(f"({a}[{k}] + {b}[{k}]) / 2" for k in (1, 2, 3)) + "]"
+
+
+@query(
+    "chain_pairs_below_rmsd",
+    f"{_CHAIN_SQL}, {_CHAIN_FLAT}, "
+    "c AS MATERIALIZED (SELECT chain, flatten([l1.p[1], l1.p[2], "
+    + ", ".join(_mean_sql(f"l{n}.p[{a + 2}]", f"l{n + 1}.p[{a}]") for n in (1, 2) for a in (1, 2))
+    + ", l3.p[3], l3.p[4]]) AS x FROM numbered JOIN l1 ON l1.node = frag1 JOIN l2 ON l2.node = frag2 JOIN l3 ON l3.node = frag3), "
+    # Eight atoms: the first one differs by less than sqrt(8) times the limit.
+    "near AS (SELECT unnest(range(-1, 2)) AS d), "
+    "k AS MATERIALIZED (SELECT chain, x, CAST(floor(x[1] / 1.2) AS BIGINT) AS k1, CAST(floor(x[2] / 1.2) AS BIGINT) AS k2, CAST(floor(x[3] / 1.2) AS BIGINT) AS k3 FROM c), "
+    "m AS (SELECT a.chain AS i, b.chain AS j, sqrt(list_sum(list_transform(range(1, 25), lambda n: (a.x[n] - b.x[n]) ** 2)) / 8.0) AS d "
+    "FROM (SELECT k.*, k1 + p.d AS n1, k2 + q.d AS n2, k3 + r.d AS n3 FROM k, near p, near q, near r) a "
+    "JOIN k b ON b.k1 = a.n1 AND b.k2 = a.n2 AND b.k3 = a.n3 AND a.chain < b.chain) "
+    f"SELECT i, j, round(d, 6) AS rmsd FROM m WHERE d < {CHAIN_NEAR}::DOUBLE",
+)
+def chain_pairs_below_rmsd(spark, sf_dir):
+    layers, numbered = _numbered(spark, sf_dir)
+    pairs = rmsd.chain_pairs_below(numbered, layers.names, _by_layer(layers, _halves(spark, sf_dir)), CHAIN_NEAR)
+    return pairs.select("i", "j", F.round("rmsd", 6).alias("rmsd"))
 
 
 # ---------------------------------------------------------------- mutation

@@ -230,6 +230,12 @@ def deduplicate_map(spark, sf_dir):
     return identity.deduplicate(t.lines(spark, sf_dir))[1]
 
 
+@query("identity_of_a_pool_with_itself_map_two", SQL["deduplicate_map"])
+def identity_of_a_pool_with_itself_map_two(spark, sf_dir):
+    lines = t.lines(spark, sf_dir)
+    return identity.intersect_pools(lines, lines)[2]
+
+
 @query(
     "pose_occurrences",
     f"WITH {t.LINES} SELECT {POSES}, CAST(count(*) AS BIGINT) AS poses, min(pose_id) AS first_id "

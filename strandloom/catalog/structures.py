@@ -195,12 +195,20 @@ _CUTOFF = 6.0
     "SELECT d.pose_id, round(coalesce(score, 0), 6) AS score FROM dock d LEFT JOIN en USING (pose_id)",
 )
 def pair_energy_with_receptor(spark, sf_dir):
-    receptor = t.read(spark, sf_dir, "supplier").select(
+    scored = energy.score_poses(_typed_poses(spark, sf_dir), _receptor(spark, sf_dir), _kernel, _CUTOFF)
+    return scored.select("pose_id", F.round("score", 6).alias("score"))
+
+
+def _receptor(spark, sf_dir):
+    return t.read(spark, sf_dir, "supplier").select(
         F.expr("s_suppkey % 17 - 8.0D + s_suppkey div 100 * 40").alias("x"),
         F.expr("s_nationkey * 0.5D - 6.0D").alias("y"),
         F.expr("s_acctbal / 1000.0D").alias("z"),
         F.expr("cast(s_suppkey % 3 as int)").alias("type"),
     )
+
+
+def _typed_poses(spark, sf_dir):
     placed = library.pose_coordinates(
         dock_pool(spark, sf_dir), conformers(spark, sf_dir), rotamers(spark, sf_dir)
     )
@@ -208,13 +216,37 @@ def pair_energy_with_receptor(spark, sf_dir):
     moved = F.transform(
         "xyz", lambda a: F.array(F.get(a, F.lit(0)) + F.expr("pose_id div 15000 * 40"), F.get(a, F.lit(1)), F.get(a, F.lit(2)))
     )
-    poses = placed.select("pose_id", moved.alias("xyz"), F.lit([n % 2 for n in range(22)]).alias("types"))
+    return placed.select("pose_id", moved.alias("xyz"), F.lit([n % 2 for n in range(22)]).alias("types"))
 
-    def kernel(square, a, b):
-        return (a + b + 1) * 0.5 / (square + 4.0)
 
-    scored = energy.score_poses(poses, receptor, kernel, _CUTOFF)
-    return scored.select("pose_id", F.round("score", 6).alias("score"))
+def _kernel(square, a, b):
+    return (a + b + 1) * 0.5 / (square + 4.0)
+
+
+@query(
+    "pair_energy_with_row_errors",
+    SQL["pair_energy_with_receptor"].replace(
+        "SELECT d.pose_id, round(coalesce(score, 0), 6) AS score FROM dock d LEFT JOIN en USING (pose_id)",
+        "e AS (SELECT pose_id, CASE WHEN pose_id % 97 = 0 THEN '22 coordinates but 21 types' WHEN pose_id % 101 = 0 THEN "
+        "'coordinates are not numbers' WHEN pose_id % 103 = 0 THEN 'unknown atom type 7' END AS error FROM dock) "
+        "SELECT pose_id, CASE WHEN error IS NULL THEN round(coalesce(score, 0), 6) END AS score, error FROM e LEFT JOIN en USING (pose_id)",
+    ).replace("GROUP BY pose_id) e AS", "GROUP BY pose_id), e AS"),
+)
+def pair_energy_with_row_errors(spark, sf_dir):
+    """Some poses lack a type, have a coordinate that is no number, or an unknown type."""
+    poses = _typed_poses(spark, sf_dir)
+    broken = F.transform("xyz", lambda a, n: F.when(n == 3, F.array(F.lit(float("nan")), F.get(a, F.lit(1)), F.get(a, F.lit(2)))).otherwise(a))
+    poses = poses.withColumns(
+        {
+            "xyz": F.when(F.col("pose_id") % 101 == 0, broken).otherwise(F.col("xyz")),
+            "types": F.when(F.col("pose_id") % 97 == 0, F.slice("types", 1, 21))
+            .when(F.col("pose_id") % 103 == 0, F.transform("types", lambda x, n: F.when(n == 5, 7).otherwise(x)))
+            .otherwise(F.col("types")),
+        }
+    )
+    # Beyond the bound of a broadcast the join is split; here the bound is none.
+    scored = energy.score_each(poses, _receptor(spark, sf_dir), _kernel, _CUTOFF, types=[0, 1, 2], max_cells=0)
+    return scored.select("pose_id", F.round("score", 6).alias("score"), "error")
 
 
 @query(

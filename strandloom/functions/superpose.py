@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from strandloom.functions import vectors as v
 
 NEWTON_STEPS = 24
+LEAST_SPREAD = 1e-7  # second singular value below which a ring is a line
 
 
 def _batches(*series: pd.Series):
@@ -49,7 +50,7 @@ def fit(mobile: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _require_plane(ring: np.ndarray, name: str) -> None:
     spread = np.linalg.svd(ring - ring.mean(axis=-2, keepdims=True), compute_uv=False)
-    if (spread[..., 1] < 1e-7).any():
+    if (spread[..., 1] < LEAST_SPREAD).any():
         raise ValueError(f"{name} ring coordinates are degenerate")
 
 
@@ -70,6 +71,26 @@ def superposing_rotation(mobile: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series(list(out))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def plane_rotation(mobile: pd.Series, target: pd.Series) -> pd.Series:
+    """As ``superposing_rotation``, but null where a ring is missing or lies on a line."""
+    out = pd.Series([None] * len(mobile), dtype=object)
+    there = mobile.notna() & target.notna() & (mobile.map(lambda x: 0 if x is None else len(x)) == target.map(len))
+    kept = np.flatnonzero(there.to_numpy())
+    for rows, (a, b) in _batches(mobile.iloc[kept], target.iloc[kept]):
+        planes = np.ones(len(rows), bool)
+        for ring in (a, b):
+            finite = np.isfinite(ring).all(axis=(1, 2))
+            spread = np.linalg.svd(
+                np.where(finite[:, None, None], ring - ring.mean(axis=1, keepdims=True), 0.0), compute_uv=False
+            )
+            planes &= finite & (spread[:, 1] >= LEAST_SPREAD)
+        turns = fit(a[planes], b[planes])[0].reshape(-1, 9)
+        for at, turn in zip(kept[rows[planes]], turns):
+            out.iloc[at] = turn.tolist()
+    return out
+
+
 def with_superposed_rmsd(df: DataFrame, mobile: str, target: str, name: str) -> DataFrame:
     """``df`` with the RMSD of two columns of [x, y, z] arrays after superposition."""
     columns = df.columns

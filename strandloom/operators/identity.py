@@ -22,7 +22,13 @@ def _map(pool: DataFrame, output: DataFrame) -> DataFrame:
 def intersect_pools(
     one: DataFrame, two: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """INTERSECT DISTINCT of two pools, and the map from each of them."""
+    """INTERSECT DISTINCT of two pools, and the map from each of them.
+
+    A pool with itself is its distinct poses, with the same map twice.
+    """
+    if one is two:
+        output, rows = deduplicate(one)
+        return output, rows, rows
     # Each side is deduplicated map-side before it is shuffled.
     shared = one.select(*POSE).intersect(two.select(*POSE))
     output = organize(shared, [], spill=True, label="identity")

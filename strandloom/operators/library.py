@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from strandloom.constants import GRID_SPACING
 from strandloom.functions import vectors as v
 from strandloom.functions.superpose import with_superposed_rmsd
-from strandloom.staging import bounded_broadcast, present, row_bound, skew_join
+from strandloom.operators.pool import pose_range as poses_of_range
+from strandloom.operators.pool import select_poses
+from strandloom.staging import bounded_broadcast, present, row_bound, skew_join, with_bound
 
 MAX_SENT_ATOMS = 100_000  # template or bead rows sent to every task
 
@@ -120,14 +122,32 @@ def pose_coordinates(pool: DataFrame, conformers: DataFrame, rotamers: DataFrame
     )
 
 
-def converted_poses(pool: DataFrame, rotvecs: DataFrame) -> DataFrame:
-    """External form of a pool: inverse rotation vector, translation and conformer."""
-    joined = skew_join(
-        pool, rotvecs, ["conformer", "rotamer"], "left_outer", left_rows=row_bound(pool), right_rows=0
-    )
+def converted_poses(
+    pool: DataFrame,
+    rotvecs: DataFrame,
+    *,
+    pose_range: tuple[int, int] | None = None,
+    requests: DataFrame | None = None,
+) -> DataFrame:
+    """External form of a pool: inverse rotation vector, translation and conformer.
+
+    ``pose_range`` takes FIRST..LAST, 1-based and inclusive, ``requests`` the poses of
+    ``(request_pos, pose_id)`` with their copies; at most one of the two.
+    """
+    if pose_range is not None and requests is not None:
+        raise ValueError("give a range or an index of poses, not both")
+    rows, kept = row_bound(pool), ["pose_id"]
+    if pose_range is not None:
+        if pose_range[1] > pool.count():
+            raise ValueError(f"pose range LAST={pose_range[1]} exceeds the number of poses")
+        pool = with_bound(poses_of_range(pool, *pose_range), rows)
+    if requests is not None:
+        pool, kept = select_poses(pool, requests), ["request_pos", "pose_id"]
+        rows = row_bound(requests)
+    joined = skew_join(pool, rotvecs, ["conformer", "rotamer"], "left_outer", left_rows=rows, right_rows=0)
     joined = joined.withColumn("rx", present(F.col("rx"), "pose refers to a missing rotamer"))
     return joined.select(
-        "pose_id",
+        *kept,
         "conformer",
         *[(-F.col(c)).alias(c) for c in ("rx", "ry", "rz")],
         *[(F.col(g) * F.lit(GRID_SPACING)).alias(n) for g, n in (("gx", "x"), ("gy", "y"), ("gz", "z"))],

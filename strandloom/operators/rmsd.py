@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandloom.constants import GRID_SPACING, RMSD_DECIMALS
 from strandloom.functions import vectors as v
 from strandloom.operators.library import placed
-from strandloom.staging import dense_ids, row_bound, skew_join, spread
+from strandloom.staging import row_bound, skew_join, spread, stage
 
 
 def reference_moments(conformers: DataFrame, reference: list[list[float]]) -> DataFrame:
@@ -218,17 +218,32 @@ def chain_rmsd(numbered: DataFrame, names: list[str], values: DataFrame) -> Data
     return wide.select("chain", F.bround(F.sqrt(square / (k + 1)), RMSD_DECIMALS).alias("chain_rmsd"))
 
 
-def chain_coordinates(numbered: DataFrame, names: list[str], values: DataFrame) -> DataFrame:
-    """Coordinates per chain and nucleotide from ``values(layer, node, first, second)``.
-
-    ``first`` and ``second`` are flat coordinate arrays of the two nucleotides of a
-    pose; the two copies of a shared nucleotide are averaged.
-    """
-    wide = _wide_values(numbered, names, values)
+def _nucleotides(names: list[str]) -> list[Column]:
+    """Flat coordinates of each nucleotide; the two copies of a shared one are averaged."""
     k = len(names)
     each = [F.col("_first_0")]
     each += [
         F.zip_with(f"_second_{j}", f"_first_{j + 1}", lambda x, y: (x + y) / 2.0) for j in range(k - 1)
     ]
     each.append(F.col(f"_second_{k - 1}"))
-    return wide.select("chain", F.posexplode(F.array(*each)).alias("nucleotide", "xyz"))
+    return each
+
+
+def chain_coordinates(numbered: DataFrame, names: list[str], values: DataFrame) -> DataFrame:
+    """Coordinates per chain and nucleotide from ``values(layer, node, first, second)``.
+
+    ``first`` and ``second`` are flat coordinate arrays of the two nucleotides of a pose.
+    """
+    wide = _wide_values(numbered, names, values)
+    return wide.select("chain", F.posexplode(F.array(*_nucleotides(names))).alias("nucleotide", "xyz"))
+
+
+def chain_pairs_below(numbered: DataFrame, names: list[str], values: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(i, j, rmsd)``, i < j, of chains nearer than ``threshold`` in one frame.
+
+    Chains are structures of all their averaged nucleotides; near ones meet by pivots, so a
+    complete matrix is never made.
+    """
+    wide = _wide_values(numbered, names, values)
+    whole = wide.select(F.col("chain").alias("id"), F.flatten(F.array(*_nucleotides(names))).alias("coords"))
+    return pairs_below(stage(whole, "chain-structures"), threshold)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.nucleotides import mutate, representative
+from strandloom.operators.library import exclude_origins
 from strandloom.sources.arrays import read_arrays
-from strandloom.staging import stage
+from strandloom.staging import row_bound, stage
 
 
 def read_conformers(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +49,53 @@ def read_rotamers(spark: SparkSession, vectors: str, ends: str) -> DataFrame:
     )
 
 
+def load_library(
+    spark: SparkSession,
+    sequence: str,
+    conformers: str,
+    rotamers: tuple[str, str],
+    *,
+    replacements: str | None = None,
+    extensions: str | None = None,
+    extension_rotamers: tuple[str, str] | None = None,
+    origins: DataFrame | None = None,
+    exclude: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Conformers ``(conformer, coords, replaced)`` and rotamers of a sequence, from files.
+
+    Sequences share the files of their representative, whose letters stand for ``{}`` in
+    the paths; coordinates are then mutated and centred again.  Extensions go on with the
+    numbers of the conformers.  ``origins(conformer, origin)`` names the structure each
+    conformer comes from: those of ``exclude`` take their replacement, or are dropped with
+    their rotamers if they are extensions.
+    """
+    base = representative(sequence)
+    shapes = stage(read_conformers(spark, conformers.format(base)), "conformers")
+    turns = [read_rotamers(spark, *[p.format(base) for p in rotamers])]
+    size = row_bound(shapes)
+    shapes = shapes.withColumn("extension", F.lit(False))
+    if extensions:
+        more = read_conformers(spark, extensions.format(base)).withColumn("conformer", F.col("conformer") + size)
+        shapes = shapes.unionByName(more.withColumn("extension", F.lit(True)))
+        if extension_rotamers:
+            added = read_rotamers(spark, *[p.format(base) for p in extension_rotamers])
+            turns.append(added.withColumn("conformer", F.col("conformer") + size))
+    none = F.lit(None).cast("array<array<double>>")
+    if replacements:
+        found = read_conformers(spark, replacements.format(base)).withColumnRenamed("coords", "replacement")
+        shapes = shapes.join(found, "conformer", "left")
+    else:
+        shapes = shapes.withColumn("replacement", none)
+    if origins is None and exclude:
+        raise ValueError("to exclude structures, the origins of conformers are needed")
+    shapes = shapes.join(origins, "conformer", "left") if origins is not None else shapes.withColumn("origin", F.lit(None).cast("string"))
+    kept = exclude_origins(shapes, exclude)
+    whole = F.when(F.col("coords").isNull(), F.raise_error(F.lit("an excluded conformer has no replacement"))).otherwise(F.col("coords"))
+    kept = kept.select("conformer", mutate(whole, base, sequence).alias("coords"), "replaced")
+    every = turns[0] if len(turns) == 1 else turns[0].unionByName(turns[1])
+    return kept, every.join(kept.select("conformer"), "conformer", "left_semi")
+
+
 def read_crmsds(spark: SparkSession, path: str) -> DataFrame:
     """``(lower, upper, crmsd)`` of a matrix, one row per pair."""
     rows = read_arrays(spark, path, "values")

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 BEST_FIT = (
     "fragment int, sequence string, conformer int, rotamer int, grid_x int, grid_y int, grid_z int, rmsd double"
 )
-BEST_FIT_PAIRS = "down int, up int, sequence string, ovRMSD double, cRMSD double"
-BEST_FIT_BASES = "fragment int, sequence string, nucleotide1_ovRMSD double, nucleotide2_ovRMSD double"
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.constants import GRID_SPACING, POSE
 from strandloom.functions import decimals, gaussian, nucleotides, stacking, superpose
 from strandloom.functions import vectors as v
-from strandloom.operators import anchor, energy, filter_cache, fit, grow, library, rmsd, structure
+from strandloom.operators import anchor, energy, filter_cache, fit, grow, library, rebuild, rmsd, structure
 
 CONF = "conformer int, coords array<array<double>>"
 
@@ -510,3 +510,91 @@ def test_digest_follows_order_and_not_partitions(spark, monkeypatch):
     swapped[3], swapped[4] = (3, rows[4][1]), (4, rows[3][1])
     assert of(swapped) != base and of(rows[:-1]) != base
     assert of([(0, "")]) != of([(0, None)]) and of([])[0] == 0
+
+
+def rebuilt_case(spark):
+    rng = np.random.default_rng(30)
+    ring = np.array([[math.cos(a), math.sin(a), 0.0] for a in np.arange(6) * math.pi / 3]) * 1.4
+    shapes = [np.vstack([ring @ matrix(rng.normal(size=3)) + rng.normal(size=3), rng.normal(size=(2, 3))]) for _ in range(2)]
+    flat = shapes[1].copy()
+    flat[:6] = np.arange(6)[:, None] * [0.5, 0.2, 0.1]
+    shapes.append(flat)
+    conf = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(shapes)], CONF)
+    vecs = rng.normal(size=(3, 2, 3)) * 0.4
+    rot = library.rotamers_from_rotvec(
+        spark.createDataFrame([(c, r, *map(float, vecs[c, r])) for c in range(3) for r in range(2)],
+                              "conformer int, rotamer int, rx double, ry double, rz double")
+    )
+    return ring, shapes, vecs, conf, rot
+
+
+def test_rebuilt_jobs_and_their_errors(spark):
+    ring, shapes, vecs, conf, rot = rebuilt_case(spark)
+    frame = matrix(np.array([0.2, -0.1, 0.3]))
+    centre = np.array([0.5, 1.0, -3.0])
+    jobs = [(n, n % 2, n // 2 % 2, n % 3 - 1, 0, 1 - n % 2, 0) for n in range(8)]
+    jobs += [(8, 9, 0, 0, 0, 0, 0), (9, 0, 9, 0, 0, 0, 0), (10, 0, 0, 0, 0, 0, 0), (11, 0, 0, 0, 0, 0, 0), (12, 0, 0, 0, 0, 0, 0),
+             (13, 2, 0, 0, 0, 0, 0), (14, 0, 0, 0, 0, 0, 2), (15, 0, 0, 0, 0, 0, 0)]
+    published = {}
+    for n, c, r, *grid, _ in jobs:
+        if c < 9 and r < 9 and n != 10:
+            published[n] = shapes[c] @ matrix(vecs[c, r]) + np.array(grid) * GRID_SPACING
+    published[11] = published[11] + 0.003
+    published[12] = published[12][:-1]
+    published[15] = published[15].copy()
+    published[15][0, 0] = np.nan
+    jobs_df = spark.createDataFrame(jobs, "job int, conformer int, rotamer int, gx int, gy int, gz int, nucleotide int")
+    published_df = spark.createDataFrame([(n, x.tolist()) for n, x in published.items()], "job int, xyz array<array<double>>")
+    args = (jobs_df, published_df, conf, rot, [list(range(6))] * 2, [ring.tolist()] * 2, frame.ravel().tolist(), centre.tolist())
+    got = {r.job: r for r in rebuild.prepared(*args).collect()}
+    for n in range(8):
+        turned = superpose.ring_rotation(published[n][:6], ring)
+        relative = turned.T @ frame.T
+        at = (published[n][:6].mean(0) - centre) @ frame.T
+        d = np.linalg.norm(at)
+        assert got[n].error is None and abs(got[n].d - d) < 1e-9
+        assert abs(got[n].phi - math.acos(abs(at[2]) / d)) < 1e-9 and abs(got[n].theta - math.acos(abs(relative[2, 2]))) < 1e-7
+    assert [got[n].error for n in range(8, 16)] == [
+        "conformer 9 is not in the library", "rotamer 9 of conformer 0 is not in the library", "no published coordinates",
+        "reconstructed pose RMSD 0.005196 exceeds 0.002", "7 published atoms for a pose of 8", "ring has no plane",
+        "nucleotide is neither first nor second", "coordinates are not numbers",
+    ]
+    assert all(got[n].d is None for n in range(8, 16))
+    rows = rebuild.check_rebuilt(*args).collect()
+    assert len(rows) == 8 * 12 + 8
+    assert {(r.job, r.state) for r in rows if r.error} == {(n, "error") for n in range(8, 16)}
+
+
+@pytest.mark.parametrize("max_cells", [10**6, 0])
+def test_energy_errors_stay_with_their_pose(spark, monkeypatch, max_cells):
+    from strandloom import staging
+
+    monkeypatch.setattr(staging, "HOT_ROWS", 5)
+    rng = np.random.default_rng(31)
+    receptor = [(*map(float, x), n % 2) for n, x in enumerate(rng.normal(size=(40, 3)) * 2)]
+    poses = {n: (rng.normal(size=(4, 3)) * 2).tolist() for n in range(12)}
+    types = {n: [0, 1, 0, 1] for n in poses}
+    poses[3] = [[100.0, 0.0, 0.0]] * 4
+    types[4] = [0, 1]
+    poses[5][2] = [0.0, float("inf"), 0.0]
+    types[6] = [0, 5, 0, 1]
+    poses[7] = None
+    types[8] = [0, None, 1, 1]
+    poses[9], types[9] = [], []
+    df = spark.createDataFrame([(n, poses[n], types[n]) for n in poses], "pose_id bigint, xyz array<array<double>>, types array<int>")
+    rec = spark.createDataFrame(receptor, "x double, y double, z double, type int")
+    kernel = lambda square, a, b: (a + b + 1) / (square + 1.0)
+    got = {r.pose_id: r for r in energy.score_each(df, rec, kernel, 2.5, types=[0, 1], max_cells=max_cells).collect()}
+    assert {n: got[n].error for n in (4, 5, 6, 7, 8)} == {
+        4: "4 coordinates but 2 types", 5: "coordinates are not numbers", 6: "unknown atom type 5", 7: "no atoms", 8: "unknown atom type null",
+    }
+    assert got[3].score == 0.0 and got[9].score == 0.0 and len(got) == 12
+    for n in (0, 1, 2, 10, 11):
+        want = 0.0
+        for atom, a in zip(poses[n], types[n]):
+            for x, y, z, b in receptor:
+                square = sum((p - q) ** 2 for p, q in zip(atom, (x, y, z)))
+                want += (a + b + 1) / (square + 1.0) if square < 6.25 else 0.0
+        assert got[n].error is None and abs(got[n].score - want) < 1e-9
+    with pytest.raises(Exception, match="pose [45678]: "):
+        energy.score_poses(df.where("pose_id in (4, 5)"), rec, kernel, 2.5).collect()

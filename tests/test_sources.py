@@ -249,3 +249,36 @@ def test_rmsd_output_formats(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
     with pytest.raises(ValueError, match="format"):
         tables.write_rmsds(rmsds, str(tmp_path / "x"), format="tsv")
+
+
+def test_library_of_a_sequence_from_files(spark, tmp_path):
+    from strandloom.functions.nucleotides import ATOMS
+    from strandloom.sources import library
+
+    rng = np.random.default_rng(5)
+    atoms = ATOMS["A"] + ATOMS["C"]
+    shapes = {name: rng.normal(size=(n, atoms, 3)) * 3 for name, n in (("main", 4), ("other", 4), ("more", 2))}
+    for name, coords in shapes.items():
+        np.save(tmp_path / f"{name}-AC.npy", coords)
+    for name, counts in (("main", [2, 1, 3, 1]), ("more", [1, 2])):
+        np.save(tmp_path / f"{name}-turns-AC.npy", rng.normal(size=(sum(counts), 3)))
+        np.save(tmp_path / f"{name}-ends-AC.npy", np.cumsum(counts))
+    origins = spark.createDataFrame([(n, c) for n, c in enumerate(["1abc", "2xyz", "1abc", "3def", "2XYZ", "4ghi"])], "conformer int, origin string")
+    at = lambda name: str(tmp_path / f"{name}-{{}}.npy")
+    conf, rot = library.load_library(
+        spark, "GU", at("main"), (at("main-turns"), at("main-ends")), replacements=at("other"), extensions=at("more"),
+        extension_rotamers=(at("more-turns"), at("more-ends")), origins=origins, exclude=["2xyz"],
+    )
+    rows = {r.conformer: r for r in conf.collect()}
+    assert sorted(rows) == [0, 1, 2, 3, 5] and [n for n in rows if rows[n].replaced] == [1]
+    assert all(len(r.coords) == ATOMS["G"] + ATOMS["U"] for r in rows.values())
+    used = {0: shapes["main"][0], 1: shapes["other"][1], 5: shapes["more"][1]}
+    for n, coords in used.items():
+        got = np.array(rows[n].coords)
+        assert np.allclose(got.mean(0), 0, atol=1e-9)
+        # The last base keeps its shape: C and U differ by names alone.
+        assert np.allclose(got[ATOMS["G"]:] - got[-1], coords[ATOMS["A"]:] - coords[-1])
+    counts = {r.conformer: r["count"] for r in rot.groupBy("conformer").count().collect()}
+    assert counts == {0: 2, 1: 1, 2: 3, 3: 1, 5: 2}
+    with pytest.raises(ValueError, match="origins"):
+        library.load_library(spark, "GU", at("main"), (at("main-turns"), at("main-ends")), exclude=["2xyz"])
