@@ -40,7 +40,7 @@ PERCENT = 80
 SUBSET = 2
 ROUNDS = 1  # in which sets name their nearest one, before all pairs that are left
 LARGEST = 2  # buckets that a set looks for its nearest one in
-KEY_COST = 8  # a subset is shuffled and grouped; that takes as long as looking at so many entries
+KEY_COST = 200  # list entries looked at in the time that a subset is shuffled and grouped, as measured
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 FEW = 1_000_000  # sets sent to all tasks at once, 40 bytes each; more are joined by a shuffle
 PAIRS = 200_000  # pairs of members that one task looks at together
