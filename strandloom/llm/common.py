@@ -81,6 +81,17 @@ def map_batches(
     return df.mapInArrow(run, target)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores where the caller's columns have them already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as strings; null is the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import map_batches, utf8
+from strandloom.llm.common import fresh, map_batches, utf8
 
 # Lower-cases A-Z and turns every ASCII byte that is neither letter nor digit to a space.
 NORMAL = bytes(
@@ -266,18 +266,21 @@ def _decontaminate_blocks(docs: DataFrame, items: DataFrame, window: int, mode:
     kind = docs.schema["doc_id"].dataType.simpleString()
     benchmark = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text"))
     size = benchmark.agg(F.sum(F.length("text") + 16)).first()[0]
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminated")
-    found = _scan_blocks(rows.select("_row", "doc_id", "text"), benchmark, window, kind, -(-size // block_chars))
-    hit = stage(_merged(found.where(F.size("spans") > 0)).select("_row", F.col("spans").alias("_spans")), "hits")
+    row, hits = fresh(docs, "_row", "_spans")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminated")
+    texts = rows.select(F.col(row).alias("_row"), "doc_id", "text")
+    found = _scan_blocks(texts, benchmark, window, kind, -(-size // block_chars))
+    merged = _merged(found.where(F.size("spans") > 0))
+    hit = stage(merged.select(F.col("_row").alias(row), F.col("spans").alias(hits)), "hits")
     if mode == "documents":
-        return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+        return rows.join(hit, row, "left_anti").select(*docs.columns)
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
             out = {c: batch.column(c) for c in docs_columns}
             changed = []
             old = batch.column("text").to_pylist()
-            for o, text, spans in zip(old, utf8(batch), batch.column("_spans").to_pylist()):
+            for o, text, spans in zip(old, utf8(batch), batch.column(hits).to_pylist()):
                 if spans:
                     o = remove_spans(text, [(x["start"], x["end"]) for x in spans]).decode()
                 changed.append(o)
@@ -286,7 +289,7 @@ def _decontaminate_blocks(docs: DataFrame, items: DataFrame, window: int, mode:
         return step
 
     docs_columns = docs.columns
-    joined = rows.join(hit, "_row", "left").select(*docs_columns, "_spans")
+    joined = rows.join(hit, row, "left").select(*docs_columns, hits)
     return map_batches(joined, docs.schema, start)
 
 

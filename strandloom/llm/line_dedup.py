@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import bloom
-from strandloom.llm.common import map_batches, texts
+from strandloom.llm.common import fresh, map_batches, texts
 from strandloom.staging import stage
 
 MARK = "\x1e"
@@ -258,42 +258,45 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ``_share`` is the share of words that stay.  Null and empty texts have no lines and do
     not change; ties cannot occur, as the first occurrence is by doc_id (null first),
     then by a hash and by place; rows that repeat doc_id and text change alike and count
-    as one; an empty table gives no rows.  Untouched texts keep every byte; others lose
-    white space at their ends.
+    as one; an empty table gives no rows.  Texts are used whole, however long.  Untouched
+    texts keep every byte; others lose white space at their ends.  Columns of the caller
+    stay as they are, whatever their names; an added name that is taken gets underscores.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    n_lines, n_removed, share = fresh(docs, "_lines", "_removed", "_share")
+    key, known_id, known_key, ranges, maybe = fresh(docs, "_key", "_id", "_k", "_ranges", "_maybe")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     cut = stage(removals(docs, settings), "removals")
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("ranges").alias("_ranges"))
+    cut = cut.select(F.col("doc_id").alias(known_id), F.col("key").alias(known_key), F.col("ranges").alias(ranges))
     # Documents that a Bloom filter of the others' keys stops have nothing to lose and stay in place.
-    known = bloom.build(cut.select(F.xxhash64("_k").alias("hash")), "hash", cut.count())
-    maybe = bloom.may_hold(known, docs.sparkSession, "_key")
-    keyed = keyed.withColumn("_maybe", maybe)
-    same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    touched = keyed.where("_maybe").join(cut.hint("merge"), same, "left").select(*docs.columns, "_ranges")
-    untouched = keyed.where("not _maybe").select(*docs.columns, F.lit(None).cast(cut.schema["_ranges"].dataType).alias("_ranges"))
+    known = bloom.build(cut.select(F.xxhash64(known_key).alias("hash")), "hash", cut.count())
+    keyed = keyed.withColumn(maybe, bloom.may_hold(known, docs.sparkSession, key))
+    same = (F.col(key) == F.col(known_key)) & F.col("doc_id").eqNullSafe(F.col(known_id))
+    touched = keyed.where(F.col(maybe)).join(cut.hint("merge"), same, "left").select(*docs.columns, ranges)
+    untouched = keyed.where(~F.col(maybe)).select(*docs.columns, F.lit(None).cast(cut.schema[ranges].dataType).alias(ranges))
     joined = touched.unionByName(untouched)
     columns = docs.columns
-    added = {"_lines": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long"), "_share": F.lit(1.0)}
-    schema = docs.withColumns(added).schema
+    schema = docs.withColumns(
+        {n_lines: F.lit(0).cast("long"), n_removed: F.lit(0).cast("long"), share: F.lit(1.0)}
+    ).schema
 
     def start():
         def step(batch: pa.RecordBatch) -> dict:
             out = {c: batch.column(c) for c in columns}
-            changed, n_lines, n_removed, share = [], [], [], []
+            changed, lines_in, gone_of, kept_of = [], [], [], []
             old = batch.column("text").to_pylist()
-            for text, ranges in zip(old, batch.column("_ranges").to_pylist()):
+            for text, found in zip(old, batch.column(ranges).to_pylist()):
                 lines = lines_of(text or "")
-                n_lines.append(len(lines))
-                if not ranges:
+                lines_in.append(len(lines))
+                if not found:
                     changed.append(text)
-                    n_removed.append(0)
-                    share.append(1.0)
+                    gone_of.append(0)
+                    kept_of.append(1.0)
                     continue
-                new, gone = _cut(lines, ranges)
+                new, gone = _cut(lines, found)
                 changed.append(new)
-                n_removed.append(gone)
-                share.append(len(new.split()) / max(1, len(text.split())))
-            return out | {"text": changed, "_lines": n_lines, "_removed": n_removed, "_share": share}
+                gone_of.append(gone)
+                kept_of.append(len(new.split()) / max(1, len(text.split())))
+            return out | {"text": changed, n_lines: lines_in, n_removed: gone_of, share: kept_of}
 
         return step
 
@@ -302,12 +305,13 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def drop_repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Cleaned documents with the columns of ``docs``, without those that keep no word."""
-    return clean(docs, settings).where(F.col("_share") > 0).select(*docs.columns)
+    share = fresh(docs, "_share")[0]
+    return clean(docs, settings).where(F.col(share) > 0).select(*docs.columns)
 
 
 def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_lines, n_removed, share_kept and text_sha256 of the cleaned text."""
-    return clean(docs, settings).select(
+    return clean(docs.select("doc_id", "text"), settings).select(
         "doc_id",
         F.col("_lines").alias("n_lines"),
         F.col("_removed").alias("n_removed"),

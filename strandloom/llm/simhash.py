@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import LOWER, map_batches, utf8
+from strandloom.llm.common import LOWER, fresh, map_batches, utf8
 from strandloom.staging import stage
 
 RADIUS = 4
@@ -265,5 +265,6 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))), "text")
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("_first", F.row_number().over(first))
-    return named.where("_first = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    place = fresh(docs, "_first")[0]
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn(place, F.row_number().over(first))
+    return named.where(F.col(place) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -39,7 +39,8 @@ DOCS = T.StructType(
     ]
 )
 # Names that operators use inside or return.
-CLASHES = ("key", "fp", "ranges", "row", "ids", "n_words", "spans", "component_id", "h1", "limit", "middle", "n", "hash")
+CLASHES = ("key", "fp", "ranges", "row", "ids", "n_words", "spans", "component_id", "h1", "limit", "middle", "n", "hash",
+           "_key", "_maybe", "_share", "_ranges", "_id", "_k", "_lines", "_removed", "_row", "_spans", "_first")
 
 
 def docs_of(spark, texts, clash=False, ids=None):
@@ -287,7 +288,7 @@ def test_decontamination_against_plain_search(spark, block_chars):
 def test_decontamination_is_the_same_in_blocks(spark, mode):
     items = [prose(800 + i, 14) for i in range(6)]
     texts = [f"{prose(i, 20)} {items[i % 6]} {prose(50 + i, 20)}" if i % 2 else prose(i, 40) for i in range(12)] + [None, ""]
-    docs = docs_of(spark, texts, ids=[None, None, 7, 7, *range(20, 30)])
+    docs = docs_of(spark, texts, clash=True, ids=[None, None, 7, 7, *range(20, 30)])
     table_of = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     whole = decontaminate.decontaminate(docs, table_of, mode=mode)
     parts = decontaminate.decontaminate(docs, table_of, mode=mode, block_chars=200)
@@ -311,7 +312,7 @@ def test_repeated_passages_go_once(spark):
         assert got[i].text == texts[i]
     assert got[first].text == texts[first]
     for i in range(first + 1, first + 12):
-        assert passage not in got[i].text and got[i]["_removed"] >= 7
+        assert passage not in got[i].text and got[i]["_removed_"] >= 7
         assert prose(20 + i - first, 60)[:100] in got[i].text and prose(40 + i - first, 60)[-100:] in got[i].text
     for i in range(first + 12, first + 18):
         assert got[i].text == texts[i]
