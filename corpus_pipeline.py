@@ -1,7 +1,10 @@
 """A pipeline over ``documents``: each stage is one of the text operators.
 
 A stage gets the documents its predecessor kept and its result is written to the shared
-folder as Parquet before the next stage reads it.
+folder as Parquet before the next stage reads it.  That folder stays until the shared one is
+cleaned, as the result is read from it.  All stages use whole texts, however long, treat null
+as the empty text, keep further columns whatever their names, and give no rows for an empty
+table; what each does with ties and repeated rows is said by its operator.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ from strandloom.staging import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the language model does not reject."""
+    """Documents the language model does not reject.
+
+    Null and empty texts have nothing to reject and stay; repeated rows are judged alike.
+    """
     return perplexity.drop_rejected(docs, read(spark, sf_dir, "labels"))
 
 
