@@ -700,9 +700,15 @@ _FILTERS_SQL = "filters(filter, cutoff, tilt30, disp45) AS (VALUES " + ", ".join
 ) + ")"
 
 
+# Turns small enough for the rings to stay near parallel.
+_SMALL_QUAT_SQL = _QUAT_SQL.replace(
+    "FROM rv)", "FROM (SELECT o_orderkey, rx * 0.4::DOUBLE AS rx, ry * 0.4::DOUBLE AS ry, rz * 0.4::DOUBLE AS rz FROM rv))"
+)
+
+
 @query(
     "stacking_filter_sizes",
-    f"WITH {_QUAT_SQL}, {_CELL_SQL.format(src='qt')}, distinct_cells AS (SELECT DISTINCT cell FROM cells), "
+    f"WITH {_SMALL_QUAT_SQL}, {_CELL_SQL.format(src='qt')}, distinct_cells AS (SELECT DISTINCT cell FROM cells), "
     f"{_TILT_SQL.format(src='distinct_cells')}, {_LATTICE_SQL}, {_FILTERS_SQL}, "
     "keys AS (SELECT i*i + j*j AS side, k*k AS k2, any_value(i) AS i, any_value(j) AS j, any_value(k) AS k, count(*) AS n FROM lat GROUP BY side, k2), "
     f"dev AS (SELECT cell, r33, side, k2, n, {_DEVIATIONS_SQL} FROM tilt, keys WHERE abs(r33) > 0.5), "
@@ -711,7 +717,7 @@ _FILTERS_SQL = "filters(filter, cutoff, tilt30, disp45) AS (VALUES " + ", ".join
     "AND (NOT tilt30 OR 4 * r33 * r33 > 3) AND (NOT disp45 OR k2 > side) GROUP BY filter, cell",
 )
 def stacking_filter_sizes(spark, sf_dir):
-    turn = v.rotvec_matrix("rx", "ry", "rz")
+    turn = v.rotvec_matrix(*[F.col(c) * 0.4 for c in ("rx", "ry", "rz")])
     cells = _order_rotations(spark, sf_dir).select(v.shared(turn, gaussian.hopf_cell).alias("cell"))
     return filter_cache.sizes(stage(anchoring.cell_tilts_of(cells), "cells"))
 

@@ -80,6 +80,50 @@ def structure_dinucleotides(spark, sf_dir):
     )
 
 
+# As above, with three exact decimals.
+_TEXT_SQL = " || chr(10) || ".join(
+    f"printf('ATOM  %5d {name} %3s A%4d    %8.3f%8.3f%8.3f  1.00  0.00         A {name.strip()[0]}  ', {n}, {r}.base, {resid}, "
+    f"{r}.px + {dx}::DOUBLE, {r}.py + {dy}::DOUBLE, 0.0::DOUBLE)"
+    for n, (name, r, resid, dx, dy) in enumerate(
+        ((" P  ", "a", 1, 0.0, 0.0), (" O3''", "a", 1, 1.5, 0.75), (" P  ", "b", 2, 0.0, 0.0), (" O3''", "b", 2, 1.5, 0.75)), start=1
+    )
+)
+
+
+@query(
+    "reference_fragment_texts",
+    "WITH n AS (SELECT o_orderkey // 50 AS structure, o_orderkey % 50 + 1 AS resid, substring('ACGU', CAST(o_custkey % 4 + 1 AS INTEGER), 1) AS base, "
+    "o_orderkey % 50 * 2.0::DOUBLE AS px, floor(o_totalprice / 250.0::DOUBLE) / 1000.0::DOUBLE AS py FROM orders) "
+    "SELECT a.structure, 'frag-' || a.resid || '-' || a.base || b.base || '-refe.pdb' AS name, "
+    f"{_TEXT_SQL} || chr(10) AS text FROM n a JOIN n b ON b.structure = a.structure AND b.resid = a.resid + 1 "
+    "WHERE sqrt((a.px + 1.5 - b.px) ** 2 + (a.py + 0.75 - b.py) ** 2) <= 1.2 * 11 / 6",
+)
+def reference_fragment_texts(spark, sf_dir):
+    x, y = F.expr("o_orderkey % 50 * 2.0D"), F.floor(F.col("o_totalprice") / 250.0) / 1000.0
+    atoms = F.array(
+        F.struct(F.lit(" P").alias("name"), F.lit(1).alias("index"), x.alias("x"), y.alias("y"), F.lit(0.0).alias("z")),
+        F.struct(F.lit(" O3*").alias("name"), F.lit(2).alias("index"), (x + 1.5).alias("x"), (y + 0.75).alias("y"), F.lit(0.0).alias("z")),
+    )
+    table = t.read(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey div 50").alias("structure"),
+        F.expr("cast(o_orderkey % 50 + 1 as int)").alias("resid"),
+        F.expr("substring('ACGU', cast(o_custkey % 4 + 1 as int), 1)").alias("resname"),
+        F.explode(atoms).alias("a"),
+    ).select("structure", "resid", "resname", "a.*")
+    single = [(base, name, place) for base in "ACGU" for place, name in enumerate(("P", "O3'"))]
+    nucs = structure.nucleotides(table, spark.createDataFrame(single, "base string, name string, place int"))
+    rows = [
+        (a + b, place, "", name, " ", (a, b)[place // 2], "A", place + 1, " ", place // 2 + 1, 1.0, 0.0, "A", name[0])
+        for a in "ACGU" for b in "ACGU" for place, name in enumerate(("P", "O3'") * 2)
+    ]
+    template = spark.createDataFrame(
+        rows,
+        "sequence string, place int, hetero string, name string, altloc string, resname string, chain string, index int, "
+        "icode string, resid int, occupancy double, bfactor double, segid string, element string",
+    )
+    return pdb.fragment_texts(structure.dinucleotides(nucs), template).select("structure", "name", "text")
+
+
 # One atom per line item, with exact three-decimal coordinates.
 _ATOM = {
     "index": "l_linenumber",
@@ -160,6 +204,25 @@ def bead_reduction(spark, sf_dir):
     return reduced.select("vec_id", "bead", *[F.round(c, 9).alias(c) for c in "xyz"])
 
 
+@query(
+    "reduced_library",
+    f"WITH {LIB} SELECT CAST(conformer AS INTEGER) AS conformer, CAST(atom // 3 AS INTEGER) AS bead, CAST(30 + atom // 3 AS INTEGER) AS atom_type, "
+    "round(avg(x), 9) AS x, round(avg(y), 9) AS y, round(avg(z), 9) AS z FROM atoms GROUP BY conformer, atom // 3",
+)
+def reduced_library(spark, sf_dir):
+    template = spark.createDataFrame([(n, 1, "RES", f"A{n}") for n in range(22)], "place int, resid int, resname string, name string")
+    beads = spark.createDataFrame(
+        [("RES", n // 3, 30 + n // 3, f"A{n}", min(3, 22 - n // 3 * 3)) for n in range(22)],
+        "resname string, bead int, atom_type int, name string, bead_atoms int",
+    )
+    found = library.reduced_library(conformers(spark, sf_dir), template, beads)
+    rows = found.select("conformer", "atom_types", F.posexplode("coords").alias("bead", "p"))
+    return rows.select(
+        "conformer", "bead", F.get("atom_types", F.col("bead")).alias("atom_type"),
+        *[F.round(F.get("p", F.lit(k)), 9).alias(c) for k, c in enumerate("xyz")],
+    )
+
+
 @query(
     "pose_record_lines",
     f"WITH {LIB}, {DOCK} SELECT p.pose_id, CAST(t.atom + 1 AS INTEGER) AS atom, printf('ATOM  %5d  N1    A B%4d    %8.3f%8.3f%8.3f  1.00  0.00         B N  ', "

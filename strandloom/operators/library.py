@@ -168,3 +168,30 @@ def reduce_to_beads(atoms: DataFrame, beads: DataFrame, keys: list[str]) -> Data
         F.raise_error(F.concat(F.lit("bead lacks atoms in residue "), F.col("resname")))
     )
     return grouped.withColumn("x", whole).drop("_n", "bead_atoms")
+
+
+def atom_types(template: DataFrame) -> DataFrame:
+    """``(place, atom_type)`` of a coarse template, whose occupancies are the types."""
+    kind = F.col("occupancy")
+    whole = F.when(kind == F.floor(kind), kind.cast("int")).otherwise(F.raise_error(F.lit("an occupancy is no atom type")))
+    return template.select("place", whole.alias("atom_type"))
+
+
+def reduced_library(conformers: DataFrame, template: DataFrame, beads: DataFrame) -> DataFrame:
+    """Coarse conformers: ``(conformer, coords, atom_types)``, beads by residue and number.
+
+    ``template(place, resid, resname, name)`` names the atom at each place of ``coords``;
+    exclusion of structures comes before (see ``exclude_origins``).
+    """
+    rows = conformers.select("conformer", F.posexplode("coords").alias("place", "c"))
+    named = rows.join(bounded_broadcast(template.select("place", "resid", "resname", "name"), MAX_SENT_ATOMS), "place", "left")
+    known = present(F.col("name"), "an atom is not in the template")
+    atoms = named.select(
+        "conformer", "resid", "resname", known.alias("name"), *[F.get("c", F.lit(k)).alias(n) for k, n in enumerate("xyz")]
+    )
+    found = reduce_to_beads(atoms, beads, ["conformer", "resid"])
+    # A conformer has no more beads than its template has atoms.
+    ordered = F.sort_array(F.collect_list(F.struct("resid", "bead", "atom_type", F.array("x", "y", "z").alias("p"))))
+    return found.groupBy("conformer").agg(ordered.alias("b")).select(
+        "conformer", F.transform("b", lambda x: x.p).alias("coords"), F.transform("b", lambda x: x.atom_type).alias("atom_types")
+    )

@@ -175,6 +175,33 @@ def pose_atoms(placed: DataFrame, template: DataFrame) -> DataFrame:
     return joined.withColumns({"model": model, **xyz}).drop("_n", "_c", "_atoms", "place")
 
 
+def fragment_texts(fragments: DataFrame, template: DataFrame) -> DataFrame:
+    """``(structure, fragment, sequence, name, text)``: a record file per reference fragment.
+
+    ``fragments(structure, fragment, sequence, coords)`` as ``structure.dinucleotides`` gives
+    them; ``template(sequence, place, ...)`` has the other atom columns of each dinucleotide.
+    """
+    rows = fragments.select(
+        "structure", "fragment", "sequence", F.size("coords").alias("_n"), F.posexplode("coords").alias("place", "_c")
+    )
+    sizes = template.groupBy("sequence").agg(F.count("*").alias("_atoms"))
+    # Sixteen dinucleotides of some forty atoms.
+    known = bounded_broadcast(template.join(F.broadcast(sizes), "sequence"), MAX_ATOMS)
+    joined = rows.join(known, ["sequence", "place"], "left")
+    fits = F.col("_n") == F.coalesce("_atoms", F.lit(-1))
+    x = F.when(fits, F.get("_c", F.lit(0))).otherwise(F.raise_error(F.lit("fragment and template differ in atoms")))
+    atoms = joined.withColumns({"x": x, "y": F.get("_c", F.lit(1)), "z": F.get("_c", F.lit(2))})
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", record().alias("line")))), lambda r: r.line)
+    whole = atoms.groupBy("structure", "fragment", "sequence").agg(F.array_join(lines, "\n").alias("text"))
+    return whole.select(
+        "structure",
+        "fragment",
+        "sequence",
+        F.format_string("frag-%s-%s-refe.pdb", "fragment", "sequence").alias("name"),
+        F.concat("text", F.lit("\n")).alias("text"),
+    )
+
+
 def complex_models(protein: DataFrame, rna: DataFrame) -> DataFrame:
     """Docking ensemble: the protein as chain A in every model, then RNA as chain B.
 

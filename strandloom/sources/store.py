@@ -80,7 +80,9 @@ def write(uri: str, *parts: bytes) -> None:
 
 def move(source: str, target: str) -> None:
     store, path = _found(source)
-    store.move(path, _found(target)[1])
+    goal = _found(target)[1]
+    store.create_dir(goal.rsplit("/", 1)[0], recursive=True)
+    store.move(path, goal)
 
 
 def remove_folder(uri: str) -> None:

@@ -282,3 +282,33 @@ def test_library_of_a_sequence_from_files(spark, tmp_path):
     assert counts == {0: 2, 1: 1, 2: 3, 3: 1, 5: 2}
     with pytest.raises(ValueError, match="origins"):
         library.load_library(spark, "GU", at("main"), (at("main-turns"), at("main-ends")), exclude=["2xyz"])
+
+
+def test_fragment_files_and_atom_types(spark, tmp_path):
+    from strandloom.operators import library
+    from strandloom.sources import texts
+
+    kept = "hetero string, name string, altloc string, resname string, chain string, index int, icode string, resid int, " \
+        "occupancy double, bfactor double, segid string, element string"
+    template = spark.createDataFrame(
+        [("GU", 0, "", "P", " ", "G", "A", 1, " ", 1, 1.0, 0.0, "A", "P"), ("GU", 1, "", "O3'", " ", "U", "A", 2, " ", 2, 1.0, 0.0, "A", "O")],
+        f"sequence string, place int, {kept}",
+    )
+    fragments = spark.createDataFrame(
+        [(1, 3, "GU", [[1.0, 2.0, 3.0], [-4.5, 0.25, 100.125]]), (1, 4, "GU", [[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]])],
+        "structure int, fragment int, sequence string, coords array<array<double>>",
+    )
+    made = pdb.fragment_texts(fragments, template)
+    texts.write_texts(made, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["frag-3-GU-refe.pdb", "frag-4-GU-refe.pdb"]
+    back = pdb.read_pdb(spark, str(tmp_path / "out" / "frag-3-GU-refe.pdb")).orderBy("index").collect()
+    assert [(r.name, r.resname, r.resid, r.x, r.y, r.z) for r in back] == [("P", "G", 1, 1.0, 2.0, 3.0), ("O3'", "U", 2, -4.5, 0.25, 100.125)]
+    with pytest.raises(Exception, match="two files"):
+        texts.write_texts(made.select(F.lit("same").alias("name"), "text"), str(tmp_path / "twice"))
+    assert list((tmp_path / "twice").iterdir()) == []
+    with pytest.raises(Exception, match="differ in atoms"):
+        pdb.fragment_texts(fragments.withColumn("coords", F.slice("coords", 1, 1)), template).collect()
+    types = spark.createDataFrame([(0, 31.0), (1, 46.0)], "place int, occupancy double")
+    assert [r.atom_type for r in library.atom_types(types).orderBy("place").collect()] == [31, 46]
+    with pytest.raises(Exception, match="no atom type"):
+        library.atom_types(types.withColumn("occupancy", F.col("occupancy") + 0.5)).collect()
