@@ -388,8 +388,11 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     sets = found.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"))
     numbered = alive.select(*key, "g").join(labels, "g")
     sets = stage(sets.join(numbered, key, "left").select(*key, "least", "label"), "distinct-sets")
-    joint = sets.where("label is not null").groupBy("label").agg(F.min("least").alias("joint"))
-    named = to_unique(sets, joint, ["label"], "left_outer").select(*key, F.coalesce("joint", "least").alias("component_id"))
+    linked = with_bound(sets.where("label is not null"), row_bound(sets))
+    joint = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = to_unique(linked, joint, ["label"]).select(*key, "component_id")
+    # Sets without links are most sets and need no join.
+    named = named.unionByName(sets.where("label is null").select(*key, F.col("least").alias("component_id")))
     rows = with_bound(found.select("doc_id", *key), row_bound(found))
     return to_unique(rows, named, key, "left_outer").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
