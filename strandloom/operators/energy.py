@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.staging import bounded_broadcast, skew_join, stage
+from strandloom.staging import bounded_broadcast, row_bound, skew_join, spread, stage
 
 # A receptor is one structure; coordinate files number at most 99,999 atoms.
 MAX_RECEPTOR_CELLS = 8 * 99_999
@@ -70,14 +70,16 @@ def score_each(
         cells = cells.withColumn(f"_{c}", F.explode(touched))
     small = bounded_broadcast(cells, max_cells)
     # The atoms of a pose stay in its task, so the partial sums leave one row per pose
-    # for the shuffle.  A pose with an error keeps one row, without an atom.
+    # for the shuffle.  Poses are few beside their atom pairs; texts of errors would make
+    # the sums of all pairs sort, so they are kept apart.
+    if hasattr(poses, "_row_bound"):
+        poses = spread(poses, row_bound(poses), "pose_id")
     found = poses.select("pose_id", "xyz", "types", pose_errors(types).alias("error"))
     zipped = F.when(F.col("error").isNull(), F.arrays_zip("xyz", "types"))
     atoms = (
-        found.select("pose_id", "error", F.explode_outer(zipped).alias("a"))
+        found.select("pose_id", F.explode(zipped).alias("a"))
         .select(
             "pose_id",
-            "error",
             *[F.get("a.xyz", F.lit(k)).alias(f"p{c}") for k, c in enumerate("xyz")],
             F.col("a.types").alias("_pt"),
         )
@@ -87,14 +89,17 @@ def score_each(
     square = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
     value = F.when(F.col("_d2") < cutoff * cutoff, kernel(F.col("_d2"), F.col("_pt"), F.col("_rt"))).otherwise(0.0)
     if small is not cells:
-        met = atoms.join(small, ["_x", "_y", "_z"], "left_outer").withColumn("_d2", square)
-        summed = met.groupBy("pose_id").agg(F.max("error").alias("error"), F.sum(value).alias("score"))
+        met = atoms.join(small, ["_x", "_y", "_z"])
     else:
-        atoms, cells = stage(atoms, "pose-atoms"), stage(cells, "receptor-cells")
-        met = skew_join(atoms, cells, ["_x", "_y", "_z"]).withColumn("_d2", square)
-        sums = met.groupBy("pose_id").agg(F.sum(value).alias("score"))
-        every = atoms.groupBy("pose_id").agg(F.max("error").alias("error"))
-        summed = every.join(sums, "pose_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        met = skew_join(stage(atoms, "pose-atoms"), stage(cells, "receptor-cells"), ["_x", "_y", "_z"])
+    sums = met.withColumn("_d2", square).groupBy("pose_id").agg(F.sum(value).alias("score"))
+    # One row per pose from either side: its error, or no neighbour yet.
+    every = found.select("pose_id", "error", F.lit(0.0).alias("score"))
+    summed = (
+        every.unionByName(sums.withColumn("error", F.lit(None).cast("string")))
+        .groupBy("pose_id")
+        .agg(F.max("error").alias("error"), F.sum("score").alias("score"))
+    )
     number = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
     error = F.coalesce("error", F.when(~number, F.lit("energy is not a number")))
     return summed.withColumn("error", error).select("pose_id", F.when(F.col("error").isNull(), F.col("score")).alias("score"), "error")
