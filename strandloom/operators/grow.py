@@ -7,8 +7,9 @@ deviation is a rotation part plus a translation part, so
 1. distinct source rotations meet target rotamers by an equi-join on conformer and
    on six-dimensional cells of two projections that never differ by more than the
    rotation part allows;
-2. only surviving rotation pairs are expanded over the source poses; and
-3. the translation ball of each is enumerated axis by axis, without waste.
+2. the translation ball of each surviving rotation pair is enumerated axis by axis, without
+   waste; grid points are integers, so it is the same about every source pose; and
+3. source poses are joined with these steps.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from strandloom.functions import vectors as v
 from strandloom.operators.pool import pose_columns
 from strandloom.staging import row_bound, skew_join, spread, stage
 
-FEW_POSES = 500_000  # distinct poses that are sent to every task, about 50 MB
+FEW_POSES = 500_000  # steps, or blocks of poses, that are sent to every task, about 50 MB
 
 
 def valid_ovrmsd(value: float) -> float:
@@ -211,8 +212,8 @@ def grow(
     """
     pairs = crmsds.where((F.col("crmsd") < crmsd) & ~F.isnan("crmsd"))
     if restrict is not None:
-        restrict = allowed = stage(restrict.select(*POSE).distinct(), "restrict")
-        rotations = allowed.select("conformer", "rotamer").distinct()
+        restrict = stage(_blocks(restrict), "restrict")
+        rotations = restrict.select("conformer", "rotamer").distinct()
         target_rotamers = target_rotamers.join(rotations, ["conformer", "rotamer"], "left_semi")
         pairs = pairs.join(
             rotations.select(F.col("conformer").alias("target")).distinct(), "target", "left_semi"
@@ -228,34 +229,61 @@ def grow(
     return _translate(source, matched, ovrmsd, restrict)
 
 
+_BLOCK = [f"_{g}" for g in ("gx", "gy", "gz")]
+
+
+def _block_place():
+    """Bit of a grid point in its block of 4 x 4 x 4."""
+    x, y, z = (F.col(g).bitwiseAND(F.lit(3)).cast("int") for g in ("gx", "gy", "gz"))
+    return x * 16 + y * 4 + z
+
+
+def _with_block(poses):
+    return poses.withColumns({b: F.shiftright(F.col(g).cast("bigint"), 2) for g, b in zip(("gx", "gy", "gz"), _BLOCK)})
+
+
+def _blocks(poses):
+    """Distinct poses as blocks of grid points, a bit each."""
+    # Powers of two as SQL, as a shift by a column has no function.
+    bit = F.expr("shiftleft(1L, _bit)")
+    marked = _with_block(poses).withColumn("_bit", _block_place())
+    return marked.groupBy("conformer", "rotamer", *_BLOCK).agg(F.bit_or(bit).alias("_points"))
+
+
 def _translate(source, matched, ovrmsd, restrict):
     limit = F.lit(ovrmsd * ovrmsd)
+    away = [F.col(f"a{k}") / GRID_SPACING for k in range(3)]
+    centred = matched.withColumns({f"c{k}": c for k, c in enumerate(away)})
+    square = (limit - F.col("rotated")) / GRID_SPACING**2
+    near = lattice_ball(spread(centred, row_bound(matched)), ["c0", "c1", "c2"], square)
+    steps = stage(
+        near.select("conformer", "rotamer", "t_conf", "t_rot", *[F.col(g).alias(f"d{g}") for g in ("gx", "gy", "gz")]),
+        "steps",
+    )
     poses = source.select(
         F.col("pose_id").alias("parent_id"),
         "conformer",
         "rotamer",
         *[F.col(g).alias(f"s{g}") for g in ("gx", "gy", "gz")],
     )
-    expanded = skew_join(
-        spread(poses, row_bound(source), "parent_id"),
-        matched,
-        ["conformer", "rotamer"],
-        left_rows=row_bound(source),
-        right_rows=row_bound(matched),
-    )
-    for k, g in enumerate(("gx", "gy", "gz")):
-        expanded = expanded.withColumn(f"c{k}", F.col(f"s{g}") + F.col(f"a{k}") / GRID_SPACING)
-    square = (limit - F.col("rotated")) / GRID_SPACING**2
-    grown = lattice_ball(expanded, ["c0", "c1", "c2"], square).select(
-        *pose_columns(F.col("t_conf"), F.col("t_rot"), F.col("gx"), F.col("gy"), F.col("gz")),
-        "parent_id",
-    )
+    rows, known = row_bound(source), row_bound(steps)
+    poses = spread(poses, rows, "parent_id")
+    if known <= FEW_POSES:
+        met = poses.join(F.broadcast(steps), ["conformer", "rotamer"])
+    else:
+        met = skew_join(poses, steps, ["conformer", "rotamer"], left_rows=rows, right_rows=known, counted=source)
+    grid = [F.col(f"s{g}") + F.col(f"d{g}") for g in ("gx", "gy", "gz")]
+    grown = met.select(*pose_columns(F.col("t_conf"), F.col("t_rot"), *grid), "parent_id")
     if restrict is None:
         return grown
+    on = ["conformer", "rotamer", *_BLOCK]
     if row_bound(restrict) <= FEW_POSES:
-        return grown.join(F.broadcast(restrict), POSE, "left_semi")
-    # A pose grown from very many parents is split over tasks.
-    return skew_join(stage(grown, "grown"), restrict, POSE, "left_semi")
+        looked = _with_block(grown).join(F.broadcast(restrict), on)
+    else:
+        # A block grown from very many parents is split over tasks.
+        looked = skew_join(stage(_with_block(grown), "grown"), restrict, on, right_rows=0)
+    allowed = looked.withColumn("_bit", _block_place()).where(F.expr("shiftright(_points, _bit) & 1L = 1L"))
+    return allowed.select(*POSE, "parent_id")
 
 
 def anchor_at_reference(

@@ -31,3 +31,25 @@ def test_pair_energies_are_summed_without_sorting(spark):
     for r in split:
         assert r.error == rows[r.pose_id].error
         assert r.score is None or math.isclose(r.score, rows[r.pose_id].score, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_grid_steps_are_worked_out_once_a_rotation_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(grow, "FEW_POSES", few)
+    rng = np.random.default_rng(41)
+    conf = spark.createDataFrame([(n, rng.normal(size=(4, 3)).tolist()) for n in range(2)], "conformer int, coords array<array<double>>")
+    vecs = [(c, r, *map(float, rng.normal(size=3) * 0.05)) for c in range(2) for r in range(4)]
+    rot = library.rotamers_from_rotvec(spark.createDataFrame(vecs, "conformer int, rotamer int, rx double, ry double, rz double"))
+    grid = lambda: [int(x) for x in rng.integers(-6, 7, 3)]
+    poses = [(n, n % 2, n % 4, *grid()) for n in range(40)]
+    pool = spark.createDataFrame(poses + poses[:3], "pose_id bigint, conformer int, rotamer int, gx int, gy int, gz int")
+    pairs = spark.createDataFrame([(a, b, 0.0) for a in range(2) for b in range(2)], "source int, target int, crmsd double")
+    args = (pool, conf, rot, conf, rot, pairs)
+    grown = grow.grow(*args, crmsd=0.2, ovrmsd=0.8)
+    assert "Generate explode" not in plan(grown)
+    rows = [tuple(r) for r in grown.select(*grow.POSE, "parent_id").collect()]
+    assert len(rows) > 500
+    kept = {r[:5] for r in rows[::3]} | {(0, 0, 99, 0, 0)}
+    wanted = spark.createDataFrame([*kept, *kept], "conformer int, rotamer int, gx int, gy int, gz int")
+    only = grow.grow(*args, crmsd=0.2, ovrmsd=0.8, restrict=wanted).select(*grow.POSE, "parent_id").collect()
+    assert Counter(tuple(r) for r in only) == Counter(r for r in rows if r[:5] in kept)
