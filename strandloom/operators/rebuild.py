@@ -38,7 +38,8 @@ def prepared(
     rows = row_bound(jobs)
     joined = skew_join(jobs, conformers.select("conformer", "coords"), ["conformer"], "left_outer", left_rows=rows, right_rows=0)
     joined = skew_join(
-        joined, rotamers.select("conformer", "rotamer", "m"), ["conformer", "rotamer"], "left_outer", left_rows=rows, right_rows=0
+        joined, rotamers.select("conformer", "rotamer", "m"), ["conformer", "rotamer"], "left_outer", left_rows=rows, right_rows=0,
+        counted=jobs,
     )
     joined = joined.join(published.select("job", "xyz"), "job", "left")
     grid = [F.col(g) for g in ("gx", "gy", "gz")]

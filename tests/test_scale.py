@@ -53,3 +53,43 @@ def test_grid_steps_are_worked_out_once_a_rotation_pair(spark, monkeypatch, few)
     wanted = spark.createDataFrame([*kept, *kept], "conformer int, rotamer int, gx int, gy int, gz int")
     only = grow.grow(*args, crmsd=0.2, ovrmsd=0.8, restrict=wanted).select(*grow.POSE, "parent_id").collect()
     assert Counter(tuple(r) for r in only) == Counter(r for r in rows if r[:5] in kept)
+
+
+def test_large_join_without_hot_keys_is_a_plain_join(spark):
+    a = spark.createDataFrame([(n % 40, n) for n in range(200)] + [(None, -1)] * 3, "k int, l int")
+    b = spark.createDataFrame([(k, -k) for k in range(30)], "k int, r int")
+    joined = staging.skew_join(a, b, ["k"], hot_rows=10)
+    assert "_sl" not in plan(joined)
+    assert Counter(tuple(r) for r in joined.collect()) == Counter((n % 40, n, -(n % 40)) for n in range(200) if n % 40 < 30)
+    hot = staging.skew_join(a, b, ["k"], hot_rows=4)
+    assert "_sl" in plan(hot) and hot.count() == joined.count()
+    # The keys may be counted on another table than the one that is joined.
+    nothing = a.withColumn("l", staging.F.raise_error(staging.F.lit("must not run")).cast("int"))
+    assert "_sl" not in plan(staging.skew_join(nothing, b, ["k"], left_rows=203, right_rows=0, hot_rows=10, counted=a))
+
+
+def test_large_parent_without_hot_keys_is_checked_by_the_join(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "HOT_ROWS", 5)
+    monkeypatch.setattr(lineage, "require_parents", lambda *_: pytest.fail("a second pass"))
+    child = spark.createDataFrame([(n, n % 10) for n in range(30)], "pose_id bigint, parent_id bigint")
+    parent = spark.createDataFrame([(n, n // 2) for n in range(10)], "pose_id bigint, parent_id bigint")
+    got = {tuple(r) for r in lineage.compose(child, parent, strict=True).collect()}
+    assert got == {(n, n % 10 // 2) for n in range(30)}
+    with pytest.raises(Exception, match="missing parent"):
+        lineage.compose(child, parent.where("pose_id < 9"), strict=True).collect()
+
+
+def test_nodes_of_poses_are_looked_up_once_a_layer(spark, monkeypatch):
+    asked = []
+    whole = chains.skew_join
+    monkeypatch.setattr(chains, "skew_join", lambda *a, **k: asked.append(a[2]) or whole(*a, **k))
+    pool = lambda copies: spark.createDataFrame(
+        [(n, n // copies % 5, 0, n // copies, 0, 0) for n in range(20)],
+        "pose_id bigint, conformer int, rotamer int, gx int, gy int, gz int",
+    )
+    edges = [spark.createDataFrame([(n, (n * s) % 20) for n in range(20)], "low bigint, high bigint") for s in (3, 7)]
+    layers = chains.connect(["a", "b", "c"], [pool(1), pool(2), pool(4)], edges)
+    assert sum(on == chains.POSE for on in asked) == 3
+    links = {(n // 1, n * 3 % 20 // 2) for n in range(20)}
+    nodes = [{r.gx: r.node for r in x.collect()} for x in layers.nodes]
+    assert {tuple(r) for r in layers.edges[0].collect()} == {(nodes[0][a], nodes[1][b]) for a, b in links}
