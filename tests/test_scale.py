@@ -93,3 +93,20 @@ def test_nodes_of_poses_are_looked_up_once_a_layer(spark, monkeypatch):
     links = {(n // 1, n * 3 % 20 // 2) for n in range(20)}
     nodes = [{r.gx: r.node for r in x.collect()} for x in layers.nodes]
     assert {tuple(r) for r in layers.edges[0].collect()} == {(nodes[0][a], nodes[1][b]) for a, b in links}
+
+
+def test_sparse_structures_take_wide_cells_and_ids_may_repeat(spark):
+    rng = np.random.default_rng(42)
+    data = rng.normal(size=(300, 12)) * 40
+    data = np.concatenate([data, data[:20] + rng.normal(size=(20, 12)) * 0.05])
+    rows = [(n % 310, x.tolist()) for n, x in enumerate(data)]
+    df = spark.createDataFrame(rows, "id bigint, coords array<double>")
+    want = Counter(
+        (min(a, b), max(a, b))
+        for (a, x), (b, y) in itertools.combinations([(i, np.array(c)) for i, c in rows], 2)
+        if a != b and math.sqrt(((x - y) ** 2).sum() / 4) < 0.5
+    )
+    assert Counter((r.i, r.j) for r in rmsd.pairs_below(df, 0.5).collect()) == want and sum(want.values()) >= 20
+    close = spark.createDataFrame([(n, n, float(n % 3)) for n in range(200)], "_row bigint, id bigint, c0 double")
+    far = close.withColumn("c0", staging.F.col("id") * 100.0)
+    assert rmsd._widening(close, 1.0, 200) == 1 and rmsd._widening(far, 1.0, 200) == rmsd.WIDER[0]
