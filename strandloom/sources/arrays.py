@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from strandloom.sources import store
 from strandloom.sources.staged import StagedWriter
+from strandloom.staging import task_count
 
 TASK_BYTES = 64 << 20  # of content, for one task
 CHUNK_BYTES = 8 << 20  # of content, held at a time
 ROWS_PER_FILE = 4_000_000
+SHORT_TASKS = 8  # times the task slots: no more tasks than this for files or runs that are short
 ENDINGS = (".npy", ".npy.zst")
 
 
@@ -108,7 +110,7 @@ def describe(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> Da
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     listed = spark.createDataFrame([(f.uri, f.size) for f in found], "uri string, size bigint")
-    return listed.repartition(len(found), "uri").mapInArrow(facts, _FACTS)
+    return listed.repartition(min(len(found), SHORT_TASKS * task_count(spark))).mapInArrow(facts, _FACTS)
 
 
 def _rows(uri: str, run: tuple[int, int, int], begin: int, row: int, rows: int, chunk: int) -> Iterator[tuple[int, bytes]]:
@@ -187,8 +189,10 @@ def read_arrays(
     fields = "uri string, start bigint, place bigint, low bigint, high bigint, begin bigint, rows bigint"
     if not tasks:
         return spark.createDataFrame([], f"row bigint, {name} {sql}")
-    # One task a run, however small its description.
-    spread = spark.sparkContext.parallelize(tasks, len(tasks))
+    # One task a run, however small its description; but very many short runs share tasks.
+    content = sum(r.high - r.low for p in parts for r in p.runs)
+    most = max(SHORT_TASKS * task_count(spark), -(-content // TASK_BYTES))
+    spread = spark.sparkContext.parallelize(tasks, min(len(tasks), most))
     return spark.createDataFrame(spread, fields).mapInArrow(load, f"row bigint, {name} {sql}")
 
 

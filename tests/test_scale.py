@@ -110,3 +110,12 @@ def test_sparse_structures_take_wide_cells_and_ids_may_repeat(spark):
     close = spark.createDataFrame([(n, n, float(n % 3)) for n in range(200)], "_row bigint, id bigint, c0 double")
     far = close.withColumn("c0", staging.F.col("id") * 100.0)
     assert rmsd._widening(close, 1.0, 200) == 1 and rmsd._widening(far, 1.0, 200) == rmsd.WIDER[0]
+
+
+def test_very_many_short_runs_share_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "SHORT_TASKS", 1)
+    df = spark.range(2_000).selectExpr("id AS pose_id", "id / 7.0D AS score")
+    arrays.write_arrays(df, str(tmp_path / "scores"), "score", rows_per_file=50)
+    back = arrays.read_npy(spark, str(tmp_path / "scores"), "score", task_bytes=100)
+    assert back.rdd.getNumPartitions() == staging.task_count(spark)
+    assert {r.pose_id: r.score for r in back.collect()} == {n: n / 7.0 for n in range(2_000)}
