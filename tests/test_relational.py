@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import POSE
 from strandloom.operators import cascade, chains, identity, lineage, pool, select
-from strandloom.staging import dense_ids, skew_join, stage, workspace
+from strandloom.staging import dense_groups, dense_ids, skew_join, stage, workspace
 
 POSES = "conformer int, rotamer int, gx int, gy int, gz int"
 
@@ -329,3 +329,59 @@ def test_lineage_requires_parents(spark):
             strict.collect()
     kept = lineage.prune(child, spark.createDataFrame([(6,)], "pose_id bigint"))
     assert pairs(kept, "pose_id", "parent_id") == [(1, 6)]
+
+
+def test_pools_with_fewer_columns_keep_their_order(spark):
+    rng = random.Random(3)
+    grid = [pool.MIN_GRID, -9, -8, -1, 0, 7, 8, 500, pool.MAX_GRID]
+    rows = [(rng.randrange(3), rng.randrange(2), *[rng.choice(grid) for _ in range(3)], n) for n in range(600)]
+    poses = spark.createDataFrame(rows, "conformer int, rotamer int, gx int, gy int, gz int, source_id bigint")
+    whole = {(r.pose_id, r.source_id) for r in pool.organize(poses, ["source_id"]).collect()}
+    few = pool.organize(poses, ["source_id"], columns=["gx", "source_id"])
+    assert few.columns == ["gx", "source_id", "pose_id"]
+    assert {(r.pose_id, r.source_id) for r in few.collect()} == whole
+
+
+def test_groups_are_numbered_across_partitions_with_nulls_and_copies(spark):
+    rng = random.Random(4)
+    keys = [(rng.choice([None, 0, 1, 2, 2, 2, 2, 5]), rng.choice([None, 0, 7])) for _ in range(3000)]
+    rows = [(a, b, rng.randrange(3), n) for n, (a, b) in enumerate(keys)]
+    df = spark.createDataFrame(rows, "a int, b bigint, o int, n bigint").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got, count = dense_groups(df, ["a", "b"], ["o"], ["n"], "g", "groups")
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    order = lambda x: tuple((v is not None, v or 0) for v in x)
+    rank = {k: g for g, k in enumerate(sorted(set(keys), key=order))}
+    assert count == len(rank) and {(r.a, r.b, r.o, r.n, r.g) for r in got} == {(*r, rank[r[:2]]) for r in rows}
+    least = {}
+    for a, b, o, n in rows:
+        least.setdefault((a, b, o), n)
+    firsts = {k[:2]: min(x for x in least if x[:2] == k[:2]) for k in least}
+    for r in got:
+        begins = least[r.a, r.b, r.o] == r.n
+        assert r._new == (0 if not begins else 2 if firsts[r.a, r.b] == (r.a, r.b, r.o) else 1)
+    empty, count = dense_groups(df.limit(0), ["a", "b"], ["o"], ["n"], "g", "groups")
+    assert count == 0 and empty.count() == 0
+
+
+def test_a_layer_of_copies_is_numbered_without_looking_up_each_row(spark, monkeypatch):
+    """Rows of a layer meet their node in the sort that numbers it, not in a later join."""
+    run = []
+    whole = chains.stage
+    monkeypatch.setattr(chains, "stage", lambda df, label: run.append(label) or whole(df, label))
+    poses = spark.createDataFrame(
+        [(n, n % 3, 0, 0, 0, 0) for n in range(30)], "pose_id bigint, conformer int, rotamer int, gx int, gy int, gz int"
+    )
+    edges = [spark.createDataFrame([(n, (n * s) % 30) for n in range(30)], "low bigint, high bigint") for s in (1, 7)]
+    layers = chains.connect(["a", "b", "c"], [poses] * 3, edges)
+    assert not [label for label in run if label.startswith(("members", "links", "edges-"))]
+    assert layers.counts == [3, 3, 3]
+    for nodes in layers.nodes:
+        assert sorted((r.node, r.first, r.conformer) for r in nodes.collect()) == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
+    want = [{(n % 3, n * s % 30 % 3) for n in range(30)} for s in (1, 7)]
+    assert [sorted(map(tuple, e.collect())) for e in layers.edges] == [sorted(w) for w in want]
+    one = chains.connect(["a", "b"], [poses] * 2, edges[1:])
+    assert one.counts == [3, 3] and sorted(map(tuple, one.edges[0].collect())) == sorted(want[1])
