@@ -39,12 +39,16 @@ def nucleotides(atoms: DataFrame, template: DataFrame, *, ignore_missing: bool =
         based = based.withColumn("base", _refused(F.col("base"), F.col("base").isNull(), "unknown base"))
     template = bounded_broadcast(template, MAX_SENT_ATOMS)
     sizes = template.groupBy("base").agg(F.count("*").alias("atoms"))
+    # A structure is small, so one exchange by structure serves the grouping, the numbering
+    # and what follows by fragment.
     found = (
-        based.join(template, ["base", "name"])
+        based.select("structure", "resid", "base", "name", "x", "y", "z")
+        .join(template, ["base", "name"])
+        .repartition("structure")
         .groupBy("structure", "resid", "base")
         .agg(
             F.sort_array(F.collect_list(F.struct("place", "x", "y", "z"))).alias("_a"),
-            F.count_distinct("place").alias("_distinct"),
+            F.size(F.collect_set("place")).alias("_distinct"),
             F.max(F.when(F.col("name") == "O3'", F.struct("x", "y", "z"))).alias("bond3"),
             F.max(F.when(F.col("name") == "P", F.struct("x", "y", "z"))).alias("bond5"),
         )
@@ -76,25 +80,26 @@ def continuous(left, right):
 
 
 def dinucleotides(nucs: DataFrame) -> DataFrame:
-    """Fragments of two neighbours with consecutive residues and an unbroken backbone."""
-    low = nucs.select("structure", F.col("position").alias("fragment"), "resid", "base", "xyz", "bond3")
-    high = nucs.select(
-        "structure",
-        (F.col("position") - 1).alias("fragment"),
-        F.col("resid").alias("_next"),
-        F.col("base").alias("_base"),
-        F.col("xyz").alias("_xyz"),
-        "bond5",
-    )
+    """Fragments of two neighbours with consecutive residues and an unbroken backbone.
+
+    Each nucleotide looks at the next one of its structure, so none is made twice.
+    """
+    order = Window.partitionBy("structure").orderBy("position")
+    after = F.lead(F.struct("position", "resid", "base", "xyz", "bond5")).over(order)
     return (
-        low.join(high, ["structure", "fragment"])
-        .where((F.col("_next") == F.col("resid") + 1) & continuous(F.col("bond3"), F.col("bond5")))
+        nucs.where("structure is not null")
+        .withColumn("_next", after)
+        .where(
+            (F.col("_next.position") == F.col("position") + 1)
+            & (F.col("_next.resid") == F.col("resid") + 1)
+            & continuous(F.col("bond3"), F.col("_next.bond5"))
+        )
         .select(
             "structure",
-            "fragment",
+            F.col("position").alias("fragment"),
             "resid",
-            F.concat("base", "_base").alias("sequence"),
-            F.concat("xyz", "_xyz").alias("coords"),
+            F.concat("base", "_next.base").alias("sequence"),
+            F.concat("xyz", "_next.xyz").alias("coords"),
         )
     )
 

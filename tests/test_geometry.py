@@ -598,3 +598,23 @@ def test_energy_errors_stay_with_their_pose(spark, monkeypatch, max_cells):
         assert got[n].error is None and abs(got[n].score - want) < 1e-9
     with pytest.raises(Exception, match="pose [45678]: "):
         energy.score_poses(df.where("pose_id in (4, 5)"), rec, kernel, 2.5).collect()
+
+
+def test_fragments_of_structures_need_one_exchange(spark):
+    atoms = [
+        (s, resid, "ACGU"[(resid + (s or 0)) % 4], name, float(resid), gap * (resid == 4), 0.0)
+        for s, last in ((1, 6), (2, 3), (None, 4)) for resid in range(1, last) for name, gap in (("P", 9.0), ("O3'", 0.0))
+        if (s, resid) != (2, 2)
+    ]
+    df = spark.createDataFrame(atoms, "structure int, resid int, resname string, name string, x double, y double, z double")
+    template = spark.createDataFrame([(b, n, k) for b in "ACGU" for k, n in enumerate(["P", "O3'"])], "base string, name string, place int")
+    found = structure.dinucleotides(structure.nucleotides(df, template))
+    texts = found.groupBy("structure", "fragment", "sequence").agg(F.max(F.size("coords")).alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(structure") == 1 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    got = sorted((r.structure, r.fragment, r.sequence, r.n) for r in texts.collect())
+    assert got == [(1, 1, "GU", 4), (1, 2, "UA", 4), (1, 4, "CG", 4)]  # no neighbours, a break, and no structure
