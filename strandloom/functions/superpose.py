@@ -74,21 +74,24 @@ def superposing_rotation(mobile: pd.Series, target: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(DoubleType()))
 def plane_rotation(mobile: pd.Series, target: pd.Series) -> pd.Series:
     """As ``superposing_rotation``, but null where a ring is missing or lies on a line."""
-    out = pd.Series([None] * len(mobile), dtype=object)
-    there = mobile.notna() & target.notna() & (mobile.map(lambda x: 0 if x is None else len(x)) == target.map(len))
-    kept = np.flatnonzero(there.to_numpy())
+    out: list = [None] * len(mobile)
+    sizes = [[-1 if x is None else len(x) for x in ring] for ring in (mobile, target)]
+    there = mobile.notna().to_numpy() & target.notna().to_numpy() & np.equal(*sizes)
+    kept = np.flatnonzero(there)
     for rows, (a, b) in _batches(mobile.iloc[kept], target.iloc[kept]):
         planes = np.ones(len(rows), bool)
         for ring in (a, b):
+            # Most often all rows have one reference ring.
+            ring = ring[:1] if (ring == ring[:1]).all() else ring
             finite = np.isfinite(ring).all(axis=(1, 2))
             spread = np.linalg.svd(
                 np.where(finite[:, None, None], ring - ring.mean(axis=1, keepdims=True), 0.0), compute_uv=False
             )
             planes &= finite & (spread[:, 1] >= LEAST_SPREAD)
         turns = fit(a[planes], b[planes])[0].reshape(-1, 9)
-        for at, turn in zip(kept[rows[planes]], turns):
-            out.iloc[at] = turn.tolist()
-    return out
+        for at, turn in zip(kept[rows[planes]].tolist(), turns.tolist()):
+            out[at] = turn
+    return pd.Series(out, dtype=object)
 
 
 def with_superposed_rmsd(df: DataFrame, mobile: str, target: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -618,3 +619,18 @@ def test_fragments_of_structures_need_one_exchange(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     got = sorted((r.structure, r.fragment, r.sequence, r.n) for r in texts.collect())
     assert got == [(1, 1, "GU", 4), (1, 2, "UA", 4), (1, 4, "CG", 4)]  # no neighbours, a break, and no structure
+
+
+def test_a_shared_reference_ring_is_looked_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    rings = [*rng.normal(size=(50, 18)), np.arange(18.0), rng.normal(size=15), None]
+    reference = rng.normal(size=18)
+    targets = [reference] * len(rings)
+    seen, whole = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda x, *a, **k: seen.append((len(x), k)) or whole(x, *a, **k))
+    got = superpose.plane_rotation.func(pd.Series(rings, dtype=object), pd.Series(targets))
+    assert sum(n for n, k in seen if k) == 51 + 1
+    assert [x is None for x in got] == [False] * 50 + [True] * 3
+    for ring, turn in zip(rings[:50], got):
+        want = superpose.ring_rotation(ring.reshape(6, 3), reference.reshape(6, 3))
+        np.testing.assert_allclose(np.array(turn).reshape(3, 3), want, atol=1e-12)
