@@ -12,10 +12,12 @@ once, and the tokens of a word are read off by following the states backwards.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from array import array
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,18 @@ WORDS = 300_000
 TEXTS = 1000
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles meanwhile: the many tuples and bytes made here form none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def byte_letters() -> dict[str, int]:
     """The letter by which such vocabularies write each byte: printable Latin-1 bytes
     stand for themselves, the others get the code points from 256 on, in order."""
@@ -74,12 +88,15 @@ class Vocabulary:
             self.merge[left, right] = time
             self.made[whole] = (time, left, right)
         self.numbers = [str(i) for i in range(size)]
-        # Every ending of a token, with the token it is, if it is one.
-        self.endings: dict[bytes, int] = {}
+        # Beginnings of tokens, by number; the walk of a word is at the longest one that ends
+        # where it is.  Steps and the tokens that end there, longest first, fill with use.
+        self.begun: dict[bytes, int] = {b"": 0}
         for token in self.id_of:
-            for i in range(len(token)):
-                ending = token[i:]
-                self.endings.setdefault(ending, self.id_of.get(ending, -1))
+            for i in range(1, len(token) + 1):
+                self.begun.setdefault(token[:i], len(self.begun))
+        self.prefixes = list(self.begun)
+        self._steps: dict[int, int] = {}
+        self._ending: dict[int, tuple[tuple[int, int], ...]] = {}
         self.split = regex.compile(SPLIT)
         self.special_split = (
             regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -118,10 +135,23 @@ class Vocabulary:
             else:
                 until, b = (made_b[0], 1), made_b[1]
 
+    def _step(self, step: int) -> int:
+        """The longest beginning of a token that ends behind this place and byte."""
+        walked = self.prefixes[step >> 8] + bytes((step & 255,))
+        while walked not in self.begun:
+            walked = walked[1:]
+        place = self._steps[step] = self.begun[walked]
+        if place not in self._ending:
+            tails = [walked[i:] for i in range(len(walked))]
+            self._ending[place] = tuple((len(t), self.id_of[t]) for t in tails if t in self.id_of)
+        return place
+
     def encode_words(self, words: set[bytes]) -> None:
         """Encode words not seen before, each shared prefix once."""
-        endings, fits, bytes_of, known = self.endings, self.fits, self.bytes_of, self._words
+        fits, bytes_of, known = self._fits, self.bytes_of, self._words
+        steps, ending = self._steps, self._ending
         state: list[int] = []
+        places = [0]
         before = b""
         for word in sorted(words):
             shared = 0
@@ -129,17 +159,23 @@ class Vocabulary:
                 if x != y:
                     break
                 shared += 1
-            del state[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                found = []
-                for begin in range(end - 1, -1, -1):
-                    token = endings.get(word[begin:end])
-                    if token is None:
+            del state[shared:], places[shared + 1 :]
+            place = places[shared]
+            for end in range(shared, len(word)):
+                step = place << 8 | word[end]
+                place = steps.get(step)
+                if place is None:
+                    place = self._step(step)
+                places.append(place)
+                for size, token in ending[place]:
+                    if size > end:
+                        state.append(token)
                         break
-                    if token >= 0:
-                        found.append((begin, token))
-                for begin, token in reversed(found):
-                    if not begin or fits(state[begin - 1], token):
+                    pair = state[end - size], token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = self._survives(*pair)
+                    if fit:
                         state.append(token)
                         break
             tokens, end = [], len(word)
@@ -149,6 +185,13 @@ class Vocabulary:
             known[word] = tuple(reversed(tokens))
             before = word
 
+    def trim(self) -> None:
+        """Forget words and pairs when there are many."""
+        if len(self._words) > WORDS:
+            self._words.clear()
+        if len(self._fits) > 4 * WORDS:
+            self._fits.clear()
+
     def words_of(self, piece: str) -> list[bytes | int]:
         """Words of a piece of text; a special token stands as its id."""
         if self.special_split is None:
@@ -214,7 +257,9 @@ class PieceEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.inner = Recent()
+        self.counted = Recent()  # numbers of tokens alone, see ``token_counts``
 
+    @uncollected()
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         v = self.vocabulary
         cut = {p: v.words_of(p) for p in pieces}
@@ -228,10 +273,7 @@ class PieceEncoder:
                 else:
                     ids.append(w)
             out[p] = array("I", ids).tobytes()
-        if len(v._words) > WORDS:
-            v._words.clear()
-        if len(v._fits) > 4 * WORDS:
-            v._fits.clear()
+        v.trim()
         return out
 
     def encode(self, many: list[str]) -> list[np.ndarray]:

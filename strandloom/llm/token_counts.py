@@ -10,6 +10,7 @@ leaves are updated.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,11 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandloom.llm.bpe import PieceEncoder, encoder, pieces_of
+from strandloom.llm.bpe import PieceEncoder, encoder, pieces_of, uncollected
 from strandloom.llm.common import map_batches, texts
 
 LEAF = 32  # pieces of a leaf
 REMEMBERED = 500_000  # pieces per Python worker, and as many older ones
+SPACE = re.compile(r"\s")
 CONTEXT = 4  # characters before an edit that fix the pre-token start ahead of them
 
 
@@ -32,10 +34,32 @@ class PieceCounts:
         self.pieces = pieces
 
     def learn(self, found: set[str]) -> None:
-        """Encode what is not known yet, all at once."""
-        inner = self.pieces.inner
-        learned = self.pieces._learn({" " + p for p in inner.missing(found)})
-        inner.update((p[1:], ids) for p, ids in learned.items())
+        """Count the tokens of what is not known yet, all at once.
+
+        Pieces without white space are cut into words as one text: the space ahead of each
+        opens a word, so it tells where the next piece begins.
+        """
+        v, counted = self.pieces.vocabulary, self.pieces.counted
+        new = counted.missing(found)
+        plain = [p for p in new if p and not SPACE.search(p)] if v.special_split is None else []
+        odd = list(new.difference(plain))
+        joined = v.split.findall(" " + " ".join(plain)) if plain else []
+        cut = [v.words_of(" " + p) for p in odd]
+        raw = {w: w.encode() for w in set(joined)}
+        every = {w for ws in cut for w in ws if type(w) is bytes}.union(raw.values())
+        v.encode_words({w for w in every if w not in v._words})
+        sizes = {w: len(v._words[b]) for w, b in raw.items()}
+        totals: list[int] = []
+        for w in joined:
+            if w[0] == " ":
+                totals.append(sizes[w])
+            else:
+                totals[-1] += sizes[w]
+        counted.update(zip(plain, totals, strict=True))
+        counted.update(
+            (p, sum(len(v._words[w]) if type(w) is bytes else 1 for w in ws)) for p, ws in zip(odd, cut)
+        )
+        v.trim()
 
     def words(self, found: list[str]) -> int:
         """Tokens of whole words."""
@@ -73,14 +97,15 @@ class EditedText:
 
     def _build(self, text: str) -> None:
         pieces = pieces_of(text)
-        inner = self.counts.pieces.inner
+        counted = self.counts.pieces.counted
         head = self.counts.words(self.split.findall(pieces[0]))
-        sizes = [head, *(len(inner[p]) // 4 for p in pieces[1:])]
         self.texts, tokens = [], []
         for i in range(0, len(pieces), self.leaf):
-            joined = " ".join(pieces[i : i + self.leaf])
+            run = pieces[i : i + self.leaf]
+            joined = " ".join(run)
             self.texts.append(" " + joined if i else joined)
-            tokens.append(sum(sizes[i : i + self.leaf]))
+            inside = run if i else run[1:]
+            tokens.append(sum(map(counted.__getitem__, inside)) + (0 if i else head))
         self._sum(tokens)
 
     def _sum(self, tokens: list[int]) -> None:
@@ -257,6 +282,7 @@ def count_after_edits(docs: DataFrame, content: str, rules: tuple[Rule, ...] = R
         counts = PieceCounts(plain_encoder(sent.value))
         compiled = [(regex.compile(r.pattern), r.new) for r in rules]
 
+        @uncollected()
         def step(batch: pa.RecordBatch) -> dict:
             many = texts(batch)
             limit_memory(counts)
@@ -297,4 +323,4 @@ def plain_encoder(content: str) -> PieceEncoder:
 
 
 def limit_memory(counts: PieceCounts) -> None:
-    counts.pieces.inner.trim(REMEMBERED)
+    counts.pieces.counted.trim(REMEMBERED)

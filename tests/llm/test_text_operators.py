@@ -1,6 +1,7 @@
 """Text operators against plain versions on small tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -727,3 +728,31 @@ def test_bounded_sample_is_bounded_and_stable(spark):
     df = spark.range(5000).withColumnRenamed("id", "doc_id")
     one, two = ({r.doc_id for r in common.bounded(df, 100, "doc_id").collect()} for _ in range(2))
     assert one == two and 50 < len(one) <= 100
+
+
+def test_words_walk_along_the_beginnings_of_tokens():
+    """Each byte of a word is one step, however many token endings lie behind it."""
+    letters = [c for c, _ in sorted(bpe.byte_letters().items(), key=lambda x: x[1])]
+    long = ["a" * n for n in (2, 4, 8, 16)]
+    names = [*letters, *long, "ab", "aab"]
+    content = json.dumps({"model": {
+        "vocab": {name: n for n, name in enumerate(names)},
+        "merges": [["a", "a"], ["aa", "aa"], ["aaaa", "aaaa"], ["a" * 8, "a" * 8], ["a", "b"], ["a", "ab"]],
+    }})
+    v = bpe.Vocabulary(content)
+    asked = []
+
+    class Steps(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return dict.get(self, key, default)
+
+    v._steps = Steps()
+    words = [b"a" * n + tail for n in range(1, 40) for tail in (b"", b"b", b"bb", b"ca")]
+    for word in words:
+        asked.clear()
+        v.encode_words({word})
+        assert len(asked) == len(word)
+        tokens = v._words[word]
+        assert b"".join(v.bytes_of[t] for t in tokens) == word
+        assert all(v.fits(a, b) for a, b in zip(tokens, tokens[1:]))
