@@ -11,8 +11,10 @@ path.  A sum over a subtree is then the sum, over the members of the node, of wh
 them owns, less what the node's own conversation owns above it: one grouped sum, with no
 pairs of nodes and ancestors.
 
-Only hashes and word counts are shuffled.  Running values of a conversation are taken within
-spans and over spans, so no task needs a whole conversation; joins split hot keys.
+Only hashes and word counts are shuffled.  Where a conversation has more than ``LONG`` turns,
+running values are taken within spans and over spans, so no task needs a whole conversation.
+Else one task can hold all of a family, and numbering, rebuilding and running values take
+one exchange each instead of a chain of joins.  Joins split hot keys.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from strandloom.staging import dense_ids, stage, with_bound
 
 BLOCK = 4
 SPAN = 256  # places of a conversation that one window runs over
-CHUNK = 1024  # conversations whose ids are listed in one string
+LONG = 10_000  # turns of a conversation up to which one task takes it whole
+CHUNK = 1024  # range of conversation ids that are listed in one string
 HEADS = 4  # a conversation takes fewer turns than this from another
 FAMILY = 20  # conversations that take their first turns from the same one
 _NODE = ["depth", "q1", "q2"]
@@ -39,8 +42,11 @@ def _xor(a: Column, b: Column) -> Column:
     return a.bitwiseXOR(b)
 
 
-def _before(rows: DataFrame, key: str, place: str, values: dict[str, str], aggregate, combine) -> DataFrame:
+def _before(rows: DataFrame, key: str, place: str, values: dict[str, str], aggregate, combine, long: bool = True) -> DataFrame:
     """Add, per new name, the aggregate of a column over the rows of ``key`` at earlier places."""
+    if not long:
+        ahead = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({n: F.coalesce(aggregate(c).over(ahead), F.lit(0).cast("long")) for n, c in values.items()})
     rows = rows.withColumn("_s", F.floor(F.col(place) / SPAN))
     spans = rows.groupBy(key, "_s").agg(*[aggregate(c).alias(f"_{new}") for new, c in values.items()])
     earlier = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,13 +60,10 @@ def _before(rows: DataFrame, key: str, place: str, values: dict[str, str], aggre
     )
 
 
-def numbered_turns(conversations: DataFrame) -> DataFrame:
-    """c, place (from 0), hashes a and b, and words of every turn of a conversation with an id.
-
-    Turns are ordered by turn (null first); ties by role, then by hash.
-    """
+def _hashed(conversations: DataFrame) -> DataFrame:
+    """Turns of conversations with an id: c, turn, role, hashes a and b, and words."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    turns = conversations.where("conv_id is not null").select(
+    return conversations.where("conv_id is not null").select(
         F.col("conv_id").alias("c"),
         "turn",
         role.alias("role"),
@@ -68,12 +71,71 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
         F.xxhash64(text, F.lit(1), role).alias("b"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
     )
-    turns = dense_ids(turns, ["c", "turn", "role", "a", "b"], "id", "turns")
+
+
+def has_long(conversations: DataFrame) -> bool:
+    """Whether a conversation has too many turns for one task."""
+    sizes = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) > LONG
+
+
+def _heads(c: Column) -> Column:
+    """How many first turns a conversation takes from the first of its family."""
+    return F.crc32(c.cast("string")) % HEADS
+
+
+def _base(c: Column) -> Column:
+    return c - c % FAMILY
+
+
+def numbered_turns(conversations: DataFrame) -> DataFrame:
+    """c, place (from 0), hashes a and b, and words of every turn of a conversation with an id.
+
+    Turns are ordered by turn (null first); ties by role, then by hash.
+    """
+    turns = dense_ids(_hashed(conversations), ["c", "turn", "role", "a", "b"], "id", "turns")
     first = turns.groupBy("c").agg(F.min("id").alias("first"))
     placed = to_unique(turns, first, ["c"])
     return placed.select("c", (F.col("id") - F.col("first")).alias("place"), "a", "b", "words")
 
 
+def rebuilt_families(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``rebuilt`` makes of ``numbered_turns``, for conversations that are not long.
+
+    The few conversations of a family meet in one task, so its first one hands its turns on there.
+    """
+    rows = _hashed(conversations).withColumn("base", _base(F.col("c"))).repartition("base")
+    own = Window.partitionBy("base", "c")
+    family = Window.partitionBy("base")
+    is_base = F.col("c") == F.col("base")
+    rows = rows.select(
+        "c",
+        (F.row_number().over(own.orderBy("turn", "role", "a", "b")) - 1).cast("long").alias("place"),
+        "a",
+        "b",
+        "words",
+        F.count("*").over(own).alias("n"),
+        F.count_if(is_base).over(family).alias("nb"),
+        F.collect_set("c").over(family).alias("members"),
+        is_base.alias("is_base"),
+    )
+    lends = F.col("is_base") & (F.col("place") < HEADS)
+    rows = stage(rows.withColumn("members", F.when(lends, F.col("members"))), "families")
+    rows = rows.withColumn("h", _heads(F.col("c"))).withColumn("taken", F.least("h", "nb"))
+    kept = rows.where("place >= h").select("c", (F.col("place") - F.col("h") + F.col("taken")).alias("p"), "a", "b", "words")
+    lent = rows.where("members is not null").select(F.explode("members").alias("c"), F.col("place").alias("p"), "a", "b", "words")
+    lent = lent.where(F.col("p") < _heads(F.col("c")))
+    return _placed(kept.unionByName(lent)), rows.where("place = 0").select("c", _new_size().alias("n"))
+
+
+def _placed(turns: DataFrame) -> DataFrame:
+    return turns.select("c", "p", F.xxhash64("p", "a", "b").alias("x1"), F.xxhash64("b", "p", "a").alias("x2"), "words")
+
+
+def _new_size() -> Column:
+    return F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
+
+
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(turns, conversations) after each took its first turns from the first of its family.
 
@@ -81,9 +143,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     conversations have their new number of turns in ``n``.
     """
     sizes = turns.groupBy("c").agg(F.count("*").alias("n"))
-    convs = sizes.select(
-        "c", "n", (F.crc32(F.col("c").cast("string")) % HEADS).alias("h"), (F.col("c") - F.col("c") % FAMILY).alias("base")
-    )
+    convs = sizes.select("c", "n", _heads(F.col("c")).alias("h"), _base(F.col("c")).alias("base"))
     heads = sizes.select(F.col("c").alias("base"), F.col("n").alias("nb"))
     taken = F.least(F.col("h"), F.coalesce(F.col("nb"), F.lit(0)))
     convs = stage(convs.join(heads, "base", "left").select("c", "base", "n", "h", taken.alias("taken")), "conversations")
@@ -92,17 +152,16 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = own.select("c", (F.col("place") - F.col("h") + F.col("taken")).alias("p"), "a", "b", "words").unionByName(
         lent.select("c", F.col("place").alias("p"), "a", "b", "words")
     )
-    out = out.select("c", "p", F.xxhash64("p", "a", "b").alias("x1"), F.xxhash64("b", "p", "a").alias("x2"), "words")
-    kept = F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
-    return out, convs.select("c", kept.alias("n"))
+    return _placed(out), convs.select("c", _new_size().alias("n"))
 
 
-def block_groups(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def block_groups(turns: DataFrame, long: bool = True) -> tuple[DataFrame, DataFrame]:
     """(blocks, groups): blocks of every conversation, and groups of those that follow the same turns."""
+    turns = turns if long else turns.repartition("c")
     blocks = turns.groupBy("c", F.floor(F.col("p") / BLOCK).alias("k")).agg(
         F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.count("*").alias("m")
     )
-    blocks = stage(_before(blocks, "c", "k", {"p1": "x1", "p2": "x2"}, F.bit_xor, _xor), "blocks")
+    blocks = stage(_before(blocks, "c", "k", {"p1": "x1", "p2": "x2"}, F.bit_xor, _xor, long), "blocks")
     alike = [F.min(c) == F.max(c) for c in ("x1", "x2", "m")]
     groups = blocks.groupBy(*_GROUP).agg(
         F.count("*").alias("weight"), F.min("c").alias("least"), (~(alike[0] & alike[1] & alike[2])).alias("split")
@@ -129,8 +188,8 @@ def refined(turns: DataFrame, blocks: DataFrame, groups: DataFrame) -> DataFrame
 def listed_ends(blocks: DataFrame, convs: DataFrame) -> DataFrame:
     """Node and SHA-256 of the sorted ids of the conversations that end there.
 
-    Ids are listed in chunks; one task hashes the chunks of a node one after the other,
-    as that hash has to be taken in order.
+    Ids are listed in chunks, by ranges of ids; one task hashes the chunks of a node one after
+    the other, as that hash has to be taken in order.
     """
     last = convs.where("n > 0").withColumn("k", F.floor((F.col("n") - 1) / BLOCK))
     ends = last.join(blocks, ["c", "k"]).select(
@@ -138,7 +197,7 @@ def listed_ends(blocks: DataFrame, convs: DataFrame) -> DataFrame:
     )
     zero = F.lit(0).cast("long")
     ends = ends.unionByName(convs.where("n = 0").select(F.col("n").alias("depth"), zero.alias("q1"), zero.alias("q2"), "c"))
-    ids = dense_ids(ends, [*_NODE, "c"], "id", "ends").withColumn("part", F.floor(F.col("id") / CHUNK))
+    ids = ends.withColumn("part", F.col("c") - F.pmod(F.col("c"), F.lit(CHUNK)))
     names = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("c")), lambda c: c.cast("string")))
     chunks = ids.groupBy(*_NODE, "part").agg(names.alias("names"))
     ordered = chunks.repartition(*_NODE).sortWithinPartitions(*_NODE, "part")
@@ -174,39 +233,48 @@ def trie(conversations: DataFrame) -> DataFrame:
     conversation.  Texts are hashed whole.  Columns beyond the four read are ignored.  An
     empty table has no root and gives no rows.
     """
-    turns, convs = rebuilt(stage(numbered_turns(conversations), "numbered"))
-    turns, convs = stage(turns, "rebuilt"), stage(convs, "lengths")
-    blocks, groups = block_groups(turns)
+    long = has_long(conversations)
+    if long:
+        turns, convs = rebuilt(stage(numbered_turns(conversations), "numbered"))
+        turns, convs = stage(turns, "rebuilt"), stage(convs, "lengths")
+    else:
+        turns, convs = rebuilt_families(conversations)
+    blocks, groups = block_groups(turns, long)
     picked = stage(refined(turns, blocks, groups), "picked")
+    # The sums below a node are those of its members: of its block's group unless that splits.
     nodes = stage(
         picked.groupBy(*_NODE, "o1", "o2").agg(
-            F.sum("weight").alias("n_convs"), F.min("c").alias("conv_id"), F.min("words").alias("words")
+            F.sum("weight").alias("n_convs"),
+            F.min("c").alias("conv_id"),
+            F.min("words").alias("words"),
+            F.bool_and("split").alias("split"),
+            *[F.min(c).alias(c) for c in _GROUP],
         ),
         "nodes",
     )
     above = [(F.col("depth") - 1).alias("depth"), F.col("o1").alias("q1"), F.col("o2").alias("q2")]
-    children = nodes.groupBy(*above).agg(F.count("*").alias("n_children"))
-    saved = ((F.col("n_convs") - 1) * F.col("words")).alias("saved")
-    nodes = nodes.join(children, _NODE, "left").select(
-        *_NODE, "o1", "o2", "n_convs", "conv_id", saved, F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children")
-    )
-    nodes = stage(nodes, "nodes-with-children")
+    known = [c for c in nodes.columns if c not in _NODE]
+    child = nodes.select(*above, *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in known], F.lit(1).alias("child"))
+    nodes = nodes.withColumn("child", F.lit(0)).unionByName(child).groupBy(*_NODE)
+    nodes = nodes.agg(*[F.max(c).alias(c) for c in known], F.sum("child").alias("n_children")).where("conv_id is not null")
+    nodes = nodes.withColumn("saved", (F.col("n_convs") - 1) * F.col("words")).drop("words")
 
     # What each conversation owns, and the sum of that over the members of every node.
+    nodes = stage(nodes, "nodes-counted") if long else nodes  # read twice
+    nodes = _before(nodes, "conv_id", "depth", {"over": "saved"}, F.sum, lambda a, b: a + b, long)
+    nodes = stage(nodes, "nodes-with-children")
     owned = nodes.groupBy(F.col("conv_id").alias("c")).agg(
         F.sum("saved").alias("saved"), F.count_if(F.col("n_children") == 0).alias("leaves")
     )
     owned = stage(owned, "owned")
-    both = [F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves")]
-    whole = blocks.join(groups.where("not split").select(*_GROUP), _GROUP, "left_semi")
-    by_group = to_unique(with_bound(whole, blocks._row_bound), owned, ["c"])
-    by_group = by_group.groupBy(*_GROUP).agg(*both)
-    alone = picked.where("not split").select(*_NODE, *_GROUP).join(by_group, _GROUP).select(*_NODE, "saved", "leaves")
-    split = to_unique(with_bound(picked.where("split").select("c", *_NODE), picked._row_bound), owned, ["c"])
-    sums = split.groupBy(*_NODE).agg(*both).unionByName(alone)
-    sums = sums.select(*_NODE, F.col("saved").alias("all_saved"), F.col("leaves").alias("n_leaves"))
-    nodes = _before(nodes, "conv_id", "depth", {"over": "saved"}, F.sum, lambda a, b: a + b)
-    nodes = nodes.join(sums, _NODE).withColumn("saved_tokens", F.col("all_saved") - F.col("over"))
+    whole = blocks.join(groups.where("not split").select(*_GROUP), _GROUP, "left_semi").select("c", F.lit(False).alias("split"), *_GROUP)
+    turnwise = picked.where("split").select("c", "split", *[F.col(a).alias(b) for a, b in zip(_NODE, _GROUP)])
+    parts = with_bound(turnwise.unionByName(whole), picked._row_bound + blocks._row_bound)
+    sums = to_unique(parts, owned, ["c"]).groupBy("split", *_GROUP)
+    sums = sums.agg(F.sum("saved").alias("all_saved"), F.sum("leaves").alias("n_leaves"))
+    key = [F.when(F.col("split"), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in zip(_NODE, _GROUP)]
+    nodes = nodes.select(*[c for c in nodes.columns if c not in _GROUP], *key).join(sums, ["split", *_GROUP])
+    nodes = nodes.withColumn("saved_tokens", F.col("all_saved") - F.col("over"))
 
     total = owned.agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves")).first()
     tops = nodes.where("depth = 1").agg(F.count("*").alias("n_children"))

@@ -10,6 +10,7 @@ from strandloom.llm import conversation_trie as T
 
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 NAMES = ("c", "k", "p", "h", "place", "q1", "q2", "depth", "n_convs", "words", "saved", "_s", "id", "_part", "_row", "n")
+STAGES = 90
 
 
 def table(spark, rows):
@@ -119,3 +120,29 @@ def test_blocks_that_do_not_split_are_not_refined(spark):
     turns, _ = T.rebuilt(numbered)
     turns = T.stage(turns, "rebuilt")
     assert T.refined(turns, *T.block_groups(turns)).count() == 8
+
+
+def test_long_conversations_are_spread(spark, monkeypatch):
+    """The way without a task per family gives the same rows."""
+    monkeypatch.setattr(T, "LONG", 3)
+    rows = conversations(5) + [(c, t, "user", f"turn {t}") for c in (9_980, 9_987, 10_000, 10_003) for t in range(5)]
+    assert T.has_long(table(spark, rows))
+    check(spark, rows)
+    monkeypatch.setattr(T, "LONG", 100)
+    assert not T.has_long(table(spark, rows))
+    check(spark, rows)
+
+
+def test_few_stages_for_short_conversations(spark):
+    """Every exchange costs a task per partition, however small the table."""
+    df = table(spark, conversations(3))
+    context = spark.sparkContext
+    context.setJobGroup("trie", "trie")
+    try:
+        T.trie(df).collect()
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("trie")]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for j in jobs for k in j.stageIds}
+    assert 10 < len(stages) < STAGES
