@@ -8,8 +8,8 @@ at it covers lies in the window that starts with the passage.  A line of more th
 ``line_words`` words is a window of its own.
 
 Window hashes are counted over the whole table.  Only texts of windows that pass a Bloom
-filter of the repeated hashes are shuffled, and the join with these is exact; each is then
-compared with the first occurrence byte by byte.  The first occurrence, by doc_id and
+filter of the repeated hashes are shuffled; each is then compared with the first occurrence
+of its hash byte by byte.  A window that passes by chance is its own first one.  The first occurrence, by doc_id and
 place, always stays: whatever goes is the same as something earlier.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import bloom
 from strandloom.llm.common import fresh, map_batches, texts
-from strandloom.staging import stage
+from strandloom.staging import row_bound, stage, with_bound
 
 MARK = "\x1e"
 
@@ -65,7 +65,7 @@ def lines_of(text: str) -> list[str]:
 
 @dataclass
 class Chunks:
-    """Windows of several texts: lines of all, first line of each text, and one entry per
+    """Windows of several texts: lines of all, stripped, first line of each text, and one entry per
     window: its text, lines from ``begin`` to ``end`` (of all lines) and two hashes."""
 
     lines: list[str]
@@ -85,7 +85,8 @@ def chunks(many: list[str], settings: Settings) -> Chunks:
         own = lines_of(text)
         counts[i] = len(own)
         lines += own
-    plain = [x.strip().encode() for x in lines]
+    stripped = list(map(str.strip, lines))
+    plain = list(map(str.encode, stripped))
     n = len(plain)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, n)
     size = np.fromiter(map(len, plain), np.int64, n)
@@ -100,13 +101,9 @@ def chunks(many: list[str], settings: Settings) -> Chunks:
     forward, backward = ends <= high, starts >= low
     # More than ``line_words`` words have that many bytes and as many spaces between them.
     alone = np.array([i for i in np.flatnonzero(size > 2 * settings.line_words).tolist() if len(lines[i].split()) > settings.line_words], np.int64)
+    backward[backward] = ends[starts[backward]] != at[backward] + 1  # the one that starts there may be the same
     begin = np.concatenate((at[forward], starts[backward], alone))
     length = np.concatenate((ends[forward], at[backward] + 1, alone + 1)) - begin
-    order = np.lexsort((length, begin))
-    begin, length = begin[order], length[order]
-    once = np.ones(len(begin), bool)
-    once[1:] = (begin[1:] != begin[:-1]) | (length[1:] != length[:-1])
-    begin, length = begin[once], length[once]
     sums = np.zeros((2, len(begin)), np.uint64)
     for total, factor in zip(sums, (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)):
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(factor)
@@ -117,7 +114,7 @@ def chunks(many: list[str], settings: Settings) -> Chunks:
     h1, h2 = sums.view(np.int64)
     if settings.hash_bits < 128:
         h1, h2 = h1 & 0, h2 & ((1 << settings.hash_bits) - 1)
-    return Chunks(lines, base, owner[begin], begin, begin + length, h1, h2)
+    return Chunks(stripped, base, owner[begin], begin, begin + length, h1, h2)
 
 
 TEXTS = 500  # cut at once
@@ -132,27 +129,27 @@ def _places(c: Chunks) -> np.ndarray:
     return c.end - c.begin << 40 | c.begin - c.base[c.text]
 
 
-def _hash_rows(docs: DataFrame, settings: Settings, kind: str) -> DataFrame:
+def _hash_rows(docs: DataFrame, settings: Settings) -> DataFrame:
     def start():
         def step(batch: pa.RecordBatch) -> dict | None:
             many, parts = texts(batch), []
             for k in range(0, len(many), TEXTS):
                 c = chunks(many[k : k + TEXTS], settings)
-                parts.append((c.text + k, _places(c), c.h1, c.h2))
-            text, place, h1, h2 = (np.concatenate(x) for x in zip(*parts))
-            take = pa.array(text)
-            return {
-                "doc_id": batch.column("doc_id").take(take), "key": batch.column("key").take(take),
-                "place": place, "h1": h1, "h2": h2,
-            }
+                parts.append((c.h1, c.h2))
+            h1, h2 = (np.concatenate(x) for x in zip(*parts))
+            return {"h1": h1, "h2": h2}
 
         return step
 
-    return map_batches(_keyed(docs), f"doc_id {kind}, key long, place long, h1 long, h2 long", start)
+    return map_batches(docs.select("text"), "h1 long, h2 long", start)
 
 
 def _text_rows(docs: DataFrame, sent, settings: Settings, kind: str) -> DataFrame:
-    """Windows that pass the filter of repeated hashes with their lines."""
+    """Windows that pass the filter of repeated hashes with their lines.
+
+    Lines stand without the white space around them, so none holds a line feed and feeds
+    between them tell them apart.
+    """
 
     def start():
         def step(batch: pa.RecordBatch) -> dict | None:
@@ -161,94 +158,68 @@ def _text_rows(docs: DataFrame, sent, settings: Settings, kind: str) -> DataFram
             for k in range(0, len(many), TEXTS):
                 c = chunks(many[k : k + TEXTS], settings)
                 hit = np.flatnonzero(sent.value.passes(c.h2))
-                out["place"] += _places(c)[hit].tolist()
-                out["h1"] += c.h1[hit].tolist()
-                out["h2"] += c.h2[hit].tolist()
-                owner += (c.text[hit] + k).tolist()
-                out["lines"] += [c.lines[a:b] for a, b in zip(c.begin[hit].tolist(), c.end[hit].tolist())]
-            if not owner:
+                out["place"].append(_places(c)[hit])
+                out["h1"].append(c.h1[hit])
+                out["h2"].append(c.h2[hit])
+                owner.append(c.text[hit] + k)
+                out["lines"] += ["\n".join(c.lines[a:b]) for a, b in zip(c.begin[hit].tolist(), c.end[hit].tolist())]
+            if not out["lines"]:
                 return None
-            take = pa.array(owner)
+            out |= {n: np.concatenate(out[n]) for n in ("place", "h1", "h2")}
+            take = pa.array(np.concatenate(owner))
             return out | {"doc_id": batch.column("doc_id").take(take), "key": batch.column("key").take(take)}
 
         return step
 
     return map_batches(
         _keyed(docs),
-        f"doc_id {kind}, key long, place long, h1 long, h2 long, lines array<string>",
+        f"doc_id {kind}, key long, place long, h1 long, h2 long, lines string",
         start,
     )
 
 
-def _compare(pairs: DataFrame, kind: str) -> DataFrame:
-    """Line ranges of occurrences equal to the first one; null where only the hash is."""
-
-    def start():
-        def step(batch: pa.RecordBatch) -> dict:
-            c = {n: batch.column(n).to_pylist() for n in ("place", "lines", "f_lines")}
-            begin, end = [], []
-            for place, own, first in zip(*c.values()):
-                same = len(own) == len(first) and all(x.strip() == y.strip() for x, y in zip(own, first))
-                at = place & ((1 << 40) - 1)
-                begin.append(at if same else None)
-                end.append(at + len(own) if same else None)
-            keep = ("doc_id", "key", "place")
-            return {n: batch.column(n) for n in keep} | {"begin": begin, "end": end}
-
-        return step
-
-    return map_batches(pairs, f"doc_id {kind}, key long, place long, begin long, end long", start)
-
-
 def removals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, key, ranges): the line ranges to remove, for documents that have any.
+    """(doc_id, key, ranges): the windows to remove, for documents that have any.
 
-    ``key`` is a hash of doc_id and text; rows that repeat both are one document.
+    ``key`` is a hash of doc_id and text; rows that repeat both are one document.  A window
+    is told by its number of lines and its first line, in one number as ``_places`` makes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     # A row that repeats doc_id and text makes its chunks repeat, but only as themselves.
-    hashes = _hash_rows(docs, settings, kind)
-    place = F.struct("doc_id", "key", "place")
-    repeated = stage(
-        hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"),
-        "repeated",
-    )
-    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated, "h2", repeated.count()))
-    found = _text_rows(docs, sent, settings, kind).join(repeated, ["h1", "h2"])
-    found = stage(found.withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first"), "occurrences")
+    repeated = _hash_rows(docs, settings).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = stage(repeated.select("h2"), "repeated")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(repeated, "h2", row_bound(repeated)))
+    found = stage(_text_rows(docs, sent, settings, kind), "occurrences")
     # Written, so that the join reads plain exchanges and can split a window that very many have.
-    first = stage(
-        found.where("is_first").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("lines").alias("f_lines")), "firsts"
-    )
-    pairs = found.where("not is_first").join(first, ["h1", "h2"]).drop("h1", "h2", "is_first")
-    compared = stage(_compare(pairs, kind), "compared")
-    ranges = compared.where("begin is not null").select("doc_id", "key", "begin", "end")
-    if compared.where("begin is null").limit(1).count():
-        ranges = ranges.unionByName(_collided(found, compared, kind))
-    return ranges.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-
-
-def _collided(found: DataFrame, compared: DataFrame, kind: str) -> DataFrame:
-    """Ranges of chunks whose hash is another chunk's: grouped by their lines instead."""
-    odd = compared.where("begin is null").select("doc_id", "key", "place")
+    order = F.struct("doc_id", "key", "place", "lines")
+    first = found.groupBy("h1", "h2").agg(F.min(order).alias("f"))
+    first = stage(first.select("h1", "h2", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("doc_id", "key", "place", "lines")]), "firsts")
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("key") == F.col("f_key")) & (F.col("place") == F.col("f_place"))
+    alike = F.col("lines") == F.col("f_lines")
+    compared = found.join(first, ["h1", "h2"]).where(~is_first).select("doc_id", "key", "place", alike.alias("alike"))
+    ranges = F.collect_set(F.when(F.col("alike"), F.col("place"))).alias("ranges")
+    out = stage(compared.groupBy("doc_id", "key").agg(ranges, F.bool_and("alike").alias("alike")), "removals")
+    if out.where("not alike").limit(1).count():
+        rest = _collided(found, stage(compared.where("not alike"), "collided"))
+        gone = out.select("doc_id", "key", F.explode("ranges").alias("place")).unionByName(rest)
+        out = stage(gone.groupBy("doc_id", "key").agg(F.collect_set("place").alias("ranges")), "removals")
+    return with_bound(out.select("doc_id", "key", "ranges"), row_bound(out))
+
+
+def _collided(found: DataFrame, odd: DataFrame) -> DataFrame:
+    """Occurrences whose hash is another chunk's: grouped by their lines instead."""
     same = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("doc_id", "key", "place")]
     rows = found.alias("f").join(odd.alias("o"), same[0] & same[1] & same[2], "left_semi")
-    plain = F.transform("lines", lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", ""))
-    rows = rows.withColumn("plain", plain)
     place = F.struct("doc_id", "key", "place")
-    firsts = rows.groupBy("plain").agg(F.min(place).alias("first"))
-    at = F.col("place").bitwiseAND(F.lit((1 << 40) - 1))
-    return (
-        rows.join(firsts, "plain")
-        .where(~place.eqNullSafe(F.col("first")))
-        .select("doc_id", "key", at.alias("begin"), (at + F.size("lines")).alias("end"))
-    )
+    firsts = rows.groupBy("lines").agg(F.min(place).alias("first"))
+    return rows.join(firsts, "lines").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "place")
 
 
-def _cut(lines: list[str], ranges: list[dict]) -> tuple[str, int]:
-    gone = np.zeros(len(lines), bool)
-    for r in ranges:
-        gone[r["begin"] : r["end"]] = True
+def _cut(lines: list[str], places: np.ndarray) -> tuple[str, int]:
+    """The text without the windows at ``places``, and how many lines go."""
+    begin = places & ((1 << 40) - 1)
+    steps = np.bincount(begin, minlength=len(lines) + 1) - np.bincount(begin + (places >> 40), minlength=len(lines) + 1)
+    gone = np.cumsum(steps[:-1]) > 0
     return "".join(x for x, g in zip(lines, gone) if not g).strip(), int(gone.sum())
 
 
@@ -265,10 +236,10 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     n_lines, n_removed, share = fresh(docs, "_lines", "_removed", "_share")
     key, known_id, known_key, ranges, maybe = fresh(docs, "_key", "_id", "_k", "_ranges", "_maybe")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    cut = stage(removals(docs, settings), "removals")
+    cut = removals(docs, settings)
     cut = cut.select(F.col("doc_id").alias(known_id), F.col("key").alias(known_key), F.col("ranges").alias(ranges))
     # Documents that a Bloom filter of the others' keys stops have nothing to lose and stay in place.
-    known = bloom.build(cut.select(F.xxhash64(known_key).alias("hash")), "hash", cut.count())
+    known = bloom.build(cut.select(F.xxhash64(known_key).alias("hash")), "hash", row_bound(cut))
     keyed = keyed.withColumn(maybe, bloom.may_hold(known, docs.sparkSession, key))
     same = (F.col(key) == F.col(known_key)) & F.col("doc_id").eqNullSafe(F.col(known_id))
     touched = keyed.where(F.col(maybe)).join(cut.hint("merge"), same, "left").select(*docs.columns, ranges)
@@ -284,15 +255,18 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             out = {c: batch.column(c) for c in columns}
             changed, lines_in, gone_of, kept_of = [], [], [], []
             old = batch.column("text").to_pylist()
-            for text, found in zip(old, batch.column(ranges).to_pylist()):
+            found = batch.column(ranges)  # null has no values
+            ends = found.offsets.to_numpy().tolist()
+            places = found.values.to_numpy()
+            for text, a, b in zip(old, ends, ends[1:]):
                 lines = lines_of(text or "")
                 lines_in.append(len(lines))
-                if not found:
+                if a == b:
                     changed.append(text)
                     gone_of.append(0)
                     kept_of.append(1.0)
                     continue
-                new, gone = _cut(lines, found)
+                new, gone = _cut(lines, places[a:b])
                 changed.append(new)
                 gone_of.append(gone)
                 kept_of.append(len(new.split()) / max(1, len(text.split())))

@@ -368,6 +368,20 @@ def test_every_removed_line_stays_somewhere(spark):
         assert sum(len(r.text) for r in got.values()) < 0.6 * sum(map(len, texts))
 
 
+def test_windows_are_compared_where_they_meet(spark, monkeypatch):
+    """Python runs to cut texts into windows, and not again over each of the repeated ones."""
+    passes, plain = [], line_dedup.map_batches
+    monkeypatch.setattr(line_dedup, "map_batches", lambda df, schema, *rest: passes.append(schema) or plain(df, schema, *rest))
+    mark = line_dedup.MARK
+    shared = f"{prose(1, 12, 99)} \x1c\n\n\u2003{prose(2, 12, 99)}{mark}end\n{prose(3, 12, 99)}"
+    texts = [f"{prose(10 + i, 12, 99)}\n{shared}\n{prose(20 + i, 12, 99)}" for i in range(3)]
+    ranges = {r.doc_id: r.ranges for r in line_dedup.removals(docs_of(spark, texts)).collect()}
+    assert len(passes) == 2 and passes[0] == "h1 long, h2 long"
+    assert sorted(ranges) == [1, 2]
+    gone = {line for place in ranges[1] for line in range(place & 0xFFFF, (place & 0xFFFF) + (place >> 40))}
+    assert gone == {1, 2, 3}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.report(docs_of(spark, [])).count() == 0
 
