@@ -76,6 +76,7 @@ class Vocabulary:
             self.id_of[plain[text]] = number
         for text, number in self.special.items():
             self.bytes_of[number] = text.encode()
+        self.sizes = list(map(len, self.bytes_of))
         # A token is made by one merge; its halves and the time of that merge.
         self.made: list[tuple[int, int, int]] = [(-1, -1, -1)] * size
         self.merge: dict[tuple[int, int], int] = {}
@@ -148,7 +149,7 @@ class Vocabulary:
 
     def encode_words(self, words: set[bytes]) -> None:
         """Encode words not seen before, each shared prefix once."""
-        fits, bytes_of, known = self._fits, self.bytes_of, self._words
+        fits, sizes, known = self._fits, self.sizes, self._words
         steps, ending = self._steps, self._ending
         state: list[int] = []
         places = [0]
@@ -180,9 +181,10 @@ class Vocabulary:
                         break
             tokens, end = [], len(word)
             while end:
-                tokens.append(state[end - 1])
-                end -= len(bytes_of[tokens[-1]])
-            known[word] = tuple(reversed(tokens))
+                token = state[end - 1]
+                tokens.append(token)
+                end -= sizes[token]
+            known[word] = tuple(tokens[::-1])
             before = word
 
     def trim(self) -> None:

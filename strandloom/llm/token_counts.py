@@ -11,11 +11,12 @@ leaves are updated.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from strandloom.llm.bpe import PieceEncoder, encoder, pieces_of, uncollected
@@ -23,7 +24,6 @@ from strandloom.llm.common import map_batches, texts
 
 LEAF = 32  # pieces of a leaf
 REMEMBERED = 500_000  # pieces per Python worker, and as many older ones
-SPACE = re.compile(r"\s")
 CONTEXT = 4  # characters before an edit that fix the pre-token start ahead of them
 
 
@@ -41,7 +41,7 @@ class PieceCounts:
         """
         v, counted = self.pieces.vocabulary, self.pieces.counted
         new = counted.missing(found)
-        plain = [p for p in new if p and not SPACE.search(p)] if v.special_split is None else []
+        plain = [p for p in new if p.split() == [p]] if v.special_split is None else []
         odd = list(new.difference(plain))
         joined = v.split.findall(" " + " ".join(plain)) if plain else []
         cut = [v.words_of(" " + p) for p in odd]
@@ -187,16 +187,13 @@ class EditedText:
             stop += len(self.texts[last])
         while True:
             old = "".join(self.texts[first : last + 1])
-            words, safe = self.split.findall(old), None
-            at = 0
-            for i, word in enumerate(words):
-                ahead = old[at : min(start - begin, at + 64)]
-                if at + CONTEXT <= start - begin and not ahead.isspace():
-                    safe = (i, at)
-                at += len(word)
-                if at > start - begin:
-                    break
-            if safe is None:
+            words = self.split.findall(old)
+            places = list(accumulate(map(len, words), initial=0))
+            near = min(bisect_right(places, start - begin - CONTEXT), len(words)) - 1
+            while near >= 0 and old[places[near] : min(start - begin, places[near] + 64)].isspace():
+                near -= 1
+            safe = (near, places[near])
+            if near < 0:
                 if first:
                     first -= 1
                     begin -= len(self.texts[first])
@@ -209,11 +206,7 @@ class EditedText:
             made = "".join(parts) + old[at:]
             shift = len(made) - len(old)
             # Where old pre-tokens start at or after the edits, in places of the new text.
-            starts, place = {}, 0
-            for i, word in enumerate(words):
-                if place >= end - begin:
-                    starts[place + shift] = i
-                place += len(word)
+            starts = {places[i] + shift: i for i in range(bisect_left(places, end - begin), len(words))}
             fresh, stop = [], len(words)
             synced = last + 1 >= len(self.texts)
             for match in self.split.finditer(made, safe[1]):
@@ -253,18 +246,22 @@ class EditedText:
 
 @dataclass(frozen=True)
 class Rule:
-    """Every match of ``pattern`` becomes ``new``; rules follow each other."""
+    """Every match of ``pattern``, as ``re`` reads it, becomes ``new``; rules follow each other.
+
+    A text without any of ``needs`` has no match; none given: every text is searched.
+    """
 
     pattern: str
     new: str
+    needs: tuple[str, ...] = ("",)
 
 
 # Masked addresses and long numbers, emptied shouting, and lines without end spaces.
 RULES = (
-    Rule(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+", "<email>"),
+    Rule(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+", "<email>", ("@",)),
     Rule(r"[0-9]{5,}+", "<number>"),
     Rule(r"[!?*#&$%|]{2,}+", ""),
-    Rule(r"[ \t]+(?=\n)", ""),
+    Rule(r"[ \t]+(?=\n)", "", (" \n", "\t\n")),
 )
 
 
@@ -280,7 +277,7 @@ def count_after_edits(docs: DataFrame, content: str, rules: tuple[Rule, ...] = R
 
     def start() -> Callable[[pa.RecordBatch], dict]:
         counts = PieceCounts(plain_encoder(sent.value))
-        compiled = [(regex.compile(r.pattern), r.new) for r in rules]
+        compiled = [(re.compile(r.pattern), r.new, r.needs) for r in rules]
 
         @uncollected()
         def step(batch: pa.RecordBatch) -> dict:
@@ -293,7 +290,9 @@ def count_after_edits(docs: DataFrame, content: str, rules: tuple[Rule, ...] = R
                 edited = EditedText(text, counts)
                 out["n_tokens"].append(edited.n_tokens)
                 edits = 0
-                for pattern, new in compiled:
+                for pattern, new, needs in compiled:
+                    if not any(x in text for x in needs):
+                        continue
                     found = [(*m.span(), new) for m in pattern.finditer(text)]
                     if found:
                         edited.edit_many(found)

@@ -735,6 +735,18 @@ def test_counts_after_rules(spark, library):
         assert got[i].n_tokens_edited == len(library.encode(new, add_special_tokens=False).ids), text
 
 
+def test_texts_that_cannot_match_a_rule_are_not_searched(spark):
+    """What a rule needs changes no count, and no default rule misses a match by it."""
+    everywhere = tuple(token_counts.Rule(r.pattern, r.new) for r in token_counts.RULES)
+    texts = ["a@b.co", "a \n", "a\t\n", " \t \n@", "plain 12345 !!", "\n a", None]
+    content = bpe.Bpe(PATH).content()
+    found = [table(token_counts.count_after_edits(docs_of(spark, texts), content, r)) for r in (everywhere, token_counts.RULES)]
+    assert found[0] == found[1]
+    assert [found[0][i].n_edits for i in range(7)] == [1, 1, 1, 1, 2, 0, 0]
+    missed = (token_counts.Rule("a", "b", ("z",)),)
+    assert {r.n_edits for r in token_counts.count_after_edits(docs_of(spark, texts), content, missed).collect()} == {0}
+
+
 # --- helpers ------------------------------------------------------------------
 
 
