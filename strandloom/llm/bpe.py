@@ -19,6 +19,7 @@ import re
 from array import array
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -240,7 +241,8 @@ class Recent(dict):
 
     def missing(self, wanted: set) -> set:
         """What is not known; known older entries become recent."""
-        new = wanted.difference(self)
+        # ``difference`` would walk the whole memory, as this is not quite a dict.
+        new = set(filterfalse(self.__contains__, wanted))
         if self.older:
             kept = {p for p in new if p in self.older}
             self.update((p, self.older[p]) for p in kept)

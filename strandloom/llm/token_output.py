@@ -4,7 +4,8 @@ The format is a folder of Parquet tables, written by Spark so that lost tasks ar
 again and any store will do:
 
 ``vocabulary``  ``rank``, ``id``, ``n``: the ids that occur, the most frequent first.
-``encoded``     ids of each document in input order, while the other two are made.
+``encoded``     ids of each document in input order and counts of each task's ids, while the
+                other two are made.
 ``shards``      one row per block of documents in ascending doc_id order: ``shard`` and
                 ``block``, ``before`` (ids ahead of the block in its shard), ``doc_ids``
                 and ``lengths`` of its documents, ``control`` and ``data``.
@@ -27,14 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
-from strandloom.llm.bpe import PIECES, TEXTS, Recent, pieces_of
+from strandloom.llm.bpe import Recent, byte_letters, pieces_of, uncollected
 from strandloom.llm.common import kept, map_batches, texts
 from strandloom.staging import shared_dir
 
 BLOCK_IDS = 1_000_000
-JOINED = 2000  # pieces that the library gets as one text
+TEXTS = 1000  # texts cut at a time
+JOINED = 20_000  # pieces that the library gets as one text
+HELD = 1_000_000  # pieces remembered per Python worker, and as many older ones; up to 350 MB
+HELD_CHARS = 1 << 24  # characters of these pieces
 TAIL = re.compile(r"(.*[^\W\d_])([.,!?*%&$#|]+)\Z", re.S)
+# White space next to other white space, unless it is two line feeds.
+RUNS = re.compile(r"\s(?:\s(?<!\n\n)|\n\n(?<=\n\n\n))")
+# Letters of any version of Unicode, behind the line feed that may open a piece.
+WORD = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u0523]+")
 # Number of bytes of the four ranks of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -67,7 +76,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class LibraryEncoder:
     """The tokenizers library over pieces of text, each different piece encoded once.
 
-    Ids come as bytes of little-endian integers, of two bytes unless an id needs four.
+    A piece is what follows a space, or a line feed with what follows it.  Ids come as
+    bytes of little-endian integers, of two bytes unless an id needs four.
     """
 
     def __init__(self, content: str, end_id: int = 0):
@@ -75,57 +85,134 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.whole = any(" " in t.content for t in self.library.get_added_tokens_decoder().values())
+        added = self.library.get_added_tokens_decoder().values()
+        split = self.library.pre_tokenizer
+        byte_level = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+        # Texts stay whole if a cut between pieces might change their ids.
+        self.whole = (
+            not byte_level
+            or self.library.normalizer is not None
+            or any(re.search(r"\s", t.content) or TAIL.match(t.content) for t in added)
+            or any(t.lstrip or t.rstrip or t.single_word for t in added)
+        )
         self.size = max(self.size, end_id + 1)
         self.dtype = "<u4" if self.size > 1 << 16 else "<u2"
         self.known = Recent()
+        self.chars = 0  # of the pieces in ``known``
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.words = None
+        if self.line is not None and not self.whole and not any(WORD.fullmatch(t.content) for t in added):
+            self._words_alone()
+
+    def _words_alone(self) -> None:
+        """The same model behind a split at line feeds, for words already cut and spelt in letters of bytes."""
+        letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = CharDelimiterSplit("\n")
+        self.spelt = letters | {10: "\n"}
+        self.line_word = letters[10] + "\n"
+        # Ids that open a piece: a line feed's, and those whose token begins with a space.
+        self.opens = np.zeros(self.size, bool)
+        self.opens[self.line] = True
+        for token, number in self.library.get_vocab(with_added_tokens=False).items():
+            self.opens[number] |= token[0] == letters[32]
 
     def _encode(self, many: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(many, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _keep(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: list[int]) -> None:
+        raw, width = ids.tobytes(), ids.itemsize
+        slices = map(slice, (width * starts).tolist(), (width * np.array(ends)).tolist())
+        self.known.update(zip(pieces, map(raw.__getitem__, slices)))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode pieces that are one word of letters, many in one text."""
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            text = "\n".join([" " + p if p[0] != "\n" else p[1:] for p in part])
+            spelt = text.encode().decode("latin-1").translate(self.spelt)
+            if any(p[0] == "\n" for p in part):
+                spelt = "\n".join(
+                    [self.line_word + w if p[0] == "\n" else w for p, w in zip(part, spelt.split("\n"))]
+                )
+            found = self.words.encode_batch_fast([spelt], add_special_tokens=False)[0]
+            ids = np.array(found.ids, self.dtype)
+            starts = np.flatnonzero(self.opens[ids])
+            self._keep(part, ids, starts, [*starts[1:].tolist(), len(ids)])
+
+    def _learn_plain(self, pieces: list[str]) -> None:
+        """Encode pieces that hold no line feed but a first one and do not end in white space.
+
+        They go to the library many at a time, between line feeds, which are words of
+        their own and have an id that no other word holds.
+        """
+        line = np.array([self.line], self.dtype).tobytes()
+        for k in range(0, len(pieces), JOINED):
+            part = pieces[k : k + JOINED]
+            text = "\n".join([" " + p if p[0] != "\n" else p[1:] for p in part])
+            ids = np.frombuffer(self._encode([text])[0], self.dtype)
+            ends = np.flatnonzero(ids == self.line)
+            self._keep(part, ids, np.concatenate([[0], ends + 1]), [*ends.tolist(), len(ids)])
+            self.known.update((p, line + self.known[p]) for p in part if p[0] == "\n")
+
+    @uncollected()
     def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces not known yet, which follow a space.
+        """Encode pieces not known yet.
 
         Marks behind a letter are words of their own, so most pieces need only the part
-        before them.  Those parts go to the library many at a time, between line feeds,
-        which are words of their own too and have an id that no other word holds.
+        before them.
         """
-        cut = {p: TAIL.match(p) for p in pieces}
-        heads = self.known.missing({m[1] if m else p for p, m in cut.items()})
-        plain, odd = [], []
+        cut = {p: m.groups() for p in pieces if not p[-1:].isalpha() and (m := TAIL.match(p))}
+        heads = {h for h, _ in cut.values()}
+        heads.update(pieces.difference(cut))
+        heads = self.known.missing(heads)
+        self.chars += sum(map(len, heads)) + sum(map(len, cut))
+        words, plain, odd = [], [], []
         for p in heads:
-            joins = self.line is not None and p and "\n" not in p and not p[0].isspace() and not p[-1].isspace()
+            if self.words and (p.isascii() and p.isalpha() or WORD.fullmatch(p)):
+                words.append(p)
+                continue
+            body = p[1:] if p[:1] == "\n" else p
+            joins = self.line is not None and body and "\n" not in body and not body[0].isspace() and not body[-1].isspace()
             (plain if joins else odd).append(p)
-        for k in range(0, len(plain), JOINED):
-            part = plain[k : k + JOINED]
-            raw = self._encode(["\n".join(" " + p for p in part)])[0]
-            ids = np.frombuffer(raw, self.dtype)
-            width, start = ids.itemsize, 0
-            for p, end in zip(part, [*np.flatnonzero(ids == self.line).tolist(), len(ids)]):
-                self.known[p] = raw[width * start : width * end]
-                start = end + 1
-        self.known.update(zip(odd, self._encode([" " + p for p in odd])))
-        tails = list({m[2] for m in cut.values() if m})
+        self._learn_words(words)
+        self._learn_plain(plain)
+        self.known.update(zip(odd, self._encode([p if p[:1] in (" ", "\n") else " " + p for p in odd])))
+        tails = list({t for _, t in cut.values()})
         marks = dict(zip(tails, self._encode(tails)))
-        self.known.update((p, self.known[m[1]] + marks[m[2]]) for p, m in cut.items() if m)
+        self.known.update([(p, self.known[h] + marks[t]) for p, (h, t) in cut.items()])
+
+    def _cut(self, text: str) -> tuple[str | None, list[str]]:
+        """What stands before the first piece and the pieces; ``None``: the first one got a line feed.
+
+        A piece without white space at its start follows a space.
+        """
+        if self.line is None or RUNS.search(text) or text[:1].isspace() or text[-1:].isspace():
+            first, *pieces = pieces_of(text)
+            return first, [" " + p if p[:1].isspace() else p for p in pieces]
+        return None, ("\n" + text.replace("\n", " \n")).split(" ")
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Ids of each text."""
         if self.whole:
             return self._encode(many)
         out: list[bytes] = []
+        width = np.dtype(self.dtype).itemsize
         for k in range(0, len(many), TEXTS):
-            cut = [pieces_of(t) for t in many[k : k + TEXTS]]
-            self.known.trim(PIECES)
+            cut = [self._cut(t) for t in many[k : k + TEXTS]]
+            if len(self.known) > HELD or self.chars > HELD_CHARS:
+                self.known.trim(0)
+                self.chars = 0
             known, missing = self.known, set()
-            for p in cut:
-                missing.update(p[1:])
+            for _, pieces in cut:
+                missing.update(pieces)
             self._learn(known.missing(missing))
-            heads = self._encode([p[0] for p in cut])
-            out += [h + b"".join(map(known.__getitem__, p[1:])) for h, p in zip(heads, cut)]
+            heads = iter(self._encode([h for h, _ in cut if h is not None]))
+            for head, pieces in cut:
+                ids = b"".join(map(known.__getitem__, pieces))
+                out.append(ids[width:] if head is None else next(heads) + ids)
         return out
 
 
@@ -136,40 +223,31 @@ def library(content: str, end_id: int) -> LibraryEncoder:
 
 
 def encode(docs: DataFrame, content: str, end_id: int) -> DataFrame:
-    """doc_id and ``ids`` (binary, see ``LibraryEncoder``), the end id last."""
+    """doc_id and ``ids`` (binary, see ``LibraryEncoder``), the end id last.
+
+    Every task adds a row without ``ids``: its different ``tokens`` and how often each came (``n``).
+    """
     sent = docs.sparkSession.sparkContext.broadcast(content)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def start():
         made = library(sent.value, end_id)
         end = np.array([end_id], made.dtype).tobytes()
+        total = np.zeros(made.size, np.int64)
 
-        def step(batch: pa.RecordBatch) -> dict:
+        def step(batch: pa.RecordBatch | None) -> dict:
+            if batch is None:
+                at = np.flatnonzero(total)
+                return {"doc_id": [None], "ids": [None], "tokens": [at], "n": [total[at]]}
             ids = [x + end for x in made.encode(texts(batch))]
-            return {"doc_id": batch.column("doc_id"), "ids": ids}
-
-        return step
-
-    return map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, ids binary", start)
-
-
-def _counts(encoded: DataFrame, size: int, dtype: str) -> DataFrame:
-    """(id, n) of each task's ids."""
-
-    def start():
-        total = np.zeros(size, np.int64)
-
-        def step(batch: pa.RecordBatch | None) -> dict | None:
-            if batch is not None:
-                ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype)
-                total[:] += np.bincount(ids, minlength=size)
-                return None
-            at = np.flatnonzero(total)
-            return {"id": at, "n": total[at]}
+            total[:] += np.bincount(np.frombuffer(b"".join(ids), made.dtype), minlength=made.size)
+            none = [None] * len(ids)
+            return {"doc_id": batch.column("doc_id"), "ids": ids, "tokens": none, "n": none}
 
         return step
 
-    return map_batches(encoded.select("ids"), "id long, n long", start, finish=True)
+    schema = f"doc_id {kind}, ids binary, tokens array<long>, n array<long>"
+    return map_batches(docs.select("doc_id", "text"), schema, start, finish=True)
 
 
 def write(docs: DataFrame, path: str, content: str, end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
@@ -186,7 +264,8 @@ def write(docs: DataFrame, path: str, content: str, end_id: int = 2, block_ids:
     encoded = encode(docs, content, end_id).withColumn("row", F.monotonically_increasing_id())
     encoded.write.option("compression", "zstd").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
-    counts = _counts(encoded, size, dtype).groupBy("id").agg(F.sum("n").alias("n"))
+    each = encoded.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "n")).alias("_of"))
+    counts = each.groupBy(F.col("_of.tokens").alias("id")).agg(F.sum("_of.n").alias("n"))
     # At most as many rows as the vocabulary has ids.
     ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1)
     ranked.select("rank", "id", "n").write.parquet(f"{path}/vocabulary")
@@ -232,7 +311,8 @@ def write(docs: DataFrame, path: str, content: str, end_id: int = 2, block_ids:
 
         return step
 
-    ordered = encoded.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    rows_of_ids = encoded.where("tokens is null").select("doc_id", "ids", "row")
+    ordered = rows_of_ids.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     map_batches(
         ordered,
         f"block int, before long, n_ids long, doc_ids array<{kind}>, lengths array<long>, control binary, data binary",

@@ -154,6 +154,45 @@ def test_token_files_of_nothing(spark, tmp_path):
     assert token_output.read(spark, path).count() == 0
 
 
+def test_pieces_at_line_beginnings_are_encoded_once(library, monkeypatch):
+    given = []
+    encode = token_output.LibraryEncoder._encode
+    monkeypatch.setattr(token_output.LibraryEncoder, "_encode", lambda self, many: given.extend(many) or encode(self, many))
+    words = [prose(i, 1).strip(".") + chr(97 + i) for i in range(26)]
+    texts = [" ".join(f"{a}.\n{b}" for b in words) for a in words]
+    got = token_output.LibraryEncoder(bpe.Bpe(PATH).content()).encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(given) < 100  # 676 pairs of words meet at a line feed
+
+
+def test_ids_of_cut_texts(library, monkeypatch):
+    rng = random.Random(9)
+    gaps = [" "] * 12 + ["\n"] * 4 + ["\n\n", "\n\n\n", "  ", " \n", "\n ", "\t", "\r\n", "\u00a0", "\x1c", ""]
+    words = [
+        "the", "Then", "word.", "it's", "'s", "a,", "b!?", "caf\u00e9", "\u00e9t\u00e9,", "\u043c\u0438\u0440.", "\u4e16\u754c", "12", "3.5",
+        "x\u00b2.", "<|endoftext|>", "a<|endoftext|>.", "\U0001f600", "\u0120", "\u010a", "A|", "|", "_a", "e\u0301",
+    ]
+    texts = ["", " ", "\n", "\n\n", "a", "a\n", "\na", " a", "a ", *(
+        "".join(rng.choice(words) + rng.choice(gaps[: rng.choice([12, 16, 17, 26])]) for _ in range(rng.randrange(1, 30)))
+        for _ in range(1500)
+    )]
+    monkeypatch.setattr(token_output, "HELD", 40)
+    monkeypatch.setattr(token_output, "TEXTS", 50)
+    got = token_output.LibraryEncoder(bpe.Bpe(PATH).content()).encode(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_memory_is_not_walked_to_look_pieces_up():
+    class Walked(bpe.Recent):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    held = Walked()
+    held["a"] = b""
+    assert held.missing({"a", "b"}) == {"b"}
+
+
 # --- near duplicates ----------------------------------------------------------
 
 
