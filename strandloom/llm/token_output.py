@@ -42,6 +42,8 @@ HELD_CHARS = 1 << 24  # characters of these pieces
 TAIL = re.compile(r"(.*[^\W\d_])([.,!?*%&$#|]+)\Z", re.S)
 # White space next to other white space, unless it is two line feeds.
 RUNS = re.compile(r"\s(?:\s(?<!\n\n)|\n\n(?<=\n\n\n))")
+# An ASCII text without these has no such place.
+ASCII_RUNS = ("  ", "\n ", " \n", "\n\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 # Letters of any version of Unicode, behind the line feed that may open a piece.
 WORD = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u0523]+")
 # Number of bytes of the four ranks of each control byte.
@@ -189,7 +191,8 @@ class LibraryEncoder:
 
         A piece without white space at its start follows a space.
         """
-        if self.line is None or RUNS.search(text) or text[:1].isspace() or text[-1:].isspace():
+        runs = any(x in text for x in ASCII_RUNS) if text.isascii() else True
+        if self.line is None or runs and RUNS.search(text) or text[:1].isspace() or text[-1:].isspace():
             first, *pieces = pieces_of(text)
             return first, [" " + p if p[:1].isspace() else p for p in pieces]
         return None, ("\n" + text.replace("\n", " \n")).split(" ")
