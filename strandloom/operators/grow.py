@@ -14,13 +14,15 @@ deviation is a rotation part plus a translation part, so
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.constants import GRID_SPACING, MAX_OVRMSD, POSE
+from strandloom.constants import GRID_SPACING, MAX_GRID, MAX_INDEX, MAX_OVRMSD, MIN_GRID, POSE
 from strandloom.functions import vectors as v
 from strandloom.operators.pool import pose_columns
 from strandloom.staging import row_bound, skew_join, spread, stage
@@ -273,17 +275,38 @@ def _translate(source, matched, ovrmsd, restrict):
     else:
         met = skew_join(poses, steps, ["conformer", "rotamer"], left_rows=rows, right_rows=known, counted=source)
     grid = [F.col(f"s{g}") + F.col(f"d{g}") for g in ("gx", "gy", "gz")]
-    grown = met.select(*pose_columns(F.col("t_conf"), F.col("t_rot"), *grid), "parent_id")
     if restrict is None:
-        return grown
+        return met.select(*pose_columns(F.col("t_conf"), F.col("t_rot"), *grid), "parent_id")
+    grown = met.select("t_conf", "t_rot", *[c.cast("bigint").alias(f"t{g}") for g, c in zip(("gx", "gy", "gz"), grid)], "parent_id")
+    pose = [F.col(c) for c in ("t_conf", "t_rot", "tgx", "tgy", "tgz")]
+    looked = _looked_up(grown, pose, restrict)
+    return looked.select(*[c.cast("int").alias(n) for c, n in zip(pose, POSE)], "parent_id")
+
+
+def _looked_up(grown, pose, restrict):
+    """Rows of ``grown`` whose ``pose`` is one of the blocks ``restrict``; a pose that fits no field is an error.
+
+    Most rows find nothing, so a row costs one hash of its block.  A broadcast table is looked up by that hash alone,
+    which is one number and never null; the fields themselves are compared where it is found.
+    """
+    fields = [c.cast("bigint") for c in pose]
+    block = [*fields[:2], *[F.shiftright(c, 2) for c in fields[2:]]]
+    limits = [(0, MAX_INDEX)] * 2 + [(MIN_GRID, MAX_GRID)] * 3
+    fits = functools.reduce(operator.and_, [c.between(*x) for c, x in zip(fields, limits)])
+    key = F.when(fits, F.xxhash64(*block)).otherwise(F.xxhash64(*pose_columns(*pose)))
     on = ["conformer", "rotamer", *_BLOCK]
+    blocks = restrict.select(F.xxhash64(*[F.col(c).cast("bigint") for c in on]).alias("_key"), *on, "_points")
+    keyed = grown.withColumn("_key", key)
     if row_bound(restrict) <= FEW_POSES:
-        looked = _with_block(grown).join(F.broadcast(restrict), on)
+        looked = keyed.join(F.broadcast(blocks), "_key")
     else:
         # A block grown from very many parents is split over tasks.
-        looked = skew_join(stage(_with_block(grown), "grown"), restrict, on, right_rows=0)
-    allowed = looked.withColumn("_bit", _block_place()).where(F.expr("shiftright(_points, _bit) & 1L = 1L"))
-    return allowed.select(*POSE, "parent_id")
+        looked = skew_join(stage(keyed, "grown"), blocks, ["_key"], right_rows=0)
+    # Exclusive or, as an equality of both sides would be taken for a further key of the join.
+    differ = functools.reduce(Column.bitwiseOR, [c.bitwiseXOR(F.col(n).cast("bigint")) for c, n in zip(block, on)])
+    x, y, z = (c.bitwiseAND(F.lit(3)) for c in fields[2:])
+    looked = looked.withColumn("_bit", (x * 16 + y * 4 + z).cast("int"))
+    return looked.where((differ == 0) & F.expr("shiftright(_points, _bit) & 1L = 1L"))
 
 
 def anchor_at_reference(

@@ -119,3 +119,28 @@ def test_very_many_short_runs_share_tasks(spark, tmp_path, monkeypatch):
     back = arrays.read_npy(spark, str(tmp_path / "scores"), "score", task_bytes=100)
     assert back.rdd.getNumPartitions() == staging.task_count(spark)
     assert {r.pose_id: r.score for r in back.collect()} == {n: n / 7.0 for n in range(2_000)}
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_restricted_growing_looks_blocks_up_by_one_number(spark, monkeypatch, few):
+    """One hash a grown pose finds its block, whatever else has that hash; poses out of the grid stay an error."""
+    monkeypatch.setattr(grow, "FEW_POSES", few)
+    fields = {"t_conf": 1, "t_rot": 2, "tgx": -5, "tgy": 9, "tgz": 0}
+    rows = [{**fields, **change, "parent_id": n} for n, change in enumerate(
+        [{}, {}, {"t_conf": 2}, {"t_rot": 3}, {"tgx": -6}, {"tgy": 8}, {"tgz": 64}, {"tgx": 40, "tgy": -40}]
+    )]
+    schema = "t_conf int, t_rot int, tgx bigint, tgy bigint, tgz bigint, parent_id int"
+    grown = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    poses = [(1, 2, -5, 9, 0), (1, 2, 40, -40, 0), (2, 2, -5, 9, 1), (3, 2, -5, 9, 0)]
+    blocks = staging.stage(grow._blocks(spark.createDataFrame(poses, "conformer int, rotamer int, gx int, gy int, gz int")), "blocks")
+    pose = [staging.F.col(c) for c in fields]
+    look = lambda df: grow._looked_up(df, pose, blocks)
+    assert sorted(r.parent_id for r in look(grown).collect()) == [0, 1, 7]
+    if few:
+        text = plan(look(grown)).split("== Physical Plan ==")[1]
+        assert "BroadcastHashJoin [_key" in text and "isnotnull(CASE" not in text
+    with pytest.raises(Exception, match="gy out of range: 32768"):
+        look(grown.withColumn("tgy", staging.F.lit(32768).cast("bigint"))).collect()
+    # Blocks that share a hash are told apart.
+    monkeypatch.setattr(grow.F, "xxhash64", lambda *_: grow.F.lit(7).cast("bigint"))
+    assert sorted(r.parent_id for r in look(grown).collect()) == [0, 1, 7]
